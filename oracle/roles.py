@@ -184,7 +184,8 @@ FROM part"""),
     ("cal_days", """
 SELECT CAST(unnest(generate_series(CAST(date_trunc('year', lo) AS DATE),
                                    make_date(year(hi), 12, 31), INTERVAL 1 DAY)) AS DATE) AS date_key
-FROM (SELECT (SELECT min(o_orderdate) FROM orders) AS lo, (SELECT max(l_shipdate) FROM lineitem) AS hi)"""),
+FROM (SELECT min(d) AS lo, max(d) AS hi
+      FROM (SELECT o_orderdate AS d FROM orders UNION ALL SELECT l_shipdate FROM lineitem))"""),
     ("calendar", """
 SELECT *,
        CAST(sum(workday_ind) OVER (PARTITION BY year, month ORDER BY date_key

@@ -28,10 +28,10 @@ def holiday_expr(d: F.Column) -> F.Column:
 
 
 def build_calendar(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    # min/max come from parquet footers when aggregate pushdown is on
-    lo = orders.agg(F.min("o_orderdate").alias("lo"))
-    hi = lineitem.agg(F.max("l_shipdate").alias("hi"))
-    span = lo.crossJoin(hi).select(  # two one-row aggregates
+    # one-row span over every order and ship date (partial min/max per task)
+    dates = (orders.select(F.col("o_orderdate").alias("d"))
+             .unionByName(lineitem.select(F.col("l_shipdate").alias("d"))))
+    span = dates.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).select(
         F.trunc(F.col("lo").cast("date"), "YEAR").alias("start"),
         F.last_day(F.make_date(F.year("hi"), F.lit(12), F.lit(1))).alias("stop"),
     )
