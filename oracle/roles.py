@@ -180,6 +180,16 @@ SELECT l_orderkey AS document_id, l_partkey - l_partkey % 3 AS o_string FROM lin
     ("pricing_rules", """
 SELECT p_partkey % 500 AS price_rule_id,
        CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_name END AS prod_seg_part_number
+FROM part"""),
+    ("oems", "SELECT DISTINCT p_brand AS company_id, 'OEM ' || p_brand AS company_name FROM part"),
+    ("modalities", """
+SELECT DISTINCT p_size % 7 AS modality_id, 'MOD' || CAST(p_size % 7 AS VARCHAR) AS modality_code FROM part"""),
+    ("product_classes", """
+SELECT DISTINCT p_size AS class_id, 'CLASS' || CAST(p_size AS VARCHAR) AS class_code FROM part"""),
+    ("product_categories", """
+SELECT DISTINCT CASE WHEN p_size <= 25 THEN 2 WHEN p_size > 45 THEN 3 ELSE 1 END AS product_category_id,
+       CASE WHEN p_size <= 25 THEN 'Biomed' WHEN p_size > 45 THEN 'Stryker' ELSE 'Imaging' END
+         AS product_category_description
 FROM part"""),
     ("cal_days", """
 SELECT CAST(unnest(generate_series(CAST(date_trunc('year', lo) AS DATE),

@@ -39,3 +39,13 @@ register("K7_supplier_scorecard")(
 register("K14_item_returns")(lambda t: tg.item_returns(t, P.PERIOD_START, P.PERIOD_END))
 register("K15_formulary_rules")(lambda t: tg.formulary_rules(t))
 register("K16_pricing_rules")(lambda t: tg.pricing_rules(t))
+
+from scorecraft.plans import compliance as cp  # noqa: E402
+
+register("K8_vendor_compliance")(lambda t: cp.vendor_compliance(t, P.PERIOD_START, P.PERIOD_END))
+register("K9_compliance_totals")(lambda t: cp.compliance_totals(t, P.PERIOD_START, P.PERIOD_END))
+register("K10_compliance_details")(lambda t: cp.compliance_details(t, P.PERIOD_START, P.PERIOD_END))
+register("K11_backorder_trends")(lambda t: cp.backorder_trends(t, P.PERIOD_START, P.PERIOD_END))
+register("K12_vendor_sales")(lambda t: cp.vendor_sales(t, P.SALES_VENDOR, P.PERIOD_START, P.PERIOD_END,
+                                                        P.HOUSE_VENDOR))
+register("K13_vendor_contacts")(lambda t: cp.vendor_contacts(t))

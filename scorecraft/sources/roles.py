@@ -425,6 +425,36 @@ def _pricing_rules(w: Warehouse) -> DataFrame:
     )
 
 
+# Product category id -> description.
+PRODUCT_CATEGORIES = {1: "Imaging", 2: "Biomed", 3: "Stryker"}
+
+
+def _oems(w: Warehouse) -> DataFrame:
+    """OEMS: one row per brand."""
+    return (w.base("part").select(F.col("p_brand").alias("company_id")).distinct()
+            .withColumn("company_name", F.concat(F.lit("OEM "), F.col("company_id"))))
+
+
+def _modalities(w: Warehouse) -> DataFrame:
+    """MODALITIES: bounded code table (ids 0-6)."""
+    return (w.base("part").select((F.col("p_size") % 7).alias("modality_id")).distinct()
+            .withColumn("modality_code", F.concat(F.lit("MOD"), F.col("modality_id").cast("string"))))
+
+
+def _product_classes(w: Warehouse) -> DataFrame:
+    return (w.base("part").select(F.col("p_size").alias("class_id")).distinct()
+            .withColumn("class_code", F.concat(F.lit("CLASS"), F.col("class_id").cast("string"))))
+
+
+def _product_categories(w: Warehouse) -> DataFrame:
+    cat = (F.when(F.col("p_size") <= 25, F.lit(2)).when(F.col("p_size") > 45, F.lit(3)).otherwise(F.lit(1)))
+    desc = F.lit(None).cast("string")
+    for k, v in PRODUCT_CATEGORIES.items():
+        desc = F.when(F.col("product_category_id") == k, F.lit(v)).otherwise(desc)
+    return (w.base("part").select(cat.alias("product_category_id")).distinct()
+            .withColumn("product_category_description", desc))
+
+
 def _calendar(w: Warehouse) -> DataFrame:
     return build_calendar(w.base("orders"), w.base("lineitem"))
 
@@ -452,4 +482,8 @@ ROLE_BUILDERS = {
     "formulary": _formulary,
     "pricing_rules": _pricing_rules,
     "calendar": _calendar,
+    "oems": _oems,
+    "modalities": _modalities,
+    "product_classes": _product_classes,
+    "product_categories": _product_categories,
 }
