@@ -167,14 +167,62 @@ SELECT p_partkey AS item_number, p_partkey % 100 AS company_id,
        upper(replace(p_name, ' ', '')) AS part_number, p_name AS description,
        CASE WHEN p_partkey % 3 = 0 THEN 'O' ELSE 'V' END AS item_type,
        p_brand || '-' || CAST(p_size AS VARCHAR) AS product_number,
-       p_brand AS oem_name
+       p_brand AS oem_name, p_size AS ps_structure_id
 FROM part"""),
     ("item_prices", """
-SELECT p_partkey AS item_number, p_partkey - p_partkey % 3 AS oem_item_number,
+SELECT p_partkey AS item_number, p_partkey AS search_item_number, p_partkey - p_partkey % 3 AS oem_item_number,
+       p_brand || '-' || CAST(p_size AS VARCHAR) AS product_number,
        CAST(p_retailprice AS DECIMAL(15,2)) AS list_price,
-       CAST(p_retailprice AS DECIMAL(15,2)) * 0.7 AS sell_price,
-       CASE WHEN p_partkey % 2 = 0 THEN 'EX' ELSE 'OR' END AS condition_code
+       CAST(p_retailprice AS DECIMAL(15,2)) * 0.70 AS sell_price,
+       CAST(p_retailprice AS DECIMAL(15,2)) * 1.00 AS exchange_oem_price,
+       CAST(p_retailprice AS DECIMAL(15,2)) * 1.20 AS outright_oem_price,
+       CAST(p_retailprice AS DECIMAL(15,2)) * 0.50 AS exchange_cost,
+       CAST(p_retailprice AS DECIMAL(15,2)) * 0.60 AS outright_cost,
+       CAST(p_retailprice AS DECIMAL(15,2)) * 0.70 AS exchange_price,
+       CAST(p_retailprice AS DECIMAL(15,2)) * 0.80 AS outright_price,
+       CAST(CASE WHEN p_size % 3 = 0 THEN 100 ELSE 0 END AS DECIMAL(15,2)) AS cost_core_charge,
+       'EA' AS uom_code,
+       (['NO', 'NF', 'RF', 'AF'])[p_partkey % 4 + 1] AS condition,
+       CASE WHEN p_partkey % 2 = 0 THEN 'EX' ELSE 'OR' END AS condition_code,
+       '90 DAY' AS cost_warranty_description,
+       CASE WHEN p_size % 5 = 0 THEN 'N' ELSE 'Y' END AS is_returnable,
+       p_size % 10 AS lead_time_days,
+       p_type AS sub_type
+FROM part"""),
+    ("product_structure", """
+SELECT DISTINCT p_size AS structure_id, 'Structure ' || CAST(p_size AS VARCHAR) AS name,
+       'Group ' || CAST(CAST(floor(p_size / 10) AS BIGINT) AS VARCHAR) AS parent_name
+FROM part"""),
+    ("oem_structure", """
+SELECT structure_id, 'Taxonomy ' || structure_id AS name, 2 AS oem_id FROM (
+  SELECT DISTINCT 'd' || CAST(CAST(floor(p_size / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(p_size AS VARCHAR)
+         || '.0.0.0.0.0' AS structure_id FROM part
+  UNION ALL
+  SELECT DISTINCT 'd' || CAST(CAST(floor(p_size / 10) AS BIGINT) AS VARCHAR) || '.0.0.0.0.0.0' FROM part)"""),
+    ("oem_structure_products", """
+SELECT DISTINCT p_brand || '-' || CAST(p_size AS VARCHAR) AS product_number,
+       'd' || CAST(CAST(floor(p_size / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(p_size AS VARCHAR)
+         || '.0.0.0.0.0' AS structure_id,
+       CASE WHEN p_size % 10 = 0 THEN 1 ELSE 2 END AS oem_id
+FROM part"""),
+    ("pim_images", """
+SELECT l_partkey AS item_number, l_orderkey * 10 + l_linenumber AS image_id FROM lineitem WHERE l_linenumber <= 2"""),
+    ("pim_models", """
+SELECT DISTINCT p_brand || '-' || CAST(p_size AS VARCHAR) AS product_number,
+       'MDL' || CAST(l_suppkey AS VARCHAR) AS model_code
+FROM lineitem JOIN part ON l_partkey = p_partkey"""),
+    ("pim_searches", """
+SELECT l_partkey AS search_item_number, 'REF' || CAST(l_suppkey AS VARCHAR) AS part_number FROM lineitem"""),
+    ("item_logistics", """
+SELECT p_partkey AS item_number, 'Note ' || p_type AS cust_notes, p_size * 3 AS quantity_on_hand,
+       1 AS uom_quantity, CAST(p_size AS DECIMAL(10,1)) * 0.5 AS package_weight,
+       (['NO', 'NF', 'RF', 'AF'])[p_partkey % 4 + 1] AS condition_code
 FROM part"""),
+    ("item_attributes", """
+SELECT l_partkey AS item_number, l_linenumber AS attribute_id FROM lineitem WHERE l_returnflag = 'N'"""),
+    ("item_references", """
+SELECT p_partkey AS owner, p_partkey + s AS "to", s AS sequence, CASE WHEN s = 3 THEN 'X' ELSE 'C' END AS type
+FROM part CROSS JOIN (SELECT unnest([1, 2, 3]) AS s)"""),
     ("formulary", """
 SELECT l_orderkey AS document_id, l_partkey - l_partkey % 3 AS o_string FROM lineitem"""),
     ("pricing_rules", """

@@ -49,3 +49,11 @@ register("K11_backorder_trends")(lambda t: cp.backorder_trends(t, P.PERIOD_START
 register("K12_vendor_sales")(lambda t: cp.vendor_sales(t, P.SALES_VENDOR, P.PERIOD_START, P.PERIOD_END,
                                                         P.HOUSE_VENDOR))
 register("K13_vendor_contacts")(lambda t: cp.vendor_contacts(t))
+
+from scorecraft.plans import catalogue as cat  # noqa: E402
+
+TAXONOMY_GROUPS = [f"d{i}.0.0.0.0.0.0" for i in range(6)]
+
+register("K17_taxonomy")(lambda t: cat.taxonomy(t))
+register("K18_catalogue_sheet")(
+    lambda t: cat.catalogue_sheet(t, "parent_taxonomy", TAXONOMY_GROUPS, P.PERIOD_START, P.PERIOD_END))

@@ -394,22 +394,135 @@ def _items(w: Warehouse) -> DataFrame:
         F.when(k % 3 == 0, "O").otherwise("V").alias("item_type"),
         F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("product_number"),
         F.col("p_brand").alias("oem_name"),
+        F.col("p_size").alias("ps_structure_id"),
     )
 
 
+# Catalogue condition codes (same domain as line condition codes).
+CONDITIONS = ("NO", "NF", "RF", "AF")
+
+
+def _condition_of(key: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in CONDITIONS]), (key % 4 + 1).cast("int"))
+
+
 def _item_prices(w: Warehouse) -> DataFrame:
-    """PIM_ITEM_PRICES: vendor item -> its OEM item (first of its group of three)."""
+    """PIM_ITEM_PRICES: vendor item -> its OEM item (first of its group of three), prices."""
     p = w.base("part")
     k = F.col("p_partkey")
+    base = F.col("p_retailprice").cast("decimal(15,2)")
+
+    def pct(x: str) -> Column:
+        return base * F.lit(x).cast("decimal(3,2)")
+
     return p.select(
         k.alias("item_number"),
+        k.alias("search_item_number"),
         (k - k % 3).alias("oem_item_number"),
-        F.col("p_retailprice").cast("decimal(15,2)").alias("list_price"),
-        (F.col("p_retailprice").cast("decimal(15,2)") * F.lit(0.7).cast("decimal(2,1)")).alias("sell_price"),
+        F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("product_number"),
+        base.alias("list_price"),
+        pct("0.7").alias("sell_price"),
+        pct("1.0").alias("exchange_oem_price"),
+        pct("1.2").alias("outright_oem_price"),
+        pct("0.5").alias("exchange_cost"),
+        pct("0.6").alias("outright_cost"),
+        pct("0.7").alias("exchange_price"),
+        pct("0.8").alias("outright_price"),
+        F.when(F.col("p_size") % 3 == 0, F.lit(100)).otherwise(F.lit(0)).cast("decimal(15,2)").alias("cost_core_charge"),
+        F.lit("EA").alias("uom_code"),
+        _condition_of(k).alias("condition"),
         F.when(k % 2 == 0, "EX").otherwise("OR").alias("condition_code"),
+        F.lit("90 DAY").alias("cost_warranty_description"),
+        F.when(F.col("p_size") % 5 == 0, "N").otherwise("Y").alias("is_returnable"),
+        (F.col("p_size") % 10).alias("lead_time_days"),
+        F.col("p_type").alias("sub_type"),
+    )
+
+
+def _product_structure(w: Warehouse) -> DataFrame:
+    """PIM_PRODUCT_STRUCTURE: one structure per part size, grouped by tens."""
+    return (w.base("part").select(F.col("p_size").alias("structure_id")).distinct()
+            .select("structure_id",
+                    F.concat(F.lit("Structure "), F.col("structure_id").cast("string")).alias("name"),
+                    F.concat(F.lit("Group "), F.floor(F.col("structure_id") / 10).cast("string")).alias("parent_name")))
+
+
+def _tax_code(size: Column) -> Column:
+    return F.concat(F.lit("d"), F.floor(size / 10).cast("string"), F.lit("."), size.cast("string"),
+                    F.lit(".0.0.0.0.0"))
+
+
+def _oem_structure(w: Warehouse) -> DataFrame:
+    """OEM_STRUCTURE: taxonomy codes, one per size plus one per group of ten sizes."""
+    sizes = w.base("part").select(F.col("p_size").alias("s")).distinct()
+    child = sizes.select(_tax_code(F.col("s")).alias("structure_id"))
+    parent = sizes.select(F.concat(F.lit("d"), F.floor(F.col("s") / 10).cast("string"),
+                                   F.lit(".0.0.0.0.0.0")).alias("structure_id")).distinct()
+    return (child.unionByName(parent)
+            .select("structure_id", F.concat(F.lit("Taxonomy "), F.col("structure_id")).alias("name"),
+                    F.lit(2).alias("oem_id")))
+
+
+def _oem_structure_products(w: Warehouse) -> DataFrame:
+    """OEM_STRUCTURE_PRODUCTS: product number -> taxonomy code."""
+    p = w.base("part")
+    return p.select(
+        F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("product_number"),
+        _tax_code(F.col("p_size")).alias("structure_id"),
+        F.when(F.col("p_size") % 10 == 0, F.lit(1)).otherwise(F.lit(2)).alias("oem_id"),
+    ).distinct()
+
+
+def _pim_images(w: Warehouse) -> DataFrame:
+    l = w.base("lineitem")
+    return l.filter(F.col("l_linenumber") <= 2).select(F.col("l_partkey").alias("item_number"),
+                                                       line_key().alias("image_id"))
+
+
+def _pim_models(w: Warehouse) -> DataFrame:
+    """PIM_MODELS: models of a product, one per supplier that sold it."""
+    l = w.base("lineitem").select("l_partkey", "l_suppkey")
+    p = w.base("part").select("p_partkey", "p_brand", "p_size")
+    return (l.join(p, l.l_partkey == p.p_partkey, "inner")
+            .select(F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("product_number"),
+                    F.concat(F.lit("MDL"), F.col("l_suppkey").cast("string")).alias("model_code"))
+            .distinct())
+
+
+def _pim_searches(w: Warehouse) -> DataFrame:
+    """PIM_SEARCHES: part numbers searched for an item (with repeats)."""
+    l = w.base("lineitem")
+    return l.select(F.col("l_partkey").alias("search_item_number"),
+                    F.concat(F.lit("REF"), F.col("l_suppkey").cast("string")).alias("part_number"))
+
+
+def _item_logistics(w: Warehouse) -> DataFrame:
+    p = w.base("part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("item_number"),
+        F.concat(F.lit("Note "), F.col("p_type")).alias("cust_notes"),
+        (F.col("p_size") * 3).alias("quantity_on_hand"),
+        F.lit(1).alias("uom_quantity"),
+        (F.col("p_size").cast("decimal(10,1)") * F.lit(0.5).cast("decimal(2,1)")).alias("package_weight"),
+        _condition_of(k).alias("condition_code"),
     )
 
 
+def _item_attributes(w: Warehouse) -> DataFrame:
+    l = w.base("lineitem").filter(F.col("l_returnflag") == "N")
+    return l.select(F.col("l_partkey").alias("item_number"), F.col("l_linenumber").alias("attribute_id"))
+
+
+def _references(w: Warehouse) -> DataFrame:
+    """REFERENCES: 'also consider' links of an item (type C), sequences 1-3."""
+    p = w.base("part").select("p_partkey")
+    seq = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("sequence")
+    return (p.select("p_partkey", seq)
+            .select(F.col("p_partkey").alias("owner"), (F.col("p_partkey") + F.col("sequence")).alias("to"),
+                    "sequence", F.when(F.col("sequence") == 3, "X").otherwise("C").alias("type")))
+
+
 def _formulary(w: Warehouse) -> DataFrame:
     """RAVEN_FORMULARY_OSTRING_USAGE: each order is a formulary document naming OEM items."""
     l = w.base("lineitem")
@@ -483,6 +596,15 @@ ROLE_BUILDERS = {
     "pricing_rules": _pricing_rules,
     "calendar": _calendar,
     "oems": _oems,
+    "product_structure": _product_structure,
+    "oem_structure": _oem_structure,
+    "oem_structure_products": _oem_structure_products,
+    "pim_images": _pim_images,
+    "pim_models": _pim_models,
+    "pim_searches": _pim_searches,
+    "item_logistics": _item_logistics,
+    "item_attributes": _item_attributes,
+    "item_references": _references,
     "modalities": _modalities,
     "product_classes": _product_classes,
     "product_categories": _product_categories,
