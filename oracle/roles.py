@@ -239,6 +239,23 @@ SELECT DISTINCT CASE WHEN p_size <= 25 THEN 2 WHEN p_size > 45 THEN 3 ELSE 1 END
        CASE WHEN p_size <= 25 THEN 'Biomed' WHEN p_size > 45 THEN 'Stryker' ELSE 'Imaging' END
          AS product_category_description
 FROM part"""),
+    ("daily_actuals", """
+SELECT accounting_date, accounting_date AS transaction_date, segment, sub_segment, product_category_description,
+       actual_requests, actual_orders, actual_revenue, actual_margin,
+       actual_requests AS budget_requests, actual_orders AS budget_orders,
+       actual_revenue * (CASE WHEN product_category_description = 'Biomed' THEN 1.05
+                              WHEN product_category_description = 'Stryker' THEN 1.10 ELSE 0.95 END) AS budget_revenue,
+       actual_margin * (CASE WHEN product_category_description = 'Biomed' THEN 1.05
+                             WHEN product_category_description = 'Stryker' THEN 1.10 ELSE 0.95 END) AS budget_margin,
+       actual_requests AS forecast_requests, actual_orders AS forecast_orders,
+       actual_revenue * 0.98 AS forecast_revenue, actual_margin * 0.98 AS forecast_margin
+FROM (SELECT q.transaction_date AS accounting_date, c.segment, c.sub_segment, pc.product_category_description,
+             CAST(sum(q.requests) AS BIGINT) AS actual_requests, CAST(sum(q.orders) AS BIGINT) AS actual_orders,
+             CAST(sum(q.revenue) AS DECIMAL(28,4)) AS actual_revenue,
+             CAST(sum(q.margin) AS DECIMAL(28,6)) AS actual_margin
+      FROM txn q LEFT JOIN customers c ON c.company_id = q.customer_id
+      LEFT JOIN product_categories pc ON pc.product_category_id = q.product_category_id
+      GROUP BY 1, 2, 3, 4)"""),
     ("cal_days", """
 SELECT CAST(unnest(generate_series(CAST(date_trunc('year', lo) AS DATE),
                                    make_date(year(hi), 12, 31), INTERVAL 1 DAY)) AS DATE) AS date_key
@@ -266,6 +283,14 @@ FROM (
 ]
 
 
+ROLE_CTES.append(("budget_supplement", """
+SELECT 'Contingency' AS segment, 6 AS sort, m.month_end, budget_revenue, budget_margin,
+       CAST(0 AS DECIMAL(15,2)) AS revenue, CAST(0 AS DECIMAL(15,2)) AS margin, d.days
+FROM (SELECT last_day(transaction_date) AS month_end, CAST(sum(revenue) AS DECIMAL(28,4)) * 0.02 AS budget_revenue,
+             CAST(sum(margin) AS DECIMAL(28,6)) * 0.02 AS budget_margin FROM txn GROUP BY 1) m
+LEFT JOIN (SELECT month_end, CAST(sum(workday_ind) AS BIGINT) AS days FROM calendar GROUP BY 1) d ON d.month_end = m.month_end"""))
+
+
 def with_roles(sql: str, ctes: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``sql`` with the role CTEs plus optional query-specific CTEs."""
     parts = ROLE_CTES + list(ctes or [])

@@ -83,3 +83,13 @@ def row_count() -> Column:
 def exists_flag(col) -> Column:
     """1 when the outer-joined key is present."""
     return F.when(_c(col).isNotNull(), 1).otherwise(0)
+
+
+def stable(x, scale: int = 6) -> Column:
+    """Fix a double to ``scale`` decimals through a decimal cast.
+
+    Sums of doubles depend on the order partitions are combined in; casting
+    through ``decimal(38, scale)`` makes a report value reproducible across
+    partitionings (and equal to the SQL oracle) without changing its meaning.
+    """
+    return _c(x).cast(f"decimal(38,{scale})").cast("double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import band
 from scorecraft.functions.scalar import fixed_width, to_day
-from scorecraft.functions.semantics import chop_last, in_list, ne_keep_missing, ratio
+from scorecraft.functions.semantics import chop_last, in_list, ne_keep_missing, ratio, stable
 from scorecraft.operators.filters import has_text, period_pred
 from scorecraft.operators.joins import full_merge, only_in, slots
 from scorecraft.operators.windows import first_per_key
@@ -187,7 +187,7 @@ def compliance_totals(t: Warehouse, start, end) -> DataFrame:
         F.sum("number_of_smart_po").cast("bigint").alias("number_of_smart_po"),
         ratio(F.sum("number_of_smart_po"), orders).alias("smart_po_pct"),
         yshare("smart_label_enabled").alias("smart_label_enabled_pct"),
-        F.round(ratio(F.sum(F.col("smart_label_pct") * F.col("orders")), orders), 9).alias("smart_label_pct"),
+        stable(ratio(F.sum(F.col("smart_label_pct") * F.col("orders")), orders), 12).alias("smart_label_pct"),
         yshare("terms").alias("terms_pct"),
     )
 

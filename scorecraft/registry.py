@@ -57,3 +57,16 @@ TAXONOMY_GROUPS = [f"d{i}.0.0.0.0.0.0" for i in range(6)]
 register("K17_taxonomy")(lambda t: cat.taxonomy(t))
 register("K18_catalogue_sheet")(
     lambda t: cat.catalogue_sheet(t, "parent_taxonomy", TAXONOMY_GROUPS, P.PERIOD_START, P.PERIOD_END))
+
+import datetime as _dt  # noqa: E402
+
+from scorecraft.plans import dashboard as dash  # noqa: E402
+
+K20_START, K20_END = _dt.date(1995, 1, 1), _dt.date(2001, 12, 31)
+
+register("K19_daily_budget")(lambda t: dash.daily_budget(t, P.ASOF))
+register("J3_budget_status")(lambda t: dash.daily_budget_status(t, P.ASOF))
+register("K20_large_transactions")(lambda t: dash.large_transactions(t, K20_START, K20_END, P.LARGE_THRESHOLD))
+register("K21_summary_statistics")(lambda t: dash.summary_statistics(t, P.ASOF))
+register("K22_daily_by_category")(lambda t: dash.daily_by_category(t, P.ASOF))
+register("K23_monthly_trend")(lambda t: dash.monthly_trend(t, P.ASOF))

@@ -568,6 +568,56 @@ def _product_categories(w: Warehouse) -> DataFrame:
             .withColumn("product_category_description", desc))
 
 
+# Budget factor by product category description (others 0.95).
+BUDGET_FACTORS = {"Biomed": "1.05", "Stryker": "1.10"}
+OTHER_BUDGET_FACTOR = "0.95"
+FORECAST_FACTOR = "0.98"
+SUPPLEMENT_SHARE = "0.02"
+
+
+def _daily_actuals(w: Warehouse) -> DataFrame:
+    """DAILY_BUDGET_FORECAST_AND_ACTUAL: fact by day x segment x sub-segment x category."""
+    q = w.role("txn")
+    c = w.role("customers").select(F.col("company_id").alias("customer_id"), "segment", "sub_segment")
+    pc = F.broadcast(w.role("product_categories"))  # bounded code table
+    g = (q.join(c, "customer_id", "left").join(pc, "product_category_id", "left")
+         .groupBy(F.col("transaction_date").alias("accounting_date"), "segment", "sub_segment",
+                  "product_category_description")
+         .agg(F.sum("requests").cast("bigint").alias("actual_requests"),
+              F.sum("orders").cast("bigint").alias("actual_orders"),
+              # bounded precision keeps products with the budget factors exact
+              F.sum("revenue").cast("decimal(28,4)").alias("actual_revenue"),
+              F.sum("margin").cast("decimal(28,6)").alias("actual_margin")))
+    factor = F.lit(OTHER_BUDGET_FACTOR).cast("decimal(3,2)")
+    for k, v in BUDGET_FACTORS.items():
+        factor = F.when(F.col("product_category_description") == k, F.lit(v).cast("decimal(3,2)")).otherwise(factor)
+    fc = F.lit(FORECAST_FACTOR).cast("decimal(3,2)")
+    return g.select(
+        "accounting_date", F.col("accounting_date").alias("transaction_date"), "segment", "sub_segment",
+        "product_category_description", "actual_requests", "actual_orders", "actual_revenue", "actual_margin",
+        F.col("actual_requests").alias("budget_requests"), F.col("actual_orders").alias("budget_orders"),
+        (F.col("actual_revenue") * factor).alias("budget_revenue"),
+        (F.col("actual_margin") * factor).alias("budget_margin"),
+        F.col("actual_requests").alias("forecast_requests"), F.col("actual_orders").alias("forecast_orders"),
+        (F.col("actual_revenue") * fc).alias("forecast_revenue"),
+        (F.col("actual_margin") * fc).alias("forecast_margin"),
+    )
+
+
+def _budget_supplement(w: Warehouse) -> DataFrame:
+    """BUDGET_IMPORT supplement: a 'Contingency' budget per month, spread over its workdays."""
+    q = w.role("txn")
+    share = F.lit(SUPPLEMENT_SHARE).cast("decimal(3,2)")
+    m = q.groupBy(F.last_day("transaction_date").alias("month_end")).agg(
+        (F.sum("revenue").cast("decimal(28,4)") * share).alias("budget_revenue"),
+        (F.sum("margin").cast("decimal(28,6)") * share).alias("budget_margin"))
+    days = F.broadcast(w.role("calendar").groupBy("month_end").agg(F.sum("workday_ind").alias("days")))
+    return m.join(days, "month_end", "left").select(
+        F.lit("Contingency").alias("segment"), F.lit(6).alias("sort"), "month_end", "budget_revenue",
+        "budget_margin", F.lit(0).cast("decimal(15,2)").alias("revenue"),
+        F.lit(0).cast("decimal(15,2)").alias("margin"), "days")
+
+
 def _calendar(w: Warehouse) -> DataFrame:
     return build_calendar(w.base("orders"), w.base("lineitem"))
 
@@ -595,6 +645,8 @@ ROLE_BUILDERS = {
     "formulary": _formulary,
     "pricing_rules": _pricing_rules,
     "calendar": _calendar,
+    "daily_actuals": _daily_actuals,
+    "budget_supplement": _budget_supplement,
     "oems": _oems,
     "product_structure": _product_structure,
     "oem_structure": _oem_structure,
