@@ -60,7 +60,8 @@ FROM line_rows JOIN part ON l_partkey = p_partkey"""),
     ("line_status", """
 SELECT line_item_id, o_orderdate AS first_ordered_timestamp,
        CASE WHEN l_linenumber = 5 THEN NULL
-            ELSE o_orderdate + to_hours(CAST(l_linenumber * 3 AS BIGINT)) END AS first_closed_timestamp
+            ELSE o_orderdate + to_hours(CAST(l_linenumber * 3 AS BIGINT)) END AS first_closed_timestamp,
+       CASE WHEN l_discount >= 0.08 THEN o_orderdate + INTERVAL 1 DAY END AS first_backordered_timestamp
 FROM line_rows JOIN orders ON l_orderkey = o_orderkey"""),
     ("tracking", """
 SELECT line_item_id, 1 AS shipment_leg_id,
@@ -104,7 +105,52 @@ SELECT l_orderkey * 10 + l_linenumber AS line_item_id, l_suppkey AS vendor_id,
        CAST(CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN 0.01
                  ELSE CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_tax AS DECIMAL(4,2)) * 10)
             END AS DECIMAL(17,3)) AS exchange_cost,
-       l_returnflag AS condition_code, l_partkey AS part_number_id, l_partkey AS item_id
+       l_returnflag AS condition_code, l_partkey AS part_number_id, l_partkey AS item_id,
+       'R-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS research_id,
+       CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS inv_item_cost_id,
+       CASE WHEN l_partkey % 5 = 0 THEN 'PIM' || CAST(l_partkey AS VARCHAR) END AS rs_item_number,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'P' || CAST(l_partkey AS VARCHAR) || 'X' END
+         AS replacement_part_number_stripped,
+       l_linenumber % 4 AS condition_id, l_linenumber % 3 AS warranty_id,
+       CAST(l_extendedprice AS DECIMAL(15,2)) AS outright_price,
+       CAST(l_extendedprice AS DECIMAL(15,2)) * 0.75 AS exchange_price,
+       CASE WHEN l_linenumber = 7 THEN 7 END AS contract_pro_id
+FROM lineitem"""),
+    ("line_items", """
+SELECT line_item_id AS id_no, p_name AS part_number, upper(replace(p_name, ' ', '')) AS part_number_stripped,
+       p_size % 2 AS photo_shown, p_type AS description,
+       CAST((l_partkey + l_linenumber) % 27 + 1 AS INTEGER) AS status_id,
+       'R-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS vendor_research_id,
+       CAST(l_orderkey % 5 + 1 AS INTEGER) AS order_type_id,
+       CASE WHEN l_returnflag = 'R' THEN 'Y' ELSE 'N' END AS return_required,
+       CAST(l_quantity AS INTEGER) AS quantity, l_linenumber % 2 AS return_quantity,
+       o_orderdate AS created_timestamp, l_partkey % 150 AS created_user_id,
+       CASE WHEN l_discount >= 0.08 THEN CAST(l_shipdate AS DATE) END AS backorder_ship_date,
+       CASE WHEN l_linenumber % 2 = 1 THEN 'Y' ELSE 'N' END AS had_smartpriced_research,
+       l_linenumber % 3 AS urgency_id
+FROM line_rows JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""),
+    ("confirmations", """
+SELECT l_orderkey * 10 + l_linenumber AS line_item_id, l_shipdate AS created_timestamp,
+       l_partkey % 150 AS confirmed_by_id, 'conf ' || CAST(l_suppkey AS VARCHAR) AS confirmation_notes
+FROM lineitem"""),
+    ("invoices", """
+SELECT l_orderkey * 10 + l_linenumber AS line_item_id, 'INV' || CAST(l_orderkey AS VARCHAR) AS invoice_number,
+       l_linenumber - 1 AS line_number
+FROM lineitem"""),
+    ("received_parts", """
+SELECT l_orderkey * 10 + l_linenumber AS line_item_id, l_suppkey AS received_by_contact_id,
+       CAST(l_shipdate AS DATE) + 3 AS date_received
+FROM lineitem WHERE l_returnflag = 'N'"""),
+    ("admin_actions", """
+SELECT l_orderkey * 10 + l_linenumber AS line_item_id, l_linenumber % 5 AS action_type_id FROM lineitem"""),
+    ("condition_codes", """
+SELECT DISTINCT l_linenumber % 4 AS condition_id, (['NO', 'NF', 'RF', 'AF'])[l_linenumber % 4 + 1] AS condition_code
+FROM lineitem"""),
+    ("warranty_codes", """
+SELECT DISTINCT l_linenumber % 3 AS warranty_id, (['30 DAY', '90 DAY', '1 YEAR'])[l_linenumber % 3 + 1] AS description
+FROM lineitem"""),
+    ("urgency_codes", """
+SELECT DISTINCT l_linenumber % 3 AS urgency_id, (['LOW', 'MED', 'HIGH'])[l_linenumber % 3 + 1] AS urgency_code
 FROM lineitem"""),
     ("vendors", """
 SELECT s_suppkey AS company_id, s_name AS company_name,

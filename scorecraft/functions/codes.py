@@ -95,20 +95,26 @@ STATUS_SET_B = (1, 2, 3, 4, 5, 9, 10, 12, 26)
 
 def classify_sourcing(status: Column, rtype: Column, min_type: Column, max_type: Column,
                       system_user: Column) -> dict[str, Column]:
-    """Status x research type -> sourcing flags (nested CASE, ANSI nulls)."""
+    """Status x research type -> sourcing flags (nested CASE, ANSI nulls).
+
+    Set A statuses use the chosen quote's type; set B statuses use the
+    min / max type over all quotes of the line; other statuses give missing
+    (the alternative flag gives 0).
+    """
     in_a = status.isin(*STATUS_SET_A)
     in_b = status.isin(*STATUS_SET_B)
     both_23 = min_type.isin(2, 3) & max_type.isin(2, 3)
     price_selected = (F.when(in_a, F.when(rtype.isin(2, 3), 1).otherwise(0))
                       .when(in_b, F.when(both_23, 1).otherwise(0)))
-    sourced = (F.when(in_a, F.when(rtype == 4, 1).otherwise(0))
+    sourced = (F.when(in_a, F.when(rtype.isin(4), 1).otherwise(0))
                .when(in_b, F.when((min_type == 1) & (max_type == 1), 0)
-                     .when(max_type == 4, 1)
-                     .when((min_type == 1) & max_type.isin(2, 3), 1)
+                     .when(max_type.isin(4), 1)
+                     .when(min_type.isin(1) & max_type.isin(2, 3), 1)
                      .when(system_user & ~both_23, 1)
                      .otherwise(0)))
-    alternative = (F.when(in_a, F.when(rtype == 1, 1).otherwise(0))
-                   .when(in_b, F.when(max_type > 1, 1).otherwise(0)))
+    alternative = (F.when(in_a, F.when(rtype == 1, F.when(max_type == 1, 0).when(max_type > 1, 1))
+                          .otherwise(0))
+                   .otherwise(0))
     manual = (F.when(in_a, F.when(rtype == 1, 1).otherwise(0))
               .when(in_b, F.when((min_type == 1) & (max_type == 1), 1).otherwise(0)))
     return {"smart_price_selected": price_selected, "smart_sourced": sourced,

@@ -70,3 +70,7 @@ register("K20_large_transactions")(lambda t: dash.large_transactions(t, K20_STAR
 register("K21_summary_statistics")(lambda t: dash.summary_statistics(t, P.ASOF))
 register("K22_daily_by_category")(lambda t: dash.daily_by_category(t, P.ASOF))
 register("K23_monthly_trend")(lambda t: dash.monthly_trend(t, P.ASOF))
+
+from scorecraft.plans import line_items as li  # noqa: E402
+
+register("K24_line_item_details")(lambda t: li.line_item_details(t, P.PERIOD_START))

@@ -166,13 +166,15 @@ def _line_detail(w: Warehouse) -> DataFrame:
 
 def _line_status(w: Warehouse) -> DataFrame:
     """LINE_ITEM_STATUS_SUMMARY: ordered = order date, closed = +3h per line number."""
-    r = w.role("line_rows").select("line_item_id", "l_orderkey", "l_linenumber")
+    r = w.role("line_rows").select("line_item_id", "l_orderkey", "l_linenumber", "l_discount")
     o = w.base("orders").select("o_orderkey", "o_orderdate")
     closed = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber") * 3)
     return r.join(o, r.l_orderkey == o.o_orderkey, "inner").select(
         "line_item_id",
         F.col("o_orderdate").alias("first_ordered_timestamp"),
         F.when(F.col("l_linenumber") == 5, F.lit(None)).otherwise(closed).alias("first_closed_timestamp"),
+        F.when(F.col("l_discount") >= 0.08, F.col("o_orderdate") + F.make_dt_interval(F.lit(1)))
+        .alias("first_backordered_timestamp"),
     )
 
 
@@ -268,9 +270,100 @@ def _research(w: Warehouse) -> DataFrame:
         F.col("l_returnflag").alias("condition_code"),
         F.col("l_partkey").alias("part_number_id"),
         F.col("l_partkey").alias("item_id"),
+        _research_key().alias("research_id"),
+        F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey")).alias("inv_item_cost_id"),
+        F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("PIM"), F.col("l_partkey").cast("string"))).alias("rs_item_number"),
+        F.when(ln % 2 == 0, F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("X")))
+        .alias("replacement_part_number_stripped"),
+        (ln % 4).alias("condition_id"),
+        (ln % 3).alias("warranty_id"),
+        price.alias("outright_price"),
+        (price * F.lit(0.75).cast("decimal(3,2)")).alias("exchange_price"),
+        F.when(ln == 7, F.lit(7)).alias("contract_pro_id"),
     )
 
 
+def _research_key() -> Column:
+    return F.concat_ws("-", F.lit("R"), *[F.col(c).cast("string") for c in
+                                          ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+
+def _line_items(w: Warehouse) -> DataFrame:
+    """SLS_LINE_ITEMS: operational line rows; the chosen quote is the line's first row."""
+    r = w.role("line_rows")
+    o = w.base("orders").select("o_orderkey", "o_orderdate")
+    p = w.base("part").select("p_partkey", "p_name", "p_type", "p_size")
+    ln = F.col("l_linenumber")
+    return (r.join(o, r.l_orderkey == o.o_orderkey, "inner").join(p, r.l_partkey == p.p_partkey, "inner")
+            .select(
+                F.col("line_item_id").alias("id_no"),
+                F.col("p_name").alias("part_number"),
+                F.upper(F.regexp_replace("p_name", " ", "")).alias("part_number_stripped"),
+                (F.col("p_size") % 2).alias("photo_shown"),
+                F.col("p_type").alias("description"),
+                ((F.col("l_partkey") + ln) % 27 + 1).cast("int").alias("status_id"),
+                _research_key().alias("vendor_research_id"),
+                (F.col("l_orderkey") % 5 + 1).cast("int").alias("order_type_id"),
+                F.when(F.col("l_returnflag") == "R", "Y").otherwise("N").alias("return_required"),
+                F.col("l_quantity").cast("int").alias("quantity"),
+                (ln % 2).alias("return_quantity"),
+                F.col("o_orderdate").alias("created_timestamp"),
+                (F.col("l_partkey") % 150).alias("created_user_id"),
+                F.when(F.col("l_discount") >= 0.08, F.col("l_shipdate").cast("date")).alias("backorder_ship_date"),
+                F.when(ln % 2 == 1, "Y").otherwise("N").alias("had_smartpriced_research"),
+                (ln % 3).alias("urgency_id"),
+            ))
+
+
+def _confirmations(w: Warehouse) -> DataFrame:
+    l = w.base("lineitem")
+    return l.select(line_key().alias("line_item_id"), F.col("l_shipdate").alias("created_timestamp"),
+                    (F.col("l_partkey") % 150).alias("confirmed_by_id"),
+                    F.concat(F.lit("conf "), F.col("l_suppkey").cast("string")).alias("confirmation_notes"))
+
+
+def _invoices(w: Warehouse) -> DataFrame:
+    l = w.base("lineitem")
+    return l.select(line_key().alias("line_item_id"),
+                    F.concat(F.lit("INV"), F.col("l_orderkey").cast("string")).alias("invoice_number"),
+                    (F.col("l_linenumber") - 1).alias("line_number"))
+
+
+def _received_parts(w: Warehouse) -> DataFrame:
+    l = w.base("lineitem").filter(F.col("l_returnflag") == "N")
+    return l.select(line_key().alias("line_item_id"), F.col("l_suppkey").alias("received_by_contact_id"),
+                    F.date_add(F.col("l_shipdate").cast("date"), 3).alias("date_received"))
+
+
+def _admin_actions(w: Warehouse) -> DataFrame:
+    l = w.base("lineitem")
+    return l.select(line_key().alias("line_item_id"), (F.col("l_linenumber") % 5).alias("action_type_id"))
+
+
+# Small code tables of the line-item load.
+CONDITION_CODES = ("NO", "NF", "RF", "AF")
+WARRANTY_CODES = ("30 DAY", "90 DAY", "1 YEAR")
+URGENCY_CODES = ("LOW", "MED", "HIGH")
+
+
+def _code_table(w: Warehouse, key: str, labels, label_col: str, modulo: int) -> DataFrame:
+    ids = w.base("lineitem").select((F.col("l_linenumber") % modulo).alias(key)).distinct()
+    return ids.select(key, F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col(key) + 1).cast("int"))
+                      .alias(label_col))
+
+
+def _condition_codes(w: Warehouse) -> DataFrame:
+    return _code_table(w, "condition_id", CONDITION_CODES, "condition_code", 4)
+
+
+def _warranty_codes(w: Warehouse) -> DataFrame:
+    return _code_table(w, "warranty_id", WARRANTY_CODES, "description", 3)
+
+
+def _urgency_codes(w: Warehouse) -> DataFrame:
+    return _code_table(w, "urgency_id", URGENCY_CODES, "urgency_code", 3)
+
+
 # ---------------------------------------------------------------------------
 # Dimension roles
 # ---------------------------------------------------------------------------
@@ -646,6 +739,14 @@ ROLE_BUILDERS = {
     "pricing_rules": _pricing_rules,
     "calendar": _calendar,
     "daily_actuals": _daily_actuals,
+    "line_items": _line_items,
+    "confirmations": _confirmations,
+    "invoices": _invoices,
+    "received_parts": _received_parts,
+    "admin_actions": _admin_actions,
+    "condition_codes": _condition_codes,
+    "warranty_codes": _warranty_codes,
+    "urgency_codes": _urgency_codes,
     "budget_supplement": _budget_supplement,
     "oems": _oems,
     "product_structure": _product_structure,
