@@ -74,3 +74,21 @@ register("K23_monthly_trend")(lambda t: dash.monthly_trend(t, P.ASOF))
 from scorecraft.plans import line_items as li  # noqa: E402
 
 register("K24_line_item_details")(lambda t: li.line_item_details(t, P.PERIOD_START))
+
+from scorecraft.plans import primitives as pr  # noqa: E402
+
+for _name, _fn in [
+    ("A1_named_scan", pr.a1_named_scan), ("A2_source_query", pr.a2_source_query),
+    ("A4_full_refresh", pr.a4_full_refresh), ("A5_report", pr.a5_report), ("A7_split_by", pr.a7_split_by),
+    ("B1_derive", pr.b1_derive), ("B2_keep", pr.b2_keep), ("B3_derive_star", pr.b3_derive_star),
+    ("B4_in_period", pr.b4_in_period), ("B5_since", pr.b5_since), ("B6_not_in", pr.b6_not_in),
+    ("B7_ne", pr.b7_ne), ("B8_missing_lowest", pr.b8_missing_lowest), ("B9_present", pr.b9_present),
+    ("B10_large_only", pr.b10_large_only), ("B11_active_only", pr.b11_active_only),
+    ("B12_by_filter", pr.b12_by_filter), ("B13_has_text", pr.b13_has_text), ("B14_having", pr.b14_having),
+    ("B15_distinct", pr.b15_distinct), ("B16_distinct_wide", pr.b16_distinct_wide), ("B17_tag", pr.b17_tag),
+    ("B18_scalar", pr.b18_scalar), ("B19_classify", pr.b19_classify), ("B20_map_codes", pr.b20_map_codes),
+    ("B21_transit_days", pr.b21_transit_days), ("B22_band", pr.b22_band), ("B23_exists_flag", pr.b23_exists_flag),
+    ("B24_first_present", pr.b24_first_present), ("B25_effective_cost", pr.b25_effective_cost),
+    ("B26_txn_type", pr.b26_txn_type), ("B27_segment", pr.b27_segment),
+]:
+    register(_name)(_fn)
