@@ -108,3 +108,91 @@ FROM (SELECT line_item_id, transaction_date, sum(orders) AS orders, sum(returns)
 GROUP BY 1""")
 q("B27_segment", f"""
 SELECT {Q.SEG_LABEL} AS segment, {Q.SEG_SORT} AS segment_sort, count(*) AS customers FROM customers GROUP BY 1, 2""")
+
+# --- 2.C --------------------------------------------------------------------
+q("C1_inner", """
+SELECT l.vendor_id, count(*) AS returns FROM returns r JOIN line_detail l ON l.line_item_id = r.line_item_id
+GROUP BY 1""")
+q("C2_left", """
+SELECT v.company_id AS vendor_id, v.company_name, coalesce(r.quotes, 0) AS quotes
+FROM vendors v LEFT JOIN (SELECT vendor_id, count(*) AS quotes FROM research GROUP BY 1) r
+  ON r.vendor_id = v.company_id""")
+q("C3_star", """
+SELECT v.company_type_code, pc.product_category_description, m.modality_code,
+       CAST(sum(q.orders) AS BIGINT) AS orders, CAST(sum(q.revenue) AS DOUBLE) AS revenue
+FROM txn q
+LEFT JOIN vendors v ON v.company_id = q.vendor_id
+LEFT JOIN customers c ON c.company_id = q.customer_id
+LEFT JOIN oems o ON o.company_id = q.oem_id
+LEFT JOIN modalities m ON m.modality_id = q.modality_id
+LEFT JOIN product_classes pcl ON pcl.class_id = q.class_id
+JOIN product_categories pc ON pc.product_category_id = q.product_category_id
+GROUP BY 1, 2, 3""")
+q("C4_wide_star", """
+SELECT condition_code, warranty_description, urgency_code, count(*) AS lines FROM k24out GROUP BY 1, 2, 3""",
+  Q.K24_CTES + [("k24out", Q.K24_MAIN)])
+q("C5_full_merge", """
+SELECT coalesce(v.vendor_id, r.vendor_id) AS vendor_id, v.has_orders, r.has_research
+FROM (SELECT vendor_id, 1 AS has_orders FROM k8vend) v
+FULL JOIN (SELECT vendor_id, 1 AS has_research FROM k8vr) r ON r.vendor_id = v.vendor_id""", Q.K8_CTES)
+q("C6_left_where", """
+SELECT q.vendor_id, CAST(sum(CASE WHEN t.tracking_number IS NOT NULL THEN q.orders ELSE 0 END) AS BIGINT)
+         AS tracking_provided
+FROM txn q LEFT JOIN tracking t ON t.line_item_id = q.line_item_id AND t.shipment_leg_id = 1
+GROUP BY 1""")
+q("C7_join_on_expr", """
+SELECT c.month_end, count(*) AS returns FROM returns r
+LEFT JOIN calendar c ON c.date_key = CAST(r.created_timestamp AS DATE) GROUP BY 1""")
+q("C8_self_match", """
+SELECT a.vendor_id, count(*) AS pairs FROM txn a JOIN txn b
+  ON a.vendor_id = b.vendor_id AND a.line_item_id = b.line_item_id
+GROUP BY 1""")
+q("C9_role_join", """
+SELECT ls.line_item_id, clo.workday_ind AS closed_workday, ord.workday_ind AS ordered_workday,
+       del.workday_ind AS delivered_workday
+FROM line_status ls
+LEFT JOIN (SELECT line_item_id, date_delivered FROM tracking WHERE shipment_leg_id = 1) t
+  ON t.line_item_id = ls.line_item_id
+LEFT JOIN calendar clo ON clo.date_key = CAST(ls.first_closed_timestamp AS DATE)
+LEFT JOIN calendar ord ON ord.date_key = CAST(ls.first_ordered_timestamp AS DATE)
+LEFT JOIN calendar del ON del.date_key = CAST(t.date_delivered AS DATE)""")
+q("C10_with_parent", """
+SELECT p.product_number, p.structure_id, t.parent_structure_id, t.parent_name
+FROM oem_structure_products p LEFT JOIN k17tax t ON t.structure_id = p.structure_id
+WHERE p.oem_id = 2""", Q.K17_CTES)
+q("C11_workdays_between", """
+SELECT line_item_id, own_vendor AS vendor_id, ctime, delivered, clo_del_days FROM k5r2""", Q.K5_CTES)
+q("C12_slots", """
+SELECT k.vendor_id, a1.settings AS priority_1, a2.settings AS priority_2, a3.settings AS priority_3,
+       a4.settings AS priority_4, a5.settings AS priority_5
+FROM (SELECT DISTINCT vendor_id FROM auto_order) k
+LEFT JOIN auto_order a1 ON a1.vendor_id = k.vendor_id AND a1.ship_priority_id = 1
+LEFT JOIN auto_order a2 ON a2.vendor_id = k.vendor_id AND a2.ship_priority_id = 2
+LEFT JOIN auto_order a3 ON a3.vendor_id = k.vendor_id AND a3.ship_priority_id = 3
+LEFT JOIN auto_order a4 ON a4.vendor_id = k.vendor_id AND a4.ship_priority_id = 4
+LEFT JOIN auto_order a5 ON a5.vendor_id = k.vendor_id AND a5.ship_priority_id = 5""")
+q("C13_keep_extreme", "SELECT * FROM update_time", Q.K24_CTES)
+q("C14_only_in", """
+SELECT b.vendor_id, count(*) AS rows FROM k11bo b
+WHERE EXISTS (SELECT 1 FROM k11vs v WHERE v.vendor_id IS NOT DISTINCT FROM b.vendor_id)
+GROUP BY 1""", Q.K11_CTES)
+q("C15_prior_year", """
+SELECT a.year, a.month, CAST(a.revenue AS DOUBLE) AS revenue, CAST(b.revenue AS DOUBLE) AS py_revenue
+FROM c15m a LEFT JOIN c15m b ON a.year = b.year + 1 AND a.month = b.month""",
+  [("c15m", "SELECT year(transaction_date) AS year, month(transaction_date) AS month, sum(revenue) AS revenue "
+            "FROM txn GROUP BY 1, 2")])
+q("C16_lookup_agg", """
+SELECT me.month_end,
+  (SELECT max(workday_nbr_mtd) FROM calendar c WHERE c.date_key = me.month_end) AS workdays,
+  (SELECT max(workday_nbr_ytd) FROM calendar c WHERE c.date_key = me.month_end) AS workdays_ytd,
+  (SELECT max(workday_nbr_mtd) FROM calendar c
+    WHERE year(c.date_key) = year(me.month_end) - 1 AND month(c.date_key) = month(me.month_end)) AS workdays_py_mtd,
+  (SELECT max(workday_nbr_mtd) FROM calendar c
+    WHERE year(c.date_key) = year(me.month_end) AND month(c.date_key) = month(me.month_end)) AS workdays_cy_mtd
+FROM (SELECT DISTINCT month_end FROM calendar) me""")
+q("C17_filter_before_join", "SELECT * FROM k8vr", Q.K8_CTES)
+q("C18_join_ns", """
+SELECT d.description AS best_description, CAST(sum(b.requests) AS BIGINT) AS requests
+FROM k11bo b LEFT JOIN k11desc d
+  ON d.vendor_id IS NOT DISTINCT FROM b.vendor_id AND d.clean_part IS NOT DISTINCT FROM b.clean_part
+GROUP BY 1""", Q.K11_CTES)

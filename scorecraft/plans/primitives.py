@@ -256,3 +256,160 @@ def b27_segment(t: Warehouse) -> DataFrame:
     label, sort = codes.segment_label(F.col("segment"), F.col("sub_segment"))
     return t.customers.groupBy(label.alias("segment"), sort.alias("segment_sort")).agg(
         F.count(F.lit(1)).alias("customers"))
+
+
+# ---------------------------------------------------------------------------
+# 2.C joins
+# ---------------------------------------------------------------------------
+
+def c1_inner(t: Warehouse) -> DataFrame:
+    """Inner equi-join (returns x line details), returns per vendor."""
+    j = jn.inner(t.returns.select("line_item_id", "rga_number"), t.line_detail.select("line_item_id", "vendor_id"),
+                 "line_item_id")
+    return j.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("returns"))
+
+
+def c2_left(t: Warehouse) -> DataFrame:
+    """Left join keeps vendors without research (count 0)."""
+    r = t.research.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("quotes"))
+    v = t.vendors.select(F.col("company_id").alias("vendor_id"), "company_name")
+    return jn.left(v, r, "vendor_id").select("vendor_id", "company_name",
+                                             F.coalesce("quotes", F.lit(0).cast("bigint")).alias("quotes"))
+
+
+def c3_star(t: Warehouse) -> DataFrame:
+    """Fact + dimensions (vendors, customers, OEMs, modalities, classes, categories)."""
+    q = t.txn
+    dims = [
+        (t.vendors.select(F.col("company_id").alias("vendor_id"), "company_type_code"), "vendor_id", "left"),
+        (t.customers.select(F.col("company_id").alias("customer_id"), "lvl1_company_name"), "customer_id", "left"),
+        (t.oems.select(F.col("company_id").alias("oem_id"), F.col("company_name").alias("oem_name")), "oem_id", "left"),
+        (jn.bounded(t.modalities), "modality_id", "left"),
+        (t.product_classes, "class_id", "left"),
+        (jn.bounded(t.product_categories), "product_category_id", "inner"),
+    ]
+    j = jn.star(q, dims)
+    return j.groupBy("company_type_code", "product_category_description", "modality_code").agg(
+        F.sum("orders").cast("bigint").alias("orders"), F.sum("revenue").cast("double").alias("revenue"))
+
+
+def c4_wide_star(t: Warehouse) -> DataFrame:
+    """C4: the wide line-item star (K24), lines per condition and warranty."""
+    df = line_items.line_item_details(t, P.PERIOD_START)
+    return df.groupBy("condition_code", "warranty_description", "urgency_code").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def c5_full_merge(t: Warehouse) -> DataFrame:
+    """Full outer join of the order and research sides with one coalesced key."""
+    v = compliance._vend_orders(t, P.PERIOD_START, P.PERIOD_END).select("vendor_id", F.lit(1).alias("has_orders"))
+    r = compliance._vend_research(t, P.PERIOD_START, P.PERIOD_END).select("vendor_id", F.lit(1).alias("has_research"))
+    return jn.full_merge(v, r, "vendor_id")
+
+
+def c6_left_where(t: Warehouse) -> DataFrame:
+    """Outer join with a filter inside ON (leg-1 tracking), tracked orders per vendor."""
+    j = jn.left_where(t.txn.select("line_item_id", "vendor_id", "orders"), t.tracking, "line_item_id",
+                      F.col("shipment_leg_id") == 1)
+    return j.groupBy("vendor_id").agg(
+        F.sum(F.when(F.col("tracking_number").isNotNull(), F.col("orders")).otherwise(0)).cast("bigint")
+        .alias("tracking_provided"))
+
+
+def c7_join_on_expr(t: Warehouse) -> DataFrame:
+    """Join on a computed key (date part of the return timestamp)."""
+    j = jn.join_on_expr(t.returns, jn.bounded(t.calendar.select("date_key", "month_end")),
+                        scalar.to_day(F.col("created_timestamp")), F.col("date_key"), "left")
+    return j.groupBy("month_end").agg(F.count(F.lit(1)).alias("returns"))
+
+
+def c8_self_match(t: Warehouse) -> DataFrame:
+    """Fact self-join on vendor + line, counted without emitting pairs (sum of m^2)."""
+    m = t.txn.groupBy("vendor_id", "line_item_id").agg(F.count(F.lit(1)).alias("m"))
+    return m.groupBy("vendor_id").agg(F.sum(F.col("m") * F.col("m")).cast("bigint").alias("pairs"))
+
+
+def c9_role_join(t: Warehouse) -> DataFrame:
+    """Calendar joined three times (closed, ordered, delivered) per line."""
+    ls = t.line_status.select("line_item_id", scalar.to_day(F.col("first_closed_timestamp")).alias("closed"),
+                              scalar.to_day(F.col("first_ordered_timestamp")).alias("ordered"))
+    trk = t.tracking.filter(F.col("shipment_leg_id") == 1).select(
+        "line_item_id", scalar.to_day(F.col("date_delivered")).alias("delivered"))
+    df = ls.join(trk, "line_item_id", "left")
+    cal = jn.bounded(t.calendar)
+    out = jn.role_join(df, cal, {"clo": "closed", "ord": "ordered", "del": "delivered"}, "date_key", ["workday_ind"])
+    return out.select("line_item_id", F.col("clo_workday_ind").alias("closed_workday"),
+                      F.col("ord_workday_ind").alias("ordered_workday"),
+                      F.col("del_workday_ind").alias("delivered_workday"))
+
+
+def c10_with_parent(t: Warehouse) -> DataFrame:
+    """Product -> taxonomy code -> parent code and parent name."""
+    tax = catalogue.taxonomy(t)
+    p = t.oem_structure_products.filter(F.col("oem_id") == 2)
+    return p.join(tax, "structure_id", "left").select("product_number", "structure_id", "parent_structure_id",
+                                                      "parent_name")
+
+
+def c11_workdays_between(t: Warehouse) -> DataFrame:
+    """C11: business days from close to delivery per on-time line (prefix sums, no range join)."""
+    b = scorecard.on_time_lines(t, P.PERIOD_START)
+    return b.select("line_item_id", "vendor_id", "ctime", "delivered", "clo_del_days")
+
+
+def c12_slots(t: Warehouse) -> DataFrame:
+    """Five priority settings per company as slot columns (one pivot, one join)."""
+    keys = t.auto_order.select("vendor_id").distinct()
+    return jn.slots(keys, t.auto_order, key="vendor_id", rank="ship_priority_id", value="settings", k=5,
+                    prefix="priority_")
+
+
+def c13_keep_extreme(t: Warehouse) -> DataFrame:
+    """Latest confirmation per line, ties kept."""
+    return line_items.latest_confirmation(t)
+
+
+def c14_only_in(t: Warehouse) -> DataFrame:
+    """C14: semi-join to a filtered summary (only vendors with backorders)."""
+    b = compliance.backorder_base(t, P.PERIOD_START, P.PERIOD_END)
+    vs = compliance.backorder_vendor_summary(t, P.PERIOD_START, P.PERIOD_END).select("vendor_id")
+    return jn.only_in(b, vs, ["vendor_id"]).groupBy("vendor_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def c15_prior_year(t: Warehouse) -> DataFrame:
+    """Monthly revenue next to the same month one year earlier."""
+    m = t.txn.groupBy(F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month")).agg(
+        F.sum("revenue").alias("revenue"))
+    prior = m.withColumnRenamed("revenue", "py_revenue")
+    out = jn.join_prior_year(m, prior, "year", ["month"], "left")
+    return out.select("year", "month", F.col("revenue").cast("double").alias("revenue"),
+                      F.col("py_revenue").cast("double").alias("py_revenue"))
+
+
+def c16_lookup_agg(t: Warehouse) -> DataFrame:
+    """Four calendar look-ups per month end (aggregate + left join, no correlated subquery)."""
+    cal = t.calendar
+    months = cal.select("month_end").distinct()
+    at = cal.select(F.col("date_key").alias("month_end"), F.col("workday_nbr_mtd").alias("workdays"),
+                    F.col("workday_nbr_ytd").alias("workdays_ytd"))
+    per_month = cal.groupBy("year", "month").agg(F.max("workday_nbr_mtd").alias("w"))
+    cy = per_month.withColumnRenamed("w", "workdays_cy_mtd")
+    py = per_month.withColumn("year", F.col("year") + 1).withColumnRenamed("w", "workdays_py_mtd")
+    out = (months.join(at, "month_end", "left")
+           .withColumn("year", F.year("month_end")).withColumn("month", F.month("month_end"))
+           .join(cy, ["year", "month"], "left").join(py, ["year", "month"], "left"))
+    return out.select("month_end", "workdays", "workdays_ytd", "workdays_py_mtd", "workdays_cy_mtd")
+
+
+def c17_filter_before_join(t: Warehouse) -> DataFrame:
+    """C17: derived table filtered inside (research in period) before its joins."""
+    return compliance._vend_research(t, P.PERIOD_START, P.PERIOD_END)
+
+
+def c18_join_ns(t: Warehouse) -> DataFrame:
+    """Missing-matches-missing join of backorder rows to per-part descriptions."""
+    b = compliance.backorder_base(t, P.PERIOD_START, P.PERIOD_END)
+    d = win.first_per_key(b.select("vendor_id", "clean_part", "ordered_date", "line_item_id", "description"),
+                          ["vendor_id", "clean_part"], ["ordered_date", "line_item_id", "description"]) \
+        .select("vendor_id", "clean_part", F.col("description").alias("best_description"))
+    j = jn.join_ns(b.select("vendor_id", "clean_part", "requests"), d, ["vendor_id", "clean_part"], "left")
+    return j.groupBy("best_description").agg(F.sum("requests").cast("bigint").alias("requests"))

@@ -92,3 +92,15 @@ for _name, _fn in [
     ("B26_txn_type", pr.b26_txn_type), ("B27_segment", pr.b27_segment),
 ]:
     register(_name)(_fn)
+
+for _name, _fn in [
+    ("C1_inner", pr.c1_inner), ("C2_left", pr.c2_left), ("C3_star", pr.c3_star), ("C4_wide_star", pr.c4_wide_star),
+    ("C5_full_merge", pr.c5_full_merge), ("C6_left_where", pr.c6_left_where),
+    ("C7_join_on_expr", pr.c7_join_on_expr), ("C8_self_match", pr.c8_self_match),
+    ("C9_role_join", pr.c9_role_join), ("C10_with_parent", pr.c10_with_parent),
+    ("C11_workdays_between", pr.c11_workdays_between), ("C12_slots", pr.c12_slots),
+    ("C13_keep_extreme", pr.c13_keep_extreme), ("C14_only_in", pr.c14_only_in),
+    ("C15_prior_year", pr.c15_prior_year), ("C16_lookup_agg", pr.c16_lookup_agg),
+    ("C17_filter_before_join", pr.c17_filter_before_join), ("C18_join_ns", pr.c18_join_ns),
+]:
+    register(_name)(_fn)
