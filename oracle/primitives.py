@@ -196,3 +196,106 @@ SELECT d.description AS best_description, CAST(sum(b.requests) AS BIGINT) AS req
 FROM k11bo b LEFT JOIN k11desc d
   ON d.vendor_id IS NOT DISTINCT FROM b.vendor_id AND d.clean_part IS NOT DISTINCT FROM b.clean_part
 GROUP BY 1""", Q.K11_CTES)
+
+# --- 2.D --------------------------------------------------------------------
+q("D1_sum_by", """
+SELECT vendor_id, last_day(transaction_date) AS month_end, CAST(sum(requests) AS BIGINT) AS requests,
+       CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(quantity) AS BIGINT) AS quantity,
+       CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(margin) AS DOUBLE) AS margin
+FROM txn GROUP BY 1, 2""")
+q("D2_sum_if", """
+SELECT q.vendor_id,
+       CAST(sum(CASE WHEN l.smart_order_conf = 1 THEN q.orders ELSE 0 END) AS BIGINT) AS smart_conf_total,
+       CAST(sum(CASE WHEN l.smart_order_po = 1 THEN q.orders ELSE 0 END) AS BIGINT) AS smart_po_total,
+       CAST(sum(CASE WHEN q.product_category_id = 2 THEN q.orders END) AS BIGINT) AS biomed_orders
+FROM txn q JOIN line_detail l ON l.line_item_id = q.line_item_id GROUP BY 1""")
+q("D3_weighted_sum", """
+SELECT q.vendor_id, CAST(sum(l.smart_price_selected * q.requests) AS BIGINT) AS smart_priced_requests,
+       CAST(sum(l.smart_sourced * q.requests) AS BIGINT) AS smart_sourced_requests,
+       CAST(sum(l.photo_shown * q.requests) AS BIGINT) AS photo_requests
+FROM txn q JOIN line_detail l ON l.line_item_id = q.line_item_id GROUP BY 1""")
+q("D4_count_if", """
+SELECT vendor_id, count(CASE WHEN result_code IN ('HP', 'EHP') THEN line_item_id END) AS has_part,
+       count(CASE WHEN outright_cost IS NOT NULL THEN outright_cost END) AS priced
+FROM research GROUP BY 1""")
+q("D5_distinct_count", "SELECT * FROM k8map", Q.K8_CTES)
+q("D6_row_count", "SELECT item_number, count(*) AS photos FROM pim_images GROUP BY 1")
+q("D7_extremes", """
+SELECT vendor_id, min(transaction_date) AS first_date, max(transaction_date) AS last_date FROM txn GROUP BY 1""")
+q("D8_any_flag", "SELECT * FROM research_ids", Q.K24_CTES)
+q("D9_sum_over_mean", """
+SELECT c.month_end, CAST(sum(q.revenue) AS DOUBLE) / nullif(avg(CAST(c.workday_nbr_mtd AS DOUBLE)), 0)
+         AS revenue_per_mean_workday
+FROM txn q JOIN calendar c ON c.date_key = q.transaction_date GROUP BY 1""")
+q("D10_ratio", """
+SELECT vendor_id, CAST(sum(margin) AS DOUBLE) / nullif(CAST(sum(revenue) AS DOUBLE), 0) AS margin_pct
+FROM txn GROUP BY 1""")
+q("D11_flag_share", """
+SELECT tier_code,
+       CAST(sum(CASE WHEN smart_order_enabled = 'Y' THEN 1 END) AS DOUBLE)
+         / nullif(CAST(count(smart_order_enabled) AS DOUBLE), 0) AS smart_order_share,
+       CAST(sum(CASE WHEN payment_term_code = 'NET30' THEN 1 END) AS DOUBLE)
+         / nullif(CAST(count(payment_term_code) AS DOUBLE), 0) AS net30_share
+FROM vendors GROUP BY 1""")
+q("D12_wavg", """
+SELECT vendor_type, CAST(CAST(sum(smart_label_pct * orders) / nullif(CAST(sum(orders) AS DOUBLE), 0)
+                              AS DECIMAL(38,12)) AS DOUBLE) AS smart_label_pct
+FROM k8comb GROUP BY 1""", Q.K8_CTES)
+q("D13_grand_total", """
+SELECT CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(orders) AS BIGINT) AS orders,
+       CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(margin) AS DOUBLE) AS margin,
+       CAST(sum(margin) AS DOUBLE) / nullif(CAST(sum(revenue) AS DOUBLE), 0) AS margin_pct
+FROM txn""")
+q("D14_with_total", f"""
+SELECT {Q.SEG_LABEL} AS segment, {Q.SEG_SORT} AS segment_sort,
+       CAST(sum(actual_revenue) AS DOUBLE) AS actual_revenue, CAST(sum(budget_revenue) AS DOUBLE) AS budget_revenue
+FROM daily_actuals GROUP BY 1, 2
+UNION ALL
+SELECT 'Estimated Total', 99, CAST(sum(actual_revenue) AS DOUBLE), CAST(sum(budget_revenue) AS DOUBLE)
+FROM daily_actuals""")
+_d15 = []
+for seg, where in [("Total", ""),
+                   ("Biomed", "WHERE product_category_description IN ('Biomed', 'Stryker')"),
+                   ("Imaging", "WHERE product_category_description IS NULL "
+                               "OR product_category_description NOT IN ('Biomed', 'Stryker')")]:
+    ar, br = "CAST(sum(actual_revenue) AS DOUBLE)", "CAST(sum(budget_revenue) AS DOUBLE)"
+    am, bm = "CAST(sum(actual_margin) AS DOUBLE)", "CAST(sum(budget_margin) AS DOUBLE)"
+    _d15.append(f"SELECT '{seg}' AS customer_segment, 'Revenue' AS metric, {ar} AS actual, {br} AS budget, "
+                f"({ar} - {br}) / nullif({br}, 0) AS var_pct FROM daily_actuals {where}")
+    _d15.append(f"SELECT '{seg}', 'Margin', {am}, {bm}, ({am} - {bm}) / nullif({bm}, 0) FROM daily_actuals {where}")
+    _d15.append(f"SELECT '{seg}', 'GM %', {am} / nullif({ar}, 0), {bm} / nullif({br}, 0), CAST(NULL AS DOUBLE) "
+                f"FROM daily_actuals {where}")
+q("D15_metric_grid", "\nUNION ALL\n".join(_d15))
+q("D16_best_day", """
+SELECT month_end, CAST(sum(orders) AS BIGINT) AS orders, CAST(max(orders) AS BIGINT) AS best_orders,
+       CAST(sum(margin) AS DOUBLE) AS margin, CAST(max(margin) AS DOUBLE) AS best_margin
+FROM (SELECT last_day(transaction_date) AS month_end, transaction_date, sum(orders) AS orders,
+             sum(margin) AS margin FROM txn GROUP BY 1, 2)
+GROUP BY 1""")
+q("D17_period_to_date", "SELECT segment, product_category_description, "
+  + ", ".join(f"CAST({p}_{k}_{m} AS DOUBLE) AS {p}_{k}_{m}" for p in ("cy_mtd", "cy_ytd", "py_mtd", "py_ytd")
+              for k in ("actual", "budget") for m in ("revenue", "margin"))
+  + " FROM k21bfa", Q.K21_CTES[:1])
+q("D18_per_workday", """
+SELECT m.month_end, c.workdays, CAST(m.revenue AS DOUBLE) / nullif(CAST(c.workdays AS DOUBLE), 0)
+         AS revenue_per_workday
+FROM (SELECT last_day(transaction_date) AS month_end, sum(revenue) AS revenue FROM txn GROUP BY 1) m
+LEFT JOIN (SELECT month_end, CAST(sum(workday_ind) AS BIGINT) AS workdays FROM calendar GROUP BY 1) c
+  ON c.month_end = m.month_end""")
+q("D19_remerge", """
+SELECT r.vendor_id, r.line_item_id, r.rga_number, CAST(r.rev AS DOUBLE) AS rev, g.rtn_count,
+       CAST(g.group_rev AS DOUBLE) AS group_rev
+FROM d19rows r
+JOIN (SELECT vendor_id, line_item_id, rga_number, count(line_item_id) AS rtn_count, sum(rev) AS group_rev
+      FROM d19rows GROUP BY ALL) g
+  ON g.vendor_id IS NOT DISTINCT FROM r.vendor_id AND g.line_item_id = r.line_item_id
+ AND g.rga_number = r.rga_number""",
+  [("d19rows", """
+SELECT q.vendor_id, r.line_item_id, r.rga_number, r.quantity * q.price AS rev
+FROM returns r LEFT JOIN txn q ON q.line_item_id = r.line_item_id AND q.orders = 1
+WHERE r.rga_type_id IN (2, 4) AND r.active = 'Y'""")])
+q("D20_group_by_exprs", """
+SELECT year(transaction_date) AS year, quarter(transaction_date) AS quarter,
+       CASE WHEN product_category_id = 2 THEN 'Biomed' ELSE 'Imaging' END AS product_type,
+       CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(revenue) AS DOUBLE) AS revenue
+FROM txn GROUP BY 1, 2, 3""")

@@ -413,3 +413,180 @@ def c18_join_ns(t: Warehouse) -> DataFrame:
         .select("vendor_id", "clean_part", F.col("description").alias("best_description"))
     j = jn.join_ns(b.select("vendor_id", "clean_part", "requests"), d, ["vendor_id", "clean_part"], "left")
     return j.groupBy("best_description").agg(F.sum("requests").cast("bigint").alias("requests"))
+
+
+# ---------------------------------------------------------------------------
+# 2.D aggregations
+# ---------------------------------------------------------------------------
+
+def _monthly(t: Warehouse) -> DataFrame:
+    return t.txn.withColumn("month_end", F.last_day("transaction_date"))
+
+
+def d1_sum_by(t: Warehouse) -> DataFrame:
+    """Grouped sums of several measures (vendor x month)."""
+    return agg.sum_by(_monthly(t), ["vendor_id", "month_end"], {
+        "requests": F.sum("requests").cast("bigint"), "orders": F.sum("orders").cast("bigint"),
+        "quantity": F.sum("quantity").cast("bigint"), "revenue": agg.dsum("revenue"), "margin": agg.dsum("margin")})
+
+
+def d2_sum_if(t: Warehouse) -> DataFrame:
+    """Conditional sums (smart orders) per vendor."""
+    j = t.txn.join(t.line_detail.select("line_item_id", "smart_order_conf", "smart_order_po"), "line_item_id")
+    return j.groupBy("vendor_id").agg(
+        agg.sum_if(F.col("smart_order_conf") == 1, "orders").cast("bigint").alias("smart_conf_total"),
+        agg.sum_if(F.col("smart_order_po") == 1, "orders").cast("bigint").alias("smart_po_total"),
+        agg.sum_when(F.col("product_category_id") == 2, "orders").cast("bigint").alias("biomed_orders"))
+
+
+def d3_weighted_sum(t: Warehouse) -> DataFrame:
+    """D3: flag-weighted sums (sum(flag * requests)) per vendor."""
+    j = t.txn.join(t.line_detail.select("line_item_id", "smart_price_selected", "smart_sourced", "photo_shown"),
+                   "line_item_id")
+    return j.groupBy("vendor_id").agg(
+        agg.weighted_sum("smart_price_selected", "requests").cast("bigint").alias("smart_priced_requests"),
+        agg.weighted_sum("smart_sourced", "requests").cast("bigint").alias("smart_sourced_requests"),
+        agg.weighted_sum("photo_shown", "requests").cast("bigint").alias("photo_requests"))
+
+
+def d4_count_if(t: Warehouse) -> DataFrame:
+    """Conditional count of non-missing values per vendor."""
+    r = t.research
+    return r.groupBy("vendor_id").agg(
+        agg.count_if(in_list(F.col("result_code"), ("HP", "EHP")), "line_item_id").alias("has_part"),
+        agg.count_if(F.col("outright_cost").isNotNull(), "outright_cost").alias("priced"))
+
+
+def d5_distinct_count(t: Warehouse) -> DataFrame:
+    """Four exact distinct counts per vendor."""
+    return compliance._vend_map(t)
+
+
+def d6_row_count(t: Warehouse) -> DataFrame:
+    """Row count per item (photos)."""
+    return t.pim_images.groupBy("item_number").agg(agg.row_count().alias("photos"))
+
+
+def d7_extremes(t: Warehouse) -> DataFrame:
+    """First and last transaction date per vendor."""
+    return t.txn.groupBy("vendor_id").agg(F.min("transaction_date").alias("first_date"),
+                                          F.max("transaction_date").alias("last_date"))
+
+
+def d8_any_flag(t: Warehouse) -> DataFrame:
+    """Min / max type and any-flags per line."""
+    return line_items.research_ids(t)
+
+
+def d9_sum_over_mean(t: Warehouse) -> DataFrame:
+    """Monthly revenue divided by the mean selling-day count of its rows."""
+    cal = jn.bounded(t.calendar.select("date_key", "month_end", "workday_nbr_mtd"))
+    j = t.txn.join(cal, t.txn.transaction_date == cal.date_key, "inner")
+    return j.groupBy("month_end").agg(
+        F.try_divide(F.sum("revenue").cast("double"), F.avg(F.col("workday_nbr_mtd").cast("double")))
+        .alias("revenue_per_mean_workday"))
+
+
+def d10_ratio(t: Warehouse) -> DataFrame:
+    """Margin % as a ratio of sums per vendor (missing on zero revenue)."""
+    return t.txn.groupBy("vendor_id").agg(agg.ratio_of_sums(F.sum("margin"), F.sum("revenue")).alias("margin_pct"))
+
+
+def d11_flag_share(t: Warehouse) -> DataFrame:
+    """Share of Y among non-missing flags, per vendor tier."""
+    return t.vendors.groupBy("tier_code").agg(agg.flag_share("smart_order_enabled").alias("smart_order_share"),
+                                              agg.flag_share("payment_term_code", "NET30").alias("net30_share"))
+
+
+def d12_wavg(t: Warehouse) -> DataFrame:
+    """Order-weighted label share per vendor type (over the compliance table)."""
+    df = compliance.vendor_compliance(t, P.PERIOD_START, P.PERIOD_END)
+    return df.groupBy("vendor_type").agg(stable(agg.wavg("smart_label_pct", "orders"), 12).alias("smart_label_pct"))
+
+
+def d13_grand_total(t: Warehouse) -> DataFrame:
+    """One-row grand total of the fact."""
+    return agg.grand_total(t.txn, {"requests": F.sum("requests").cast("bigint"),
+                                   "orders": F.sum("orders").cast("bigint"),
+                                   "revenue": agg.dsum("revenue"), "margin": agg.dsum("margin"),
+                                   "margin_pct": ratio(F.sum("margin"), F.sum("revenue"))})
+
+
+def d14_with_total(t: Warehouse) -> DataFrame:
+    """Segment sums plus an 'Estimated Total' row sorted 99 (one rollup)."""
+    label, sort = codes.segment_label(F.col("segment"), F.col("sub_segment"))
+    d = t.daily_actuals.select(label.alias("segment"), sort.alias("segment_sort"), "actual_revenue", "budget_revenue")
+    out = agg.with_total(d, ["segment", "segment_sort"],
+                         {"actual_revenue": F.sum("actual_revenue"), "budget_revenue": F.sum("budget_revenue")},
+                         "segment", "Estimated Total", "segment_sort", 99)
+    return out.select("segment", "segment_sort", F.col("actual_revenue").cast("double").alias("actual_revenue"),
+                      F.col("budget_revenue").cast("double").alias("budget_revenue"))
+
+
+def d15_metric_grid(t: Warehouse) -> DataFrame:
+    """Overlapping segments (Total, Biomed, Imaging) x metrics over all days, one scan."""
+    d = t.daily_actuals
+    seg = F.explode(F.array(F.lit("Total"), F.when(in_list(F.col("product_category_description"),
+                                                           ("Biomed", "Stryker")), "Biomed").otherwise("Imaging")))
+    g = d.select("*", seg.alias("customer_segment")).groupBy("customer_segment").agg(
+        *[F.sum(c).cast("double").alias(c) for c in ("actual_revenue", "budget_revenue", "actual_margin",
+                                                     "budget_margin")])
+    c = F.col
+    wide = g.select(
+        "customer_segment",
+        c("actual_revenue").alias("r_a"), c("budget_revenue").alias("r_b"),
+        F.try_divide(c("actual_revenue") - c("budget_revenue"), c("budget_revenue")).alias("r_p"),
+        c("actual_margin").alias("m_a"), c("budget_margin").alias("m_b"),
+        F.try_divide(c("actual_margin") - c("budget_margin"), c("budget_margin")).alias("m_p"),
+        F.try_divide(c("actual_margin"), c("actual_revenue")).alias("g_a"),
+        F.try_divide(c("budget_margin"), c("budget_revenue")).alias("g_b"),
+        F.lit(None).cast("double").alias("g_p"))
+    return wide.select("customer_segment", F.expr(
+        "stack(3, 'Revenue', r_a, r_b, r_p, 'Margin', m_a, m_b, m_p, 'GM %', g_a, g_b, g_p) "
+        "AS (metric, actual, budget, var_pct)"))
+
+
+def d16_best_day(t: Warehouse) -> DataFrame:
+    """Daily sums re-aggregated to months with the best (max) day, whole history."""
+    daily = t.txn.groupBy(F.last_day("transaction_date").alias("month_end"), "transaction_date").agg(
+        F.sum("orders").alias("orders"), F.sum("margin").alias("margin"))
+    out = agg.best_day(daily, ["month_end"], ["orders", "margin"])
+    return out.select("month_end", F.col("orders").cast("bigint").alias("orders"),
+                      F.col("best_orders").cast("bigint").alias("best_orders"),
+                      F.col("margin").cast("double").alias("margin"),
+                      F.col("best_margin").cast("double").alias("best_margin"))
+
+
+def d17_period_to_date(t: Warehouse) -> DataFrame:
+    """Current / prior year, month / year to date, in one pass (as of the report date)."""
+    bfa = dashboard.budget_forecast_actual(t, P.ASOF)
+    return bfa.select("segment", "product_category_description",
+                      *[F.col(c).cast("double").alias(c) for c in bfa.columns if c.startswith(("cy_", "py_"))])
+
+
+def d18_per_workday(t: Warehouse) -> DataFrame:
+    """Month revenue per workday of the month."""
+    cal = t.calendar.groupBy("month_end").agg(F.sum("workday_ind").alias("workdays"))
+    m = t.txn.groupBy(F.last_day("transaction_date").alias("month_end")).agg(F.sum("revenue").alias("revenue"))
+    j = m.join(jn.bounded(cal), "month_end", "left")
+    return j.select("month_end", "workdays", ratio(F.col("revenue"), F.col("workdays")).alias("revenue_per_workday"))
+
+
+def d19_remerge(t: Warehouse) -> DataFrame:
+    """Remerge - every return row keeps its group count and group revenue (one window)."""
+    r = t.returns.filter(F.col("rga_type_id").isin(2, 4) & (F.col("active") == "Y"))
+    q = t.txn.filter(F.col("orders") == 1).select(F.col("line_item_id").alias("q_line"), "vendor_id", "price")
+    rows = r.join(q, r.line_item_id == q.q_line, "left").select(
+        "vendor_id", "line_item_id", "rga_number", (F.col("quantity") * F.col("price")).alias("rev"))
+    out = agg.remerge(rows, ["vendor_id", "line_item_id", "rga_number"],
+                      {"rtn_count": F.count("line_item_id"), "group_rev": F.sum("rev")})
+    return out.select("vendor_id", "line_item_id", "rga_number", F.col("rev").cast("double").alias("rev"),
+                      "rtn_count", F.col("group_rev").cast("double").alias("group_rev"))
+
+
+def d20_group_by_exprs(t: Warehouse) -> DataFrame:
+    """Grouping by computed expressions (year, quarter, category label)."""
+    cat = F.when(F.col("product_category_id") == 2, "Biomed").otherwise("Imaging")
+    return agg.sum_by(t.txn, [F.year("transaction_date").alias("year"), F.quarter("transaction_date").alias("quarter"),
+                              cat.alias("product_type")],
+                      {"orders": F.sum("orders").cast("bigint"), "revenue": agg.dsum("revenue")})

@@ -104,3 +104,15 @@ for _name, _fn in [
     ("C17_filter_before_join", pr.c17_filter_before_join), ("C18_join_ns", pr.c18_join_ns),
 ]:
     register(_name)(_fn)
+
+for _name, _fn in [
+    ("D1_sum_by", pr.d1_sum_by), ("D2_sum_if", pr.d2_sum_if), ("D3_weighted_sum", pr.d3_weighted_sum),
+    ("D4_count_if", pr.d4_count_if), ("D5_distinct_count", pr.d5_distinct_count), ("D6_row_count", pr.d6_row_count),
+    ("D7_extremes", pr.d7_extremes), ("D8_any_flag", pr.d8_any_flag), ("D9_sum_over_mean", pr.d9_sum_over_mean),
+    ("D10_ratio", pr.d10_ratio), ("D11_flag_share", pr.d11_flag_share), ("D12_wavg", pr.d12_wavg),
+    ("D13_grand_total", pr.d13_grand_total), ("D14_with_total", pr.d14_with_total),
+    ("D15_metric_grid", pr.d15_metric_grid), ("D16_best_day", pr.d16_best_day),
+    ("D17_period_to_date", pr.d17_period_to_date), ("D18_per_workday", pr.d18_per_workday),
+    ("D19_remerge", pr.d19_remerge), ("D20_group_by_exprs", pr.d20_group_by_exprs),
+]:
+    register(_name)(_fn)
