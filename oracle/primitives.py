@@ -299,3 +299,123 @@ SELECT year(transaction_date) AS year, quarter(transaction_date) AS quarter,
        CASE WHEN product_category_id = 2 THEN 'Biomed' ELSE 'Imaging' END AS product_type,
        CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(revenue) AS DOUBLE) AS revenue
 FROM txn GROUP BY 1, 2, 3""")
+
+# --- 2.E / 2.F / 2.G ----------------------------------------------------------
+q("E1_first_per_key", "SELECT * FROM rps", Q.K24_CTES)
+q("E2_rank_in_group", "SELECT item_number, model_code, rank FROM k18mr", Q.K18_CTES)
+q("E3_first_of_group", "SELECT * FROM k11desc", Q.K11_CTES)
+q("E4_latest_ties", """
+SELECT r.line_item_id, r.rga_number, r.created_timestamp FROM returns r
+JOIN (SELECT line_item_id, max(created_timestamp) AS m FROM returns GROUP BY 1) x
+  ON x.line_item_id = r.line_item_id AND x.m = r.created_timestamp""")
+q("E5_top_slots", "SELECT p.search_item_number, "
+  + ", ".join(f"r{i}.part_number AS reference_{i}" for i in range(1, 11))
+  + ", CASE WHEN r11.part_number IS NOT NULL THEN 'Y' ELSE 'N' END AS more_references\n"
+  + "FROM (SELECT DISTINCT search_item_number FROM pim_searches) p\n"
+  + "\n".join(f"LEFT JOIN k18rr r{i} ON r{i}.search_item_number = p.search_item_number AND r{i}.rank = {i}"
+              for i in range(1, 12)), Q.K18_CTES)
+q("E6_workday_numbers", "SELECT date_key, workday_nbr_mtd, workday_nbr_ytd FROM calendar")
+q("F1_sort_by", """
+SELECT vendor_id, clean_part, ordered_date, line_item_id FROM k11bo
+ORDER BY vendor_id NULLS FIRST, clean_part, ordered_date, line_item_id""", Q.K11_CTES)
+q("F2_sort_desc", """
+SELECT vendor_id, vendor, CAST(spend AS DOUBLE) AS spend FROM k8comb ORDER BY spend DESC NULLS LAST, vendor_id""",
+  Q.K8_CTES)
+q("F3_sort_before_by", "SELECT search_item_number, part_number, rank FROM k18rr", Q.K18_CTES)
+q("F4_display_order", """
+SELECT segment, segment_sort, actual_revenue_year FROM k19out ORDER BY segment_sort, segment""",
+  Q.K19_CTES + [("k19out", Q.K19_MAIN)])
+q("G1_stack_rows", f"""
+SELECT 'actuals' AS source, year(transaction_date) AS year, CAST(sum(budget_revenue) AS DOUBLE) AS budget_revenue
+FROM daily_actuals GROUP BY 2
+UNION ALL
+SELECT 'supplement', year(c.date_key), {Q.stable('sum(CAST(b.budget_revenue AS DOUBLE) / b.days * c.workday_ind)')}
+FROM calendar c JOIN budget_supplement b ON b.month_end = c.month_end GROUP BY 2""")
+q("G2_detail_and_total", """
+SELECT product_category_id, CAST(sum(revenue) AS DOUBLE) AS revenue FROM txn GROUP BY 1
+UNION ALL
+SELECT 99, CAST(sum(revenue) AS DOUBLE) FROM txn""")
+ORACLE["G3_metric_rows"] = ORACLE["K21_summary_statistics"]
+
+# --- 2.H --------------------------------------------------------------------
+q("H1_to_day", "SELECT line_item_id, CAST(first_closed_timestamp AS DATE) AS closed_date FROM line_status")
+q("H2_seconds_of_day", """
+SELECT line_item_id, hour(first_closed_timestamp) * 3600 + minute(first_closed_timestamp) * 60
+       + second(first_closed_timestamp) AS closed_seconds FROM line_status""")
+q("H3_year_month", """
+SELECT year(transaction_date) AS year, month(transaction_date) AS month, count(*) AS rows FROM txn GROUP BY 1, 2""")
+q("H4_period_start", """
+SELECT date_key, CAST(date_trunc('month', date_key) AS DATE) AS month_start,
+       CAST(date_trunc('year', date_key) AS DATE) AS year_start FROM calendar""")
+q("H5_month_end", "SELECT line_item_id, vendor_id, item_id, last_day(transaction_date) AS month_end FROM txn")
+q("H6_trend_start", """
+SELECT month_end, CAST(date_trunc('month', month_end) - INTERVAL 12 MONTH AS DATE) AS trend_start
+FROM (SELECT DISTINCT month_end FROM calendar)""")
+q("H7_default_asof", """
+SELECT vendor_id, count(*) AS rows FROM txn WHERE transaction_date <= current_date - 1 GROUP BY 1""")
+q("H8_is_workday", """
+SELECT dow, CAST(sum(CASE WHEN dow BETWEEN 2 AND 6 AND NOT ps_hol_ind = 1 THEN 1 ELSE 0 END) AS BIGINT) AS workdays,
+       count(*) AS days
+FROM calendar GROUP BY 1""")
+q("H9_week_start", """
+SELECT CAST(date_trunc('week', transaction_date) AS DATE) AS week_start, count(*) AS rows FROM txn GROUP BY 1""")
+q("H10_coalesce", "SELECT company_id, coalesce(relationship_manager, 'Unassigned') AS manager FROM vendors")
+q("H11_norm_text", """
+SELECT company_id, upper(ltrim(segment)) AS segment_norm, upper(ltrim(sub_segment)) AS sub_segment_norm
+FROM customers""")
+q("H12_chop_last", """
+SELECT line_item_id, nullif(left(rtrim(replacement_part_number_stripped),
+                                 greatest(length(rtrim(replacement_part_number_stripped)) - 1, 0)), '') AS chopped
+FROM line_detail""")
+q("H13_parent_code", """
+SELECT structure_id, split_part(structure_id, '.', 1) || '.0.0.0.0.0.0' AS parent_structure_id FROM oem_structure""")
+q("H14_fixed_width", "SELECT company_id, substr(company_name, 1, 10) AS name10 FROM vendors")
+q("H15_to_number", """
+SELECT requestor_id, TRY_CAST(last_name AS DOUBLE) AS last_name_number,
+       TRY_CAST(position_description AS DOUBLE) AS position_number
+FROM contacts""")
+q("H16_to_int", "SELECT id_no, CAST(trunc(quantity + return_quantity) AS INTEGER) AS requested_quantity FROM line_items")
+q("H17_arithmetic", """
+SELECT line_item_id, vendor_id, item_id, CAST(outright_cost - exchange_cost AS DOUBLE) AS cost_gap,
+       CAST(exchange_cost AS DOUBLE) / nullif(CAST(outright_cost AS DOUBLE), 0) AS exchange_share
+FROM research""")
+q("H18_position", "SELECT company_id, coalesce(strpos(payment_term_code, 'NET'), NULL) AS net_position FROM vendors")
+
+# --- 2.I / 2.J ----------------------------------------------------------------
+ORACLE["I1_transpose"] = ORACLE["K23_monthly_trend"]
+q("I3_spread_budget", """
+SELECT c.date_key, CAST(b.budget_revenue AS DOUBLE) / b.days * c.workday_ind AS budget_revenue_day
+FROM calendar c JOIN budget_supplement b ON b.month_end = c.month_end""")
+q("I4_spread_prior_year", "SELECT date_key, product_type, "
+  + ", ".join(f"{Q.stable(c)} AS {c}" for c in Q.K22_PY) + " FROM k22pyc", Q.K22_CTES)
+q("J1_fmt", """
+SELECT vendor_id, '$' || format('{:,.2f}', CAST(CAST(revenue AS DECIMAL(38,2)) AS DOUBLE)) AS revenue_text,
+       format('{:,.0f}', CAST(CAST(orders AS DECIMAL(38,0)) AS DOUBLE)) AS orders_text,
+       format('{:,.1f}', CAST(CAST(CAST(margin_pct AS DECIMAL(10,6)) * 100 AS DECIMAL(38,1)) AS DOUBLE)) || '%'
+         AS margin_pct_text,
+       strftime(last_date, '%m/%d/%Y') AS last_date_text
+FROM (SELECT vendor_id, CAST(sum(revenue) AS DECIMAL(20,2)) AS revenue, sum(orders) AS orders,
+             max(transaction_date) AS last_date,
+             CAST(sum(margin) AS DOUBLE) / nullif(CAST(sum(revenue) AS DOUBLE), 0) AS margin_pct
+      FROM txn GROUP BY 1)""")
+q("J2_fmt_signed", """
+SELECT date_key, product_type,
+       CASE WHEN CAST(rev_variance AS DECIMAL(20,0)) < 0
+            THEN '($' || format('{:,.0f}', CAST(CAST(abs(CAST(rev_variance AS DECIMAL(20,0))) AS DECIMAL(38,0)) AS DOUBLE)) || ')'
+            ELSE '$' || format('{:,.0f}', CAST(CAST(abs(CAST(rev_variance AS DECIMAL(20,0))) AS DECIMAL(38,0)) AS DOUBLE))
+       END AS rev_variance_text,
+       coalesce(rev_variance < 0, false) AS is_negative
+FROM k22out""", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
+q("J4_daily_ratios", """
+SELECT date_key, product_type, actual_close_rate, actual_sales_po, actual_gm_po, actual_gm_percent,
+       budget_gm_percent, gm_percent_variance FROM k22out""", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
+q("J5_blank_zero", """
+SELECT vendor_id, year(transaction_date) AS year, CAST(nullif(sum(returns), 0) AS BIGINT) AS returns
+FROM txn GROUP BY 1, 2""")
+q("J6_pct_rows", """
+SELECT customer_segment, metric,
+       CASE WHEN metric = 'GM %'
+            THEN format('{:,.1f}', CAST(CAST(CAST(mtd_actual AS DECIMAL(20,6)) * 100 AS DECIMAL(38,1)) AS DOUBLE)) || '%'
+            ELSE '$' || format('{:,.2f}', CAST(CAST(CAST(mtd_actual AS DECIMAL(20,6)) AS DECIMAL(38,2)) AS DOUBLE))
+       END AS mtd_actual_text
+FROM k21out""", Q.K21_CTES + [("k21out", "\nUNION ALL\n".join(Q._branches))])

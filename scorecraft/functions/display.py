@@ -13,12 +13,13 @@ from scorecraft.functions.semantics import ratio, sas_lt
 
 def fmt(col: Column, kind: str) -> Column:
     """Currency, comma, percent or date display text."""
+    # rounding happens in the decimal cast (half up); format_number only groups digits
     if kind == "dollar":
-        return F.concat(F.lit("$"), F.format_number(col, 2))
+        return F.concat(F.lit("$"), F.format_number(col.cast("decimal(38,2)"), 2))
     if kind == "comma":
-        return F.format_number(col, 0)
+        return F.format_number(col.cast("decimal(38,0)"), 0)
     if kind == "percent":
-        return F.concat(F.format_number(col * 100, 1), F.lit("%"))
+        return F.concat(F.format_number((col * 100).cast("decimal(38,1)"), 1), F.lit("%"))
     if kind == "date":
         return F.date_format(col, "MM/dd/yyyy")
     raise ValueError(f"unknown display kind {kind!r}")
@@ -26,7 +27,7 @@ def fmt(col: Column, kind: str) -> Column:
 
 def fmt_signed(col: Column) -> Column:
     """Negative amounts in parentheses: ($1,234) / $1,234."""
-    txt = F.format_number(F.abs(col), 0)
+    txt = F.format_number(F.abs(col).cast("decimal(38,0)"), 0)
     return F.when(col < 0, F.concat(F.lit("($"), txt, F.lit(")"))).otherwise(F.concat(F.lit("$"), txt))
 
 

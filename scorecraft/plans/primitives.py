@@ -590,3 +590,269 @@ def d20_group_by_exprs(t: Warehouse) -> DataFrame:
     return agg.sum_by(t.txn, [F.year("transaction_date").alias("year"), F.quarter("transaction_date").alias("quarter"),
                               cat.alias("product_type")],
                       {"orders": F.sum("orders").cast("bigint"), "revenue": agg.dsum("revenue")})
+
+
+# ---------------------------------------------------------------------------
+# 2.E windows, 2.F sorts, 2.G set operations
+# ---------------------------------------------------------------------------
+
+def e1_first_per_key(t: Warehouse) -> DataFrame:
+    """First receipt per line (date, then contact id)."""
+    return win.first_per_key(t.received_parts, ["line_item_id"], ["date_received", "received_by_contact_id"])
+
+
+def e2_rank_in_group(t: Warehouse) -> DataFrame:
+    """Running counter within a sorted by-group (model rank per vendor item)."""
+    vitems = t.items.filter(F.col("item_type") == "V").select("item_number", "product_number")
+    models = vitems.join(t.pim_models, "product_number", "inner").select("item_number", "model_code")
+    return win.rank_in_group(models, ["item_number"], ["model_code"], "rank")
+
+
+def e3_first_of_group(t: Warehouse) -> DataFrame:
+    """First row of each vendor x part by order date (best description)."""
+    b = compliance.backorder_base(t, P.PERIOD_START, P.PERIOD_END)
+    return win.first_per_key(b.select("vendor_id", "clean_part", "ordered_date", "line_item_id", "description"),
+                             ["vendor_id", "clean_part"], ["ordered_date", "line_item_id", "description"]) \
+        .select("vendor_id", "clean_part", "description")
+
+
+def e4_latest_ties(t: Warehouse) -> DataFrame:
+    """Latest return per line, ties kept."""
+    return jn.keep_extreme(t.returns.select("line_item_id", "rga_number", "created_timestamp"),
+                           ["line_item_id"], "created_timestamp", "max")
+
+
+def e5_top_slots(t: Warehouse) -> DataFrame:
+    """E5: first ten references per item as columns plus a 'more exist' flag."""
+    refs = t.pim_searches.select("search_item_number", "part_number").distinct()
+    out = win.top_slots(refs, "search_item_number", "part_number", ["part_number"], 10, "reference_", "more")
+    return out.withColumn("more_references", F.when(F.col("more") == 1, "Y").otherwise("N")).drop("more")
+
+
+def e6_workday_numbers(t: Warehouse) -> DataFrame:
+    """Workday number month-to-date and year-to-date (running sums)."""
+    return win.workday_numbers(t.calendar).select("date_key", "workday_nbr_mtd", "workday_nbr_ytd")
+
+
+def f1_sort_by(t: Warehouse) -> DataFrame:
+    """multi-key output sort (backorder rows by vendor, part, order date)."""
+    b = compliance.backorder_base(t, P.PERIOD_START, P.PERIOD_END)
+    return b.select("vendor_id", "clean_part", "ordered_date", "line_item_id").orderBy(
+        F.col("vendor_id").asc_nulls_first(), "clean_part", "ordered_date", "line_item_id")
+
+
+def f2_sort_desc(t: Warehouse) -> DataFrame:
+    """sort by an aggregate alias descending, missing last."""
+    df = compliance.vendor_compliance(t, P.PERIOD_START, P.PERIOD_END)
+    return df.select("vendor_id", "vendor", "spend").orderBy(F.col("spend").desc_nulls_last(), "vendor_id")
+
+
+def f3_sort_before_by(t: Warehouse) -> DataFrame:
+    """sort ahead of by-group processing, folded into the window order (reference ranks)."""
+    refs = t.pim_searches.select("search_item_number", "part_number").distinct()
+    return win.rank_in_group(refs, ["search_item_number"], ["part_number"], "rank")
+
+
+def f4_display_order(t: Warehouse) -> DataFrame:
+    """display order by the segment sort key (total = 99 last)."""
+    return dashboard.daily_budget(t, P.ASOF).select("segment", "segment_sort", "actual_revenue_year") \
+        .orderBy("segment_sort", "segment")
+
+
+def g1_stack_rows(t: Warehouse) -> DataFrame:
+    """G1: UNION ALL of differently sourced aggregates (warehouse actuals + spread supplement)."""
+    a = t.daily_actuals.groupBy(F.year("transaction_date").alias("year")).agg(
+        F.sum("budget_revenue").cast("double").alias("budget_revenue")).select(
+        F.lit("actuals").alias("source"), "year", "budget_revenue")
+    cal = jn.bounded(t.calendar.select("month_end", "date_key", "workday_ind"))
+    s = (cal.join(t.budget_supplement, "month_end", "inner")
+         .select(F.year("date_key").alias("year"),
+                 (F.col("budget_revenue").cast("double") / F.col("days") * F.col("workday_ind")).alias("b"))
+         .groupBy("year").agg(stable(F.sum("b")).alias("budget_revenue"))
+         .select(F.lit("supplement").alias("source"), "year", "budget_revenue"))
+    return a.unionByName(s)
+
+
+def g2_detail_and_total(t: Warehouse) -> DataFrame:
+    """Detail groups stacked with their total row."""
+    d = t.txn.groupBy("product_category_id").agg(F.sum("revenue").alias("revenue"))
+    total = t.txn.agg(F.sum("revenue").alias("revenue")).withColumn("product_category_id", F.lit(99))
+    u = d.unionByName(total)
+    return u.select("product_category_id", F.col("revenue").cast("double").alias("revenue"))
+
+
+def g3_metric_rows(t: Warehouse) -> DataFrame:
+    """The twelve metric rows of the summary grid from one scan."""
+    return dashboard.summary_statistics(t, P.ASOF)
+
+
+# ---------------------------------------------------------------------------
+# 2.H scalar functions
+# ---------------------------------------------------------------------------
+
+def h1_to_day(t: Warehouse) -> DataFrame:
+    """H1: datetime -> date (closed date per line)."""
+    return t.line_status.select("line_item_id", scalar.to_day("first_closed_timestamp").alias("closed_date"))
+
+
+def h2_seconds_of_day(t: Warehouse) -> DataFrame:
+    """H2: time of day in seconds (closed time per line)."""
+    return t.line_status.select("line_item_id", scalar.seconds_of_day("first_closed_timestamp").alias("closed_seconds"))
+
+
+def h3_year_month(t: Warehouse) -> DataFrame:
+    """H3: year() and month() of the fact date, rows per year x month."""
+    return t.txn.groupBy(F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def h4_period_start(t: Warehouse) -> DataFrame:
+    """H4: month and year start of each calendar day."""
+    return t.calendar.select("date_key", scalar.period_start("date_key", "month").alias("month_start"),
+                             scalar.period_start("date_key", "year").alias("year_start"))
+
+
+def h5_month_end(t: Warehouse) -> DataFrame:
+    """H5: month end of each shipped line's date."""
+    return t.txn.select("line_item_id", "vendor_id", "item_id", scalar.month_end("transaction_date").alias("month_end"))
+
+
+def h6_trend_start(t: Warehouse) -> DataFrame:
+    """H6: first day of the month twelve months back, per month end."""
+    return t.calendar.select("month_end").distinct().select(
+        "month_end", scalar.trend_start("month_end", 12).alias("trend_start"))
+
+
+def h7_default_asof(t: Warehouse) -> DataFrame:
+    """H7: default as-of date (yesterday): facts dated on or before it."""
+    return t.txn.filter(F.col("transaction_date") <= scalar.default_asof()).groupBy("vendor_id").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def h8_is_workday(t: Warehouse) -> DataFrame:
+    """H8: Monday-Friday and not a holiday, days per weekday."""
+    cal = t.calendar
+    return cal.groupBy("dow").agg(F.sum(F.when(scalar.is_workday("date_key", F.col("ps_hol_ind") == 1), 1)
+                                        .otherwise(0)).alias("workdays"),
+                                  F.count(F.lit(1)).alias("days"))
+
+
+def h9_week_start(t: Warehouse) -> DataFrame:
+    """H9: week start (Monday) of each fact date, rows per week."""
+    return t.txn.groupBy(scalar.week_start("transaction_date").alias("week_start")).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def h10_coalesce(t: Warehouse) -> DataFrame:
+    """First present of manager name and a fallback."""
+    return t.vendors.select("company_id", scalar.first_present(F.col("relationship_manager"), F.lit("Unassigned"))
+                            .alias("manager"))
+
+
+def h11_norm_text(t: Warehouse) -> DataFrame:
+    """upper(left(x)) of segment texts."""
+    return t.customers.select("company_id", scalar.norm_text("segment").alias("segment_norm"),
+                              scalar.norm_text("sub_segment").alias("sub_segment_norm"))
+
+
+def h12_chop_last(t: Warehouse) -> DataFrame:
+    """Replacement part number without its last character (empty -> missing)."""
+    return t.line_detail.select("line_item_id", chop_last(F.col("replacement_part_number_stripped")).alias("chopped"))
+
+
+def h13_parent_code(t: Warehouse) -> DataFrame:
+    """Locate + substr + concat: parent code of each taxonomy code."""
+    return t.oem_structure.select("structure_id", scalar.parent_code("structure_id").alias("parent_structure_id"))
+
+
+def h14_fixed_width(t: Warehouse) -> DataFrame:
+    """put(x, $w.): vendor names cut to 10 characters."""
+    return t.vendors.select("company_id", scalar.fixed_width("company_name", 10).alias("name10"))
+
+
+def h15_to_number(t: Warehouse) -> DataFrame:
+    """Text -> number (contact last names that are numbers; others missing)."""
+    return t.contacts.select("requestor_id", scalar.to_number("last_name").alias("last_name_number"),
+                             scalar.to_number("position_description").alias("position_number"))
+
+
+def h16_to_int(t: Warehouse) -> DataFrame:
+    """INTEGER(quantity + return quantity)."""
+    return t.line_items.select("id_no", scalar.to_int(F.col("quantity") + F.col("return_quantity"))
+                               .alias("requested_quantity"))
+
+
+def h17_arithmetic(t: Warehouse) -> DataFrame:
+    """Arithmetic with missing propagation: research cost spread (missing if either is missing)."""
+    r = t.research
+    return r.select("line_item_id", "vendor_id", "item_id",
+                    (F.col("outright_cost") - F.col("exchange_cost")).cast("double").alias("cost_gap"),
+                    ratio(F.col("exchange_cost"), F.col("outright_cost")).alias("exchange_share"))
+
+
+def h18_position(t: Warehouse) -> DataFrame:
+    """index(text, sub): position of NET in payment terms (0 when absent)."""
+    return t.vendors.select("company_id", scalar.position("payment_term_code", "NET").alias("net_position"))
+
+
+# ---------------------------------------------------------------------------
+# 2.I reshape, 2.J presentation
+# ---------------------------------------------------------------------------
+
+def i1_transpose(t: Warehouse) -> DataFrame:
+    """Measures become rows, months become columns (13-month trend)."""
+    return dashboard.monthly_trend(t, P.ASOF)
+
+
+def i3_spread_budget(t: Warehouse) -> DataFrame:
+    """Each month's supplement budget spread over its workdays (adds back to the month)."""
+    cal = jn.bounded(t.calendar.select("month_end", "date_key", "workday_ind"))
+    s = cal.join(t.budget_supplement, "month_end", "inner")
+    return s.select("date_key", (F.col("budget_revenue").cast("double") / F.col("days") * F.col("workday_ind"))
+                    .alias("budget_revenue_day"))
+
+
+def i4_spread_prior_year(t: Warehouse) -> DataFrame:
+    """I4: last year's month actuals spread over this year's workdays up to the as-of date."""
+    py = dashboard.prior_year_spread(t, P.ASOF)
+    return py.select("date_key", "product_type", *[stable(F.col(c)).alias(c) for c in dashboard.PY])
+
+
+def j1_fmt(t: Warehouse) -> DataFrame:
+    """Currency, comma, percent and date display next to the numbers."""
+    g = t.txn.groupBy("vendor_id").agg(F.sum("revenue").cast("decimal(20,2)").alias("revenue"),
+                                       F.sum("orders").alias("orders"), F.max("transaction_date").alias("last_date"),
+                                       ratio(F.sum("margin"), F.sum("revenue")).alias("margin_pct"))
+    return g.select("vendor_id", display.fmt(F.col("revenue"), "dollar").alias("revenue_text"),
+                    display.fmt(F.col("orders"), "comma").alias("orders_text"),
+                    display.fmt(F.col("margin_pct").cast("decimal(10,6)"), "percent").alias("margin_pct_text"),
+                    display.fmt(F.col("last_date"), "date").alias("last_date_text"))
+
+
+def j2_fmt_signed(t: Warehouse) -> DataFrame:
+    """Negative amounts in parentheses with a flag (daily revenue variance)."""
+    df = dashboard.daily_by_category(t, P.ASOF)
+    v = F.col("rev_variance").cast("decimal(20,0)")
+    return df.select("date_key", "product_type", display.fmt_signed(v).alias("rev_variance_text"),
+                     display.is_negative(F.col("rev_variance")).alias("is_negative"))
+
+
+def j4_daily_ratios(t: Warehouse) -> DataFrame:
+    """Render-time ratios as columns (close rate, revenue / PO, GM % ...)."""
+    df = dashboard.daily_by_category(t, P.ASOF)
+    return df.select("date_key", "product_type", "actual_close_rate", "actual_sales_po", "actual_gm_po",
+                     "actual_gm_percent", "budget_gm_percent", "gm_percent_variance")
+
+
+def j5_blank_zero(t: Warehouse) -> DataFrame:
+    """Zero shown as blank (missing)."""
+    g = t.txn.groupBy("vendor_id", F.year("transaction_date").alias("year")).agg(
+        F.sum("returns").alias("returns"))
+    return g.select("vendor_id", "year", display.blank_zero(F.col("returns")).cast("bigint").alias("returns"))
+
+
+def j6_pct_rows(t: Warehouse) -> DataFrame:
+    """Ratio-type rows shown as percent, the others as currency."""
+    df = dashboard.summary_statistics(t, P.ASOF)
+    return df.select("customer_segment", "metric", display.pct_rows(
+        F.col("mtd_actual").cast("decimal(20,6)"), F.col("metric")).alias("mtd_actual_text"))

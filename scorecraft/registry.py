@@ -116,3 +116,22 @@ for _name, _fn in [
     ("D19_remerge", pr.d19_remerge), ("D20_group_by_exprs", pr.d20_group_by_exprs),
 ]:
     register(_name)(_fn)
+
+for _name, _fn in [
+    ("E1_first_per_key", pr.e1_first_per_key), ("E2_rank_in_group", pr.e2_rank_in_group),
+    ("E3_first_of_group", pr.e3_first_of_group), ("E4_latest_ties", pr.e4_latest_ties),
+    ("E5_top_slots", pr.e5_top_slots), ("E6_workday_numbers", pr.e6_workday_numbers),
+    ("F1_sort_by", pr.f1_sort_by), ("F2_sort_desc", pr.f2_sort_desc), ("F3_sort_before_by", pr.f3_sort_before_by),
+    ("F4_display_order", pr.f4_display_order), ("G1_stack_rows", pr.g1_stack_rows),
+    ("G2_detail_and_total", pr.g2_detail_and_total), ("G3_metric_rows", pr.g3_metric_rows),
+    ("H1_to_day", pr.h1_to_day), ("H2_seconds_of_day", pr.h2_seconds_of_day), ("H3_year_month", pr.h3_year_month),
+    ("H4_period_start", pr.h4_period_start), ("H5_month_end", pr.h5_month_end), ("H6_trend_start", pr.h6_trend_start),
+    ("H7_default_asof", pr.h7_default_asof), ("H8_is_workday", pr.h8_is_workday), ("H9_week_start", pr.h9_week_start),
+    ("H10_coalesce", pr.h10_coalesce), ("H11_norm_text", pr.h11_norm_text), ("H12_chop_last", pr.h12_chop_last),
+    ("H13_parent_code", pr.h13_parent_code), ("H14_fixed_width", pr.h14_fixed_width),
+    ("H15_to_number", pr.h15_to_number), ("H16_to_int", pr.h16_to_int), ("H17_arithmetic", pr.h17_arithmetic),
+    ("H18_position", pr.h18_position), ("I1_transpose", pr.i1_transpose), ("I3_spread_budget", pr.i3_spread_budget),
+    ("I4_spread_prior_year", pr.i4_spread_prior_year), ("J1_fmt", pr.j1_fmt), ("J2_fmt_signed", pr.j2_fmt_signed),
+    ("J4_daily_ratios", pr.j4_daily_ratios), ("J5_blank_zero", pr.j5_blank_zero), ("J6_pct_rows", pr.j6_pct_rows),
+]:
+    register(_name)(_fn)
