@@ -419,3 +419,4 @@ SELECT customer_segment, metric,
             ELSE '$' || format('{:,.2f}', CAST(CAST(CAST(mtd_actual AS DECIMAL(20,6)) AS DECIMAL(38,2)) AS DOUBLE))
        END AS mtd_actual_text
 FROM k21out""", Q.K21_CTES + [("k21out", "\nUNION ALL\n".join(Q._branches))])
+ORACLE["I2_rows_to_slots"] = ORACLE["C12_slots"]

@@ -856,3 +856,10 @@ def j6_pct_rows(t: Warehouse) -> DataFrame:
     df = dashboard.summary_statistics(t, P.ASOF)
     return df.select("customer_segment", "metric", display.pct_rows(
         F.col("mtd_actual").cast("decimal(20,6)"), F.col("metric")).alias("mtd_actual_text"))
+
+
+def i2_rows_to_slots(t: Warehouse) -> DataFrame:
+    """Rows -> fixed slots with ``pivot`` on a declared value list (no extra pass for the values)."""
+    w = (t.auto_order.groupBy("vendor_id").pivot("ship_priority_id", [1, 2, 3, 4, 5])
+         .agg(F.first("settings")))
+    return w.select("vendor_id", *[F.col(str(i)).alias(f"priority_{i}") for i in range(1, 6)])

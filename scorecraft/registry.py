@@ -135,3 +135,4 @@ for _name, _fn in [
     ("J4_daily_ratios", pr.j4_daily_ratios), ("J5_blank_zero", pr.j5_blank_zero), ("J6_pct_rows", pr.j6_pct_rows),
 ]:
     register(_name)(_fn)
+register("I2_rows_to_slots")(pr.i2_rows_to_slots)
