@@ -109,10 +109,18 @@ def with_total(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
 def remerge(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """D19 (S4): every input row kept, group aggregates repeated on it.
 
-    One window partitioned by the keys instead of aggregate + join back.
+    Aggregate (partial, map-side) and join back on the keys (missing keys
+    match, as in a group).  A window over the keys would hold a whole group
+    in one task; the join lets AQE split a hot group across tasks.
     """
-    w = Window.partitionBy(*keys)
-    return df.withColumns({n: c.over(w) for n, c in aggs.items()})
+    keys = list(keys)
+    g = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    g = g.select(*[F.col(k).alias("__g_" + k) for k in keys], *aggs.keys())
+    cond = None
+    for k in keys:
+        c = df[k].eqNullSafe(g["__g_" + k])
+        cond = c if cond is None else cond & c
+    return df.join(g, cond, "inner").drop(*["__g_" + k for k in keys])
 
 
 def period_to_date(date_col: str, asof, periods: Mapping[str, tuple], measure) -> dict[str, Column]:

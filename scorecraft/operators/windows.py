@@ -23,10 +23,31 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.groupBy(*keys).agg(F.min(packed).alias("__r")).select(*keys, *[F.col("__r." + c).alias(c) for c in rest])
 
 
-def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
-    """Running counter within a sorted by-group (row_number, total order)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w))
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank",
+                  partitions: int | None = None) -> DataFrame:
+    """Running counter within a sorted by-group (row number under a total order).
+
+    A plain ``Window.partitionBy(keys)`` would put a whole group into one
+    task.  Instead the rows are range-partitioned on (keys, order), so a hot
+    group is spread over many partitions in order; each partition numbers
+    its slice locally (a window bounded by the partition), and each slice
+    adds the row count of the same group's slices in earlier partitions (a
+    small per-partition-per-group table).  ``order`` must be a total order.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [*keys, *order]
+    ranged = df.repartitionByRange(n, *cols).withColumn("__pid", F.spark_partition_id())
+    local = Window.partitionBy("__pid", *keys).orderBy(*order)
+    ranged = ranged.withColumn("__rn", F.row_number().over(local))
+    counts = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__pid").alias("__opid"), *[F.col(k).alias("__o_" + k) for k in keys],
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    cond = F.col("__pid") == F.col("__opid")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col("__o_" + k))
+    j = ranged.join(offsets, cond, "inner")
+    return j.select(*df.columns, (F.col("__off") + F.col("__rn")).cast("int").alias(out))
 
 
 def top_slots(df: DataFrame, key: str, value: str, order: Sequence[Column | str], k: int,

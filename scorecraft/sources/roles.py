@@ -43,10 +43,15 @@ class Warehouse:
     instance so a report that reads a role twice shares one logical plan.
     """
 
+    # role plans are pure functions of the base tables: share them across
+    # Warehouse objects of one session so each is resolved (analysed) once
+    _shared: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._cache: dict[str, DataFrame] = {}
+        key = (spark.sparkContext.applicationId, self.sf_dir)
+        self._cache: dict[str, DataFrame] = Warehouse._shared.setdefault(key, {})
 
     # -- A1: named-table scan -------------------------------------------
     def base(self, name: str) -> DataFrame:
