@@ -18,12 +18,8 @@ from scorecraft.functions.scalar import month_end, period_start, to_day, trend_s
 from scorecraft.functions.semantics import in_list, ne_keep_missing, not_in_keep_missing, ratio, sas_le, stable
 from scorecraft.operators.aggregates import with_total
 from scorecraft.operators.joins import bounded, join_prior_year
-from scorecraft.operators.project import with_scalar
 from scorecraft.sources.roles import Warehouse
 
-K = "__k"  # constant key joining one-row scalars
-
-
 def _d(x) -> Column:
     return F.lit(x).cast("date")
 
@@ -36,24 +32,26 @@ def _dbl(c) -> Column:
 # K19 daily budget table
 # ---------------------------------------------------------------------------
 
-def _scalars(t: Warehouse, asof: dt.date) -> DataFrame:
-    """Month workdays to date, week start, week workdays to date (one row)."""
+def scalars(t: Warehouse, asof: dt.date) -> dict[str, Column]:
+    """Week start, week and month workdays to date as scalar subqueries.
+
+    Each value is a query over the calendar that Spark runs once and uses as
+    a constant (``select ... into :m``); no driver round trip, no join.
+    """
     cal = t.calendar
     a = _d(asof)
-    ws = cal.filter(F.col("date_key") == a).select(F.lit(1).alias(K), F.col("week_start").alias("wk_start"))
-    recent = cal.filter(F.col("date_key").between(F.date_sub(period_start(a, "month"), 7), a)).select(
-        F.lit(1).alias(K), "date_key", "workday_ind")
-    return (recent.join(F.broadcast(ws), K, "inner")
-            .groupBy(K).agg(
-                F.sum(F.when(F.col("date_key") >= period_start(a, "month"), F.col("workday_ind"))).alias("month_workdays"),
-                F.sum(F.when(F.col("date_key") >= F.col("wk_start"), F.col("workday_ind"))).alias("week_workdays"),
-                F.max("wk_start").alias("wk_start")))
+    wk_start = cal.filter(F.col("date_key") == a).select(F.max("week_start")).scalar()
+    month_wd = cal.filter(F.col("date_key").between(period_start(a, "month"), a)).select(
+        F.sum("workday_ind")).scalar()
+    week_wd = cal.filter(F.col("date_key").between(wk_start, a)).select(F.sum("workday_ind")).scalar()
+    return {"wk_start": wk_start, "month_workdays": month_wd, "week_workdays": week_wd}
 
 
-def _period_sums(date: Column, asof: dt.date, actual: Column, budget: Column, prefix: str) -> list[Column]:
+def _period_sums(date: Column, asof: dt.date, actual: Column, budget: Column, prefix: str,
+                 sc: dict[str, Column]) -> list[Column]:
     a = _d(asof)
     day = date == a
-    week = date.between(F.col("wk_start"), a)
+    week = date.between(sc["wk_start"], a)
     month = date.between(period_start(a, "month"), a)
 
     def s(cond, x):
@@ -63,8 +61,8 @@ def _period_sums(date: Column, asof: dt.date, actual: Column, budget: Column, pr
     return [
         s(day, actual).alias(f"actual_{prefix}_day"),
         s(day, budget).alias(f"budget_{prefix}_day"),
-        ratio(s(week, actual), F.max("week_workdays")).alias(f"actual_{prefix}_week_avg"),
-        ratio(s(month, actual), F.max("month_workdays")).alias(f"actual_{prefix}_month_avg"),
+        ratio(s(week, actual), sc["week_workdays"]).alias(f"actual_{prefix}_week_avg"),
+        ratio(s(month, actual), sc["month_workdays"]).alias(f"actual_{prefix}_month_avg"),
         F.sum(actual).cast("double").alias(f"actual_{prefix}_year"),
         F.sum(budget).cast("double").alias(f"budget_{prefix}_year"),
     ]
@@ -78,14 +76,13 @@ K19_MEASURES = ["actual_revenue_day", "budget_revenue_day", "actual_revenue_week
 def daily_budget(t: Warehouse, asof: dt.date) -> DataFrame:
     """Day / week average / month average / year to date by segment, plus the estimated total."""
     a = _d(asof)
-    scal = _scalars(t, asof)
+    sc = scalars(t, asof)
     ys = period_start(a, "year")
-    act = t.daily_actuals.filter(F.col("transaction_date").between(ys, a)).withColumn(K, F.lit(1))
-    act = with_scalar(act, scal, K)
+    act = t.daily_actuals.filter(F.col("transaction_date").between(ys, a))
     label, sort = segment_label(F.col("segment"), F.col("sub_segment"))
     p1 = act.groupBy(label.alias("segment"), sort.alias("segment_sort")).agg(
-        *_period_sums(F.col("transaction_date"), asof, F.col("actual_revenue"), F.col("budget_revenue"), "revenue"),
-        *_period_sums(F.col("transaction_date"), asof, F.col("actual_margin"), F.col("budget_margin"), "margin"))
+        *_period_sums(F.col("transaction_date"), asof, F.col("actual_revenue"), F.col("budget_revenue"), "revenue", sc),
+        *_period_sums(F.col("transaction_date"), asof, F.col("actual_margin"), F.col("budget_margin"), "margin", sc))
     # Spread each month's supplement budget over that month's workdays
     cal = bounded(t.calendar.filter(F.year("date_key") == F.year(a)).select("month_end", "date_key", "workday_ind"))
     sup = t.budget_supplement
@@ -93,10 +90,10 @@ def daily_budget(t: Warehouse, asof: dt.date) -> DataFrame:
         "segment", F.col("sort").alias("segment_sort"), F.col("date_key").alias("transaction_date"),
         *[(_dbl(c) / F.col("days") * F.col("workday_ind")).alias(c)
           for c in ("budget_revenue", "budget_margin", "revenue", "margin")])
-    spread = with_scalar(spread.filter(F.col("transaction_date").between(ys, a)).withColumn(K, F.lit(1)), scal, K)
+    spread = spread.filter(F.col("transaction_date").between(ys, a))
     p2 = spread.groupBy("segment", "segment_sort").agg(
-        *_period_sums(F.col("transaction_date"), asof, F.col("revenue"), F.col("budget_revenue"), "revenue"),
-        *_period_sums(F.col("transaction_date"), asof, F.col("margin"), F.col("budget_margin"), "margin"))
+        *_period_sums(F.col("transaction_date"), asof, F.col("revenue"), F.col("budget_revenue"), "revenue", sc),
+        *_period_sums(F.col("transaction_date"), asof, F.col("margin"), F.col("budget_margin"), "margin", sc))
     gathered = p1.unionByName(p2)  # G1
     out = with_total(gathered, ["segment", "segment_sort"], {m: F.sum(m) for m in K19_MEASURES},
                      "segment", "Estimated Total", "segment_sort", 99)
@@ -184,16 +181,20 @@ def budget_forecast_actual(t: Warehouse, asof: dt.date) -> DataFrame:
             .withColumn("report_date", a))
 
 
-def _workday_lookups(t: Warehouse, asof: dt.date) -> DataFrame:
-    """The four calendar look-ups of the report date as one row."""
+def workday_lookups(t: Warehouse, asof: dt.date) -> dict[str, Column]:
+    """The four calendar look-ups of the report date, each a scalar subquery."""
     a = _d(asof)
-    cal = t.calendar.filter((F.year("date_key").between(F.year(a) - 1, F.year(a))))
+    cal = t.calendar
+    at = cal.filter(F.col("date_key") == a)
     same_month = F.month("date_key") == F.month(a)
-    return cal.groupBy(F.lit(a).alias("report_date")).agg(
-        F.max(F.when(F.col("date_key") == a, F.col("workday_nbr_mtd"))).alias("workdays"),
-        F.max(F.when(F.col("date_key") == a, F.col("workday_nbr_ytd"))).alias("workdays_ytd"),
-        F.max(F.when(same_month & (F.year("date_key") == F.year(a) - 1), F.col("workday_nbr_mtd"))).alias("workdays_py_mtd"),
-        F.max(F.when(same_month & (F.year("date_key") == F.year(a)), F.col("workday_nbr_mtd"))).alias("workdays_cy_mtd"))
+    return {
+        "workdays": at.select(F.max("workday_nbr_mtd")).scalar(),
+        "workdays_ytd": at.select(F.max("workday_nbr_ytd")).scalar(),
+        "workdays_py_mtd": cal.filter(same_month & (F.year("date_key") == F.year(a) - 1))
+        .select(F.max("workday_nbr_mtd")).scalar(),
+        "workdays_cy_mtd": cal.filter(same_month & (F.year("date_key") == F.year(a)))
+        .select(F.max("workday_nbr_mtd")).scalar(),
+    }
 
 
 GRID_COLS = ["mtd_actual", "mtd_var", "mtd_var_pct", "mtd_var_pri_mtd", "mtd_var_pri_mtd_pct",
@@ -205,14 +206,15 @@ def summary_statistics(t: Warehouse, asof: dt.date) -> DataFrame:
 
     Biomed = categories Biomed and Stryker; Imaging = every other (missing too).
     """
-    bfa = budget_forecast_actual(t, asof).join(F.broadcast(_workday_lookups(t, asof)), "report_date", "left")
+    bfa = budget_forecast_actual(t, asof)
+    look = workday_lookups(t, asof)
     seg = F.explode(F.array(F.lit("Total"), F.when(in_list(F.col("product_category_description"),
                                                            ("Biomed", "Stryker")), "Biomed").otherwise("Imaging")))
     rows = bfa.select("*", seg.alias("customer_segment"))
     sums = [F.sum(c).cast("double").alias(c) for c in bfa.columns if c.startswith(("cy_", "py_"))]
-    means = [F.avg(F.col(c).cast("double")).alias(c) for c in
-             ("workdays", "workdays_ytd", "workdays_py_mtd", "workdays_cy_mtd")]
-    g = rows.groupBy("customer_segment").agg(*sums, *means)
+    # every row carries the same report date, so the mean of a look-up is the look-up
+    means = [look[c].cast("double").alias(c) for c in look]
+    g = rows.groupBy("customer_segment").agg(*sums).select("*", *means)
     c = F.col
 
     def dv(x, y):

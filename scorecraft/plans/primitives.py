@@ -191,8 +191,11 @@ def b17_tag(t: Warehouse) -> DataFrame:
 
 
 def b18_scalar(t: Warehouse) -> DataFrame:
-    """Values computed by a query and kept in the plan (workdays, week start)."""
-    return dashboard._scalars(t, P.ASOF).drop(dashboard.K)
+    """Values computed by a query and kept in the plan (workdays, week start), on the as-of day's row."""
+    sc = dashboard.scalars(t, P.ASOF)
+    return t.calendar.filter(F.col("date_key") == F.lit(P.ASOF)).select(
+        sc["month_workdays"].alias("month_workdays"), sc["week_workdays"].alias("week_workdays"),
+        sc["wk_start"].alias("wk_start"))
 
 
 def b19_classify(t: Warehouse) -> DataFrame:
