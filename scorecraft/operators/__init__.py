@@ -1,0 +1 @@
+"""Generic DataFrame operators (survey sections 2.B-2.I)."""
