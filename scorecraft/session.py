@@ -24,6 +24,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # broadcast decisions stay size-checked (planner estimate, then AQE on
+    # real shuffle sizes); 64 MB lets small dimensions skip a shuffle
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
 }
 
 
@@ -33,7 +37,7 @@ def local_session(cores: int | None = None, app: str = "scorecraft") -> SparkSes
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.shuffle.partitions", str(cores * 4))  # AQE coalesces small ones
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
