@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorecraft.functions.money import to_double
 from scorecraft.functions.scalar import parent_code
 from scorecraft.operators.filters import by_filter, period_pred
 from scorecraft.operators.joins import slots, with_parent
@@ -88,8 +89,9 @@ def catalogue_sheet(t: Warehouse, kind: str, ids: Iterable, start, end) -> DataF
     trx = (q.join(lid, "line_item_id", "inner")
            .groupBy(F.col("pim_item_number").alias("item_number"), F.col("condition_code").alias("condition"))
            .agg(F.sum("requests").cast("bigint").alias("requests"), F.sum("orders").cast("bigint").alias("orders"),
-                F.sum("quantity").cast("bigint").alias("quantity"), F.sum("revenue").alias("revenue"),
-                F.sum(F.col("revenue") - F.col("margin")).alias("ext_cost"), F.sum("margin").alias("margin")))
+                F.sum("quantity").cast("bigint").alias("quantity"),
+                to_double(F.sum("revenue_e4"), 4).alias("revenue"),
+                to_double(F.sum("spend_e6"), 6).alias("ext_cost"), to_double(F.sum("margin_e6"), 6).alias("margin")))
     vitems = t.items.filter(F.col("item_type") == "V").select("item_number", "product_number")
     models = vitems.join(t.pim_models, "product_number", "inner")
     mslots = top_slots(models, "item_number", "model_code", ["model_code"], 10, "model_", "more_models_flag")
@@ -122,6 +124,5 @@ def catalogue_sheet(t: Warehouse, kind: str, ids: Iterable, start, end) -> DataF
         *[F.col(f"reference_{i}") for i in range(1, 11)],
         F.when(F.col("more_references_flag") == 1, "Y").otherwise("N").alias("more_references"),
         "also_consider_1", "also_consider_2", "requests", "orders", "quantity",
-        F.col("revenue").cast("double").alias("revenue"), F.col("ext_cost").cast("double").alias("ext_cost"),
-        F.col("margin").cast("double").alias("margin"),
+        "revenue", "ext_cost", "margin",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import band
+from scorecraft.functions.money import to_decimal, to_double
 from scorecraft.functions.scalar import fixed_width, to_day
 from scorecraft.functions.semantics import chop_last, in_list, ne_keep_missing, ratio, stable
 from scorecraft.operators.filters import has_text, period_pred
@@ -80,10 +81,10 @@ def _vend_orders(t: Warehouse, start, end) -> DataFrame:
         "choice_level", "suspend_vendor", "redirect_shipments",
     ).agg(
         ratio(F.sum(F.when(F.col("product_category_id") == 2, F.col("orders"))), orders).alias("bio_pct"),
-        (F.sum("revenue") - F.sum("margin")).alias("spend"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("margin").alias("margin"),
-        ratio(F.sum("margin"), F.sum("revenue")).alias("margin_pct"),
+        to_decimal(F.sum("spend_e6"), 6, 38).alias("spend"),
+        to_decimal(F.sum("revenue_e4"), 4, 38).alias("revenue"),
+        to_decimal(F.sum("margin_e6"), 6, 38).alias("margin"),
+        ratio(to_double(F.sum("margin_e6"), 6), to_double(F.sum("revenue_e4"), 4)).alias("margin_pct"),
         orders.cast("bigint").alias("orders"),
         ratio(_sum_orders_if(_smart()), orders).alias("smart_order_pct"),
         _sum_orders_if(_smart()).cast("bigint").alias("smart_order_total"),
@@ -213,9 +214,9 @@ def compliance_details(t: Warehouse, start, end) -> DataFrame:
     return rows.groupBy("vendor_id", "vendor", "line_item_id", "site_id", "site_name", "parent_id", "parent_name",
                         "relationship_manager_id", "relationship_manager", "line_item_description",
                         "shipping_method").agg(
-        (F.sum("revenue") - F.sum("margin")).cast("double").alias("spend"),
-        F.sum("revenue").cast("double").alias("revenue"),
-        F.sum("margin").cast("double").alias("margin"),
+        to_double(F.sum("spend_e6"), 6).alias("spend"),
+        to_double(F.sum("revenue_e4"), 4).alias("revenue"),
+        to_double(F.sum("margin_e6"), 6).alias("margin"),
         F.sum("orders").cast("bigint").alias("orders"),
         _sum_orders_if(_smart()).cast("bigint").alias("smart_order_total"),
         _sum_orders_if(F.col("smart_order_conf") == 1).cast("bigint").alias("smart_conf_total"),
@@ -318,17 +319,17 @@ def vendor_sales(t: Warehouse, vendor: int, start, end, house_vendor: int) -> Da
         F.col("modality_code").alias("Modality"), F.col("class_code").alias("Product Type"),
         F.col("model_number").alias("Model"), F.col("photo_shown").alias("Photo Shown"),
         F.col("warranty_description").alias("Warranty"), F.col("sourcer").alias("Sourcer"),
-        F.col("condition_code").alias("Condition"), F.col("oem_price").cast("double").alias("Unit OEM List"),
-        F.col("price").cast("double").alias("Unit Price"), F.col("cost").cast("double").alias("Unit Cost"),
+        F.col("condition_code").alias("Condition"), to_double("oem_price_e2", 2).alias("Unit OEM List"),
+        to_double("price_e2", 2).alias("Unit Price"), to_double("cost_e3", 3).alias("Unit Cost"),
     ]
     g = rows.groupBy(*keys).agg(
         F.sum("orders").cast("bigint").alias("Orders"), F.sum("quantity").cast("bigint").alias("Quantity"),
-        F.sum("revenue").alias("rev"), F.sum("margin").alias("mar"))
+        F.sum("revenue_e4").alias("rev"), F.sum("margin_e6").alias("mar"), F.sum("spend_e6").alias("spd"))
     keep = ((F.col("Orders") != 0) | (F.col("Quantity") != 0) | (F.col("rev") != 0) | (F.col("mar") != 0))
     return g.filter(keep).select(
-        *[c for c in g.columns if c not in ("rev", "mar")],
-        F.col("rev").cast("double").alias("Revenue"), F.col("mar").cast("double").alias("Margin"),
-        (F.col("rev") - F.col("mar")).cast("double").alias("Spend"))
+        *[c for c in g.columns if c not in ("rev", "mar", "spd")],
+        to_double("rev", 4).alias("Revenue"), to_double("mar", 6).alias("Margin"),
+        to_double("spd", 6).alias("Spend"))
 
 
 # ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import segment_label, txn_type
 from scorecraft.functions.display import budget_status
+from scorecraft.functions.money import to_decimal, to_double
 from scorecraft.functions.scalar import month_end, period_start, to_day, trend_start
 from scorecraft.functions.semantics import in_list, ne_keep_missing, not_in_keep_missing, ratio, sas_le, stable
 from scorecraft.operators.aggregates import with_total
@@ -138,14 +139,15 @@ def large_transactions(t: Warehouse, start: dt.date, end: dt.date, threshold: fl
          .join(ven, "vendor_id", "left"))
     keys2 = ["line_item_id", "txn_date", "vendor_name", "customer_name", "line_item_description", "customer_po",
              "salesrep_name", "modality", "product_type", "product_category", "salvaged_po_date"]
-    b1 = j.withColumnRenamed("transaction_date", "txn_date").groupBy(*keys2[:6], "oem_price", *keys2[6:]).agg(
-        F.sum("quantity").alias("quantity"), F.sum("revenue").alias("ext_price"),
-        (F.sum("revenue") - F.sum("margin")).alias("ext_cost"), F.sum("margin").alias("ext_margin"),
+    b1 = j.withColumnRenamed("transaction_date", "txn_date").groupBy(*keys2[:6], "oem_price_e2", *keys2[6:]).agg(
+        F.sum("quantity").alias("quantity"), F.sum("revenue_e4").alias("ext_price"),
+        F.sum("spend_e6").alias("ext_cost"), F.sum("margin_e6").alias("ext_margin"),
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"), F.sum("returns").alias("returns"))
     b2 = b1.groupBy(*keys2).agg(
-        F.sum("quantity").alias("quantity"), F.sum("oem_price").alias("oem_price"), F.sum("ext_price").alias("ext_price"),
+        F.sum("quantity").alias("quantity"), F.sum("oem_price_e2").alias("oem_price"), F.sum("ext_price").alias("ext_price"),
         F.sum("ext_cost").alias("ext_cost"), F.sum("ext_margin").alias("ext_margin"),
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"), F.sum("returns").alias("returns"))
+    b2 = b2.withColumn("ext_price", to_double("ext_price", 4))
     big = b2.filter(F.coalesce(F.col("ext_price") >= threshold, F.lit(False)) | sas_le(F.col("ext_price"), -threshold))
     return big.select(
         F.col("line_item_id").alias("ref_no"),
@@ -153,8 +155,9 @@ def large_transactions(t: Warehouse, start: dt.date, end: dt.date, threshold: fl
         F.col("txn_date").alias("trx_date"), F.col("vendor_name").alias("vendor"),
         F.col("customer_name").alias("customer"), F.col("line_item_description").alias("description"),
         "customer_po", F.col("quantity").cast("bigint").alias("qty"),
-        _dbl("oem_price").alias("oem_price"), _dbl("ext_price").alias("revenue"), _dbl("ext_cost").alias("cost"),
-        _dbl("ext_margin").alias("margin"), ratio(F.col("ext_margin"), F.col("ext_price")).alias("margin_pct"),
+        to_double("oem_price", 2).alias("oem_price"), F.col("ext_price").alias("revenue"),
+        to_double("ext_cost", 6).alias("cost"), to_double("ext_margin", 6).alias("margin"),
+        ratio(to_double("ext_margin", 6), F.col("ext_price")).alias("margin_pct"),
         F.col("salesrep_name").alias("am"),
         F.when(F.col("salvaged_po_date").isNotNull(), "Y").otherwise("").alias("salvage"))
 
@@ -283,10 +286,11 @@ def prior_year_spread(t: Warehouse, asof: dt.date, excluded_parents=(3,)) -> Dat
              .filter(not_in_keep_missing(F.col("lvl1_company_id"), excluded_parents))
              .groupBy(F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month"),
                       ptype.alias("product_type"))
-             .agg(*[F.sum(x).alias(x) for x in ("requests", "orders", "revenue", "margin")]))
+             .agg(F.sum("requests").cast("double").alias("requests"), F.sum("orders").cast("double").alias("orders"),
+                  to_double(F.sum("revenue_e4"), 4).alias("revenue"), to_double(F.sum("margin_e6"), 6).alias("margin")))
     j = join_prior_year(daily.filter(F.col("date_key") <= a), prior, "year", ["month"], "inner")
     return j.groupBy("date_key", "product_type").agg(
-        *[F.sum(F.col("factor") * _dbl(x)).alias(f"daily_py_{x}") for x in ("requests", "orders", "revenue", "margin")])
+        *[F.sum(F.col("factor") * F.col(x)).alias(f"daily_py_{x}") for x in ("requests", "orders", "revenue", "margin")])
 
 
 def daily_by_category(t: Warehouse, asof: dt.date, excluded_sub_segment: str = "ARAMARK",
@@ -358,12 +362,15 @@ def monthly_trend_table(t: Warehouse, asof: dt.date, excluded_parents=(3,)) -> D
             .filter(not_in_keep_missing(F.col("lvl1_company_id"), excluded_parents)))
     daily = rows.groupBy("year", "month", "month_end", "month_long", "transaction_date").agg(
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"),
-        F.sum("revenue").alias("revenue"), F.sum("margin").alias("margin"),
+        F.sum("revenue_e4").alias("revenue"), F.sum("margin_e6").alias("margin"),
         F.max("workday_nbr_mtd").alias("workdays"))
     monthly = daily.groupBy("year", "month", "month_end", "month_long").agg(
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue"),
         F.sum("margin").alias("margin"), F.max("workdays").alias("workdays"),
         F.max("requests").alias("max_requests"), F.max("orders").alias("max_orders"), F.max("margin").alias("max_margin"))
+    # money back to exact decimals once per month
+    monthly = monthly.withColumns({"revenue": to_decimal("revenue", 4, 38), "margin": to_decimal("margin", 6, 38),
+                                   "max_margin": to_decimal("max_margin", 6, 38)})
     return monthly.withColumn("col", (F.col("year") * 12 + F.col("month"))
                               - (F.year(start) * 12 + F.month(start)) + 1)
 

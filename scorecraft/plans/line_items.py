@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import classify_sourcing
+from scorecraft.functions.money import to_double
 from scorecraft.functions.scalar import first_present, to_int
 from scorecraft.functions.semantics import exists_flag
 from scorecraft.operators.joins import bounded, keep_extreme
@@ -49,7 +50,7 @@ def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
         F.col("research_id").alias("vendor_research_id"), F.col("vendor_id"),
         F.col("research_type_id"), F.col("created_user_id").alias("slr_created_user_id"),
         "rs_item_number", "inv_item_cost_id", "replacement_part_number_stripped", "condition_id",
-        "warranty_id", "outright_price", "exchange_price", "contract_pro_id")
+        "warranty_id", "add_bill_unit_e4", "contract_pro_id")
     ii = t.items.select(F.col("item_number").alias("inv_item_cost_id"),
                         F.col("item_number").cast("string").alias("ii_item_number"))
     r2 = research_ids(t).withColumnRenamed("line_item_id", "id_no")
@@ -109,8 +110,8 @@ def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
         F.when(repair, 1).otherwise(0).alias("repair_ind"),
         exists_flag(F.col("bord_line")).alias("ever_backordered"),
         "received_by_contact_id", "date_received", "vendor_id", "contract_pro_id",
-        F.when(F.col("return_required") == "Y", (F.col("outright_price") - F.col("exchange_price")) * qty)
-        .otherwise(F.lit(0)).cast("double").alias("estimated_add_bill"),
+        to_double(F.when(F.col("return_required") == "Y", F.col("add_bill_unit_e4") * qty).otherwise(F.lit(0)), 4)
+        .alias("estimated_add_bill"),
         "created_timestamp",
     )
     return out.distinct()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import band, effective_cost, map_codes, transit_days
+from scorecraft.functions.money import to_double
 from scorecraft.functions.scalar import seconds_of_day, to_day
 from scorecraft.functions.semantics import in_list, ne_keep_missing, ratio, sas_le, sas_lt
 from scorecraft.operators.aggregates import dsum, isum
@@ -78,8 +79,8 @@ def vendor_metrics(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
                         "company_type_code", "month_end").agg(
         wsum(F.col("requests")).cast("bigint").alias("total_requests"),
         wsum(orders).cast("bigint").alias("total_orders"),
-        wsum(F.col("oem_price") * F.col("quantity")).cast("double").alias("oem_list"),
-        wsum(F.col("revenue") - F.col("margin")).cast("double").alias("parts_cost"),
+        to_double(wsum(F.col("oem_price_e2") * F.col("quantity")), 2).alias("oem_list"),
+        to_double(wsum(F.col("spend_e6")), 6).alias("parts_cost"),
         wsum(F.col("smart_price_selected") * F.col("requests")).cast("bigint").alias("smart_priced_requests"),
         wsum(F.col("smart_sourced") * F.col("requests")).cast("bigint").alias("smart_sourced_requests"),
         wsum(F.col("photo_shown") * F.col("requests")).cast("bigint").alias("photo_requests"),
@@ -111,7 +112,7 @@ def vendor_returns(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
         & (F.col("active") == "Y")
         & ne_keep_missing(F.col("status_id"), 7))
     q = t.txn.filter(F.col("orders") == 1).select(
-        F.col("line_item_id").alias("q_line"), "vendor_id", "price")
+        F.col("line_item_id").alias("q_line"), "vendor_id", "price_e2")
     rows = (r.join(q, r.line_item_id == q.q_line, "left")
             .join(_months(t), to_day(F.col("created_timestamp")) == F.col("date_key"), "left")
             .select(
@@ -119,7 +120,7 @@ def vendor_returns(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
                 map_codes(F.col("responsibility"), RESPONSIBILITY, "other").alias("resp"),
                 F.when(F.col("return_reason_id").isin(*QUALITY_REASONS), "Quality Issue")
                 .otherwise("Other").alias("quality"),
-                (F.col("quantity") * F.col("price")).alias("rev")))
+                (F.col("quantity") * F.col("price_e2")).alias("rev")))  # cents
     # vendor id only survives where the vendor exists (left join to vendors)
     ven = t.vendors.select(F.col("company_id").alias("vid"))
     rows = rows.join(ven, rows.company_id == ven.vid, "left").withColumn("company_id", F.col("vid")).drop("vid")
@@ -133,13 +134,13 @@ def vendor_returns(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
         return F.sum(F.when(cond, n * w).otherwise(0)).cast("bigint")
 
     def rev(cond: Column) -> Column:
-        return F.sum(F.when(cond, s * w).otherwise(0)).cast("double")
+        return to_double(F.sum(F.when(cond, s * w).otherwise(0)), 2)
 
     resp = F.col("resp")
     qual = (F.col("quality") == "Quality Issue") & (resp == "Vendor")
     out = g.groupBy("company_id", "month_end").agg(
         F.sum(n * w).cast("bigint").alias("total_returns"),
-        F.sum(s).cast("double").alias("total_rtn_rev"),
+        to_double(F.sum(s), 2).alias("total_rtn_rev"),
         cnt(resp == "Customer").alias("customer_returns"),
         cnt(resp == "House").alias("house_returns"),
         cnt(resp == "Vendor").alias("vendor_returns"),
@@ -269,10 +270,12 @@ def _best_price_quotes(t: Warehouse, since) -> DataFrame:
                            & (F.col("created_date") >= F.lit(since).cast("date")))
     lid = _non_contract(t).select("line_item_id")
     ven = t.vendors.select(F.col("company_id").alias("vendor_id"), "company_name")
+    # costs as exact doubles of integer thousandths: comparisons and equality
+    # agree with the decimal values
+    ex, out = to_double("exchange_e3", 3), to_double("outright_e3", 3)
     sor = (vr.join(lid, "line_item_id", "inner").join(ven, "vendor_id", "left")
-           .withColumn("new_cost", effective_cost(F.col("exchange_cost"), F.col("outright_cost"), 0.01))
-           .filter(F.coalesce(F.col("outright_cost") > 0.01, F.lit(False))
-                   | F.coalesce(F.col("exchange_cost") > 0.01, F.lit(False))))
+           .withColumn("new_cost", effective_cost(ex, out, 0.01))
+           .filter(F.coalesce(out > 0.01, F.lit(False)) | F.coalesce(ex > 0.01, F.lit(False))))
     # minimum per line x condition (equal to the reference's per-month minimum,
     # as every quote of a line meets every month of that line)
     best = sor.groupBy("line_item_id", "condition_code").agg(F.min("new_cost").alias("best_cost"))
