@@ -52,7 +52,7 @@ def a4_full_refresh(t: Warehouse) -> DataFrame:
     from scorecraft.session import ensure_checkpoint_dir
 
     base = ensure_checkpoint_dir(t.spark).rstrip("/")
-    path = f"{base}/full_refresh/vendor_compliance"
+    path = f"{base}/full_refresh/{t.spark.sparkContext.applicationId}/vendor_compliance"
     tables.full_refresh(compliance.vendor_compliance(t, P.PERIOD_START, P.PERIOD_END), path)
     return t.spark.read.parquet(path)
 

@@ -59,16 +59,23 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names; set one only if unset.
+    """Return the shared checkpoint folder the cluster names; set one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only a local test session without one gets a scratch folder.
+    used as is.  Only a local session without one (tests, bench) gets a
+    scratch folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        try:
+            current = spark.conf.get("spark.checkpoint.dir")
+        except Exception:  # noqa: BLE001 - unset key
+            current = None
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="scorecraft-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current.rstrip("/")

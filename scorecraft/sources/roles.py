@@ -170,7 +170,7 @@ def _line_detail(w: Warehouse) -> DataFrame:
     r = w.role("line_rows")
     p = w.base("part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
     ln = F.col("l_linenumber")
-    stripped = F.upper(F.regexp_replace(F.col("p_name"), " ", ""))
+    stripped = F.upper(F.translate(F.col("p_name"), " ", ""))
     backordered = F.col("l_discount") >= 0.08
     return (
         r.join(p, r.l_partkey == p.p_partkey, "inner")
@@ -345,7 +345,7 @@ def _line_items(w: Warehouse) -> DataFrame:
             .select(
                 F.col("line_item_id").alias("id_no"),
                 F.col("p_name").alias("part_number"),
-                F.upper(F.regexp_replace("p_name", " ", "")).alias("part_number_stripped"),
+                F.upper(F.translate(F.col("p_name"), " ", "")).alias("part_number_stripped"),
                 (F.col("p_size") % 2).alias("photo_shown"),
                 F.col("p_type").alias("description"),
                 ((F.col("l_partkey") + ln) % 27 + 1).cast("int").alias("status_id"),
@@ -482,7 +482,7 @@ def _requestors(w: Warehouse) -> DataFrame:
 def _part_numbers(w: Warehouse) -> DataFrame:
     p = w.base("part")
     return p.select(F.col("p_partkey").alias("part_number_id"),
-                    F.upper(F.regexp_replace("p_name", " ", "")).alias("part_number_stripped"))
+                    F.upper(F.translate(F.col("p_name"), " ", "")).alias("part_number_stripped"))
 
 
 def _vendor_mapping(w: Warehouse) -> DataFrame:
@@ -529,7 +529,7 @@ def _items(w: Warehouse) -> DataFrame:
     return p.select(
         k.alias("item_number"),
         (k % 100).alias("company_id"),
-        F.upper(F.regexp_replace("p_name", " ", "")).alias("part_number"),
+        F.upper(F.translate(F.col("p_name"), " ", "")).alias("part_number"),
         F.col("p_name").alias("description"),
         F.when(k % 3 == 0, "O").otherwise("V").alias("item_type"),
         F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("product_number"),
@@ -764,7 +764,8 @@ def _calendar(w: Warehouse) -> DataFrame:
 
 
 # role -> column the stored table is clustered by (None: no clustering)
-STORED_ROLES = {"line_rows": None, "txn": "transaction_date"}
+STORED_ROLES = {"line_rows": None, "txn": "transaction_date", "line_detail": None, "line_status": None,
+                "tracking": None, "shipping_info": None, "research": None, "returns": None}
 
 ROLE_BUILDERS = {
     "txn": _txn,
