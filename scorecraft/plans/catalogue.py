@@ -92,9 +92,13 @@ def catalogue_sheet(t: Warehouse, kind: str, ids: Iterable, start, end) -> DataF
                 F.sum("quantity").cast("bigint").alias("quantity"),
                 to_double(F.sum("revenue_e4"), 4).alias("revenue"),
                 to_double(F.sum("spend_e6"), 6).alias("ext_cost"), to_double(F.sum("margin_e6"), 6).alias("margin")))
+    # every vendor item of a product lists that product's models: rank the
+    # models once per product, then attach the ten slots to the items (no
+    # items x models fan-out)
     vitems = t.items.filter(F.col("item_type") == "V").select("item_number", "product_number")
-    models = vitems.join(t.pim_models, "product_number", "inner")
-    mslots = top_slots(models, "item_number", "model_code", ["model_code"], 10, "model_", "more_models_flag")
+    pslots = top_slots(t.pim_models, "product_number", "model_code", ["model_code"], 10, "model_",
+                       "more_models_flag")
+    mslots = vitems.join(pslots, "product_number", "inner").drop("product_number")
     refs = t.pim_searches.select("search_item_number", "part_number").distinct()
     rslots = top_slots(refs, "search_item_number", "part_number", ["part_number"], 10, "reference_",
                        "more_references_flag").withColumnRenamed("search_item_number", "oem_item_number")

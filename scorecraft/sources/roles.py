@@ -765,7 +765,9 @@ def _calendar(w: Warehouse) -> DataFrame:
 
 # role -> column the stored table is clustered by (None: no clustering)
 STORED_ROLES = {"line_rows": None, "txn": "transaction_date", "line_detail": None, "line_status": None,
-                "tracking": None, "shipping_info": None, "research": None, "returns": None}
+                "tracking": None, "shipping_info": None, "research": None, "returns": None,
+                "daily_actuals": "accounting_date", "pim_models": None, "pim_searches": None,
+                "pim_images": None, "item_attributes": None, "vendor_mapping": None}
 
 ROLE_BUILDERS = {
     "txn": _txn,
