@@ -13,15 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from scorecraft.plans import params as P
 from scorecraft.plans import scorecard as sc
 from scorecraft.plans import targeting as tg
+from scorecraft.session import configure
 from scorecraft.sources.roles import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def _run(fn: Callable[[Warehouse], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)  # UTC session time zone, AQE, size-checked broadcast
+    return fn(Warehouse(spark, sf_dir))
+
+
 def register(name: str):
     def deco(fn: Callable[[Warehouse], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Warehouse(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _run(fn, spark, sf_dir)
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco
