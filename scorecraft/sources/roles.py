@@ -81,11 +81,26 @@ class Warehouse:
     materialize = os.environ.get("SCORECRAFT_MATERIALIZE", "1") != "0"
 
     def _store(self, name: str, df: DataFrame, cluster_by: tuple[str, ...] | None) -> DataFrame:
+        """Write a role once and read it back.
+
+        By default the table lives in a per-application folder under
+        ``spark.checkpoint.dir``.  When the session names a shared warehouse
+        folder (``scorecraft.warehouse.path``), a complete table already there
+        is reused across applications (build once, report many times).
+        """
         from scorecraft.session import ensure_checkpoint_dir
 
-        root = ensure_checkpoint_dir(self.spark).rstrip("/")
         tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
-        path = f"{root}/warehouse/{self.spark.sparkContext.applicationId}/{tag}/{name}"
+        shared = self.spark.conf.get("scorecraft.warehouse.path", None)
+        if shared:
+            path = f"{shared.rstrip('/')}/{tag}/{name}"
+            try:
+                return self.spark.read.parquet(path)  # present only after a committed write
+            except Exception:  # noqa: BLE001 - not built yet
+                pass
+        else:
+            root = ensure_checkpoint_dir(self.spark).rstrip("/")
+            path = f"{root}/warehouse/{self.spark.sparkContext.applicationId}/{tag}/{name}"
         if cluster_by:
             df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
         df.write.mode("overwrite").parquet(path)
