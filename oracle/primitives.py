@@ -72,7 +72,8 @@ SELECT DISTINCT q.vendor_id, v.company_name, v.relationship_manager_id, v.relati
        v.choice_level, q.oem_id, q.class_id, q.modality_id, q.product_category_id
 FROM txn q LEFT JOIN vendors v ON v.company_id = q.vendor_id""")
 q("B17_tag", "SELECT DISTINCT company_id AS vendor_id, 1 AS coun FROM items WHERE item_type = 'V'")
-q("B18_scalar", "SELECT month_workdays, week_workdays, ws_start AS wk_start FROM k19mw, k19ws, k19ww",
+q("B18_scalar", "SELECT CAST(month_workdays AS BIGINT) AS month_workdays, CAST(week_workdays AS BIGINT) "
+  "AS week_workdays, ws_start AS wk_start FROM k19mw, k19ws, k19ww",
   Q.K19_CTES[:3])
 q("B19_classify", """
 SELECT smart_price_selected, smart_sourced, smart_sourcing_alternative, manual_research, count(*) AS lines
@@ -179,7 +180,8 @@ GROUP BY 1""", Q.K11_CTES)
 q("C15_prior_year", """
 SELECT a.year, a.month, CAST(a.revenue AS DOUBLE) AS revenue, CAST(b.revenue AS DOUBLE) AS py_revenue
 FROM c15m a LEFT JOIN c15m b ON a.year = b.year + 1 AND a.month = b.month""",
-  [("c15m", "SELECT year(transaction_date) AS year, month(transaction_date) AS month, sum(revenue) AS revenue "
+  [("c15m", "SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) "
+            "AS month, sum(revenue) AS revenue "
             "FROM txn GROUP BY 1, 2")])
 q("C16_lookup_agg", """
 SELECT me.month_end,
@@ -295,7 +297,7 @@ SELECT q.vendor_id, r.line_item_id, r.rga_number, r.quantity * q.price AS rev
 FROM returns r LEFT JOIN txn q ON q.line_item_id = r.line_item_id AND q.orders = 1
 WHERE r.rga_type_id IN (2, 4) AND r.active = 'Y'""")])
 q("D20_group_by_exprs", """
-SELECT year(transaction_date) AS year, quarter(transaction_date) AS quarter,
+SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(quarter(transaction_date) AS INTEGER) AS quarter,
        CASE WHEN product_category_id = 2 THEN 'Biomed' ELSE 'Imaging' END AS product_type,
        CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(revenue) AS DOUBLE) AS revenue
 FROM txn GROUP BY 1, 2, 3""")
@@ -326,10 +328,10 @@ q("F4_display_order", """
 SELECT segment, segment_sort, actual_revenue_year FROM k19out ORDER BY segment_sort, segment""",
   Q.K19_CTES + [("k19out", Q.K19_MAIN)])
 q("G1_stack_rows", f"""
-SELECT 'actuals' AS source, year(transaction_date) AS year, CAST(sum(budget_revenue) AS DOUBLE) AS budget_revenue
+SELECT 'actuals' AS source, CAST(year(transaction_date) AS INTEGER) AS year, CAST(sum(budget_revenue) AS DOUBLE) AS budget_revenue
 FROM daily_actuals GROUP BY 2
 UNION ALL
-SELECT 'supplement', year(c.date_key), {Q.stable('sum(CAST(b.budget_revenue AS DOUBLE) / b.days * c.workday_ind)')}
+SELECT 'supplement', CAST(year(c.date_key) AS INTEGER), {Q.stable('sum(CAST(b.budget_revenue AS DOUBLE) / b.days * c.workday_ind)')}
 FROM calendar c JOIN budget_supplement b ON b.month_end = c.month_end GROUP BY 2""")
 q("G2_detail_and_total", """
 SELECT product_category_id, CAST(sum(revenue) AS DOUBLE) AS revenue FROM txn GROUP BY 1
@@ -340,10 +342,11 @@ ORACLE["G3_metric_rows"] = ORACLE["K21_summary_statistics"]
 # --- 2.H --------------------------------------------------------------------
 q("H1_to_day", "SELECT line_item_id, CAST(first_closed_timestamp AS DATE) AS closed_date FROM line_status")
 q("H2_seconds_of_day", """
-SELECT line_item_id, hour(first_closed_timestamp) * 3600 + minute(first_closed_timestamp) * 60
-       + second(first_closed_timestamp) AS closed_seconds FROM line_status""")
+SELECT line_item_id, CAST(hour(first_closed_timestamp) * 3600 + minute(first_closed_timestamp) * 60
+       + second(first_closed_timestamp) AS INTEGER) AS closed_seconds FROM line_status""")
 q("H3_year_month", """
-SELECT year(transaction_date) AS year, month(transaction_date) AS month, count(*) AS rows FROM txn GROUP BY 1, 2""")
+SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) AS month,
+       count(*) AS rows FROM txn GROUP BY 1, 2""")
 q("H4_period_start", """
 SELECT date_key, CAST(date_trunc('month', date_key) AS DATE) AS month_start,
        CAST(date_trunc('year', date_key) AS DATE) AS year_start FROM calendar""")
@@ -379,7 +382,7 @@ q("H17_arithmetic", """
 SELECT line_item_id, vendor_id, item_id, CAST(outright_cost - exchange_cost AS DOUBLE) AS cost_gap,
        CAST(exchange_cost AS DOUBLE) / nullif(CAST(outright_cost AS DOUBLE), 0) AS exchange_share
 FROM research""")
-q("H18_position", "SELECT company_id, coalesce(strpos(payment_term_code, 'NET'), NULL) AS net_position FROM vendors")
+q("H18_position", "SELECT company_id, CAST(strpos(payment_term_code, 'NET') AS INTEGER) AS net_position FROM vendors")
 
 # --- 2.I / 2.J ----------------------------------------------------------------
 ORACLE["I1_transpose"] = ORACLE["K23_monthly_trend"]
@@ -410,7 +413,7 @@ q("J4_daily_ratios", """
 SELECT date_key, product_type, actual_close_rate, actual_sales_po, actual_gm_po, actual_gm_percent,
        budget_gm_percent, gm_percent_variance FROM k22out""", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
 q("J5_blank_zero", """
-SELECT vendor_id, year(transaction_date) AS year, CAST(nullif(sum(returns), 0) AS BIGINT) AS returns
+SELECT vendor_id, CAST(year(transaction_date) AS INTEGER) AS year, CAST(nullif(sum(returns), 0) AS BIGINT) AS returns
 FROM txn GROUP BY 1, 2""")
 q("J6_pct_rows", """
 SELECT customer_segment, metric,

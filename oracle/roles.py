@@ -316,10 +316,10 @@ SELECT *,
        CAST(sum(workday_ind) OVER (ORDER BY date_key
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_workdays
 FROM (
-  SELECT date_key, year(date_key) AS year, month(date_key) AS month,
+  SELECT date_key, CAST(year(date_key) AS INTEGER) AS year, CAST(month(date_key) AS INTEGER) AS month,
          monthname(date_key) AS month_long, last_day(date_key) AS month_end,
          CAST(date_trunc('week', date_key) AS DATE) AS week_start,
-         dayofweek(date_key) + 1 AS dow,
+         CAST(dayofweek(date_key) + 1 AS INTEGER) AS dow,
          CASE WHEN (month(date_key) = 1 AND day(date_key) = 1)
                 OR (month(date_key) = 12 AND day(date_key) = 25) THEN 1 ELSE 0 END AS ps_hol_ind,
          CASE WHEN dayofweek(date_key) BETWEEN 1 AND 5

@@ -14,10 +14,18 @@ def con(small_dir):
     return duck(small_dir)
 
 
+TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+         "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP", "BooleanType()": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, small_dir, con, name):
     df = QUERIES[name](spark, small_dir)
     srows = [tuple(r) for r in df.collect()]
+    rel = con.sql(ORACLE[name])
+    dtypes = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:  # same column types, not only values
+        assert TYPES.get(repr(f.dataType), repr(f.dataType)) == dtypes[f.name], (f.name, f.dataType, dtypes[f.name])
     cur = con.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
