@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorecraft.functions.codes import band
 from scorecraft.functions.money import to_decimal, to_double
 from scorecraft.functions.scalar import fixed_width, to_day
-from scorecraft.functions.semantics import chop_last, in_list, ne_keep_missing, ratio, stable
+from scorecraft.functions.semantics import chop_last, ne_keep_missing, ratio, stable
 from scorecraft.operators.filters import has_text, period_pred
 from scorecraft.operators.joins import full_merge, only_in, slots
 from scorecraft.operators.windows import first_per_key

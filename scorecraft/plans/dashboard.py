@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scorecraft.functions.codes import segment_label, txn_type
 from scorecraft.functions.display import budget_status
 from scorecraft.functions.money import to_decimal, to_double
-from scorecraft.functions.scalar import month_end, period_start, to_day, trend_start
+from scorecraft.functions.scalar import period_start, trend_start
 from scorecraft.functions.semantics import in_list, ne_keep_missing, not_in_keep_missing, ratio, sas_le, stable
 from scorecraft.operators.aggregates import with_total
 from scorecraft.operators.joins import bounded, join_prior_year

@@ -6,14 +6,11 @@ work grows with the data; the reports (2.K) compose the same operators.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions import codes, display, scalar
-from scorecraft.functions.semantics import (chop_last, exists_flag, in_list, ne_keep_missing, not_in_keep_missing,
-                                            ratio, sas_le, stable)
+from scorecraft.functions.semantics import chop_last, exists_flag, in_list, ratio, sas_le, stable
 from scorecraft.operators import aggregates as agg
 from scorecraft.operators import filters as flt
 from scorecraft.operators import joins as jn

@@ -21,7 +21,6 @@ from scorecraft.functions.codes import band, effective_cost, map_codes, transit_
 from scorecraft.functions.money import to_double
 from scorecraft.functions.scalar import seconds_of_day, to_day
 from scorecraft.functions.semantics import in_list, ne_keep_missing, ratio, sas_le, sas_lt
-from scorecraft.operators.aggregates import dsum, isum
 from scorecraft.operators.filters import period_pred
 from scorecraft.operators.joins import bounded, workdays_between
 from scorecraft.sources.roles import Warehouse
