@@ -13,6 +13,7 @@ from scorecraft.operators.filters import has_text, period_pred
 from scorecraft.operators.joins import full_merge, only_in, slots
 from scorecraft.operators.windows import first_per_key
 from scorecraft.sources.roles import Warehouse
+from scorecraft.sources.tables import stage
 
 MONEY = ("spend", "revenue", "margin")
 
@@ -247,9 +248,9 @@ def backorder_base(t: Warehouse, start, end) -> DataFrame:
                        "relationship_manager", "clean_part")
 
 
-def backorder_vendor_summary(t: Warehouse, start, end) -> DataFrame:
+def backorder_vendor_summary(t: Warehouse, start, end, base: DataFrame | None = None) -> DataFrame:
     """K11 vendor summary: vendors with backorders (HAVING on the alias)."""
-    b = backorder_base(t, start, end)
+    b = base if base is not None else backorder_base(t, start, end)
     g = b.groupBy("vendor_id", "vendor_name", "relationship_manager_id", "relationship_manager").agg(
         F.sum("ever_backordered").cast("bigint").alias("backorders"),
         F.sum("requests").cast("bigint").alias("requests"),
@@ -258,14 +259,18 @@ def backorder_vendor_summary(t: Warehouse, start, end) -> DataFrame:
 
 
 def backorder_trends(t: Warehouse, start, end) -> DataFrame:
-    """Backorders per vendor x month x part, for vendors that have any."""
-    b = backorder_base(t, start, end)
+    """Backorders per vendor x month x part, for vendors that have any.
+
+    The backorder base is an intermediate table read three times (A3): it is
+    staged once instead of re-joined for each use.
+    """
+    b = stage(t.spark, backorder_base(t, start, end), "backorders", f"{t.sf_dir}|{start}|{end}")
     # first description per vendor x part by order date (ties: line id, text)
     desc = first_per_key(b.select("vendor_id", "clean_part", "ordered_date", "line_item_id", "description"),
                          ["vendor_id", "clean_part"], ["ordered_date", "line_item_id", "description"])
     desc = desc.select(F.col("vendor_id").alias("e_vendor_id"), F.col("clean_part").alias("e_clean_part"),
                        F.col("description").alias("best_description"))
-    vs = backorder_vendor_summary(t, start, end).select("vendor_id")
+    vs = backorder_vendor_summary(t, start, end, b).select("vendor_id")
     b = only_in(b, vs, ["vendor_id"])
     j = b.join(desc, b.vendor_id.eqNullSafe(desc.e_vendor_id) & b.clean_part.eqNullSafe(desc.e_clean_part), "left")
     return j.groupBy("vendor_id", "vendor_name", "relationship_manager_id", "relationship_manager", "month_end",

@@ -54,3 +54,21 @@ def write_split(df: DataFrame, col: str, path: str) -> str:
     """A7 as a sink: one folder per category in a single write job."""
     df.write.mode("overwrite").partitionBy(col).parquet(path)
     return path
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
+    """A3: an intermediate table (``create table ... as``) read by several later steps.
+
+    Written once as parquet under ``spark.checkpoint.dir`` (shared storage on a
+    cluster) and read back, so the steps that reuse it do not recompute its
+    joins and its lineage is cut.  ``key`` identifies the parameters.
+    """
+    import hashlib
+
+    from scorecraft.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark)
+    tag = hashlib.sha1(key.encode()).hexdigest()[:12]
+    path = f"{root}/stage/{spark.sparkContext.applicationId}/{name}-{tag}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
