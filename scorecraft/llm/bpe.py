@@ -28,14 +28,31 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _NONE = np.int64(1) << np.int64(62)
 
 
-@functools.cache
-def char_classes() -> np.ndarray:
-    """Class of every code point under the library's ``\\s``, ``\\p{L}``, ``\\p{N}``."""
-    table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
-        table[[ord(c) for c in regex.findall(pattern, every)]] = kind
-    return table
+_UNKNOWN = 255
+_classes = np.full(0x110000, _UNKNOWN, np.uint8)
+
+
+def char_classes(cp: np.ndarray) -> np.ndarray:
+    """Class of each code point, as the library's own patterns see it (worked out once for each 1024 of them)."""
+    kind = _classes[cp]
+    new = kind == _UNKNOWN
+    if new.any():
+        for block in np.unique(cp[new] >> 10).tolist():
+            _learn(block << 10)
+        kind = _classes[cp]
+    return kind
+
+
+def _learn(low: int) -> None:
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    points = [p for p in range(low, low + 1024) if not 0xD800 <= p < 0xE000]
+    _classes[low:low + 1024] = OTHER
+    every = "".join(map(chr, points))
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        for found, _ in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            _classes[ord(found)] = kind
 
 
 @functools.cache
@@ -71,7 +88,7 @@ def split_words(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Units of the word model: contractions, letter runs, single numbers, runs of the rest; white space goes."""
     if not len(cp):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = char_classes()[cp]
+    kind = char_classes(cp)
     first, _, ends = _rows(cp, offs)
     before = np.concatenate([[SPACE], kind[:-1]])
     before[first] = SPACE
@@ -93,7 +110,7 @@ def split_bytes(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Units of the byte model: as above with number runs; one blank before a unit joins it, other white space stays."""
     if not len(cp):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = char_classes()[cp]
+    kind = char_classes(cp)
     first, last, ends = _rows(cp, offs)
     before = np.concatenate([[SPACE], kind[:-1]])
     before[first] = SPACE
@@ -130,7 +147,7 @@ PRETOKENIZERS = {"words": split_words, "bytes": split_bytes}
 class SegmentTreeBPE:
     """Encoder and decoder for one ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -72,6 +72,25 @@ def map_text(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray, pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], dict], added: str, text: str = "text") -> DataFrame:
+    """``df``, all its columns as they are, with the columns that ``fn`` gives for slices (see ``map_text``)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(added)
+    extra, at = to_arrow_schema(new), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(at))
+            for i, j in slices(offsets):
+                part = batch.slice(i, j - i)
+                cols = fn(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], part)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(_array(cols[f.name], f.type) for f in extra)], names=[*part.schema.names, *extra.names])
+
+    return df.mapInArrow(run, StructType([*df.schema, *new]))
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm.common import documents, stored, table
+from scorecraft.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,11 +19,15 @@ ORACLE_SQL: dict[str, str] = {}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All corpus queries, the pipeline of ``corpus_pipeline.py`` included."""
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    import corpus_pipeline
+
+    return {**ORACLE_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,3 +71,64 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).select(
         "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op9_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, likeness of 0.85 or more."""
+    from scorecraft.llm import minhash
+
+    found = minhash.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte of a 400-byte string that starts anywhere else too."""
+    from scorecraft.llm import suffix_dedup
+
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400, keep_first=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text for quality."""
+    from scorecraft.llm import quality
+
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text for toxicity, with its nearest labelled examples as evidence."""
+    from scorecraft.llm import toxicity
+
+    return toxicity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's URL by the listed rules, else by mined ones."""
+    from scorecraft.llm import url_rules
+
+    found = url_rules.judge(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited copy, and how near they are."""
+    from scorecraft.llm import fingerprints
+
+    made = fingerprints.fingerprints(documents(spark, sf_dir))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.spelled(F.col("sketch")).alias("fingerprint"),
+                       fingerprints.spelled(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    from scorecraft.llm import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), top=5, every=50)

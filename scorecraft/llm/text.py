@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -106,7 +106,7 @@ class SpanCache:
     costs time and changes no result.
     """
 
-    def __init__(self, limit: int = 1_000_000, dtype=np.int32):
+    def __init__(self, limit: int = 600_000, dtype=np.int32):
         self.limit, self.dtype = limit, dtype
         self.clear()
 
