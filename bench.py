@@ -3,9 +3,10 @@
 Prints one JSON line: {"metric": "total_sec", "value": N, "unit": "sec",
 "queries": {...}, "sf": ...}.  Each query runs to completion through the
 ``noop`` sink (full execution, nothing collected); the reported time is
-the best of $BENCH_RUNS warm runs after one cold run.  The cold run of a
-session also stores the shared role tables (the warehouse the reports read)
-under spark.checkpoint.dir; its time is reported separately as "cold".
+the best of $BENCH_RUNS warm runs after one cold run.  Storing the shared role
+tables (the warehouse that the reports read) under spark.checkpoint.dir is
+timed first, as "prepare_warehouse", and is part of the total: a scheduled run
+pays it once.  Cold times of the reports are reported apart.
 """
 
 from __future__ import annotations
@@ -41,7 +42,14 @@ def main() -> None:
     from scorecraft.registry import QUERIES
 
     spark = local_session(cpus, app="scorecraft-bench")
+    from scorecraft.sources.roles import STORED_ROLES, Warehouse
+
     times, cold = {}, {}
+    t0 = time.perf_counter()
+    warehouse = Warehouse(spark, sf_dir).prepare()
+    for role in STORED_ROLES:
+        warehouse.role(role)
+    times["prepare_warehouse"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         if name not in QUERIES:
             continue
@@ -57,7 +65,6 @@ def main() -> None:
         times[name] = round(best, 3)
     # literal forms of three rewrites (reported apart, not in the total)
     from scorecraft.plans import literal_forms as lf
-    from scorecraft.sources.roles import Warehouse
 
     literal = {}
     for name, fn in [("R3_correlated_workdays", lf.r3_correlated_workdays), ("R5_union_grid", lf.r5_union_grid),
@@ -65,7 +72,7 @@ def main() -> None:
         best = None
         for i in range(2):
             t0 = time.perf_counter()
-            fn(Warehouse(spark, sf_dir)).write.format("noop").mode("overwrite").save()
+            fn(warehouse).write.format("noop").mode("overwrite").save()
             best = time.perf_counter() - t0 if i else None
         literal[name] = round(best, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)

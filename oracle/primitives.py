@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from oracle import queries as Q
 from oracle.queries import ASOF, END, START, q
+from oracle.roles import ROLE_CTES
 
 ORACLE = Q.ORACLE_SQL
 
 # --- 2.A --------------------------------------------------------------------
-_roles = ("txn", "line_detail", "line_status", "tracking", "shipping_info", "returns", "research",
-          "vendors", "customers", "calendar", "items", "item_prices", "daily_actuals")
+_roles = [name for name, _ in ROLE_CTES if name != "cal_days"]
 q("A1_named_scan", "\nUNION ALL\n".join(f"SELECT '{r}' AS role, count(*) AS row_count FROM {r}" for r in _roles))
-q("A2_source_query", "SELECT * FROM k17pc", Q.K17_CTES)
+q("A2_source_query", "SELECT * FROM codes", Q.K17_CTES)
 ORACLE["A4_full_refresh"] = ORACLE["K8_vendor_compliance"]
 q("A5_report", """
 SELECT vendor_id AS "Vendor ID", vendor_name AS "Vendor Name", backorders AS "Backorders", requests AS "Requests",
        backorder_percent AS "Backorder Percent"
-FROM k11vs""", Q.K11_CTES)
-q("A7_split_by", "SELECT * FROM k22out WHERE product_type = 'Biomed'", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
+FROM late_vendors""", Q.K11_CTES)
+q("A7_split_by", "SELECT * FROM k22out WHERE product_type <> 'Total'", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
 
 # --- 2.B --------------------------------------------------------------------
 q("B1_derive", """
@@ -56,28 +56,23 @@ SELECT company_id, count(*) AS contacts FROM contacts
 WHERE active = 'Y' AND cc_active = 'Y' AND vendor_ind = 'Y' GROUP BY 1""")
 q("B12_by_filter", """
 SELECT pip.search_item_number, i.ps_structure_id, i.company_id AS vendor_id, io.oem_name AS oem_id,
-       p.structure_id AS taxonomy_id
+       t.structure_id AS taxonomy_id
 FROM item_prices pip
 LEFT JOIN items i ON i.item_number = pip.search_item_number
 LEFT JOIN items io ON io.item_number = pip.oem_item_number
-LEFT JOIN (SELECT product_number, structure_id FROM oem_structure_products WHERE oem_id = 2) p
-       ON p.product_number = pip.product_number
-WHERE i.ps_structure_id BETWEEN 1 AND 50""")
+LEFT JOIN (SELECT product_number, structure_id FROM oem_structure_products WHERE oem_id = 2) t
+       ON t.product_number = pip.product_number
+WHERE i.ps_structure_id IN (SELECT structure_id FROM product_structure WHERE parent_name = 'Group 2')""")
 q("B13_has_text", "SELECT company_id, coalesce(payment_term_code LIKE '%NET%', false) AS net_terms FROM vendors")
-q("B14_having", "SELECT * FROM k11vs", Q.K11_CTES)
+q("B14_having", "SELECT * FROM late_vendors", Q.K11_CTES)
 q("B15_distinct", "SELECT DISTINCT price_rule_id FROM pricing_rules WHERE prod_seg_part_number IS NOT NULL")
-q("B16_distinct_wide", """
-SELECT DISTINCT q.vendor_id, v.company_name, v.relationship_manager_id, v.relationship_manager, v.company_type_code,
-       v.tier_code, v.payment_term_code, v.active, v.smart_order_enabled, v.smart_label_enabled, v.epv_member,
-       v.choice_level, q.oem_id, q.class_id, q.modality_id, q.product_category_id
-FROM txn q LEFT JOIN vendors v ON v.company_id = q.vendor_id""")
+ORACLE["B16_distinct_wide"] = ORACLE["K24_line_item_details"]
 q("B17_tag", "SELECT DISTINCT company_id AS vendor_id, 1 AS coun FROM items WHERE item_type = 'V'")
 q("B18_scalar", "SELECT CAST(month_workdays AS BIGINT) AS month_workdays, CAST(week_workdays AS BIGINT) "
-  "AS week_workdays, ws_start AS wk_start FROM k19mw, k19ws, k19ww",
-  Q.K19_CTES[:3])
+  "AS week_workdays, week_start AS wk_start FROM now_", Q.K19_CTES[:1])
 q("B19_classify", """
 SELECT smart_price_selected, smart_sourced, smart_sourcing_alternative, manual_research, count(*) AS lines
-FROM k24out GROUP BY 1, 2, 3, 4""", Q.K24_CTES + [("k24out", Q.K24_MAIN)])
+FROM loaded GROUP BY 1, 2, 3, 4""", Q.K24_CTES)
 q("B20_map_codes", """
 SELECT CASE WHEN responsibility = 'C' THEN 'Customer' WHEN responsibility = 'P' THEN 'House'
             WHEN responsibility IN ('V', 'N') THEN 'Vendor' WHEN responsibility = 'S' THEN 'Shipping'
@@ -86,7 +81,7 @@ FROM returns GROUP BY 1""")
 q("B21_transit_days", f"""
 SELECT {Q.TRANSIT_CASE} AS transit_days, count(*) AS lines
 FROM shipping_info s LEFT JOIN ship_methods sm ON sm.shipping_method = s.shipping_method GROUP BY 1""")
-q("B22_band", "SELECT supplier_type, count(*) AS vendors FROM k4 GROUP BY 1", [("k4", Q.K4_SQL)])
+q("B22_band", "SELECT supplier_type, count(*) AS vendors FROM k4 GROUP BY 1", [Q.SALES, ("k4", Q.K4_SQL)])
 q("B23_exists_flag", """
 SELECT CASE WHEN t.line_item_id IS NOT NULL THEN 1 ELSE 0 END AS has_leg2, count(*) AS lines
 FROM line_detail l LEFT JOIN (SELECT line_item_id FROM tracking WHERE shipment_leg_id = 2) t
@@ -108,7 +103,7 @@ SELECT CASE WHEN orders > 0 AND returns = 0 THEN 'O' WHEN orders = 0 AND returns
 FROM (SELECT line_item_id, transaction_date, sum(orders) AS orders, sum(returns) AS returns FROM txn GROUP BY 1, 2)
 GROUP BY 1""")
 q("B27_segment", f"""
-SELECT {Q.SEG_LABEL} AS segment, {Q.SEG_SORT} AS segment_sort, count(*) AS customers FROM customers GROUP BY 1, 2""")
+SELECT {Q._segment(2, repr('Provider'))} AS segment, {Q._segment(3, '3')} AS segment_sort, count(*) AS customers FROM customers GROUP BY 1, 2""")
 
 # --- 2.C --------------------------------------------------------------------
 q("C1_inner", """
@@ -130,12 +125,12 @@ LEFT JOIN product_classes pcl ON pcl.class_id = q.class_id
 JOIN product_categories pc ON pc.product_category_id = q.product_category_id
 GROUP BY 1, 2, 3""")
 q("C4_wide_star", """
-SELECT condition_code, warranty_description, urgency_code, count(*) AS lines FROM k24out GROUP BY 1, 2, 3""",
-  Q.K24_CTES + [("k24out", Q.K24_MAIN)])
+SELECT condition_code, warranty_description, urgency_code, count(*) AS lines FROM loaded GROUP BY 1, 2, 3""",
+  Q.K24_CTES)
 q("C5_full_merge", """
 SELECT coalesce(v.vendor_id, r.vendor_id) AS vendor_id, v.has_orders, r.has_research
-FROM (SELECT vendor_id, 1 AS has_orders FROM k8vend) v
-FULL JOIN (SELECT vendor_id, 1 AS has_research FROM k8vr) r ON r.vendor_id = v.vendor_id""", Q.K8_CTES)
+FROM (SELECT vendor_id, 1 AS has_orders FROM ordering) v
+FULL JOIN (SELECT vendor_id, 1 AS has_research FROM quoting) r ON r.vendor_id = v.vendor_id""", Q.K8_CTES)
 q("C6_left_where", """
 SELECT q.vendor_id, CAST(sum(CASE WHEN t.tracking_number IS NOT NULL THEN q.orders ELSE 0 END) AS BIGINT)
          AS tracking_provided
@@ -159,10 +154,10 @@ LEFT JOIN calendar ord ON ord.date_key = CAST(ls.first_ordered_timestamp AS DATE
 LEFT JOIN calendar del ON del.date_key = CAST(t.date_delivered AS DATE)""")
 q("C10_with_parent", """
 SELECT p.product_number, p.structure_id, t.parent_structure_id, t.parent_name
-FROM oem_structure_products p LEFT JOIN k17tax t ON t.structure_id = p.structure_id
+FROM oem_structure_products p LEFT JOIN taxonomy t ON t.structure_id = p.structure_id
 WHERE p.oem_id = 2""", Q.K17_CTES)
 q("C11_workdays_between", """
-SELECT line_item_id, own_vendor AS vendor_id, ctime, delivered, clo_del_days FROM k5r2""", Q.K5_CTES)
+SELECT line_item_id, own_vendor AS vendor_id, ctime, delivered, CAST(clo_del_days AS BIGINT) AS clo_del_days FROM deliveries""", Q.K5_CTES)
 q("C12_slots", """
 SELECT k.vendor_id, a1.settings AS priority_1, a2.settings AS priority_2, a3.settings AS priority_3,
        a4.settings AS priority_4, a5.settings AS priority_5
@@ -172,10 +167,13 @@ LEFT JOIN auto_order a2 ON a2.vendor_id = k.vendor_id AND a2.ship_priority_id =
 LEFT JOIN auto_order a3 ON a3.vendor_id = k.vendor_id AND a3.ship_priority_id = 3
 LEFT JOIN auto_order a4 ON a4.vendor_id = k.vendor_id AND a4.ship_priority_id = 4
 LEFT JOIN auto_order a5 ON a5.vendor_id = k.vendor_id AND a5.ship_priority_id = 5""")
-q("C13_keep_extreme", "SELECT * FROM update_time", Q.K24_CTES)
+q("C13_keep_extreme", """
+SELECT c.line_item_id, o.user_name, c.confirmation_notes
+FROM confirmations c LEFT JOIN organization o ON o.organization_id = c.confirmed_by_id
+WHERE c.created_timestamp = (SELECT max(x.created_timestamp) FROM confirmations x WHERE x.line_item_id = c.line_item_id)""")
 q("C14_only_in", """
-SELECT b.vendor_id, count(*) AS rows FROM k11bo b
-WHERE EXISTS (SELECT 1 FROM k11vs v WHERE v.vendor_id IS NOT DISTINCT FROM b.vendor_id)
+SELECT b.vendor_id, count(*) AS rows FROM requested b
+WHERE EXISTS (SELECT 1 FROM late_vendors v WHERE v.vendor_id IS NOT DISTINCT FROM b.vendor_id)
 GROUP BY 1""", Q.K11_CTES)
 q("C15_prior_year", """
 SELECT a.year, a.month, CAST(a.revenue AS DOUBLE) AS revenue, CAST(b.revenue AS DOUBLE) AS py_revenue
@@ -192,10 +190,10 @@ SELECT me.month_end,
   (SELECT max(workday_nbr_mtd) FROM calendar c
     WHERE year(c.date_key) = year(me.month_end) AND month(c.date_key) = month(me.month_end)) AS workdays_cy_mtd
 FROM (SELECT DISTINCT month_end FROM calendar) me""")
-q("C17_filter_before_join", "SELECT * FROM k8vr", Q.K8_CTES)
+q("C17_filter_before_join", "SELECT r.*, left(v.company_name, 100) AS vendor FROM quoting r LEFT JOIN vendors v ON v.company_id = r.vendor_id", Q.K8_CTES)
 q("C18_join_ns", """
 SELECT d.description AS best_description, CAST(sum(b.requests) AS BIGINT) AS requests
-FROM k11bo b LEFT JOIN k11desc d
+FROM requested b LEFT JOIN part_texts d
   ON d.vendor_id IS NOT DISTINCT FROM b.vendor_id AND d.clean_part IS NOT DISTINCT FROM b.clean_part
 GROUP BY 1""", Q.K11_CTES)
 
@@ -220,11 +218,17 @@ q("D4_count_if", """
 SELECT vendor_id, count(CASE WHEN result_code IN ('HP', 'EHP') THEN line_item_id END) AS has_part,
        count(CASE WHEN outright_cost IS NOT NULL THEN outright_cost END) AS priced
 FROM research GROUP BY 1""")
-q("D5_distinct_count", "SELECT * FROM k8map", Q.K8_CTES)
+q("D5_distinct_count", """
+SELECT vendor_id, count(DISTINCT oem_id) AS oem_maps, count(DISTINCT model_id) AS model_maps,
+       count(DISTINCT modality_id) AS modality_maps, count(DISTINCT class_id) AS class_maps
+FROM vendor_mapping GROUP BY 1""")
 q("D6_row_count", "SELECT item_number, count(*) AS photos FROM pim_images GROUP BY 1")
 q("D7_extremes", """
 SELECT vendor_id, min(transaction_date) AS first_date, max(transaction_date) AS last_date FROM txn GROUP BY 1""")
-q("D8_any_flag", "SELECT * FROM research_ids", Q.K24_CTES)
+q("D8_any_flag", """
+SELECT line_item_id, max(research_type_id) AS researchtypemax, min(research_type_id) AS researchtypemin,
+       CAST(bool_or(research_type_id IN (2, 3)) AS INTEGER) AS sppresearch, CAST(bool_or(created_user_id = 3) AS INTEGER) AS system_flag
+FROM research GROUP BY 1""")
 q("D9_sum_over_mean", """
 SELECT c.month_end, CAST(sum(q.revenue) AS DOUBLE) / nullif(avg(CAST(c.workday_nbr_mtd AS DOUBLE)), 0)
          AS revenue_per_mean_workday
@@ -242,14 +246,14 @@ FROM vendors GROUP BY 1""")
 q("D12_wavg", """
 SELECT vendor_type, CAST(CAST(sum(smart_label_pct * orders) / nullif(CAST(sum(orders) AS DOUBLE), 0)
                               AS DECIMAL(38,12)) AS DOUBLE) AS smart_label_pct
-FROM k8comb GROUP BY 1""", Q.K8_CTES)
+FROM compliance GROUP BY 1""", Q.K8_CTES)
 q("D13_grand_total", """
 SELECT CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(orders) AS BIGINT) AS orders,
        CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(margin) AS DOUBLE) AS margin,
        CAST(sum(margin) AS DOUBLE) / nullif(CAST(sum(revenue) AS DOUBLE), 0) AS margin_pct
 FROM txn""")
 q("D14_with_total", f"""
-SELECT {Q.SEG_LABEL} AS segment, {Q.SEG_SORT} AS segment_sort,
+SELECT {Q._segment(2, repr('Provider'))} AS segment, {Q._segment(3, '3')} AS segment_sort,
        CAST(sum(actual_revenue) AS DOUBLE) AS actual_revenue, CAST(sum(budget_revenue) AS DOUBLE) AS budget_revenue
 FROM daily_actuals GROUP BY 1, 2
 UNION ALL
@@ -277,7 +281,7 @@ GROUP BY 1""")
 q("D17_period_to_date", "SELECT segment, product_category_description, "
   + ", ".join(f"CAST({p}_{k}_{m} AS DOUBLE) AS {p}_{k}_{m}" for p in ("cy_mtd", "cy_ytd", "py_mtd", "py_ytd")
               for k in ("actual", "budget") for m in ("revenue", "margin"))
-  + " FROM k21bfa", Q.K21_CTES[:1])
+  + " FROM spans", Q.K21_CTES[:1])
 q("D18_per_workday", """
 SELECT m.month_end, c.workdays, CAST(m.revenue AS DOUBLE) / nullif(CAST(c.workdays AS DOUBLE), 0)
          AS revenue_per_workday
@@ -303,27 +307,28 @@ SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(quarter(transaction
 FROM txn GROUP BY 1, 2, 3""")
 
 # --- 2.E / 2.F / 2.G ----------------------------------------------------------
-q("E1_first_per_key", "SELECT * FROM rps", Q.K24_CTES)
-q("E2_rank_in_group", "SELECT item_number, model_code, rank FROM k18mr", Q.K18_CTES)
-q("E3_first_of_group", "SELECT * FROM k11desc", Q.K11_CTES)
+q("E1_first_per_key", """
+SELECT line_item_id, received_by_contact_id, date_received FROM received_parts
+QUALIFY row_number() OVER (PARTITION BY line_item_id ORDER BY date_received, received_by_contact_id) = 1""")
+q("E2_rank_in_group", """
+SELECT item_number, model_code, product_number,
+       CAST(row_number() OVER (PARTITION BY item_number ORDER BY model_code) AS INTEGER) AS rank
+FROM item_models""", Q.K18_CTES)
+q("E3_first_of_group", "SELECT * FROM part_texts", Q.K11_CTES)
 q("E4_latest_ties", """
 SELECT r.line_item_id, r.rga_number, r.created_timestamp FROM returns r
 JOIN (SELECT line_item_id, max(created_timestamp) AS m FROM returns GROUP BY 1) x
   ON x.line_item_id = r.line_item_id AND x.m = r.created_timestamp""")
-q("E5_top_slots", "SELECT p.search_item_number, "
-  + ", ".join(f"r{i}.part_number AS reference_{i}" for i in range(1, 11))
-  + ", CASE WHEN r11.part_number IS NOT NULL THEN 'Y' ELSE 'N' END AS more_references\n"
-  + "FROM (SELECT DISTINCT search_item_number FROM pim_searches) p\n"
-  + "\n".join(f"LEFT JOIN k18rr r{i} ON r{i}.search_item_number = p.search_item_number AND r{i}.rank = {i}"
-              for i in range(1, 12)), Q.K18_CTES)
+q("E5_top_slots", f"SELECT search_item_number, {Q._slots('ref_list', 'reference')} FROM ref_list", Q.K18_CTES)
 q("E6_workday_numbers", "SELECT date_key, workday_nbr_mtd, workday_nbr_ytd FROM calendar")
 q("F1_sort_by", """
-SELECT vendor_id, clean_part, ordered_date, line_item_id FROM k11bo
+SELECT vendor_id, clean_part, ordered_date, line_item_id FROM requested
 ORDER BY vendor_id NULLS FIRST, clean_part, ordered_date, line_item_id""", Q.K11_CTES)
 q("F2_sort_desc", """
-SELECT vendor_id, vendor, CAST(spend AS DOUBLE) AS spend FROM k8comb ORDER BY spend DESC NULLS LAST, vendor_id""",
+SELECT vendor_id, vendor, CAST(spend AS DOUBLE) AS spend FROM compliance ORDER BY spend DESC NULLS LAST, vendor_id""",
   Q.K8_CTES)
-q("F3_sort_before_by", "SELECT search_item_number, part_number, rank FROM k18rr", Q.K18_CTES)
+q("F3_sort_before_by", """
+SELECT *, CAST(row_number() OVER (PARTITION BY search_item_number ORDER BY part_number) AS INTEGER) AS rank FROM item_refs""", Q.K18_CTES)
 q("F4_display_order", """
 SELECT segment, segment_sort, actual_revenue_year FROM k19out ORDER BY segment_sort, segment""",
   Q.K19_CTES + [("k19out", Q.K19_MAIN)])
@@ -390,7 +395,7 @@ q("I3_spread_budget", """
 SELECT c.date_key, CAST(b.budget_revenue AS DOUBLE) / b.days * c.workday_ind AS budget_revenue_day
 FROM calendar c JOIN budget_supplement b ON b.month_end = c.month_end""")
 q("I4_spread_prior_year", "SELECT date_key, product_type, "
-  + ", ".join(f"{Q.stable(c)} AS {c}" for c in Q.K22_PY) + " FROM k22pyc", Q.K22_CTES)
+  + ", ".join(f"{Q.stable(c)} AS {c}" for c in Q.K22_PY) + " FROM last_year", Q.K22_CTES)
 q("J1_fmt", """
 SELECT vendor_id, '$' || format('{:,.2f}', CAST(CAST(revenue AS DECIMAL(38,2)) AS DOUBLE)) AS revenue_text,
        format('{:,.0f}', CAST(CAST(orders AS DECIMAL(38,0)) AS DOUBLE)) AS orders_text,
@@ -407,8 +412,10 @@ SELECT date_key, product_type,
             THEN '($' || format('{:,.0f}', CAST(CAST(abs(CAST(rev_variance AS DECIMAL(20,0))) AS DECIMAL(38,0)) AS DOUBLE)) || ')'
             ELSE '$' || format('{:,.0f}', CAST(CAST(abs(CAST(rev_variance AS DECIMAL(20,0))) AS DECIMAL(38,0)) AS DOUBLE))
        END AS rev_variance_text,
-       coalesce(rev_variance < 0, false) AS is_negative
-FROM k22out""", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
+       coalesce(rev_variance < 0, false) AS is_negative,
+       CASE WHEN gm_percent_variance < 0 THEN '(' || gm_text || ')' ELSE gm_text END AS gm_variance_text,
+       coalesce(margin_variance < 0, false) AS margin_is_negative, coalesce(gm_percent_variance < 0, false) AS gm_is_negative
+FROM (SELECT *, format('{:,.1f}', CAST(CAST(abs(gm_percent_variance * 100) AS DECIMAL(38,1)) AS DOUBLE)) || '%' AS gm_text FROM k22out)""", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
 q("J4_daily_ratios", """
 SELECT date_key, product_type, actual_close_rate, actual_sales_po, actual_gm_po, actual_gm_percent,
        budget_gm_percent, gm_percent_variance FROM k22out""", Q.K22_CTES + [("k22out", Q.K22_MAIN)])
@@ -421,5 +428,5 @@ SELECT customer_segment, metric,
             THEN format('{:,.1f}', CAST(CAST(CAST(mtd_actual AS DECIMAL(20,6)) * 100 AS DECIMAL(38,1)) AS DOUBLE)) || '%'
             ELSE '$' || format('{:,.2f}', CAST(CAST(CAST(mtd_actual AS DECIMAL(20,6)) AS DECIMAL(38,2)) AS DOUBLE))
        END AS mtd_actual_text
-FROM k21out""", Q.K21_CTES + [("k21out", "\nUNION ALL\n".join(Q._branches))])
+FROM k21out""", Q.K21_CTES + [("k21out", Q.K21_MAIN)])
 ORACLE["I2_rows_to_slots"] = ORACLE["C12_slots"]

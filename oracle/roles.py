@@ -114,7 +114,12 @@ SELECT l_orderkey * 10 + l_linenumber AS line_item_id, l_suppkey AS vendor_id,
        l_linenumber % 4 AS condition_id, l_linenumber % 3 AS warranty_id,
        CAST(l_extendedprice AS DECIMAL(15,2)) AS outright_price,
        CAST(l_extendedprice AS DECIMAL(15,2)) * 0.75 AS exchange_price,
-       CASE WHEN l_linenumber = 7 THEN 7 END AS contract_pro_id
+       CASE WHEN l_linenumber = 7 THEN 7 END AS contract_pro_id,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'P-' || l_partkey || 'X' END AS replacement_part_number,
+       l_partkey % 100 AS vrm_score, l_linenumber * 2 AS lead_time_days,
+       CASE WHEN l_partkey % 2 = 0 THEN 'Y' ELSE 'N' END AS is_formulary_outright_option,
+       CASE WHEN l_partkey % 3 = 0 THEN 'Y' ELSE 'N' END AS is_formulary_exchange_option,
+       CAST(CASE WHEN l_linenumber % 2 = 1 THEN 50 ELSE 0 END AS DOUBLE) AS core_charge
 FROM lineitem"""),
     ("line_items", """
 SELECT line_item_id AS id_no, p_name AS part_number, upper(replace(p_name, ' ', '')) AS part_number_stripped,
@@ -127,7 +132,22 @@ SELECT line_item_id AS id_no, p_name AS part_number, upper(replace(p_name, ' ',
        o_orderdate AS created_timestamp, l_partkey % 150 AS created_user_id,
        CASE WHEN l_discount >= 0.08 THEN CAST(l_shipdate AS DATE) END AS backorder_ship_date,
        CASE WHEN l_linenumber % 2 = 1 THEN 'Y' ELSE 'N' END AS had_smartpriced_research,
-       l_linenumber % 3 AS urgency_id
+       l_linenumber % 3 AS urgency_id,
+       l_orderkey AS order_id, 'PO' || l_orderkey AS line_item_po, 'WO' || l_orderkey AS work_order_number,
+       l_partkey % 900 AS equipment_number, 'SE' || l_partkey AS serial_number_equipment,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'SN' || l_orderkey END AS serial_number,
+       CASE WHEN l_linenumber % 3 = 0 THEN 'SC' || l_orderkey END AS serial_number_core,
+       p_brand || '-' || p_size AS model_number, 'HPO' || l_orderkey AS house_po_number,
+       'CC' || (l_partkey % 20) AS cost_center,
+       CAST(o_orderdate AS DATE) + 1 AS sourced_date, CAST(o_orderdate AS DATE) + 2 AS quoted_date,
+       CASE WHEN l_linenumber <> 5 THEN CAST(o_orderdate AS DATE) + 3 END AS closed_date,
+       CAST(o_orderdate AS DATE) + 4 AS confirmed_date, CAST(o_orderdate AS DATE) + 5 AS po_date,
+       CASE WHEN p_size % 4 = 0 THEN 'Y' ELSE 'N' END AS gsa_item,
+       CASE WHEN l_linenumber = 6 THEN l_partkey % 9 END AS nosale_reason_id,
+       CASE WHEN l_linenumber % 3 = 0 THEN 'Y' ELSE 'N' END AS had_smartsourced_research,
+       ([1, 2, 3, 4, 5, 100])[(l_orderkey + l_linenumber) % 6 + 1] AS line_origin_id,
+       p_size AS class_id, p_size % 7 AS modality_id, p_brand AS oem_id,
+       CASE WHEN l_discount >= 0.09 THEN CAST(l_shipdate AS DATE) + 7 END AS backorder_followup_date
 FROM line_rows JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""),
     ("confirmations", """
 SELECT l_orderkey * 10 + l_linenumber AS line_item_id, l_shipdate AS created_timestamp,
@@ -144,7 +164,8 @@ FROM lineitem WHERE l_returnflag = 'N'"""),
     ("admin_actions", """
 SELECT l_orderkey * 10 + l_linenumber AS line_item_id, l_linenumber % 5 AS action_type_id FROM lineitem"""),
     ("condition_codes", """
-SELECT DISTINCT l_linenumber % 4 AS condition_id, (['NO', 'NF', 'RF', 'AF'])[l_linenumber % 4 + 1] AS condition_code
+SELECT DISTINCT l_linenumber % 4 AS condition_id, (['NO', 'NF', 'RF', 'AF'])[l_linenumber % 4 + 1] AS condition_code,
+       'W' || (['NO', 'NF', 'RF', 'AF'])[l_linenumber % 4 + 1] AS web_display_code
 FROM lineitem"""),
     ("warranty_codes", """
 SELECT DISTINCT l_linenumber % 3 AS warranty_id, (['30 DAY', '90 DAY', '1 YEAR'])[l_linenumber % 3 + 1] AS description
@@ -204,6 +225,16 @@ SELECT c_custkey AS requestor_id, CAST(c_nationkey * 4 + c_custkey % 4 AS BIGINT
        split_part(c_name, '#', 2) AS last_name,
        c_mktsegment AS position_description,
        '555-' || CAST(c_custkey % 10000 AS VARCHAR) AS main_phone,
+       CASE WHEN c_custkey % 3 <> 0 THEN 'contact' || c_custkey || '@example.com' END AS email,
+       'Rep ' || c_nationkey AS sales_representative,
+       CASE WHEN c_custkey % 4 = 0 THEN 'www.site' || c_nationkey || '.example' END AS website,
+       CASE WHEN c_custkey % 2 <> 0 THEN '556-' || (c_custkey % 10000) END AS fax,
+       CASE WHEN c_custkey % 3 <> 0 THEN '557-' || (c_custkey % 10000) END AS direct_line,
+       CASE WHEN c_custkey % 4 <> 0 THEN '558-' || (c_custkey % 10000) END AS cell_phone,
+       CASE WHEN c_custkey % 5 <> 0 THEN '559-' || (c_custkey % 10000) END AS alternate_phone,
+       CASE WHEN c_custkey % 6 <> 0 THEN '560-' || (c_custkey % 10000) END AS alternate_fax,
+       CASE WHEN c_custkey % 7 <> 0 THEN '561-' || (c_custkey % 10000) END AS pager,
+       CASE WHEN c_custkey % 8 <> 0 THEN '562-' || (c_custkey % 10000) END AS emergency_phone,
        CASE WHEN c_acctbal > 0 THEN 'Y' ELSE 'N' END AS active,
        CASE WHEN c_custkey % 7 = 0 THEN 'N' ELSE 'Y' END AS cc_active,
        CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN 'Y' ELSE 'N' END AS vendor_ind
@@ -337,6 +368,51 @@ FROM (SELECT last_day(transaction_date) AS month_end, CAST(sum(revenue) AS DECIM
 LEFT JOIN (SELECT month_end, CAST(sum(workday_ind) AS BIGINT) AS days FROM calendar GROUP BY 1) d ON d.month_end = m.month_end"""))
 
 
+ROLE_CTES += [
+    ("line_origins", """
+SELECT o AS line_origin_id, 'ORIGIN' || o AS status_code, CASE WHEN o IN (4, 5) THEN o END AS subscription_id
+FROM (SELECT unnest([1, 2, 3, 4, 5, 100]) AS o)"""),
+    ("subscriptions", "SELECT n_nationkey AS subscription_id, n_nationkey % 5 AS package_id FROM nation"),
+    ("packages", "SELECT r_regionkey AS package_id, 'Package ' || r_name AS package_name, r_regionkey % 2 AS type_id FROM region"),
+    ("package_types", "SELECT DISTINCT r_regionkey % 2 AS type_id, 'Type ' || (r_regionkey % 2) AS type_name FROM region"),
+    ("customer_line_keys", """
+SELECT line_item_id, CAST(l_suppkey % 25 AS INTEGER) AS subscription_id FROM line_rows WHERE l_linenumber % 2 = 0"""),
+    ("function_locations", "SELECT line_item_id, 'LOC' || l_suppkey AS field_value FROM line_rows WHERE l_linenumber = 4"),
+    ("order_headers", """
+SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'P' THEN 'Y' ELSE 'N' END AS hero_kit,
+       o_custkey AS company_id, o_custkey % 150 AS requestor_id FROM orders"""),
+    ("research_pricing", """
+SELECT DISTINCT 'R-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS vendor_research_id,
+       l_partkey % 500 AS pricing_rule_id, 'Rule ' || (l_partkey % 500) AS pricing_rule_description,
+       l_partkey - l_partkey % 3 AS oem_item_number
+FROM lineitem WHERE l_partkey % 2 = 0"""),
+    ("order_confirmations", "SELECT line_item_id FROM line_rows WHERE l_quantity > 20"),
+    ("purchase_orders", """
+SELECT line_item_id, 'P' || l_orderkey AS purchase_id, (['CC', 'PO', 'ACH'])[l_partkey % 3 + 1] AS payment_code,
+       CAST(CAST(l_tax AS DECIMAL(4,2)) * 100 AS DOUBLE) AS oem_shipping_handling_fee,
+       CAST(CASE WHEN l_returnflag = 'R' THEN 25 ELSE 0 END AS DOUBLE) AS exchange_fee, CAST(5 AS DOUBLE) AS processing_fee,
+       CAST(CASE WHEN l_quantity < 5 THEN 10 ELSE 0 END AS DOUBLE) AS minimum_order_fee,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'Y' ELSE 'N' END AS transit_coverage,
+       CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS DOUBLE) AS program_fee
+FROM line_rows WHERE l_linestatus = 'F'"""),
+    ("customer_requests", "SELECT line_item_id FROM line_rows WHERE l_linenumber = 2"),
+    ("vendor_messages", """
+SELECT line_item_id, CASE WHEN l_linenumber = 1 THEN '850' END AS vendor_850,
+       CASE WHEN l_partkey % 2 = 0 THEN '855' END AS vendor_855, CASE WHEN l_orderkey % 2 = 0 THEN '856' END AS vendor_856
+FROM line_rows WHERE l_linenumber IN (1, 3)"""),
+    ("customer_messages", """
+SELECT line_item_id, l_partkey % 2 AS edi855, l_orderkey % 2 AS edi856 FROM line_rows WHERE l_linenumber IN (2, 3)"""),
+    ("direct_order_lines", "SELECT line_item_id FROM line_rows WHERE l_linenumber = 7"),
+    ("ship_estimates", """
+SELECT line_item_id, 'ESD ' || l_linenumber AS description, CAST(l_shipdate AS DATE) + 2 AS esd,
+       'user' || (l_partkey % 10) AS user_name, CASE WHEN l_partkey % 2 = 0 THEN 'Y' ELSE 'N' END AS active
+FROM line_rows WHERE l_linenumber IN (4, 5)"""),
+    ("product_relations", """
+SELECT DISTINCT p_size % 7 AS modality_id, p_size AS product_type_id, p_size % 5 + 1 AS product_subcategory_id
+FROM part WHERE p_size % 3 <> 0"""),
+]
+
+
 def with_roles(sql: str, ctes: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``sql`` with the role CTEs plus optional query-specific CTEs."""
     parts = ROLE_CTES + list(ctes or [])

@@ -31,6 +31,12 @@ def fmt_signed(col: Column) -> Column:
     return F.when(col < 0, F.concat(F.lit("($"), txt, F.lit(")"))).otherwise(F.concat(F.lit("$"), txt))
 
 
+def fmt_signed_percent(col: Column) -> Column:
+    """Negative shares in parentheses: (1.2%) / 1.2%."""
+    txt = F.concat(F.format_number(F.abs(col * 100).cast("decimal(38,1)"), 1), F.lit("%"))
+    return F.when(col < 0, F.concat(F.lit("("), txt, F.lit(")"))).otherwise(txt)
+
+
 def is_negative(col: Column) -> Column:
     """J2 flag used to colour a cell."""
     return F.coalesce(col < 0, F.lit(False))

@@ -123,15 +123,6 @@ def remerge(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> D
     return df.join(g, cond, "inner").drop(*["__g_" + k for k in keys])
 
 
-def period_to_date(date_col: str, asof, periods: Mapping[str, tuple], measure) -> dict[str, Column]:
-    """One conditional sum per named period [start, end] in a single pass."""
-    d = F.col(date_col)
-    out = {}
-    for name, (start, end) in periods.items():
-        out[name] = F.sum(F.when(d.between(start, end), measure).otherwise(F.lit(0)))
-    return out
-
-
 def best_day(daily: DataFrame, keys: Sequence[str], measures: Iterable[str]) -> DataFrame:
     """Second-level aggregate: period sums and best (max) daily value."""
     aggs = []

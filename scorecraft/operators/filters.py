@@ -62,10 +62,12 @@ def active_only(df: DataFrame, flags: Mapping[str, str]) -> DataFrame:
     return df.filter(cond)
 
 
-def by_filter(df: DataFrame, kind: str, ids: Iterable, columns: Mapping[str, str]) -> DataFrame:
-    """Caller picks which column the id list applies to."""
+def by_filter(df: DataFrame, kind: str, ids: Iterable | DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Caller picks which column the ids apply to; ids are a list or a one-column table."""
     if kind not in columns:
         raise ValueError(f"unknown filter kind {kind!r}; expected one of {sorted(columns)}")
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(F.col(ids.columns[0]).alias(columns[kind])), columns[kind], "left_semi")
     return df.filter(F.col(columns[kind]).isin(list(ids)))
 
 

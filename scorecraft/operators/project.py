@@ -1,11 +1,10 @@
-"""Projections."""
+"""Projections."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def derive(df: DataFrame, **exprs: Column) -> DataFrame:
@@ -16,23 +15,3 @@ def derive(df: DataFrame, **exprs: Column) -> DataFrame:
 def keep(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """B2."""
     return df.select(*cols)
-
-
-def distinct_of(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
-    """SELECT DISTINCT (hash aggregate with map-side dedupe)."""
-    return (df.select(*cols) if cols else df).distinct()
-
-
-def tag(df: DataFrame, name: str, value) -> DataFrame:
-    """Literal marker column."""
-    return df.withColumn(name, F.lit(value))
-
-
-def with_scalar(df: DataFrame, one_row: DataFrame, on: str | list[str]) -> DataFrame:
-    """Attach a value computed by a query (``select ... into :m``) to rows.
-
-    The value stays in the plan: it is an aggregate keyed by ``on`` (for an
-    as-of report, the period key every row carries), joined as a broadcast of
-    one row per key.  No driver round trip, no cartesian product.
-    """
-    return df.join(F.broadcast(one_row), on=on, how="left")

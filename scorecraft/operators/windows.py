@@ -29,17 +29,21 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
 
     A plain ``Window.partitionBy(keys)`` would put a whole group into one
     task.  Instead the rows are range-partitioned on (keys, order), so a hot
-    group is spread over many partitions in order; each partition numbers
-    its slice locally (a window bounded by the partition), and each slice
-    adds the row count of the same group's slices in earlier partitions (a
-    small per-partition-per-group table).  ``order`` must be a total order.
+    group is spread over many partitions in order; the cut rows are written
+    once to the shared folder with their partition's number, and everything
+    after reads that one cut (range boundaries are sampled: a second sampling
+    would cut elsewhere).  Each slice is numbered locally and adds the row
+    count of its group's earlier slices (a small table).  ``order`` must be a
+    total order.
     """
+    from scorecraft.sources.tables import stored
+
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [*keys, *order]
-    ranged = df.repartitionByRange(n, *cols).withColumn("__pid", F.spark_partition_id())
+    cut = df.repartitionByRange(n, *keys, *order).withColumn("__pid", F.spark_partition_id())
+    cut = stored(cut, "ranked")
     local = Window.partitionBy("__pid", *keys).orderBy(*order)
-    ranged = ranged.withColumn("__rn", F.row_number().over(local))
-    counts = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    ranged = cut.withColumn("__rn", F.row_number().over(local))
+    counts = cut.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__pid").alias("__opid"), *[F.col(k).alias("__o_" + k) for k in keys],
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.functions.money import to_double
+from scorecraft.functions.money import to_double, total
 from scorecraft.functions.scalar import parent_code
 from scorecraft.operators.filters import by_filter, period_pred
 from scorecraft.operators.joins import slots, with_parent
@@ -90,8 +90,8 @@ def catalogue_sheet(t: Warehouse, kind: str, ids: Iterable, start, end) -> DataF
            .groupBy(F.col("pim_item_number").alias("item_number"), F.col("condition_code").alias("condition"))
            .agg(F.sum("requests").cast("bigint").alias("requests"), F.sum("orders").cast("bigint").alias("orders"),
                 F.sum("quantity").cast("bigint").alias("quantity"),
-                to_double(F.sum("revenue_e4"), 4).alias("revenue"),
-                to_double(F.sum("spend_e6"), 6).alias("ext_cost"), to_double(F.sum("margin_e6"), 6).alias("margin")))
+                to_double(total("revenue_e4"), 4).alias("revenue"),
+                to_double(total("spend_e6"), 6).alias("ext_cost"), to_double(total("margin_e6"), 6).alias("margin")))
     # every vendor item of a product lists that product's models: rank the
     # models once per product, then attach the ten slots to the items (no
     # items x models fan-out)

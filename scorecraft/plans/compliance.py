@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import band
-from scorecraft.functions.money import to_decimal, to_double
+from scorecraft.functions.money import row_double, to_decimal, to_double, total
 from scorecraft.functions.scalar import fixed_width, to_day
-from scorecraft.functions.semantics import chop_last, ne_keep_missing, ratio, stable
+from scorecraft.functions.semantics import chop_last, ne_keep_missing, ratio
 from scorecraft.operators.filters import has_text, period_pred
 from scorecraft.operators.joins import full_merge, only_in, slots
 from scorecraft.operators.windows import first_per_key
@@ -48,15 +48,16 @@ def _vend_research(t: Warehouse, start, end) -> DataFrame:
     org = t.organization.select("organization_id", "user_name")
     ve = t.vendors.select(F.col("company_id").alias("vendor_id"), "company_name")
     rows = (res.join(lid, "line_item_id", "inner")
-            .join(org, F.col("created_user_id") == F.col("organization_id"), "left")
-            .join(ve, "vendor_id", "left"))
+            .join(org, F.col("created_user_id") == F.col("organization_id"), "left"))
     entered = F.sum(F.when(F.col("user_name").isNull(), 1).otherwise(0))
     ss = F.sum(F.when(F.col("research_type_code") == "SS", 1).otherwise(0))
     sp = F.sum(F.when(F.col("research_type_code").isin("SP", "SPP"), 1).otherwise(0))
     n = F.count(F.lit(1))
-    return rows.groupBy("vendor_id", fixed_width(F.col("company_name"), 100).alias("vendor")).agg(
+    shares = rows.groupBy("vendor_id").agg(
         ratio(ss, n).alias("ss_research_pct"), ratio(sp, n).alias("sp_research_pct"),
         ratio(entered, n).alias("epv_research_pct"))
+    # names after the aggregation: a hot vendor is combined in every task first
+    return shares.join(ve, "vendor_id", "left").withColumn("vendor", fixed_width(F.col("company_name"), 100)).drop("company_name")
 
 
 def _vend_orders(t: Warehouse, start, end) -> DataFrame:
@@ -67,25 +68,14 @@ def _vend_orders(t: Warehouse, start, end) -> DataFrame:
         "suspend_vendor", "redirect_shipments")
     lid = _non_contract(t).select("line_item_id", "smart_order_conf", "smart_order_po", "smart_price_presented")
     trk = t.tracking.filter(F.col("shipment_leg_id") == 1).select("line_item_id", "auto_label")
-    rows = (q.join(v, "vendor_id", "left")
-            .join(_vend_im(t), "vendor_id", "left")
-            .join(lid, "line_item_id", "inner")
-            .join(trk, "line_item_id", "left"))
+    rows = q.join(lid, "line_item_id", "inner").join(trk, "line_item_id", "left")
     orders = F.sum("orders")
-    g = rows.groupBy(
-        "vendor_id",
-        fixed_width(F.col("company_name"), 75).alias("vendor"),
-        F.when(F.col("coun") == 1, "Y").otherwise("N").alias("vendor_in_im"),
-        "smart_order_enabled", "smart_label_enabled",
-        F.when(has_text("payment_term_code", "NET"), "Y").otherwise("N").alias("terms"),
-        "company_type_code", "tier_code", F.col("epv_member").alias("epv_activated"),
-        "choice_level", "suspend_vendor", "redirect_shipments",
-    ).agg(
+    g = rows.groupBy("vendor_id").agg(
         ratio(F.sum(F.when(F.col("product_category_id") == 2, F.col("orders"))), orders).alias("bio_pct"),
-        to_decimal(F.sum("spend_e6"), 6, 38).alias("spend"),
-        to_decimal(F.sum("revenue_e4"), 4, 38).alias("revenue"),
-        to_decimal(F.sum("margin_e6"), 6, 38).alias("margin"),
-        ratio(to_double(F.sum("margin_e6"), 6), to_double(F.sum("revenue_e4"), 4)).alias("margin_pct"),
+        to_decimal(total("spend_e6"), 6, 38).alias("spend"),
+        to_decimal(total("revenue_e4"), 4, 38).alias("revenue"),
+        to_decimal(total("margin_e6"), 6, 38).alias("margin"),
+        ratio(to_double(total("margin_e6"), 6), to_double(total("revenue_e4"), 4)).alias("margin_pct"),
         orders.cast("bigint").alias("orders"),
         ratio(_sum_orders_if(_smart()), orders).alias("smart_order_pct"),
         _sum_orders_if(_smart()).cast("bigint").alias("smart_order_total"),
@@ -94,8 +84,17 @@ def _vend_orders(t: Warehouse, start, end) -> DataFrame:
         ratio(_sum_orders_if(F.col("smart_order_po") == 1), orders).alias("smart_po_pct"),
         _sum_orders_if(F.col("smart_order_po") == 1).cast("bigint").alias("smart_po_total"),
         ratio(_sum_orders_if(F.col("auto_label") == "Y"), orders).alias("smart_label_pct"),
+        _sum_orders_if(F.col("auto_label") == "Y").cast("bigint").alias("smart_label_total"),
     )
-    return g.filter(F.col("orders") > 0)  # HAVING on the alias (S8)
+    g = g.filter(F.col("orders") > 0)  # HAVING on the alias (S8)
+    measures = [c for c in g.columns if c != "vendor_id"]
+    return g.join(v, "vendor_id", "left").join(_vend_im(t), "vendor_id", "left").select(
+        "vendor_id", fixed_width(F.col("company_name"), 75).alias("vendor"),
+        F.when(F.col("coun") == 1, "Y").otherwise("N").alias("vendor_in_im"),
+        "smart_order_enabled", "smart_label_enabled",
+        F.when(has_text("payment_term_code", "NET"), "Y").otherwise("N").alias("terms"),
+        "company_type_code", "tier_code", F.col("epv_member").alias("epv_activated"),
+        "choice_level", "suspend_vendor", "redirect_shipments", *measures)
 
 
 def _vend_map(t: Warehouse) -> DataFrame:
@@ -156,12 +155,13 @@ def _compliance(t: Warehouse, start, end) -> DataFrame:
         F.coalesce("choice_level", "d_choice").alias("choice_level"),
         F.coalesce("suspend_vendor", "d_suspend").alias("suspended"),
         F.coalesce("redirect_shipments", "d_redirect").alias("no_drop_ship"),
+        F.col("smart_label_total").alias("number_of_smart_labels"),
     )
 
 
 def vendor_compliance(t: Warehouse, start, end) -> DataFrame:
     """K8: compliance summary per vendor (full join of order and research sides)."""
-    df = _compliance(t, start, end)
+    df = _compliance(t, start, end).drop("number_of_smart_labels")
     return df.withColumns({c: F.col(c).cast("double") for c in MONEY})
 
 
@@ -189,7 +189,8 @@ def compliance_totals(t: Warehouse, start, end) -> DataFrame:
         F.sum("number_of_smart_po").cast("bigint").alias("number_of_smart_po"),
         ratio(F.sum("number_of_smart_po"), orders).alias("smart_po_pct"),
         yshare("smart_label_enabled").alias("smart_label_enabled_pct"),
-        stable(ratio(F.sum(F.col("smart_label_pct") * F.col("orders")), orders), 12).alias("smart_label_pct"),
+        # weighted by orders, each vendor's share times its orders is its labelled orders again: exact
+        ratio(F.sum("number_of_smart_labels"), orders).alias("smart_label_pct"),
         yshare("terms").alias("terms_pct"),
     )
 
@@ -209,20 +210,19 @@ def compliance_details(t: Warehouse, start, end) -> DataFrame:
     ship = t.shipping_info
     c = t.customers.select(F.col("company_id").alias("site_id"), F.col("company_name").alias("site_name"),
                            F.col("lvl1_company_id").alias("parent_id"), F.col("lvl1_company_name").alias("parent_name"))
-    rows = (q.join(v, "vendor_id", "left").join(lid, "line_item_id", "inner")
-            .join(ship, "line_item_id", "left")
-            .join(c, F.col("customer_id") == F.col("site_id"), "left"))
-    return rows.groupBy("vendor_id", "vendor", "line_item_id", "site_id", "site_name", "parent_id", "parent_name",
-                        "relationship_manager_id", "relationship_manager", "line_item_description",
-                        "shipping_method").agg(
-        to_double(F.sum("spend_e6"), 6).alias("spend"),
-        to_double(F.sum("revenue_e4"), 4).alias("revenue"),
-        to_double(F.sum("margin_e6"), 6).alias("margin"),
+    rows = q.join(lid, "line_item_id", "inner").join(ship, "line_item_id", "left")
+    sums = rows.groupBy("vendor_id", "customer_id", "line_item_id", "line_item_description", "shipping_method").agg(
+        to_double(total("spend_e6"), 6).alias("spend"),
+        to_double(total("revenue_e4"), 4).alias("revenue"),
+        to_double(total("margin_e6"), 6).alias("margin"),
         F.sum("orders").cast("bigint").alias("orders"),
         _sum_orders_if(_smart()).cast("bigint").alias("smart_order_total"),
         _sum_orders_if(F.col("smart_order_conf") == 1).cast("bigint").alias("smart_conf_total"),
         _sum_orders_if(F.col("smart_order_po") == 1).cast("bigint").alias("smart_po_total"),
     )
+    # a line has one customer, so names can come after the aggregation
+    return (sums.join(v, "vendor_id", "left").join(c, F.col("customer_id") == F.col("site_id"), "left")
+            .drop("customer_id"))
 
 
 # ---------------------------------------------------------------------------
@@ -310,7 +310,7 @@ def vendor_sales(t: Warehouse, vendor: int, start, end, house_vendor: int) -> Da
     clean = F.when(house, F.coalesce(chop_last(F.col("replacement_part_number")), F.col("requested_part_number"))) \
         .otherwise(F.coalesce("replacement_part_number", "requested_part_number"))
     keys = [
-        F.col("line_item_id").alias("Line Item ID"), F.col("line_item_po").alias("GP PO Number"),
+        F.col("line_item_id").alias("Line Item ID"), F.col("line_item_po").alias("House PO Number"),
         F.col("transaction_date").alias("PO Date"), F.col("customer_id").alias("Site ID"),
         F.col("site_name").alias("Site Name"), F.col("parent_id").alias("Parent ID"),
         F.col("parent_name").alias("Parent Name"), F.col("vendor_id").alias("Vendor ID"),
@@ -324,12 +324,12 @@ def vendor_sales(t: Warehouse, vendor: int, start, end, house_vendor: int) -> Da
         F.col("modality_code").alias("Modality"), F.col("class_code").alias("Product Type"),
         F.col("model_number").alias("Model"), F.col("photo_shown").alias("Photo Shown"),
         F.col("warranty_description").alias("Warranty"), F.col("sourcer").alias("Sourcer"),
-        F.col("condition_code").alias("Condition"), to_double("oem_price_e2", 2).alias("Unit OEM List"),
-        to_double("price_e2", 2).alias("Unit Price"), to_double("cost_e3", 3).alias("Unit Cost"),
+        F.col("condition_code").alias("Condition"), row_double("oem_price_e2", 2).alias("Unit OEM List"),
+        row_double("price_e2", 2).alias("Unit Price"), row_double("cost_e3", 3).alias("Unit Cost"),
     ]
     g = rows.groupBy(*keys).agg(
         F.sum("orders").cast("bigint").alias("Orders"), F.sum("quantity").cast("bigint").alias("Quantity"),
-        F.sum("revenue_e4").alias("rev"), F.sum("margin_e6").alias("mar"), F.sum("spend_e6").alias("spd"))
+        total("revenue_e4").alias("rev"), total("margin_e6").alias("mar"), total("spend_e6").alias("spd"))
     keep = ((F.col("Orders") != 0) | (F.col("Quantity") != 0) | (F.col("rev") != 0) | (F.col("mar") != 0))
     return g.filter(keep).select(
         *[c for c in g.columns if c not in ("rev", "mar", "spd")],
@@ -345,6 +345,10 @@ TRANSMISSION_SLOTS = ("next_am_transmission", "next_day_transmission", "second_d
                       "ground_transmission", "other_transmission")
 
 
+CONTACT_FIELDS = ("email", "sales_representative", "fax", "direct_line", "website", "cell_phone", "alternate_phone",
+                  "alternate_fax", "pager", "emergency_phone")
+
+
 def vendor_contacts(t: Warehouse) -> DataFrame:
     """Active vendor contacts with five auto-order settings (one pivot, one join)."""
     cr = t.contacts.filter((F.col("active") == "Y") & (F.col("cc_active") == "Y") & (F.col("vendor_ind") == "Y"))
@@ -359,5 +363,5 @@ def vendor_contacts(t: Warehouse) -> DataFrame:
         F.col("requestor_id").alias("contact_id"), "company_id", "company_name", "relationship_manager_id",
         "relationship_manager", F.col("requestor_name").alias("name"), "first_name", "last_name",
         "smart_order_enabled", "smart_label_enabled", F.col("position_description").alias("position"),
-        F.col("main_phone").alias("phone"),
+        F.col("main_phone").alias("phone"), *CONTACT_FIELDS,
         *[F.col(f"slot_{i + 1}").alias(n) for i, n in enumerate(TRANSMISSION_SLOTS)])

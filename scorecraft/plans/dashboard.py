@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import segment_label, txn_type
 from scorecraft.functions.display import budget_status
-from scorecraft.functions.money import to_decimal, to_double
+from scorecraft.functions.money import to_decimal, to_double, total
 from scorecraft.functions.scalar import period_start, trend_start
 from scorecraft.functions.semantics import in_list, ne_keep_missing, not_in_keep_missing, ratio, sas_le, stable
 from scorecraft.operators.aggregates import with_total
@@ -106,7 +106,9 @@ def daily_budget_status(t: Warehouse, asof: dt.date) -> DataFrame:
     df = daily_budget(t, asof)
     cols = []
     for m in ("revenue", "margin"):
-        for per, act, bud in (("day", f"actual_{m}_day", f"budget_{m}_day"),
+        day = f"budget_{m}_day"  # the week's and the month's daily averages are judged against it too
+        for per, act, bud in (("day", f"actual_{m}_day", day), ("week", f"actual_{m}_week_avg", day),
+                              ("month", f"actual_{m}_month_avg", day),
                               ("year", f"actual_{m}_year", f"budget_{m}_year")):
             cols.append(budget_status(F.col(act), F.col(bud), F.col("segment")).alias(f"{m}_{per}_status"))
     return df.select("segment", "segment_sort", *cols)
@@ -140,11 +142,11 @@ def large_transactions(t: Warehouse, start: dt.date, end: dt.date, threshold: fl
     keys2 = ["line_item_id", "txn_date", "vendor_name", "customer_name", "line_item_description", "customer_po",
              "salesrep_name", "modality", "product_type", "product_category", "salvaged_po_date"]
     b1 = j.withColumnRenamed("transaction_date", "txn_date").groupBy(*keys2[:6], "oem_price_e2", *keys2[6:]).agg(
-        F.sum("quantity").alias("quantity"), F.sum("revenue_e4").alias("ext_price"),
-        F.sum("spend_e6").alias("ext_cost"), F.sum("margin_e6").alias("ext_margin"),
+        F.sum("quantity").alias("quantity"), total("revenue_e4").alias("ext_price"),
+        total("spend_e6").alias("ext_cost"), total("margin_e6").alias("ext_margin"),
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"), F.sum("returns").alias("returns"))
     b2 = b1.groupBy(*keys2).agg(
-        F.sum("quantity").alias("quantity"), F.sum("oem_price_e2").alias("oem_price"), F.sum("ext_price").alias("ext_price"),
+        F.sum("quantity").alias("quantity"), total("oem_price_e2").alias("oem_price"), F.sum("ext_price").alias("ext_price"),
         F.sum("ext_cost").alias("ext_cost"), F.sum("ext_margin").alias("ext_margin"),
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"), F.sum("returns").alias("returns"))
     b2 = b2.withColumn("ext_price", to_double("ext_price", 4))
@@ -287,7 +289,7 @@ def prior_year_spread(t: Warehouse, asof: dt.date, excluded_parents=(3,)) -> Dat
              .groupBy(F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month"),
                       ptype.alias("product_type"))
              .agg(F.sum("requests").cast("double").alias("requests"), F.sum("orders").cast("double").alias("orders"),
-                  to_double(F.sum("revenue_e4"), 4).alias("revenue"), to_double(F.sum("margin_e6"), 6).alias("margin")))
+                  to_double(total("revenue_e4"), 4).alias("revenue"), to_double(total("margin_e6"), 6).alias("margin")))
     j = join_prior_year(daily.filter(F.col("date_key") <= a), prior, "year", ["month"], "inner")
     return j.groupBy("date_key", "product_type").agg(
         *[F.sum(F.col("factor") * F.col(x)).alias(f"daily_py_{x}") for x in ("requests", "orders", "revenue", "margin")])
@@ -320,6 +322,10 @@ def daily_by_category(t: Warehouse, asof: dt.date, excluded_sub_segment: str = "
     return daily_ratios(out)
 
 
+# measures a reader sees: a zero is shown as blank
+SHOWN = ("actual_requests", "actual_orders", "actual_revenue", "actual_margin", "budget_revenue", "budget_margin")
+
+
 def daily_ratios(df: DataFrame) -> DataFrame:
     """J4 + J5: render-time ratios as columns; zero shown as blank (null)."""
     def z(x: Column) -> Column:
@@ -328,7 +334,7 @@ def daily_ratios(df: DataFrame) -> DataFrame:
     agm = ratio(F.col("actual_margin"), F.col("actual_revenue"))
     bgm = ratio(F.col("budget_margin"), F.col("budget_revenue"))
     return df.select(
-        "*",
+        *[F.nullif(F.col(c), F.lit(0).cast(t)).alias(c) if c in SHOWN else F.col(c) for c, t in df.dtypes],
         z(ratio(F.col("actual_orders"), F.col("actual_requests"))).alias("actual_close_rate"),
         z(ratio(F.col("actual_revenue"), F.col("actual_orders"))).alias("actual_sales_po"),
         z(ratio(F.col("actual_margin"), F.col("actual_orders"))).alias("actual_gm_po"),
@@ -362,7 +368,7 @@ def monthly_trend_table(t: Warehouse, asof: dt.date, excluded_parents=(3,)) -> D
             .filter(not_in_keep_missing(F.col("lvl1_company_id"), excluded_parents)))
     daily = rows.groupBy("year", "month", "month_end", "month_long", "transaction_date").agg(
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"),
-        F.sum("revenue_e4").alias("revenue"), F.sum("margin_e6").alias("margin"),
+        total("revenue_e4").alias("revenue"), total("margin_e6").alias("margin"),
         F.max("workday_nbr_mtd").alias("workdays"))
     monthly = daily.groupBy("year", "month", "month_end", "month_long").agg(
         F.sum("requests").alias("requests"), F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue"),

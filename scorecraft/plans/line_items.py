@@ -1,21 +1,21 @@
 """Line-item detail load (K24): a wide dimension built from operational tables.
 
 DB2 semantics (ANSI nulls) apply here, not the SAS missing-value rules.
-Small code tables are broadcast; every table keyed by line id is joined on
-the line id (one shuffle per side, co-partitioned by AQE when sizes allow).
-The reference's ``ship_documents`` join selects no column and is dropped
-(the DISTINCT hid its fan-out).
+Code tables of fixed size are broadcast; every table keyed by line id is
+joined on the line id, so its rows meet lines that are already partitioned by
+it, and the final DISTINCT stays within a line.  The reference's shipping
+documents join selects no column and is dropped (the DISTINCT hid its fan-out).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import classify_sourcing
-from scorecraft.functions.money import to_double
+from scorecraft.functions.money import row_double
 from scorecraft.functions.scalar import first_present, to_int
 from scorecraft.functions.semantics import exists_flag
 from scorecraft.operators.joins import bounded, keep_extreme
@@ -43,78 +43,126 @@ def research_ids(t: Warehouse) -> DataFrame:
         F.max(F.when(F.col("created_user_id") == SYSTEM_USER, 1).otherwise(0)).alias("system_flag"))
 
 
+def _flag(col: str) -> Column:
+    return exists_flag(F.col(col))
+
+
+def _marked(df: DataFrame, key: str, flag: str) -> DataFrame:
+    """The distinct lines of a table, with a marker column for an existence flag."""
+    return df.select(F.col(key).alias("id_no")).distinct().withColumn(flag, F.lit(1))
+
+
+def _by_line(df: DataFrame, **cols: str) -> DataFrame:
+    """A line-keyed table with the chosen columns under new names."""
+    return df.select(F.col("line_item_id").alias("id_no"), *[F.col(c).alias(n) for n, c in cols.items()])
+
+
+def _packages(t: Warehouse, prefix: str) -> DataFrame:
+    """Subscription -> package and its type (C9: joined once by origin, once by the customer's key)."""
+    p = (t.subscriptions.join(t.packages, "package_id", "left").join(t.package_types, "type_id", "left"))
+    return bounded(p.select(F.col("subscription_id").alias(prefix + "subscription_id"), F.col("package_id").alias(prefix + "package_id"),
+                            F.col("package_name").alias(prefix + "package_name"), F.col("type_name").alias(prefix + "type_name")))
+
+
+def _chosen_quote(t: Warehouse) -> DataFrame:
+    """The quote a line was sold from, with its price rule, catalogue item, condition and warranty."""
+    quote = t.research.select(
+        F.col("research_id").alias("vendor_research_id"), "vendor_id", "research_type_id", F.col("created_user_id").alias("quoted_by"),
+        "rs_item_number", "inv_item_cost_id", "replacement_part_number", "replacement_part_number_stripped", "condition_id", "warranty_id",
+        "add_bill_unit_e4", "contract_pro_id", "vrm_score", "lead_time_days", "is_formulary_outright_option", "is_formulary_exchange_option", "core_charge")
+    item = t.items.select(F.col("item_number").alias("inv_item_cost_id"), F.col("item_number").cast("string").alias("catalogue_item"))
+    warranty = bounded(t.warranty_codes).withColumnRenamed("description", "warranty_description")
+    return (quote.join(t.research_pricing, "vendor_research_id", "left").join(item, "inv_item_cost_id", "left")
+            .join(bounded(t.condition_codes), "condition_id", "left").join(warranty, "warranty_id", "left"))
+
+
 def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
-    """One row per line (more where the latest confirmation ties), DISTINCT as in the reference."""
-    sli = t.line_items.filter(F.col("created_timestamp") >= F.lit(since).cast("timestamp"))
-    slr = t.research.select(
-        F.col("research_id").alias("vendor_research_id"), F.col("vendor_id"),
-        F.col("research_type_id"), F.col("created_user_id").alias("slr_created_user_id"),
-        "rs_item_number", "inv_item_cost_id", "replacement_part_number_stripped", "condition_id",
-        "warranty_id", "add_bill_unit_e4", "contract_pro_id")
-    ii = t.items.select(F.col("item_number").alias("inv_item_cost_id"),
-                        F.col("item_number").cast("string").alias("ii_item_number"))
-    r2 = research_ids(t).withColumnRenamed("line_item_id", "id_no")
-    cond = bounded(t.condition_codes)
-    wc = bounded(t.warranty_codes).withColumnRenamed("description", "warranty_description")
-    urg = bounded(t.urgency_codes)
-    pp = latest_confirmation(t).withColumnRenamed("line_item_id", "id_no")
-    inv = (t.invoices.filter(F.coalesce(F.col("line_number"), F.lit(0)) > 0)
-           .select(F.col("line_item_id").alias("id_no"), "invoice_number").distinct())
-    rps = first_per_key(t.received_parts, ["line_item_id"], ["date_received", "received_by_contact_id"]) \
-        .withColumnRenamed("line_item_id", "id_no")
-    sopo = (t.admin_actions.filter(F.col("action_type_id").isin(3, 4))
-            .groupBy(F.col("line_item_id").alias("id_no")).agg(F.count(F.lit(1)).alias("t"))
-            .filter(F.col("t") > 0).select("id_no", F.col("id_no").alias("sopo_line")))
-    bord = (t.line_status.filter(F.col("first_backordered_timestamp").isNotNull())
-            .select(F.col("line_item_id").alias("id_no"), F.col("line_item_id").alias("bord_line")))
-    j = (sli.join(slr, "vendor_research_id", "left")
-         .join(ii, "inv_item_cost_id", "left")
-         .join(r2, "id_no", "left")
-         .join(cond, "condition_id", "left")
-         .join(wc, "warranty_id", "left")
-         .join(pp, "id_no", "left")
-         .join(urg, "urgency_id", "left")
-         .join(inv, "id_no", "left")
-         .join(sopo, "id_no", "left")
-         .join(bord, "id_no", "left")
-         .join(rps, "id_no", "left"))
+    """97 columns, one row per line (more where a joined table has several rows for it), DISTINCT as in the reference."""
+    lines = t.line_items.filter(F.col("created_timestamp") >= F.lit(since).cast("timestamp"))
+    origin = bounded(t.line_origins)
+    own_origin = origin.filter(~F.col("line_origin_id").isin(1, 2)).select(
+        F.col("line_origin_id").alias("o_id"), F.col("status_code").alias("o_status"), F.col("subscription_id").alias("o_subscription_id"))
+    catalog = origin.select(F.col("line_origin_id").alias("c_id"), F.col("status_code").alias("catalog"))
+    head = t.order_headers.select("order_id", "hero_kit", F.col("company_id").alias("customer_id"), "requestor_id")
+    relation = bounded(t.product_relations).withColumnRenamed("product_type_id", "class_id")
+    invoices = (t.invoices.filter(F.coalesce(F.col("line_number"), F.lit(0)) > 0)
+                .select(F.col("line_item_id").alias("id_no"), "invoice_number").distinct())
+    received = first_per_key(t.received_parts, ["line_item_id"], ["date_received", "received_by_contact_id"])
+    estimate = t.ship_estimates.filter(F.col("active") == "Y")  # inside ON: lines without an active one stay (C6)
+    by_line = [
+        research_ids(t).withColumnRenamed("line_item_id", "id_no"),
+        latest_confirmation(t).withColumnRenamed("line_item_id", "id_no"),
+        _by_line(t.customer_line_keys, k_subscription_id="subscription_id"),
+        invoices,
+        _by_line(t.function_locations, functional_location="field_value"),
+        _marked(t.order_confirmations, "line_item_id", "has_conf"),
+        _by_line(t.purchase_orders, purchase_id="purchase_id", payment_method="payment_code", manufacturer_fee="oem_shipping_handling_fee",
+                 exchange_fee="exchange_fee", customer_ship_fee="processing_fee", minimum_order_fee="minimum_order_fee",
+                 transit_coverage="transit_coverage", program_fee="program_fee"),
+        _marked(t.line_status.filter(F.col("first_backordered_timestamp").isNotNull()), "line_item_id", "has_backorder"),
+        _marked(t.customer_requests, "line_item_id", "has_request"),
+        _by_line(t.vendor_messages, vendor_850="vendor_850", vendor_855="vendor_855", vendor_856="vendor_856"),
+        _by_line(received, received_by_contact_id="received_by_contact_id", date_received="date_received"),
+        _by_line(t.customer_messages, edi855="edi855", edi856="edi856"),
+        _marked(t.admin_actions.filter(F.col("action_type_id").isin(3, 4)), "line_item_id", "has_smart_po"),
+        _marked(t.direct_order_lines, "line_item_id", "has_direct"),
+        _by_line(estimate, esd_description="description", estimated_shipping_date="esd", last_esd_updated_by="user_name"),
+    ]
+    j = lines.join(_chosen_quote(t), "vendor_research_id", "left").join(head, "order_id", "left")
+    for side in by_line:
+        j = j.join(side, "id_no", "left")
+    j = (j.join(own_origin, F.col("line_origin_id") == F.col("o_id"), "left")
+         .join(catalog, F.when(F.col("line_origin_id").isin(3, 4), 2).otherwise(F.col("line_origin_id")) == F.col("c_id"), "left")
+         .join(_packages(t, "o_"), "o_subscription_id", "left").join(_packages(t, "k_"), "k_subscription_id", "left")
+         .join(bounded(t.urgency_codes), "urgency_id", "left").join(relation, ["modality_id", "class_id"], "left"))
     flags = classify_sourcing(F.col("status_id"), F.col("research_type_id"), F.col("researchtypemin"),
                               F.col("researchtypemax"), F.col("system_flag") == 1)
     repair = F.col("order_type_id").isin(3, 4)
-    vpart = F.concat(F.lit("V"), F.col("vendor_id").cast("string"), F.lit("-"))
-    fallback = (F.when(F.col("ii_item_number").isNull() & F.col("inv_item_cost_id").isNotNull() & ~repair,
-                       F.concat(vpart, F.col("replacement_part_number_stripped")))
-                .when(repair & (F.col("slr_created_user_id") == SYSTEM_USER) & F.col("research_type_id").isin(2, 3, 4),
-                      F.concat(vpart, F.col("part_number_stripped"))))
+    maker = F.concat(F.lit("V"), F.col("vendor_id").cast("string"), F.lit("-"))
+    fallback = (F.when(F.col("catalogue_item").isNull() & F.col("inv_item_cost_id").isNotNull() & ~repair,
+                       F.concat(maker, F.col("replacement_part_number_stripped")))
+                .when(repair & (F.col("quoted_by") == SYSTEM_USER) & F.col("research_type_id").isin(2, 3, 4),
+                      F.concat(maker, F.col("part_number_stripped"))))
     qty = to_int(F.col("quantity") + F.col("return_quantity"))
-    out = j.select(
-        F.col("id_no").alias("line_item_id"),
-        F.col("part_number").alias("requested_part_number"),
-        F.col("part_number_stripped").alias("requested_part_number_stripped"),
-        "replacement_part_number_stripped", "condition_code", "photo_shown",
-        F.col("description").alias("line_item_description"),
-        flags["smart_price_selected"].alias("smart_price_selected"),
-        flags["smart_sourced"].alias("smart_sourced"),
-        flags["alternative_offered"].alias("smart_sourcing_alternative"),
-        flags["manual_sourced"].alias("manual_research"),
-        F.when(F.col("had_smartpriced_research") == "Y", 1).otherwise(0).alias("smart_price_presented"),
-        "return_required", "warranty_description",
-        F.col("user_name").alias("confirmed_by_name"), "confirmation_notes", "urgency_code",
-        exists_flag(F.col("sopo_line")).alias("smart_order_po"),
-        "invoice_number",
-        F.col("status_id").alias("line_item_status_id"),
-        "backorder_ship_date",
-        first_present(F.col("rs_item_number"), F.col("ii_item_number"), fallback).alias("pim_item_number"),
-        qty.alias("requested_quantity"),
-        F.when(F.col("inv_item_cost_id").isNotNull(), "Y").otherwise("N").alias("catalog_part"),
-        F.when(repair, 1).otherwise(0).alias("repair_ind"),
-        exists_flag(F.col("bord_line")).alias("ever_backordered"),
-        "received_by_contact_id", "date_received", "vendor_id", "contract_pro_id",
-        to_double(F.when(F.col("return_required") == "Y", F.col("add_bill_unit_e4") * qty).otherwise(F.lit(0)), 4)
-        .alias("estimated_add_bill"),
-        "created_timestamp",
-    )
-    return out.distinct()
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    named = {
+        "line_item_id": "id_no", "requested_part_number": "part_number", "requested_part_number_stripped": "part_number_stripped",
+        "requested_condition_id": "condition_id", "line_item_description": "description", "confirmed_by_name": "user_name",
+        "package_id": "o_package_id", "asset_id": "equipment_number", "line_item_status_id": "status_id",
+    }
+    plain = [
+        "replacement_part_number", "replacement_part_number_stripped", "condition_code", "photo_shown", "return_required",
+        "warranty_description", "line_item_po", "work_order_number", "serial_number_equipment", "serial_number", "serial_number_core",
+        "model_number", "vrm_score", "urgency_code", "house_po_number", "invoice_number", "lead_time_days", "backorder_ship_date",
+        "functional_location", "created_user_id", "created_timestamp", "sourced_date", "quoted_date", "closed_date", "confirmed_date",
+        "po_date", "gsa_item", "hero_kit", "catalog", "pricing_rule_id", "pricing_rule_description", "nosale_reason_id",
+        "oem_item_number", "purchase_id", "received_by_contact_id", "date_received", "payment_method", "manufacturer_fee",
+        "exchange_fee", "customer_ship_fee", "minimum_order_fee", "confirmation_notes", "transit_coverage", "cost_center",
+        "program_fee", "is_formulary_outright_option", "is_formulary_exchange_option", "contract_pro_id", "web_display_code",
+        "esd_description", "estimated_shipping_date", "last_esd_updated_by", "customer_id", "vendor_id", "modality_id", "class_id",
+        "oem_id", "requestor_id", "core_charge", "vendor_research_id", "backorder_followup_date",
+    ]
+    made = {
+        "smart_price_selected": flags["smart_price_selected"], "smart_sourced": flags["smart_sourced"],
+        "smart_sourcing_alternative": flags["alternative_offered"], "manual_research": flags["manual_sourced"],
+        "smart_price_presented": one(F.col("had_smartpriced_research") == "Y"),
+        "smart_source_presented": one(F.col("had_smartsourced_research") == "Y"),
+        "subscription_name": F.when(F.col("o_id").isin(3, 4), F.col("o_status")).when(F.col("o_id") == 100, F.col("k_package_name"))
+        .otherwise(F.col("o_package_name")),
+        "subscription_type": F.when(F.col("o_id") == 100, F.col("k_type_name")).otherwise(F.col("o_type_name")),
+        "smart_order_po": _flag("has_smart_po"), "smart_order_conf": _flag("has_conf"), "ever_backordered": _flag("has_backorder"),
+        "cust_edi_request": _flag("has_request"), "vend_edi_request": _flag("vendor_850"), "vend_edi_conf": _flag("vendor_855"),
+        "vend_edi_ship": _flag("vendor_856"), "oemdirect_ind": _flag("has_direct"),
+        "cust_edi_conf": one(F.col("edi855") > 0), "cust_edi_ship": one(F.col("edi856") > 0),
+        "pim_item_number": first_present(F.col("rs_item_number"), F.col("catalogue_item"), fallback),
+        "requested_quantity": qty, "catalog_part": F.when(F.col("inv_item_cost_id").isNotNull(), "Y").otherwise("N"),
+        "repair_ind": one(repair), "service_ind": one((F.col("order_type_id") == 17) | (F.col("class_id") == 24)),
+        "loaner_ind": one((F.col("order_type_id") == 37) | (F.col("class_id") == 17)),
+        "product_category_id": F.coalesce("product_subcategory_id", F.lit(2)),
+        "exchange_fee_charged": one(F.col("exchange_fee") > 0),
+        "estimated_add_bill": row_double(F.when(F.col("return_required") == "Y", F.col("add_bill_unit_e4") * qty).otherwise(F.lit(0)), 4),
+    }
+    return j.select(*[F.col(c).alias(n) for n, c in named.items()], *plain, *[c.alias(n) for n, c in made.items()]).distinct()
 
 
 def load_line_item_details(t: Warehouse, since: dt.date, path: str) -> DataFrame:

@@ -37,10 +37,15 @@ def r5_union_grid(t: Warehouse) -> DataFrame:
              | ~F.col("product_category_description").isin("Biomed", "Stryker"))]
     out = None
     for seg, cond in segs:
-        for metric, a, b in (("Revenue", "actual_revenue", "budget_revenue"), ("Margin", "actual_margin",
-                                                                                 "budget_margin")):
+        def total(c: str):
+            return F.sum(c).cast("double")
+
+        values = {m.title(): (total(f"actual_{m}"), total(f"budget_{m}")) for m in ("revenue", "margin")}
+        values["GM %"] = tuple(F.try_divide(total(f"{k}_margin"), total(f"{k}_revenue")) for k in ("actual", "budget"))
+        for metric, (a, b) in values.items():
+            var = F.lit(None).cast("double") if metric == "GM %" else F.try_divide(a - b, b)
             part = d.filter(cond).agg(F.lit(seg).alias("customer_segment"), F.lit(metric).alias("metric"),
-                                      F.sum(a).cast("double").alias("actual"), F.sum(b).cast("double").alias("budget"))
+                                      a.alias("actual"), b.alias("budget"), var.alias("var_pct"))
             out = part if out is None else out.unionByName(part)
     return out
 

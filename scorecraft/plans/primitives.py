@@ -25,14 +25,10 @@ from scorecraft.sources.roles import ROLE_BUILDERS, Warehouse
 # 2.A sources and sinks
 # ---------------------------------------------------------------------------
 
-SCANNED_ROLES = ("txn", "line_detail", "line_status", "tracking", "shipping_info", "returns", "research",
-                 "vendors", "customers", "calendar", "items", "item_prices", "daily_actuals")
-
-
 def a1_named_scan(t: Warehouse) -> DataFrame:
     """A1: every bound role table scanned by name; row count per role."""
     parts = [t.role(r).select(F.lit(r).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("row_count"))
-             for r in SCANNED_ROLES if r in ROLE_BUILDERS]
+             for r in ROLE_BUILDERS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -45,11 +41,8 @@ def a2_source_query(t: Warehouse) -> DataFrame:
 
 
 def a4_full_refresh(t: Warehouse) -> DataFrame:
-    """A4: overwrite a table in the shared checkpoint folder, then read it back."""
-    from scorecraft.session import ensure_checkpoint_dir
-
-    base = ensure_checkpoint_dir(t.spark).rstrip("/")
-    path = f"{base}/full_refresh/{t.spark.sparkContext.applicationId}/vendor_compliance"
+    """A4: fill a table in the shared checkpoint folder anew (an own folder for each call), then read it back."""
+    path = tables.own_path(t.spark, "vendor_compliance")
     tables.full_refresh(compliance.vendor_compliance(t, P.PERIOD_START, P.PERIOD_END), path)
     return t.spark.read.parquet(path)
 
@@ -63,9 +56,12 @@ def a5_report(t: Warehouse) -> DataFrame:
 
 
 def a7_split_by(t: Warehouse) -> DataFrame:
-    """One output per category; the Biomed part of the category days."""
+    """One output per category (both product types), written by one job and read back one by one."""
     df = dashboard.daily_by_category(t, P.ASOF)
-    return tables.split_by(df, "product_type", ["Biomed", "Imaging"])["Biomed"]
+    kinds = ["Biomed", "Imaging"]
+    path = tables.write_split(df.filter(F.col("product_type").isin(kinds)), "product_type", tables.own_path(t.spark, "category_days"))
+    parts = [t.spark.read.parquet(f"{path}/product_type={k}").withColumn("product_type", F.lit(k)).select(*df.columns) for k in kinds]
+    return parts[0].unionByName(parts[1])
 
 
 # ---------------------------------------------------------------------------
@@ -148,9 +144,10 @@ def b11_active_only(t: Warehouse) -> DataFrame:
 
 
 def b12_by_filter(t: Warehouse) -> DataFrame:
-    """The catalogue switch, filtering by structure (all 50 structures)."""
+    """The catalogue switch, filtering by structure: the structures of one group, taken from the data."""
     df = catalogue._pim_items(t)
-    return flt.by_filter(df, "structure", list(range(1, 51)), catalogue.FILTER_COLUMNS).select(
+    ids = t.product_structure.filter(F.col("parent_name") == "Group 2").select("structure_id")
+    return flt.by_filter(df, "structure", ids, catalogue.FILTER_COLUMNS).select(
         "search_item_number", "ps_structure_id", "vendor_id", "oem_id", "taxonomy_id")
 
 
@@ -171,15 +168,9 @@ def b15_distinct(t: Warehouse) -> DataFrame:
     return pricing_rule_list(t)
 
 
-DESCRIPTIVE = ["vendor_id", "company_name", "relationship_manager_id", "relationship_manager", "company_type_code",
-               "tier_code", "payment_term_code", "active", "smart_order_enabled", "smart_label_enabled",
-               "epv_member", "choice_level", "oem_id", "class_id", "modality_id", "product_category_id"]
-
-
 def b16_distinct_wide(t: Warehouse) -> DataFrame:
-    """DISTINCT over a wide joined row (fact x vendor attributes)."""
-    v = t.vendors.withColumnRenamed("company_id", "vendor_id")
-    return t.txn.join(v, "vendor_id", "left").select(*DESCRIPTIVE).distinct()
+    """DISTINCT over the wide joined row of the line-item load (97 columns)."""
+    return line_items.line_item_details(t, P.PERIOD_START)
 
 
 def b17_tag(t: Warehouse) -> DataFrame:
@@ -604,7 +595,7 @@ def e1_first_per_key(t: Warehouse) -> DataFrame:
 def e2_rank_in_group(t: Warehouse) -> DataFrame:
     """Running counter within a sorted by-group (model rank per vendor item)."""
     vitems = t.items.filter(F.col("item_type") == "V").select("item_number", "product_number")
-    models = vitems.join(t.pim_models, "product_number", "inner").select("item_number", "model_code")
+    models = vitems.join(t.pim_models, "product_number", "inner").select("item_number", "model_code", "product_number")
     return win.rank_in_group(models, ["item_number"], ["model_code"], "rank")
 
 
@@ -649,7 +640,7 @@ def f2_sort_desc(t: Warehouse) -> DataFrame:
 
 def f3_sort_before_by(t: Warehouse) -> DataFrame:
     """sort ahead of by-group processing, folded into the window order (reference ranks)."""
-    refs = t.pim_searches.select("search_item_number", "part_number").distinct()
+    refs = t.pim_searches.groupBy("search_item_number", "part_number").agg(F.count(F.lit(1)).alias("uses"))
     return win.rank_in_group(refs, ["search_item_number"], ["part_number"], "rank")
 
 
@@ -834,7 +825,10 @@ def j2_fmt_signed(t: Warehouse) -> DataFrame:
     df = dashboard.daily_by_category(t, P.ASOF)
     v = F.col("rev_variance").cast("decimal(20,0)")
     return df.select("date_key", "product_type", display.fmt_signed(v).alias("rev_variance_text"),
-                     display.is_negative(F.col("rev_variance")).alias("is_negative"))
+                     display.is_negative(F.col("rev_variance")).alias("is_negative"),
+                     display.fmt_signed_percent(F.col("gm_percent_variance")).alias("gm_variance_text"),
+                     display.is_negative(F.col("margin_variance")).alias("margin_is_negative"),
+                     display.is_negative(F.col("gm_percent_variance")).alias("gm_is_negative"))
 
 
 def j4_daily_ratios(t: Warehouse) -> DataFrame:

@@ -14,11 +14,14 @@ the pairs it creates:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.codes import band, effective_cost, map_codes, transit_days
-from scorecraft.functions.money import to_double
+from scorecraft.functions.money import row_double, to_double, units
 from scorecraft.functions.scalar import seconds_of_day, to_day
 from scorecraft.functions.semantics import in_list, ne_keep_missing, ratio, sas_le, sas_lt
 from scorecraft.operators.filters import period_pred
@@ -67,19 +70,17 @@ def vendor_metrics(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
         rows = rows.withColumn("m", F.lit(1).cast("bigint"))
     v = t.vendors.select("company_id", "company_name", "relationship_manager_id",
                          "relationship_manager", "company_type_code")
-    rows = rows.join(v, rows.vendor_id == v.company_id, "inner")
     m = F.col("m")
     orders = F.col("orders")
 
     def wsum(x: Column) -> Column:
         return F.sum(x * m)
 
-    return rows.groupBy("company_id", "company_name", "relationship_manager_id", "relationship_manager",
-                        "company_type_code", "month_end").agg(
+    sums = rows.groupBy("vendor_id", "month_end").agg(
         wsum(F.col("requests")).cast("bigint").alias("total_requests"),
         wsum(orders).cast("bigint").alias("total_orders"),
-        to_double(wsum(F.col("oem_price_e2") * F.col("quantity")), 2).alias("oem_list"),
-        to_double(wsum(F.col("spend_e6")), 6).alias("parts_cost"),
+        to_double(wsum(units(F.col("oem_price_e2") * F.col("quantity"))), 2).alias("oem_list"),
+        to_double(wsum(units("spend_e6")), 6).alias("parts_cost"),
         wsum(F.col("smart_price_selected") * F.col("requests")).cast("bigint").alias("smart_priced_requests"),
         wsum(F.col("smart_sourced") * F.col("requests")).cast("bigint").alias("smart_sourced_requests"),
         wsum(F.col("photo_shown") * F.col("requests")).cast("bigint").alias("photo_requests"),
@@ -91,6 +92,8 @@ def vendor_metrics(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
         wsum(F.when(F.col("return_required") == "Y", orders).otherwise(0)).cast("bigint").alias("sold_on_exchange"),
         wsum(F.when(F.col("smart_order_po") == 1, orders).otherwise(0)).cast("bigint").alias("smart_po"),
     )
+    # names come after the aggregation: a hot vendor is combined in every task first
+    return v.join(sums, v.company_id == sums.vendor_id, "inner").drop("vendor_id")
 
 
 # ---------------------------------------------------------------------------
@@ -123,23 +126,29 @@ def vendor_returns(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
     # vendor id only survives where the vendor exists (left join to vendors)
     ven = t.vendors.select(F.col("company_id").alias("vid"))
     rows = rows.join(ven, rows.company_id == ven.vid, "left").withColumn("company_id", F.col("vid")).drop("vid")
-    # one row per return group; n = rows the fact join produced for it
-    g = rows.groupBy("company_id", "line_item_id", "rga_number", "month_end", "resp", "quality").agg(
-        F.count("line_item_id").alias("n"), F.sum("rev").alias("s"))
-    w = F.col("n") if mode == "reference" else F.lit(1)
-    n, s = F.col("n"), F.col("s")
+    # per return line and label: n rows of the fact join, s their revenue
+    line = ["company_id", "line_item_id", "rga_number", "month_end"]
+    g = rows.groupBy(*line, "resp", "quality").agg(F.count("line_item_id").alias("n"), F.sum(units("rev")).alias("s"))
+    if mode == "reference":
+        # a row counts its whole return line (remerge), whatever the labels of the line's other rows
+        whole = g.groupBy(*line).agg(F.sum("n").alias("ln"), F.sum("s").alias("ls"))
+        g = g.join(whole.select(*[F.col(c).alias("l_" + c) for c in line], "ln", "ls"),
+                   reduce(and_, (F.col(c).eqNullSafe(F.col("l_" + c)) for c in line)), "inner")
+        counted, valued = F.col("n") * F.col("ln"), F.col("n") * F.col("ls")
+    else:
+        counted, valued = F.col("n"), F.col("s")
 
     def cnt(cond: Column) -> Column:
-        return F.sum(F.when(cond, n * w).otherwise(0)).cast("bigint")
+        return F.sum(F.when(cond, counted).otherwise(0)).cast("bigint")
 
     def rev(cond: Column) -> Column:
-        return to_double(F.sum(F.when(cond, s * w).otherwise(0)), 2)
+        return to_double(F.sum(F.when(cond, valued).otherwise(0)), 2)
 
     resp = F.col("resp")
     qual = (F.col("quality") == "Quality Issue") & (resp == "Vendor")
     out = g.groupBy("company_id", "month_end").agg(
-        F.sum(n * w).cast("bigint").alias("total_returns"),
-        to_double(F.sum(s), 2).alias("total_rtn_rev"),
+        F.sum(counted).cast("bigint").alias("total_returns"),
+        to_double(F.sum("s"), 2).alias("total_rtn_rev"),
         cnt(resp == "Customer").alias("customer_returns"),
         cnt(resp == "House").alias("house_returns"),
         cnt(resp == "Vendor").alias("vendor_returns"),
@@ -165,16 +174,16 @@ def research_funnel(t: Warehouse, start, end) -> DataFrame:
     ven = t.vendors.select(F.col("company_id").alias("vendor_id"), "company_name")
     req = t.requestors.select("requestor_id")
     rows = (res.join(lid, "line_item_id", "inner")
-            .join(ven, "vendor_id", "left")
             .join(_months(t), F.col("created_date") == F.col("date_key"), "left")
             .join(req, F.col("created_user_id") == F.col("requestor_id"), "left"))
     has_part = in_list(F.col("result_code"), ("HP", "EHP"))
     auto = in_list(F.col("research_type_code"), ("SP", "SS", "SPP")) | (F.col("requestor_id").isNotNull() & has_part)
-    return rows.groupBy("vendor_id", "company_name", "month_end").agg(
+    counts = rows.groupBy("vendor_id", "month_end").agg(
         F.count("line_item_id").alias("research_lines"),
         F.count(F.when(has_part, F.col("line_item_id"))).alias("has_part_research_line"),
         F.count(F.when(auto, F.col("line_item_id"))).alias("ss_research_line"),
     )
+    return counts.join(ven, "vendor_id", "left")
 
 
 # ---------------------------------------------------------------------------
@@ -186,9 +195,10 @@ def supplier_type(t: Warehouse) -> DataFrame:
     q = t.txn.select("line_item_id", "vendor_id", "product_category_id", "orders")
     lid = _non_contract(t).select("line_item_id")
     ven = t.vendors.select(F.col("company_id").alias("vendor_id"), "company_name")
-    rows = q.join(lid, "line_item_id", "inner").join(ven, "vendor_id", "left")
+    rows = q.join(lid, "line_item_id", "inner")
     share = ratio(F.sum(F.when(F.col("product_category_id") == 2, F.col("orders"))), F.sum("orders"))
-    g = rows.groupBy(F.col("vendor_id").alias("company_id"), "company_name").agg(share.alias("bio_pct"))
+    g = rows.groupBy("vendor_id").agg(share.alias("bio_pct")).join(ven, "vendor_id", "left")
+    g = g.select(F.col("vendor_id").alias("company_id"), "company_name", "bio_pct")
     return g.withColumn("supplier_type", band(F.col("bio_pct"), 0.5, ("Biomed", "Biomed/Imaging", "Imaging")))
 
 
@@ -271,7 +281,7 @@ def _best_price_quotes(t: Warehouse, since) -> DataFrame:
     ven = t.vendors.select(F.col("company_id").alias("vendor_id"), "company_name")
     # costs as exact doubles of integer thousandths: comparisons and equality
     # agree with the decimal values
-    ex, out = to_double("exchange_e3", 3), to_double("outright_e3", 3)
+    ex, out = row_double("exchange_e3", 3), row_double("outright_e3", 3)
     sor = (vr.join(lid, "line_item_id", "inner").join(ven, "vendor_id", "left")
            .withColumn("new_cost", effective_cost(ex, out, 0.01))
            .filter(F.coalesce(out > 0.01, F.lit(False)) | F.coalesce(ex > 0.01, F.lit(False))))
@@ -308,7 +318,7 @@ def best_price(t: Warehouse, since, mode: str = "distinct") -> DataFrame:
         rows_g = F.col("qlm") * F.col("sm")
         cnt_g = F.when(F.col("condition_code").isNotNull(), rows_g).otherwise(0)
         g = g0.groupBy("company_name", "month_end").agg(
-            F.sum(cnt_g * rows_g).cast("bigint").alias("total_lines"),
+            F.sum(units(cnt_g) * units(rows_g)).cast("bigint").alias("total_lines"),
             F.sum(F.col("qlm") * F.col("sb")).cast("bigint").alias("best_cost_ind"))
     return g.withColumn("best_cost_rate", ratio(F.col("best_cost_ind"), F.col("total_lines")))
 

@@ -21,8 +21,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def _run(fn: Callable[[Warehouse], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)  # UTC session time zone, AQE, size-checked broadcast
-    return fn(Warehouse(spark, sf_dir))
+    configure(spark)  # UTC session time zone; AQE and size-checked broadcast unless the session says otherwise
+    return fn(Warehouse(spark, sf_dir).prepare())
 
 
 def register(name: str):
@@ -42,6 +42,8 @@ register("K5_on_time")(lambda t: sc.on_time(t, P.PERIOD_START, "reference"))
 register("K6_best_price")(lambda t: sc.best_price(t, P.BEST_PRICE_SINCE, "reference"))
 register("K7_supplier_scorecard")(
     lambda t: sc.supplier_scorecard(t, P.PERIOD_START, P.PERIOD_END, "distinct", P.BEST_PRICE_SINCE))
+register("K7_supplier_scorecard_reference")(
+    lambda t: sc.supplier_scorecard(t, P.PERIOD_START, P.PERIOD_END, "reference", P.BEST_PRICE_SINCE))
 register("K14_item_returns")(lambda t: tg.item_returns(t, P.PERIOD_START, P.PERIOD_END))
 register("K15_formulary_rules")(lambda t: tg.formulary_rules(t))
 register("K16_pricing_rules")(lambda t: tg.pricing_rules(t))
@@ -58,11 +60,11 @@ register("K13_vendor_contacts")(lambda t: cp.vendor_contacts(t))
 
 from scorecraft.plans import catalogue as cat  # noqa: E402
 
-TAXONOMY_GROUPS = [f"d{i}.0.0.0.0.0.0" for i in range(6)]
-
 register("K17_taxonomy")(lambda t: cat.taxonomy(t))
 register("K18_catalogue_sheet")(
-    lambda t: cat.catalogue_sheet(t, "parent_taxonomy", TAXONOMY_GROUPS, P.PERIOD_START, P.PERIOD_END))
+    # every group that the taxonomy holds
+    lambda t: cat.catalogue_sheet(t, "parent_taxonomy", cat.taxonomy(t).select("parent_structure_id").distinct(),
+                                  P.PERIOD_START, P.PERIOD_END))
 
 import datetime as _dt  # noqa: E402
 

@@ -52,9 +52,14 @@ def local_session(cores: int | None = None, app: str = "scorecraft") -> SparkSes
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the defaults to an existing session (cluster case)."""
+    """Apply the defaults that an existing session (cluster case) leaves open.
+
+    Only the time zone is always set: dates depend on it.
+    """
+    own = set(spark.conf.getAll)
     for k, v in SESSION_DEFAULTS.items():
-        spark.conf.set(k, v)
+        if k == "spark.sql.session.timeZone" or k not in own:
+            spark.conf.set(k, v)
     return spark
 
 

@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.functions.money import scaled, to_decimal
+from scorecraft.functions.money import scaled, to_decimal, total
 from scorecraft.sources.calendar import build_calendar
+from scorecraft.sources.load_roles import LOAD_ROLES, line_item_extras, research_extras
+from scorecraft.sources.tables import own_path
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -42,21 +45,51 @@ def line_key() -> Column:
 class Warehouse:
     """Named access to base tables and role tables for one data directory.
 
-    ``Warehouse(spark, sf_dir).role("txn")`` is the Spark counterpart of a
-    ``D_DW.RORM_ALL`` reference; roles are built lazily and memoised per
-    instance so a report that reads a role twice shares one logical plan.
+    ``Warehouse(spark, sf_dir).role("txn")`` names a table as the reports do;
+    roles are built lazily and memoised, so a report that reads a role twice
+    shares one logical plan.
     """
 
     # role plans are pure functions of the base tables: share them across
     # Warehouse objects of one session so each is resolved (analysed) once
-    _shared: dict[tuple[str, str], dict[str, DataFrame]] = {}
+    _shared: dict[tuple, dict[str, DataFrame]] = {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        key = (spark.sparkContext.applicationId, self.sf_dir)
+        self.store = store
+        self._version = self._fingerprint()
+        key = (spark.sparkContext.applicationId, self.sf_dir, self._version, store)
         self._cache: dict[str, DataFrame] = Warehouse._shared.setdefault(key, {})
 
+    def prepare(self) -> Warehouse:
+        """The same warehouse with shared roles stored as tables on first use.
+
+        Without it every role is a lazy view and building a plan runs no job.
+        With it, the roles that many steps of many reports read
+        (``STORED_ROLES``) are written once per session under
+        ``spark.checkpoint.dir``: the de-duplication of lines and the fact's
+        joins then run once instead of once per use, and lineage is cut there.
+        """
+        return Warehouse(self.spark, self.sf_dir, store=os.environ.get("SCORECRAFT_MATERIALIZE", "1") != "0")
+
+    def _fs(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _fingerprint(self) -> str:
+        """Digest of the input files' names, sizes and times: other data in the same folder are another version."""
+        seen = [self.sf_dir]
+        for name in BASE_TABLES:
+            where, fs = self._fs(f"{self.sf_dir}/{name}.parquet")
+            if not fs.exists(where):
+                continue
+            files = fs.listFiles(where, True)
+            while files.hasNext():
+                f = files.next()
+                seen.append(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+        return hashlib.sha1("|".join(sorted(seen)).encode()).hexdigest()[:16]
+
     # -- A1: named-table scan -------------------------------------------
     def base(self, name: str) -> DataFrame:
         key = "base:" + name
@@ -67,44 +100,36 @@ class Warehouse:
     def role(self, name: str) -> DataFrame:
         if name not in self._cache:
             df = ROLE_BUILDERS[name](self)
-            if name in STORED_ROLES and self.materialize:
-                df = self._store(name, df, STORED_ROLES[name])
+            if self.store and name in STORED_ROLES:
+                df = self._stored(name, df, STORED_ROLES[name])
             self._cache[name] = df
         return self._cache[name]
 
-    # Roles read by many steps of many reports are written once per session as
-    # tables in the shared folder named by ``spark.checkpoint.dir`` (the
-    # warehouse the reports read): the lineitem de-duplication and the fact
-    # joins then run once instead of once per use, the lineage is cut (a lost
-    # executor re-reads files rather than recomputing shuffles), and the fact
-    # is range-clustered by date so period filters skip whole files.
-    materialize = os.environ.get("SCORECRAFT_MATERIALIZE", "1") != "0"
-
-    def _store(self, name: str, df: DataFrame, cluster_by: tuple[str, ...] | None) -> DataFrame:
+    def _stored(self, name: str, df: DataFrame, cluster_by: tuple[str, ...] | None) -> DataFrame:
         """Write a role once and read it back.
 
-        By default the table lives in a per-application folder under
-        ``spark.checkpoint.dir``.  When the session names a shared warehouse
-        folder (``scorecraft.warehouse.path``), a complete table already there
-        is reused across applications (build once, report many times).
+        By default the table has a path of its own, removed when the session's
+        JVM ends.  When the session names a shared warehouse folder
+        (``scorecraft.warehouse.path``), a complete table of the same input
+        files is reused across applications; a new one is written beside it
+        and takes its name when it is complete, so a reader never meets half
+        a table and two writers never touch each other's files.
         """
-        from scorecraft.session import ensure_checkpoint_dir
-
-        tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
-        shared = self.spark.conf.get("scorecraft.warehouse.path", None)
-        if shared:
-            path = f"{shared.rstrip('/')}/{tag}/{name}"
-            try:
-                return self.spark.read.parquet(path)  # present only after a committed write
-            except Exception:  # noqa: BLE001 - not built yet
-                pass
-        else:
-            root = ensure_checkpoint_dir(self.spark).rstrip("/")
-            path = f"{root}/warehouse/{self.spark.sparkContext.applicationId}/{tag}/{name}"
         if cluster_by:
             df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        shared = self.spark.conf.get("scorecraft.warehouse.path", None)
+        if not shared:
+            path = own_path(self.spark, name)
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        final = f"{shared.rstrip('/')}/{self._version}/{name}"
+        done, fs = self._fs(f"{final}/_SUCCESS")
+        if not fs.exists(done):
+            mine = f"{final}-{uuid.uuid4().hex}"
+            df.write.parquet(mine)
+            if not fs.rename(self._fs(mine)[0], self._fs(final)[0]) and not fs.exists(done):
+                final = mine
+        return self.spark.read.schema(df.schema).parquet(final)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLE_BUILDERS:
@@ -119,7 +144,7 @@ class Warehouse:
 # ---------------------------------------------------------------------------
 
 def _txn(w: Warehouse) -> DataFrame:
-    """RORM_ALL: one row per lineitem row; lineitem ⨝ orders ⨝ part."""
+    """One row per lineitem row; lineitem ⨝ orders ⨝ part."""
     l = w.base("lineitem")
     o = w.base("orders").select("o_orderkey", "o_custkey")
     p = w.base("part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
@@ -181,7 +206,7 @@ def _line_rows(w: Warehouse) -> DataFrame:
 
 
 def _line_detail(w: Warehouse) -> DataFrame:
-    """LINE_ITEM_DETAILS: one row per line id."""
+    """One row per line id."""
     r = w.role("line_rows")
     p = w.base("part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
     ln = F.col("l_linenumber")
@@ -220,7 +245,7 @@ def _line_detail(w: Warehouse) -> DataFrame:
 
 
 def _line_status(w: Warehouse) -> DataFrame:
-    """LINE_ITEM_STATUS_SUMMARY: ordered = order date, closed = +3h per line number."""
+    """Ordered = order date, closed = +3h per line number."""
     r = w.role("line_rows").select("line_item_id", "l_orderkey", "l_linenumber", "l_discount")
     o = w.base("orders").select("o_orderkey", "o_orderdate")
     closed = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber") * 3)
@@ -234,7 +259,7 @@ def _line_status(w: Warehouse) -> DataFrame:
 
 
 def _tracking(w: Warehouse) -> DataFrame:
-    """TRACKING_NUMBERS: leg 1 for every line, a leg 2 for line number 1."""
+    """Leg 1 for every line, a leg 2 for line number 1."""
     r = w.role("line_rows").select("line_item_id", "l_orderkey", "l_linenumber", "l_shipdate")
     o = w.base("orders").select("o_orderkey", "o_orderdate")
     j = r.join(o, r.l_orderkey == o.o_orderkey, "inner")
@@ -268,7 +293,7 @@ SHIP_METHOD_IDS = {"1-URGENT": 11, "2-HIGH": 6, "3-MEDIUM": 59, "4-NOT SPECIFIED
 
 
 def _ship_methods(w: Warehouse) -> DataFrame:
-    """SHIP_METHODS: distinct method names that carry an id (bounded by the code list)."""
+    """Distinct method names that carry an id (bounded by the code list)."""
     sid = F.lit(None).cast("int")
     for name, i in SHIP_METHOD_IDS.items():
         sid = F.when(F.col("shipping_method") == name, F.lit(i)).otherwise(sid)
@@ -278,7 +303,7 @@ def _ship_methods(w: Warehouse) -> DataFrame:
 
 
 def _returns(w: Warehouse) -> DataFrame:
-    """RETURNS_ALL: one return per lineitem row flagged R or A."""
+    """One return per lineitem row flagged R or A."""
     l = w.base("lineitem").filter(F.col("l_returnflag").isin("R", "A"))
     resp = F.element_at(F.array(*[F.lit(c) for c in "CPVNSX"]), (F.col("l_suppkey") % 6 + 1).cast("int"))
     return l.select(
@@ -298,7 +323,7 @@ def _returns(w: Warehouse) -> DataFrame:
 
 
 def _research(w: Warehouse) -> DataFrame:
-    """VENDOR_RESEARCH: one quote per lineitem row; some costs missing or at the floor."""
+    """One quote per lineitem row; some costs missing or at the floor."""
     l = w.base("lineitem")
     ln = F.col("l_linenumber")
     rtype = F.element_at(F.array(*[F.lit(c) for c in ("SP", "SS", "SPP", "MAN", "EX")]),
@@ -342,6 +367,7 @@ def _research(w: Warehouse) -> DataFrame:
         F.when(ln == 3, F.lit(None)).when(ln == 4, F.lit(10)).otherwise(price_c * (10 - tax_c)).cast("long")
         .alias("exchange_e3"),
         (price_c * 25).alias("add_bill_unit_e4"),
+        *research_extras(),
     )
 
 
@@ -351,13 +377,13 @@ def _research_key() -> Column:
 
 
 def _line_items(w: Warehouse) -> DataFrame:
-    """SLS_LINE_ITEMS: operational line rows; the chosen quote is the line's first row."""
+    """Operational line rows; the chosen quote is the line's first row."""
     r = w.role("line_rows")
     o = w.base("orders").select("o_orderkey", "o_orderdate")
-    p = w.base("part").select("p_partkey", "p_name", "p_type", "p_size")
+    p = w.base("part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
     ln = F.col("l_linenumber")
-    return (r.join(o, r.l_orderkey == o.o_orderkey, "inner").join(p, r.l_partkey == p.p_partkey, "inner")
-            .select(
+    j = r.join(o, r.l_orderkey == o.o_orderkey, "inner").join(p, r.l_partkey == p.p_partkey, "inner")
+    return (j.select(
                 F.col("line_item_id").alias("id_no"),
                 F.col("p_name").alias("part_number"),
                 F.upper(F.translate(F.col("p_name"), " ", "")).alias("part_number_stripped"),
@@ -374,6 +400,7 @@ def _line_items(w: Warehouse) -> DataFrame:
                 F.when(F.col("l_discount") >= 0.08, F.col("l_shipdate").cast("date")).alias("backorder_ship_date"),
                 F.when(ln % 2 == 1, "Y").otherwise("N").alias("had_smartpriced_research"),
                 (ln % 3).alias("urgency_id"),
+                *line_item_extras(j),
             ))
 
 
@@ -409,13 +436,13 @@ URGENCY_CODES = ("LOW", "MED", "HIGH")
 
 
 def _code_table(w: Warehouse, key: str, labels, label_col: str, modulo: int) -> DataFrame:
-    ids = w.base("lineitem").select((F.col("l_linenumber") % modulo).alias(key)).distinct()
-    return ids.select(key, F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col(key) + 1).cast("int"))
-                      .alias(label_col))
+    ids = w.spark.range(modulo).select(F.col("id").cast("int").alias(key))  # the codes are fixed values
+    return ids.select(key, F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(key) + 1).alias(label_col))
 
 
 def _condition_codes(w: Warehouse) -> DataFrame:
-    return _code_table(w, "condition_id", CONDITION_CODES, "condition_code", 4)
+    codes = _code_table(w, "condition_id", CONDITION_CODES, "condition_code", 4)
+    return codes.withColumn("web_display_code", F.concat(F.lit("W"), F.col("condition_code")))
 
 
 def _warranty_codes(w: Warehouse) -> DataFrame:
@@ -476,7 +503,7 @@ def _customers(w: Warehouse) -> DataFrame:
 
 
 def _organization(w: Warehouse) -> DataFrame:
-    """ORGANIZATION: internal staff; customers of segment MACHINERY act as staff users."""
+    """Internal staff; customers of segment MACHINERY act as staff users."""
     c = w.base("customer")
     return c.filter(F.col("c_mktsegment") == "MACHINERY").select(
         F.col("c_custkey").alias("organization_id"),
@@ -485,7 +512,7 @@ def _organization(w: Warehouse) -> DataFrame:
 
 
 def _requestors(w: Warehouse) -> DataFrame:
-    """REQUESTORS: users that signed up (events)."""
+    """Users that signed up (events)."""
     e = w.base("events")
     return (e.filter(F.col("event_type") == "signup")
             .groupBy(F.col("user_id").alias("requestor_id"))
@@ -511,7 +538,7 @@ def _vendor_mapping(w: Warehouse) -> DataFrame:
 
 
 def _auto_order(w: Warehouse) -> DataFrame:
-    """VENDOR_AUTO_ORDER: one setting per (company, ship priority)."""
+    """One setting per (company, ship priority)."""
     o = w.base("orders")
     return (o.groupBy(F.col("o_custkey").alias("vendor_id"),
                       F.substring("o_orderpriority", 1, 1).cast("int").alias("ship_priority_id"))
@@ -519,8 +546,13 @@ def _auto_order(w: Warehouse) -> DataFrame:
             .withColumn("is_auto_order", F.when(F.col("settings") == "F", "Y").otherwise("N")))
 
 
+# Further numbers of a contact, their prefix, and how often one is missing.
+CONTACT_NUMBERS = (("fax", 556, 2), ("direct_line", 557, 3), ("cell_phone", 558, 4), ("alternate_phone", 559, 5),
+                   ("alternate_fax", 560, 6), ("pager", 561, 7), ("emergency_phone", 562, 8))
+
+
 def _contacts(w: Warehouse) -> DataFrame:
-    """COMPANY_REQUESTORS: customer rows act as contacts of a company."""
+    """Customer rows act as contacts of a company."""
     c = w.base("customer")
     k = F.col("c_custkey")
     return c.select(
@@ -531,6 +563,10 @@ def _contacts(w: Warehouse) -> DataFrame:
         F.substring_index("c_name", "#", -1).alias("last_name"),
         F.col("c_mktsegment").alias("position_description"),
         F.concat(F.lit("555-"), (k % 10000).cast("string")).alias("main_phone"),
+        F.when(k % 3 != 0, F.concat(F.lit("contact"), k.cast("string"), F.lit("@example.com"))).alias("email"),
+        F.concat(F.lit("Rep "), F.col("c_nationkey").cast("string")).alias("sales_representative"),
+        F.when(k % 4 == 0, F.concat(F.lit("www.site"), F.col("c_nationkey").cast("string"), F.lit(".example"))).alias("website"),
+        *[F.when(k % m != 0, F.concat(F.lit(f"{p}-"), (k % 10000).cast("string"))).alias(n) for n, p, m in CONTACT_NUMBERS],
         F.when(F.col("c_acctbal") > 0, "Y").otherwise("N").alias("active"),
         F.when(k % 7 == 0, "N").otherwise("Y").alias("cc_active"),
         F.when(F.col("c_mktsegment") != "HOUSEHOLD", "Y").otherwise("N").alias("vendor_ind"),
@@ -538,7 +574,7 @@ def _contacts(w: Warehouse) -> DataFrame:
 
 
 def _items(w: Warehouse) -> DataFrame:
-    """PIM_ITEMS: one catalogue item per part; every third part is an OEM item."""
+    """One catalogue item per part; every third part is an OEM item."""
     p = w.base("part")
     k = F.col("p_partkey")
     return p.select(
@@ -562,7 +598,7 @@ def _condition_of(key: Column) -> Column:
 
 
 def _item_prices(w: Warehouse) -> DataFrame:
-    """PIM_ITEM_PRICES: vendor item -> its OEM item (first of its group of three), prices."""
+    """Vendor item -> its OEM item (first of its group of three), prices."""
     p = w.base("part")
     k = F.col("p_partkey")
     base = F.col("p_retailprice").cast("decimal(15,2)")
@@ -595,7 +631,7 @@ def _item_prices(w: Warehouse) -> DataFrame:
 
 
 def _product_structure(w: Warehouse) -> DataFrame:
-    """PIM_PRODUCT_STRUCTURE: one structure per part size, grouped by tens."""
+    """One structure per part size, grouped by tens."""
     return (w.base("part").select(F.col("p_size").alias("structure_id")).distinct()
             .select("structure_id",
                     F.concat(F.lit("Structure "), F.col("structure_id").cast("string")).alias("name"),
@@ -608,7 +644,7 @@ def _tax_code(size: Column) -> Column:
 
 
 def _oem_structure(w: Warehouse) -> DataFrame:
-    """OEM_STRUCTURE: taxonomy codes, one per size plus one per group of ten sizes."""
+    """Taxonomy codes, one per size plus one per group of ten sizes."""
     sizes = w.base("part").select(F.col("p_size").alias("s")).distinct()
     child = sizes.select(_tax_code(F.col("s")).alias("structure_id"))
     parent = sizes.select(F.concat(F.lit("d"), F.floor(F.col("s") / 10).cast("string"),
@@ -619,7 +655,7 @@ def _oem_structure(w: Warehouse) -> DataFrame:
 
 
 def _oem_structure_products(w: Warehouse) -> DataFrame:
-    """OEM_STRUCTURE_PRODUCTS: product number -> taxonomy code."""
+    """Product number -> taxonomy code."""
     p = w.base("part")
     return p.select(
         F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("product_number"),
@@ -635,7 +671,7 @@ def _pim_images(w: Warehouse) -> DataFrame:
 
 
 def _pim_models(w: Warehouse) -> DataFrame:
-    """PIM_MODELS: models of a product, one per supplier that sold it."""
+    """Models of a product, one per supplier that sold it."""
     l = w.base("lineitem").select("l_partkey", "l_suppkey")
     p = w.base("part").select("p_partkey", "p_brand", "p_size")
     return (l.join(p, l.l_partkey == p.p_partkey, "inner")
@@ -645,7 +681,7 @@ def _pim_models(w: Warehouse) -> DataFrame:
 
 
 def _pim_searches(w: Warehouse) -> DataFrame:
-    """PIM_SEARCHES: part numbers searched for an item (with repeats)."""
+    """Part numbers searched for an item (with repeats)."""
     l = w.base("lineitem")
     return l.select(F.col("l_partkey").alias("search_item_number"),
                     F.concat(F.lit("REF"), F.col("l_suppkey").cast("string")).alias("part_number"))
@@ -670,7 +706,7 @@ def _item_attributes(w: Warehouse) -> DataFrame:
 
 
 def _references(w: Warehouse) -> DataFrame:
-    """REFERENCES: 'also consider' links of an item (type C), sequences 1-3."""
+    """'also consider' links of an item (type C), sequences 1-3."""
     p = w.base("part").select("p_partkey")
     seq = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("sequence")
     return (p.select("p_partkey", seq)
@@ -679,7 +715,7 @@ def _references(w: Warehouse) -> DataFrame:
 
 
 def _formulary(w: Warehouse) -> DataFrame:
-    """RAVEN_FORMULARY_OSTRING_USAGE: each order is a formulary document naming OEM items."""
+    """Each order is a formulary document naming OEM items."""
     l = w.base("lineitem")
     return l.select(F.col("l_orderkey").alias("document_id"),
                     (F.col("l_partkey") - F.col("l_partkey") % 3).alias("o_string"))
@@ -704,7 +740,7 @@ def _oems(w: Warehouse) -> DataFrame:
 
 
 def _modalities(w: Warehouse) -> DataFrame:
-    """MODALITIES: bounded code table (ids 0-6)."""
+    """Bounded code table (ids 0-6)."""
     return (w.base("part").select((F.col("p_size") % 7).alias("modality_id")).distinct()
             .withColumn("modality_code", F.concat(F.lit("MOD"), F.col("modality_id").cast("string"))))
 
@@ -731,7 +767,7 @@ SUPPLEMENT_SHARE = "0.02"
 
 
 def _daily_actuals(w: Warehouse) -> DataFrame:
-    """DAILY_BUDGET_FORECAST_AND_ACTUAL: fact by day x segment x sub-segment x category."""
+    """Fact by day x segment x sub-segment x category."""
     q = w.role("txn")
     c = w.role("customers").select(F.col("company_id").alias("customer_id"), "segment", "sub_segment")
     pc = F.broadcast(w.role("product_categories"))  # bounded code table
@@ -742,8 +778,8 @@ def _daily_actuals(w: Warehouse) -> DataFrame:
               F.sum("orders").cast("bigint").alias("actual_orders"),
               # integer sums, then exact decimals of bounded precision (products with
               # the budget factors stay exact)
-              to_decimal(F.sum("revenue_e4"), 4).alias("actual_revenue"),
-              to_decimal(F.sum("margin_e6"), 6).alias("actual_margin")))
+              to_decimal(total("revenue_e4"), 4, 28).alias("actual_revenue"),
+              to_decimal(total("margin_e6"), 6, 28).alias("actual_margin")))
     factor = F.lit(OTHER_BUDGET_FACTOR).cast("decimal(3,2)")
     for k, v in BUDGET_FACTORS.items():
         factor = F.when(F.col("product_category_description") == k, F.lit(v).cast("decimal(3,2)")).otherwise(factor)
@@ -765,8 +801,8 @@ def _budget_supplement(w: Warehouse) -> DataFrame:
     q = w.role("txn")
     share = F.lit(SUPPLEMENT_SHARE).cast("decimal(3,2)")
     m = q.groupBy(F.last_day("transaction_date").alias("month_end")).agg(
-        (to_decimal(F.sum("revenue_e4"), 4) * share).alias("budget_revenue"),
-        (to_decimal(F.sum("margin_e6"), 6) * share).alias("budget_margin"))
+        (to_decimal(total("revenue_e4"), 4, 28) * share).alias("budget_revenue"),
+        (to_decimal(total("margin_e6"), 6, 28) * share).alias("budget_margin"))
     days = F.broadcast(w.role("calendar").groupBy("month_end").agg(F.sum("workday_ind").alias("days")))
     return m.join(days, "month_end", "left").select(
         F.lit("Contingency").alias("segment"), F.lit(6).alias("sort"), "month_end", "budget_revenue",
@@ -781,7 +817,7 @@ def _calendar(w: Warehouse) -> DataFrame:
 # role -> columns the stored table is range-clustered by (None: no clustering).
 # The fact is clustered by date then line id, so a date holding a third of the
 # rows still splits into many ranges (no single hot write task).
-STORED_ROLES = {"line_rows": None, "txn": ("transaction_date", "line_item_id"), "line_detail": None,
+STORED_ROLES = {"calendar": None, "line_rows": None, "txn": ("transaction_date", "line_item_id"), "line_detail": None,
                 "line_status": None, "tracking": None, "shipping_info": None, "research": None, "returns": None,
                 "daily_actuals": None, "pim_models": None, "pim_searches": None,
                 "pim_images": None, "item_attributes": None, "vendor_mapping": None}
@@ -832,4 +868,5 @@ ROLE_BUILDERS = {
     "modalities": _modalities,
     "product_classes": _product_classes,
     "product_categories": _product_categories,
+    **LOAD_ROLES,
 }

@@ -5,6 +5,7 @@ A1 (named-table scan) is ``Warehouse.base`` / ``Warehouse.role``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,19 +57,32 @@ def write_split(df: DataFrame, col: str, path: str) -> str:
     return path
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path of its own under ``spark.checkpoint.dir``, removed when the driver's JVM ends."""
+    from scorecraft.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back (lineage is cut there)."""
+    path = own_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
     """A3: an intermediate table (``create table ... as``) read by several later steps.
 
     Written once as parquet under ``spark.checkpoint.dir`` (shared storage on a
     cluster) and read back, so the steps that reuse it do not recompute its
-    joins and its lineage is cut.  ``key`` identifies the parameters.
+    joins.  Every build has a path of its own: a second build never touches
+    the files that readers of the first still hold.  ``key`` names the
+    parameters in the path, for people who look there.
     """
     import hashlib
 
-    from scorecraft.session import ensure_checkpoint_dir
-
-    root = ensure_checkpoint_dir(spark)
-    tag = hashlib.sha1(key.encode()).hexdigest()[:12]
-    path = f"{root}/stage/{spark.sparkContext.applicationId}/{name}-{tag}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return stored(df, f"{name}-{hashlib.sha1(key.encode()).hexdigest()[:12]}")
