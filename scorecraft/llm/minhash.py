@@ -14,8 +14,11 @@ s = 0.85 with 4 and 10).
    gives one pair per class and no task receives more than one row per key
    and sending task.
 3. Pairs are verified on their full sets; links give components.
-4. Buckets that still span several components: every remaining pair across
-   components is verified too, so no candidate link is lost.
+4. Components that a failed pair joins may hold further candidate links.  They
+   are gathered into clusters and searched in blocks of at most ``BLOCK``
+   classes on a side: an inverted list of shingles counts what two sets share,
+   and only links leave the task.  So no candidate link is lost and no pair
+   that isn't a link becomes a row.
 
 Sets are of 64-bit shingle hashes.  A text without words has an empty set and
 is linked with nothing.  Equal rows and repeated ids are fine (rows with one
@@ -35,9 +38,13 @@ from pyspark.sql.window import Window
 from scorecraft.llm.common import list_array, map_text, stored
 from scorecraft.llm.components import components
 from scorecraft.llm.shingles import shingle_sets
-from scorecraft.llm.text import mix
+from scorecraft.llm.text import flat_ranges, mix
 
 SEED = 20240607
+#: Orders of precedence among nodes, one of them for each bucket (a power of two).
+PIVOTS = 8
+#: Most classes of one side in a block of the search across components.
+BLOCK = 2048
 
 
 def row_digest(id_col: str, text_col: str) -> Column:
@@ -109,7 +116,8 @@ def _stars(batches, final: bool):
         other = t.column("other").fill_null(0).to_numpy()
         pairs = [(node[ready], other[ready])]
         key, node = key[~ready], node[~ready]
-        order = np.lexsort((mix(node.view(np.uint64) ^ key.view(np.uint64)), key))
+        # the same few nodes are pivots in most of a group's buckets, so its pairs repeat and are told once
+        order = np.lexsort((mix(node.view(np.uint64) + (key.view(np.uint64) & np.uint64(PIVOTS - 1))), key))
         key, node = key[order], node[order]
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
@@ -200,10 +208,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, shape: tuple[i
     links = tested.filter("linked").select("a", "b")
     comps = components(links)
 
-    more = stored(_untested(classes, tested, comps), "untested")
-    if more.limit(1).count():
-        again = _verify(more, stored(_sets(df, rows, _ends(more), k, id_col, text_col), "sets"), percent).filter("linked").select("a", "b")
-        comps = components(links.unionByName(again))
+    open_ = stored(_open_clusters(tested, comps), "open-clusters")
+    if open_.limit(1).count():
+        sets = stored(_sets(df, rows, open_.select("node"), k, id_col, text_col), "open-sets")
+        comps = components(links.unionByName(_across(open_, sets, percent)))
 
     named = classes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -228,20 +236,50 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _untested(classes: DataFrame, tested: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of classes that share a key, lie in different components and have not met yet."""
-    comp = comps.withColumnRenamed("comp", "c")
-    left, right = comp.select(F.col("node").alias("a"), F.col("c").alias("ca")), comp.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+def _open_clusters(tested: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, comp, cluster of the components that a failed pair connects with another one."""
+    left, right = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     apart = tested.filter("not linked").join(left, "a", "left").join(right, "b", "left")
-    apart = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    ends = stored(_ends(apart), "apart")
-    # keys of buckets in which a pair failed: only they can span several components
-    keys = _tables(classes.join(ends, "node", "left_semi")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = _tables(classes).join(keys, "key", "left_semi").join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    members = stored(members, "open-buckets")
-    spread = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo != hi and n > 2").select("key")
-    members = members.join(spread, "key", "left_semi")
-    one = members.select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-    two = members.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    pairs = one.join(two, "key").filter("a < b and ca != cb").select("a", "b").distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    apart = apart.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca != cb")
+    apart = stored(apart, "apart")
+    clusters = components(apart.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    clusters = clusters.select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
+    alone = apart.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("node"), F.col("cb").alias("comp")))).alias("x"))
+    return comps.unionByName(alone.select("x.node", "x.comp")).distinct().join(clusters, "comp")
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between classes of one cluster that lie in different components."""
+
+    def search(t: pa.Table) -> pa.Table:
+        node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "side"))
+        lists = t.column("shingles").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        order = np.argsort(token, kind="stable")
+        owner = np.repeat(np.arange(len(n)), n)[order]  # rows of each token, token by token
+        count = np.bincount(token, minlength=1)
+        at = np.cumsum(count) - count
+        kinds, size = np.unique(comp, return_counts=True)
+        two_sided = side.min() != side.max()
+        out_a, out_b = [], []
+        # the largest component needs no search of its own: what it links with is searched
+        for i in np.flatnonzero(comp != kinds[size.argmax()]).tolist():
+            own = token[upto[i]:upto[i + 1]]
+            own = own[count[own] > 1]
+            shared = np.bincount(owner[flat_ranges(at[own], count[own])], minlength=len(n))
+            hit = (100 * shared >= percent * (n[i] + n - shared)) & (comp != comp[i])
+            if two_sided:
+                hit &= side != side[i]
+            near = node[hit]
+            out_a.append(np.minimum(near, node[i]))
+            out_b.append(np.maximum(near, node[i]))
+        empty = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([*out_a, empty])), "b": pa.array(np.concatenate([*out_b, empty]))})
+
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp", "side")
+    return placed.join(sets.select("node", "shingles"), "node").groupBy("cluster", "i", "j").applyInArrow(search, "a long, b long").distinct()

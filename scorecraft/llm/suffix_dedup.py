@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.llm.common import add_columns, map_text, stored
-from scorecraft.llm.lpf import longest_previous
+from scorecraft.llm.lpf import longest_factors
 from scorecraft.llm.text import flat_ranges, mix, prefix_hash, span_hash, utf8
 
-HOT_CLASSES = 5000
-CHUNK_BYTES = 4 << 20
+HOT_CLASSES = 1000
+CHUNK_BYTES = 1 << 20
 
 
 def sliding(values: np.ndarray, width: int, fn) -> np.ndarray:
@@ -162,8 +162,7 @@ def _suffix_task(length: int):
         run = np.repeat(np.arange(len(n)), n)
         i = flat_ranges(np.zeros(len(n), np.int64), n)
         starts, pos = offsets[run] + i, place[run] + i
-        earlier = longest_previous(data, starts, pos, length) >= length
-        later = longest_previous(data, starts, -pos, length) >= length
+        earlier, later = (f >= length for f in longest_factors(data, starts, pos, length))
         hit = np.flatnonzero(earlier | later)
         r, lo, hi, flag = _intervals(run[hit], i[hit], earlier[hit])
         take = pa.array(r, pa.int64())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.llm import fingerprints, minhash, suffix_dedup
 from scorecraft.llm.components import components
-from scorecraft.llm.lpf import longest_previous
+from scorecraft.llm.lpf import longest_factors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,8 +67,10 @@ def test_minhash_chains(spark):
     assert got == groups(rows, 3, 85)
 
 
-def test_open_buckets_are_searched(spark):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_open_buckets_are_searched(spark, monkeypatch, block):
     """With keys of one hash nearly all classes meet in few buckets: pairs a pivot misses are still verified."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = [(i, " ".join(["the"] * 3 + [f"g{i % 7}_{j}" for j in range(30)] + [f"r{i}"])) for i in range(70)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = minhash.near_duplicates(df, 1, 85, shape=(1, 2)).collect()
@@ -172,10 +174,10 @@ def test_first_copy_stays(spark, monkeypatch, hot):
 def test_longest_previous_factors(bits, length):
     data = np.array(bits, np.uint8)
     starts = np.arange(len(data) - length + 1) if len(data) >= length else np.zeros(0, np.int64)
-    got = longest_previous(data, starts, starts, length)
+    before, after = longest_factors(data, starts, starts, length)
     raw = data.tobytes()
-    want = [length if raw.find(raw[s:s + length]) < s else 0 for s in starts.tolist()]
-    assert got.tolist() == want
+    assert before.tolist() == [length if raw.find(raw[s:s + length]) < s else 0 for s in starts.tolist()]
+    assert after.tolist() == [length if raw.rfind(raw[s:s + length]) > s else 0 for s in starts.tolist()]
 
 
 # --- fingerprints ------------------------------------------------------------------
