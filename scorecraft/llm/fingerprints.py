@@ -43,11 +43,17 @@ def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
     def of(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(1)))
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, shingle)))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0)))
+        # places past the end are null, which the hash skips
+        hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(shingle)]))
         return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.slice(F.sort_array(F.array_distinct(hashes)), 1, k))
 
-    return let(words, of)
+    return let(F.transform(words, lambda x: F.xxhash64(x)), of)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that later steps read without working it out again (a projection alone may be merged into each of them)."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -123,13 +129,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     guest = F.struct(F.element_at(host, F.col("range") + 1).alias("range"), F.lit(True).alias("guest"))
     visits = F.when(key == F.element_at(firsts, F.col("range") + 1), F.array(own, guest)).otherwise(F.array(own))
     spread = placed.select("row_id", "text", F.explode(visits).alias("v")).select("row_id", "text", "v.range", "v.guest")
-    dealt = spread.repartition(F.col("range")).withColumn("sketch", sketch(F.col("text"), k, shingle))
+    dealt = once(spread.repartition(F.col("range")), "sketch", sketch(F.col("text"), k, shingle))
     line = Window.partitionBy("range").orderBy(F.col("guest"), F.col("row_id").asc_nulls_first(), F.col("text"))
     pair = dealt.withColumn("next", F.lead(F.struct("text", "sketch")).over(line)).filter("not guest")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - quarter), F.substring(F.coalesce("next.text", F.lit("")), F.lit(1), quarter))
     made = pair.select("row_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    made = made.withColumn("edited_sketch", sketch(F.col("edited"), k, shingle))
+    made = once(once(made, "edited_text", F.col("edited")), "edited_sketch", sketch(F.col("edited_text"), k, shingle)).drop("edited").withColumnRenamed("edited_text", "edited")
     return made.select(F.col("row_id").alias(id_col), "n_chars", "edited", "sketch", "edited_sketch",
                        resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
                        resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"))
