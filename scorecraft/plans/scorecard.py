@@ -5,10 +5,11 @@ Each branch is a lazy DataFrame; ``supplier_scorecard`` joins them once.
 Two modes reproduce the reference's fan-out rules without ever emitting
 the pairs it creates:
 
-* ``mode="reference"``: value parity with the reference.  Where it joins
-  the fact to itself per line (C8) or sums remerged aggregates (S4), the
-  repeated rows are counted with multiplicities computed by aggregates
+* ``mode="reference"``: the reference's sums at the report's grain.  Where it
+  joins the fact to itself per line (C8) or sums remerged aggregates (S4),
+  the repeated rows are counted with multiplicities computed by aggregates
   keyed by line id and joined back (no row pairs, no cartesian product).
+  The copies of a result row that its remerge would keep aren't returned.
 * ``mode="distinct"``: the report grain - each fact row counts once.
 """
 
@@ -52,7 +53,8 @@ def vendor_metrics(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
     """K1: vendor x month order metrics on non-contract lines.
 
     Reference mode weights every fact row by the number of fact rows of the
-    same vendor and line (the reference's fact self-join, C8).
+    same vendor and line (the reference's fact self-join, C8).  One row per
+    vendor and month in both modes.
     """
     _check(mode)
     q = t.txn.filter(period_pred("transaction_date", start, end))
