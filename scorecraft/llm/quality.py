@@ -1,8 +1,9 @@
 """Operator 10: quality classifier with supervised subword embeddings.
 
 Every word and every character n-gram of it (with word edges) has a learned
-vector, found by hashing into ``BUCKETS`` rows.  A document is the average of
-all its vectors; a softmax layer gives the class.  Vectors and layer are
+vector, found by hashing into ``BUCKETS`` rows.  A word that repeats the one
+before it has one shared vector instead, so that repetition itself is learned.
+A document is the average of all its vectors; a softmax layer gives the class.  Vectors and layer are
 trained together by plain stochastic gradient descent in numpy, in one task
 over a sample of at most ``PER_CLASS`` labelled documents of each class.
 
@@ -30,6 +31,7 @@ from scorecraft.llm.examples import labelled_sample
 from scorecraft.llm.text import SpanCache, code_points, decode, flat_ranges, prefix_hash, span_hash
 
 BUCKETS = 1 << 17
+REPEATED = BUCKETS
 DIM = 8
 NGRAMS = (2, 3, 4)
 PER_CLASS = 2000
@@ -72,18 +74,28 @@ def features(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return (bucket[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owner, minlength=len(s))
 
 
+def repeats(key: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Words (by hash) that equal the word before them in their text."""
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    same[offs[offs < len(key)]] = False
+    return same
+
+
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, float]:
     """One number per bucket, and the bias: the trained model in its linear form."""
     docs = []
     for t in texts:
-        cp, s, e, _ = words_of([t])
+        cp, s, e, offs = words_of([t])
         if len(s):
-            ids, n = np.unique(features(cp, s, e)[0], return_counts=True)
+            ids, per_word = features(cp, s, e)
+            ids[np.repeat(repeats(span_hash(prefix_hash(cp), s, e), offs), per_word)] = REPEATED
+            ids, n = np.unique(ids, return_counts=True)
             docs.append((ids, (n / n.sum()).astype(np.float32)))
         else:
             docs.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+    emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     scale = weight / weight.mean()
     steps = EPOCHS * len(docs)
@@ -119,7 +131,8 @@ class Scorer:
         cp, s, e, offs = words_of(texts)
         z = np.full(len(texts), self.bias)
         if len(s):
-            key, one, inverse = np.unique(span_hash(prefix_hash(cp), s, e), return_index=True, return_inverse=True)
+            words = span_hash(prefix_hash(cp), s, e)
+            key, one, inverse = np.unique(words, return_index=True, return_inverse=True)
 
             def make(missing):
                 at = one[missing]
@@ -130,15 +143,16 @@ class Scorer:
             slot = self.cache.resolve(key, make)[inverse]
             at = self.cache.at[slot]
             upto = np.zeros((2, len(s) + 1))
-            np.cumsum(self.cache.flat[at], out=upto[0, 1:])
-            np.cumsum(self.cache.flat[at + 1], out=upto[1, 1:])
+            size = self.cache.flat[at + 1]
+            np.cumsum(np.where(repeats(words, offs), size * self.weights[REPEATED], self.cache.flat[at]), out=upto[0, 1:])
+            np.cumsum(size, out=upto[1, 1:])
             total, count = upto[0, offs[1:]] - upto[0, offs[:-1]], upto[1, offs[1:]] - upto[1, offs[:-1]]
             z = z + np.where(count > 0, total / np.maximum(count, 1), 0)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> dict:
-    """The model: ``weights`` and ``bias``, at most ``BUCKETS`` numbers whatever the data."""
+    """The model: ``weights`` and ``bias``, one number per bucket whatever the data."""
     sample = labelled_sample(docs, labels, label, per_class).coalesce(1)
 
     def run(batches):
@@ -148,14 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             ones = float((pdf["label"] * pdf["share"]).sum()) if len(pdf) else 0.0
             rows = float(pdf["share"].sum()) if len(pdf) else 0.0
             p = (ones + 1) / (rows + 2)
-            weights, bias = np.zeros(BUCKETS, np.float32), math.log(p / (1 - p))
+            weights, bias = np.zeros(BUCKETS + 1, np.float32), math.log(p / (1 - p))
         else:
             weights, bias = train(pdf["text"].fillna("").tolist(), pdf["label"].to_numpy(), pdf["share"].to_numpy(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
     got = sample.mapInArrow(run, "weights binary, bias double").first()
     if got is None:  # no task ran: no labelled rows
-        return {"weights": np.zeros(BUCKETS, np.float32).tobytes(), "bias": 0.0}
+        return {"weights": np.zeros(BUCKETS + 1, np.float32).tobytes(), "bias": 0.0}
     return {"weights": bytes(got["weights"]), "bias": got["bias"]}
 
 
