@@ -169,23 +169,32 @@ def _suffix_task(length: int):
         return pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks().take(take), t.column("digest").combine_chunks().take(take), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(flag, pa.bool_())],
                                           names=["anchor", "digest", "lo", "hi", "earlier"])
 
+    def pieces(t: pa.Table, rest: bool):
+        """Row ranges of whole anchors, about ``CHUNK_BYTES`` each; without ``rest`` the last anchor waits."""
+        anchor = t.column("anchor").to_numpy()
+        upto = utf8(t.column("bytes"))[1]
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        ends = np.append(first[1:], len(anchor)) if rest else first[1:]
+        begin = 0
+        for i, end in enumerate(ends.tolist()):
+            following = ends[i + 1] if i + 1 < len(ends) else None
+            if following is None or upto[following] - upto[begin] > CHUNK_BYTES:
+                yield begin, end
+                begin = end
+
     def task(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held = None
         for batch in batches:  # sorted by anchor
-            held.append(batch)
-            size += batch.nbytes
-            if size < CHUNK_BYTES:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            anchor = t.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-            if cut:
-                yield work(t.slice(0, cut))
-                held = t.slice(cut).to_batches()
-                size = sum(b.nbytes for b in held)
-        if held:
-            yield work(pa.Table.from_batches(held).combine_chunks())
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            done = 0
+            for begin, end in pieces(held, False):
+                yield work(held.slice(begin, end - begin))
+                done = end
+            held = held.slice(done)
+        if held is not None and held.num_rows:
+            for begin, end in pieces(held, True):
+                yield work(held.slice(begin, end - begin))
 
     return task
 
