@@ -3,14 +3,16 @@
 1. At most ``PER_CLASS`` labelled documents of each class are the examples.
    Terms are words in lower case; those whose presence depends on the label
    (likelihood-ratio test, the bound growing with the number of terms tried)
-   make the vocabulary, at most ``MAX_TERMS``.
+   make the vocabulary, at most ``MAX_TERMS``.  Near copies of one text say no
+   more than one of them: examples are gathered into families by MinHash, and
+   a term counts once in each family.
 2. Document frequencies of these terms are counted over all documents.
 3. Examples become TF-IDF vectors in an inverted index whose posting lists are
    cut into blocks of ``BLOCK`` examples with the largest weight of each term
    and block.  A search visits blocks by their upper bound and stops when no
    block can still reach the list: the ``NEIGHBOURS`` nearest by exact cosine.
 4. Neighbours vote, each by the inverse of its distance (1 - cosine).  Votes
-   of the examples themselves, each without itself, give a monotone
+   of the examples themselves, each without its family, give a monotone
    calibration from vote to probability.
 
 An example never votes on a text equal to its own, so no label is an input of
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from scorecraft.llm.bpe import LETTER, char_classes
 from scorecraft.llm.common import add_columns, fold, list_array, map_text
 from scorecraft.llm.examples import labelled_sample
-from scorecraft.llm.text import code_points, decode, prefix_hash, span_hash
+from scorecraft.llm.text import code_points, decode, mix, prefix_hash, span_hash
 
 PER_CLASS = 2000
 MAX_TERMS = 512
@@ -42,6 +44,9 @@ LEAST_DOCS = 3
 NEIGHBOURS = 15
 BLOCK = 32
 NEAR = 1e-9
+#: Examples that agree in one of so many triples of MinHash values are one family.
+FAMILY_KEYS = 16
+SEED = 3
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
@@ -68,16 +73,48 @@ def text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def telling_terms(texts: list[str], y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Hashes (sorted) and spellings of the terms whose presence depends on the label."""
+def families(texts: list[str]) -> np.ndarray:
+    """A number for each text, the same for near copies: three-word shingles, unions of texts that share a triple of MinHash values."""
+    h, row, *_ = words(texts)
+    out = np.arange(len(texts))
+    if len(h) < 3:
+        return out
+    inside = row[:-2] == row[2:]
+    sh, owner = mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:])[inside], row[:-2][inside]
+    if not len(sh):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    doc = owner[first]
+    mult = np.random.default_rng(SEED).integers(1, 2 ** 63, 3 * FAMILY_KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def root(i: int) -> int:
+        while out[i] != i:
+            out[i] = out[out[i]]
+            i = out[i]
+        return i
+
+    for k in range(FAMILY_KEYS):
+        key = np.zeros(len(doc), np.uint64)
+        for m in mult[3 * k:3 * k + 3]:
+            key = mix(key + np.minimum.reduceat(mix(sh * m), first))
+        order = np.argsort(key, kind="stable")
+        for i in np.flatnonzero(key[order][1:] == key[order][:-1]).tolist():
+            a, b = root(int(doc[order[i]])), root(int(doc[order[i + 1]]))
+            out[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(texts))])
+
+
+def telling_terms(texts: list[str], y: np.ndarray, family: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Hashes (sorted) and spellings of the terms whose presence depends on the label; a family counts once under each label."""
     h, row, lower, s, e = words(texts)
     joined = "".join(lower)
-    pairs = np.unique(np.stack([h, row.astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
+    unit, unit_of = np.unique(family * 2 + y, return_inverse=True)
+    pairs = np.unique(np.stack([h, unit_of[row].astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
     terms, inverse = np.unique(pairs[:, 0], return_inverse=True)
-    doc = pairs[:, 1].astype(np.int64)
-    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
-    k1 = np.bincount(inverse, weights=y[doc] == 1, minlength=len(terms))
-    k0 = np.bincount(inverse, weights=y[doc] == 0, minlength=len(terms))
+    label = unit[pairs[:, 1].astype(np.int64)] % 2
+    n1, n0 = float((unit % 2 == 1).sum()), float((unit % 2 == 0).sum())
+    k1 = np.bincount(inverse, weights=label == 1, minlength=len(terms))
+    k0 = np.bincount(inverse, weights=label == 0, minlength=len(terms))
     often = k1 + k0 >= LEAST_DOCS
 
     def part(k, n, rate):
@@ -100,6 +137,7 @@ class Index:
     """Block-max inverted index over TF-IDF vectors of length 1."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, y: np.ndarray, keys: np.ndarray, n_terms: int):
+        """``keys``: a search leaves out the examples of one key."""
         full = [i for i, (t, _) in enumerate(vectors) if len(t)]
         full.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(ids[i])))  # like beside like: tighter blocks
         self.ids, self.y, self.keys = ids[full], y[full], keys[full]
@@ -194,18 +232,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         vs = vectors(texts, terms, idf)
         keys = [text_key(x) for x in texts]
         yield pa.RecordBatch.from_arrays([
-            pa.array(t["row_id"].tolist(), pa.int64()), pa.array(t["label"].tolist(), pa.int32()), pa.array(t["share"].tolist(), pa.float64()), pa.array(keys, pa.int64()),
-            pa.array([v[0].tolist() for v in vs], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in vs], pa.list_(pa.float64()))], names=["id", "y", "share", "key", "t", "w"])
+            pa.array(t["row_id"].tolist(), pa.int64()), pa.array(t["label"].tolist(), pa.int32()), pa.array(t["share"].tolist(), pa.float64()), pa.array(keys, pa.int64()), pa.array(families(texts), pa.int64()),
+            pa.array([v[0].tolist() for v in vs], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in vs], pa.list_(pa.float64()))], names=["id", "y", "share", "key", "family", "t", "w"])
 
-    made = pdf.coalesce(1).mapInArrow(build, "id long, y int, share double, key long, t array<long>, w array<double>").collect()  # at most 2 * per_class short rows
+    made = pdf.coalesce(1).mapInArrow(build, "id long, y int, share double, key long, family long, t array<long>, w array<double>").collect()  # at most 2 * per_class short rows
     model = {"prior": prior, "terms": terms, "spellings": list(chosen["spellings"]), "idf": idf,
              "vectors": [(np.array(r["t"], np.int64), np.array(r["w"])) for r in made],
              "ids": np.array([r["id"] for r in made]), "y": np.array([r["y"] for r in made]), "keys": np.array([r["key"] for r in made])}
     share = np.array([r["share"] for r in made])
-    index = index_of(model)
+    family = np.array([r["family"] for r in made])
+    index = Index(model["vectors"], model["ids"], model["y"], family, len(terms))
     votes = np.full(len(made), np.nan)
     for i, (t, w) in enumerate(model["vectors"]):
-        best, score = index.search(t, w, int(model["keys"][i]))
+        best, score = index.search(t, w, int(family[i]))
         if len(best):
             votes[i] = index.vote(best, score)
     some = ~np.isnan(votes)
@@ -223,7 +262,8 @@ def _sorted(batches) -> pd.DataFrame:
 def _choose(batches):
     t = _sorted(batches)
     y = t["label"].to_numpy()
-    terms, spellings = telling_terms(t["text"].fillna("").tolist(), y, t["share"].to_numpy()) if len(set(y.tolist())) == 2 else (np.zeros(0, np.uint64), [])
+    texts = t["text"].fillna("").tolist()
+    terms, spellings = telling_terms(texts, y, families(texts)) if len(set(y.tolist())) == 2 else (np.zeros(0, np.uint64), [])
     yield pa.RecordBatch.from_arrays([pa.array([terms.tobytes()], pa.binary()), pa.array([spellings], pa.list_(pa.string()))], names=["terms", "spellings"])
 
 
