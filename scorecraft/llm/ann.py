@@ -3,17 +3,21 @@
 Index
   Equal vectors form a class with its smallest ids (only they can be among
   anyone's nearest), so copies of one vector never fill a list.  Centroids
-  come from a sample of at most ``SAMPLE`` classes, halved again and again at
-  the median along its two centres: lists of equal size.  Every class goes to
+  come from a sample of ``SAMPLE`` classes (more if the lists are many: at least
+  ``PER_LIST`` a list), halved again and again at the median along its two
+  centres: lists of equal size.  Every class goes to
   its nearest list and, near a border, to up to ``COPIES`` lists no farther
   than ``BORDER`` times the nearest, skipping lists that lie closer to a
   chosen one than to the vector.
 Search
   Centroids are the nodes of an in-memory graph (nearest neighbours plus long
   links); a best-first search with a beam finds a query's lists, and those
-  within ``REACH`` times the nearest distance are read.  Exact cosines in
-  double precision rank what the lists hold.  Queries with too few finds read
-  all lists.
+  within ``REACH`` times the nearest distance are read.  Where the beam is full
+  before that distance is met, the query is compared with every centroid: the
+  distance alone decides, not the width of the beam.  Exact cosines in
+  double precision rank what the lists hold.  Queries with too few finds, and
+  those with over ``MANY`` lists in reach, are compared with every vector, block
+  of queries by block of vectors.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do null ids.  Rows equal in id and
@@ -34,12 +38,15 @@ from scorecraft.llm.common import stored
 
 TOP = 5
 SAMPLE = 20_000
+PER_LIST = 16
 LIST_SIZE = 128
 MOST_LISTS = 4096
 COPIES = 4
 BORDER = 1.15
 REACH = 1.4
 BEAM = 64
+MANY = 256
+BLOCK = 16_384
 DEGREE = 24
 SEED = 11
 
@@ -159,11 +166,20 @@ class Lists:
         return row, ids[row, j]
 
     def for_queries(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: all lists found within ``REACH`` times the nearest distance."""
+        """(row, list) pairs: all lists within ``REACH`` times the nearest distance; none for rows with over ``MANY``."""
         ids, dist = self.search(x)
         dist = np.sqrt(np.maximum(dist, 0))
-        row, j = np.nonzero((ids >= 0) & (dist <= REACH * np.maximum(dist[:, :1], 0.05)))
-        return row, ids[row, j]
+        near = (ids >= 0) & (dist <= REACH * np.maximum(dist[:, :1], 0.05))
+        full = near[:, -1] & (near.shape[1] < len(self.c))  # lists beyond the beam may be within reach too
+        row, j = np.nonzero(near & ~full[:, None])
+        where = ids[row, j]
+        if full.any():
+            dist = np.sqrt(np.maximum(1 - x[full] @ self.c.T, 0))
+            within = dist <= REACH * np.maximum(dist.min(axis=1, keepdims=True), 0.05)
+            within[within.sum(axis=1) > MANY] = False  # these are compared with every vector
+            more, other = np.nonzero(within)
+            row, where = np.append(row, np.flatnonzero(full)[more]), np.append(where, other)
+        return row, where
 
 
 # --- Spark ---------------------------------------------------------------------------
@@ -225,17 +241,20 @@ def nearest(df: DataFrame, top: int = TOP, every: int = 50, id_col: str = "vec_i
     n = classes.count()
     if not n:
         return queries.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    sample = classes.orderBy("class").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()  # at most SAMPLE vectors
-    lists = Lists(balanced_centroids(_unit(_matrix(sample)), int(min(MOST_LISTS, max(1, n // LIST_SIZE)))))
+    wanted = int(min(MOST_LISTS, max(1, n // LIST_SIZE)))
+    some = max(SAMPLE, PER_LIST * wanted)  # at most PER_LIST * MOST_LISTS vectors
+    sample = classes.orderBy("class").limit(some).select("v").toArrow().column("v").combine_chunks()
+    lists = Lists(balanced_centroids(_unit(_matrix(sample)), wanted))
     shared = spark.sparkContext.broadcast(lists)  # at most MOST_LISTS centroids
 
     def place(batches, choose):
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                b = batch.slice(k, 2048)
+            for k in range(0, batch.num_rows, 512):
+                b = batch.slice(k, 512)
                 row, where = getattr(shared.value, choose)(_unit(_matrix(b.column(b.schema.get_field_index("v")))))
-                own = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *(c.take(own) for c in b.columns)], names=["list", *b.schema.names])
+                for i in range(0, len(row), 8192):  # a query may visit thousands of lists
+                    own = pa.array(row[i:i + 8192], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(where[i:i + 8192], pa.int64()), *(c.take(own) for c in b.columns)], names=["list", *b.schema.names])
 
     posted = classes.mapInArrow(lambda it: place(it, "for_vectors"), "list long, class long, ids array<long>, v array<double>")
     probes = asked.mapInArrow(lambda it: place(it, "for_queries"), "list long, class long, v array<double>")
@@ -247,9 +266,19 @@ def nearest(df: DataFrame, top: int = TOP, every: int = 50, id_col: str = "vec_i
     found = stored(found, "ann-found")
     total = classes.select(F.explode("ids").alias("i")).distinct().limit(keep).count()
     short = asked.join(found.groupBy("class").count().filter(F.col("count") >= min(keep, total)), "class", "left_anti")
-    if short.limit(1).count():
-        everywhere = short.select("class", "v", F.explode(F.sequence(F.lit(0), F.lit(len(lists.c) - 1))).cast("long").alias("list"))
-        more = _best(_read(everywhere.select("list", "class", "v"), splits, posted, keep), keep)
+    asking = short.count()
+    if asking:
+        here, there = -(-n // BLOCK), -(-asking // BLOCK)
+
+        def block(of, blocks):
+            return F.pmod(F.xxhash64("class", F.lit(SEED)), F.lit(of)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+
+        own, other = block(there, here)
+        everywhere = short.select("class", "v", own.alias("own"), other).select((F.col("other") * there + F.col("own")).cast("long").alias("list"), "class", "v")
+        own, other = block(here, there)
+        every_vector = classes.select("class", "ids", "v", own.alias("own"), other).select((F.col("own") * there + F.col("other")).cast("long").alias("list"), "class", "ids", "v", F.lit(0).alias("part"))
+        whole = spark.range(here * there).select(F.col("id").alias("list"), F.lit(1).alias("parts"))
+        more = _best(_read(everywhere, whole, every_vector, keep), keep)
         found = found.join(short.select("class"), "class", "left_anti").unionByName(more)
     answers = queries.select(F.col("vec_id").alias("query_id"), "class").join(found, "class").filter("query_id != vec_id")
     line = Window.partitionBy("query_id", "class").orderBy(F.desc("score"), "vec_id")

@@ -83,6 +83,41 @@ def test_graph_search_finds_nearest_centroids():
     assert np.mean(ids[:, 0] == near) > 0.97 and (np.diff(dist, axis=1) >= 0).all()
 
 
+@pytest.mark.parametrize("size, dim, many", [(16000, 32, 500), (16000, 32, 100)])
+def test_distance_decides_how_many_lists_are_read(size, dim, many, monkeypatch):
+    monkeypatch.setattr(ann, "MANY", many)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(size, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = ann.Lists(ann.balanced_centroids(x, 512))
+    q = x[:100]
+    dist = np.sqrt(np.maximum(1 - q @ lists.c.T, 0))
+    within = dist <= ann.REACH * np.maximum(dist.min(axis=1, keepdims=True), 0.05)
+    assert np.median(within.sum(axis=1)) > 64
+    got = np.zeros(within.shape, bool)
+    got[lists.for_queries(q)] = True
+    some = got.any(axis=1)  # the others are compared with every vector
+    assert (within[~some].sum(axis=1) > many).all()
+    assert (got & within)[some].sum() >= 0.99 * within[some].sum()
+
+
+def test_recall_with_more_lists_than_the_beam(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 16)
+    monkeypatch.setattr(ann, "BLOCK", 1000)
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 64)).tolist())]
+    want = brute(rows, 5, 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for many in (64, 4096):
+        monkeypatch.setattr(ann, "MANY", many)
+        got = {}
+        for r in ann.nearest(df, 5, 2).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert set(got) == set(want)
+        hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
+        assert hits / sum(map(len, want.values())) >= 0.975
+
+
 def plain(url):
     if url is None or "://" not in url:
         return "", ""
