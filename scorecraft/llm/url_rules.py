@@ -6,7 +6,10 @@ subdomains if the path starts with the rule's path; the longest wins.
 For the other URLs, Spark's FP-growth mines combinations of URL tokens from the
 URLs that listed rules label.  Combinations that lead to one label with at
 least ``CONFIDENCE``, in at least ``SUPPORT`` of the labelled URLs, become rules;
-a rule goes if a part of it is at least as sure.  Rules stand in an inverted
+a rule goes if a part of it is at least as sure.  All tokens of a URL count, so
+what cannot alter the rules is kept from FP-growth: tokens under the support,
+those that one label or all URLs have (only rules of that token alone remain),
+and all but one of the tokens that stand in the same URLs.  Rules stand in an inverted
 index from their rarest token; a URL meets only the rules of its own tokens
 and takes the surest that it fulfils, else ``allow``.
 
@@ -18,7 +21,9 @@ columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
+from itertools import product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -36,7 +41,6 @@ RULES = (
 )
 SUPPORT = 0.01
 CONFIDENCE = 0.9
-MOST_TOKENS = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "verdict="
 
@@ -61,7 +65,7 @@ def listed(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """At most ``MOST_TOKENS`` distinct tokens of a URL: host labels, path words, names of parameters.
+    """The distinct tokens of a URL: host labels, path words, names of parameters.
 
     The host's last two labels count as one token more; numbers all count as
     ``path=#``.
@@ -74,7 +78,38 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("ask="), F.split(x, "=")[0]))
     every = F.concat(F.when(F.size(labels) > 0, F.array(site)).otherwise(F.array().cast("array<string>")), F.reverse(hosts), paths, names)
-    return F.slice(F.array_distinct(every), 1, MOST_TOKENS)
+    return F.array_distinct(every)
+
+
+def _items(rows: DataFrame, n: int, least: int) -> tuple[list[tuple[str, str, int, int]], dict[str, list[str]]]:
+    """Tokens that only make rules alone (token, verdict, URLs of the verdict, all URLs), and the others by the first that stands in the same URLs.
+
+    The number of tokens depends on the support and the length of URLs, not on
+    the number of rows.
+    """
+    row = F.xxhash64("row"), F.xxhash64("row", F.lit(MARK))
+    each = rows.select("row", "verdict", F.explode("items").alias("token"))
+    by_label = each.groupBy("token", "verdict").agg(F.count("*").alias("n"), *(F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(row)))
+    per_token = by_label.groupBy("token").agg(F.collect_list(F.struct("verdict", "n")).alias("labels"), F.sum("n").alias("every"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+    alone, places = [], defaultdict(list)
+    for r in per_token.filter(F.exists("labels", lambda x: x["n"] >= least)).collect():
+        if len(r["labels"]) == 1 or r["every"] == n:
+            alone += [(r["token"], x["verdict"], x["n"], r["every"]) for x in r["labels"] if x["n"] >= least]
+        else:
+            places[r["every"], r["h0"], r["h1"]].append(r["token"])
+    return alone, {min(ts): sorted(ts) for ts in places.values()}
+
+
+def _combinations(rows: DataFrame, n: int, same: dict[str, list[str]], support: float, confidence: float) -> list[tuple[tuple[str, ...], str, float, float]]:
+    """Rules from FP-growth over the keys of ``same``, with each key's equals in its place."""
+    kept = F.array_intersect("items", F.array(*(F.lit(t) for t in sorted(same))))
+    baskets = stored(rows.select(F.array_append(kept, F.concat(F.lit(MARK), F.col("verdict"))).alias("items")), "baskets")
+    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
+    marked = F.filter("items", lambda x: x.startswith(MARK))
+    sets = stored(sets.select(F.sort_array(F.filter("items", lambda x: ~x.startswith(MARK))).alias("left"), F.element_at(F.concat(marked, F.array(F.lit(""))), 1).alias("mark"), "freq"), "itemsets")
+    whole = sets.filter("mark = ''").select("left", F.col("freq").alias("all"))
+    sure = sets.filter("mark != '' and size(left) > 0").join(whole, "left").filter(F.col("freq") >= confidence * F.col("all"))
+    return [(tuple(sorted(left)), r["mark"][len(MARK):], r["freq"] / r["all"], r["freq"] / n) for r in sure.collect() for left in product(*(same[t] for t in r["left"]))]
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
@@ -83,16 +118,14 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     ``labelled``: items (tokens) and verdict.  The number of rules depends on
     ``support``, not on the number of rows.
     """
-    baskets = stored(labelled.select(F.array_append("items", F.concat(F.lit(MARK), F.col("verdict"))).alias("items")), "baskets")
-    n = baskets.count()
+    rows = stored(labelled.select(F.monotonically_increasing_id().alias("row"), F.array_distinct("items").alias("items"), "verdict"), "labelled")
+    n = rows.count()
     if not n:
         return []
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
-    marked = F.filter("items", lambda x: x.startswith(MARK))
-    sets = stored(sets.select(F.sort_array(F.filter("items", lambda x: ~x.startswith(MARK))).alias("left"), F.element_at(F.concat(marked, F.array(F.lit(""))), 1).alias("mark"), "freq"), "itemsets")
-    whole = sets.filter("mark = ''").select("left", F.col("freq").alias("all"))
-    sure = sets.filter("mark != '' and size(left) > 0").join(whole, "left").filter(F.col("freq") >= confidence * F.col("all"))
-    found = [(tuple(r["left"]), r["mark"][len(MARK):], r["freq"] / r["all"], r["freq"] / n) for r in sure.collect()]
+    alone, same = _items(rows, n, max(1, math.ceil(support * n)))
+    found = [((t,), v, hits / every, hits / n) for t, v, hits, every in alone if hits >= confidence * every]
+    if same:
+        found += _combinations(rows, n, same, support, confidence)
     found.sort(key=lambda r: (len(r[0]), -r[2], r[0]))
     kept: list[tuple[tuple[str, ...], str, float, float]] = []
     by_token: dict[str, list[int]] = defaultdict(list)

@@ -179,6 +179,42 @@ def test_mined_rules_equal_brute_force(spark):
         assert r["mined"] == (fit[1] if fit else None)
 
 
+def test_late_tokens_of_long_urls_count(spark):
+    urls, n = [], 100
+    deep = "/".join(f"deep{k}" for k in range(30))  # 30 words that always come together
+    for i in range(n):
+        own = "/".join(f"w{i}x{k}" for k in range(20))
+        urls += [f"http://a{i}.net/{deep}/{own}/casino?aff=1", f"http://b{i}.org/fr/{deep}/{own}/casino?x=1", f"http://c{i}.org/fr/{own}/{i}?aff=1"]
+    words = "/".join(f"new{k}" for k in range(20))
+    asked = {-1: (f"http://shop.com/{words}/casino?y=2&aff=1", "block"), -2: (f"http://shop.com/{words}/casino?y=2", "allow"), -3: (f"http://shop.com/{words}?aff=1", "allow")}
+    pages = spark.createDataFrame([*enumerate(urls), *((i, u) for i, (u, _) in asked.items())], "page_id long, url string").repartition(3)
+    got = {r["page_id"]: r for r in url_rules.judge(pages).filter("page_id < 0").collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == {i: v for i, (_, v) in asked.items()}
+    assert got[-1]["mined_rule"] == "ask=aff + path=casino"
+
+
+def test_tokens_of_the_same_urls(spark):
+    import itertools
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(400):
+        items = {rng.choice("abcd") for _ in range(2)}
+        verdict = "block" if {"a", "b"} <= items and rng.random() < 0.95 else "allow"
+        items |= {"u"} | ({"A", "x"} if "a" in items else set()) | ({"B"} if "b" in items else set()) | ({"p"} if verdict == "block" and rng.random() < 0.5 else set())
+        rows.append((sorted(items), verdict))
+    got = url_rules.mine(spark.createDataFrame(rows, "items array<string>, verdict string"), 0.02, 0.9)
+    sure = {}
+    for size in range(1, 9):
+        for left in itertools.combinations("ABabcdpux", size):
+            hit = [v for items, v in rows if set(left) <= set(items)]
+            for v in ("allow", "block"):
+                if hit.count(v) >= 0.02 * len(rows) and hit.count(v) >= 0.9 * len(hit):
+                    sure[(left, v)] = hit.count(v) / len(hit)
+    want = {(left, v) for (left, v), c in sure.items() if not any(set(o) < set(left) and w == v and d >= c for (o, w), d in sure.items())}
+    assert {(r[0], r[1]) for r in got} == want and (("A", "B"), "block") in want
+
+
 def test_query_covers_every_page(spark, small_dir):
     rows = QUERIES["op3_url_rules"](spark, small_dir)
     assert rows.count() == table(spark, small_dir, "pages").count()
