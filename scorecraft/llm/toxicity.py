@@ -1,16 +1,18 @@
 """Operator 1: toxicity by the nearest labelled examples.
 
 1. At most ``PER_CLASS`` labelled documents of each class are the examples.
-   Terms are words in lower case; those whose presence depends on the label
-   (likelihood-ratio test, the bound growing with the number of terms tried)
-   make the vocabulary, at most ``MAX_TERMS``.  Near copies of one text say no
-   more than one of them: examples are gathered into families by MinHash, and
-   a term counts once in each family.
+   Terms are all their words in lower case.  Those whose presence depends on
+   the label (likelihood-ratio test, the bound growing with the number of terms
+   tried) are telling and weigh in full, all others ``LIGHT`` of it: a text
+   without a telling term is compared by its other words.  Near copies of one
+   text say no more than one of them: examples are gathered into families by
+   MinHash, and a term counts once in each family.
 2. Document frequencies of these terms are counted over all documents.
 3. Examples become TF-IDF vectors in an inverted index whose posting lists are
    cut into blocks of ``BLOCK`` examples with the largest weight of each term
    and block.  A search visits blocks by their upper bound and stops when no
-   block can still reach the list: the ``NEIGHBOURS`` nearest by exact cosine.
+   block can still reach the list; after ``FEW`` blocks it reads the posting
+   lists whole.  Either way: the ``NEIGHBOURS`` nearest by exact cosine.
 4. Neighbours vote, each by the inverse of its distance (1 - cosine).  Votes
    of the examples themselves, each without its family, give a monotone
    calibration from vote to probability.
@@ -18,8 +20,8 @@
 An example never votes on a text equal to its own, so no label is an input of
 its own score.  A text without any term (null and empty ones too) has no
 neighbours and takes the calibrated share of such examples.  With no labelled
-rows, labels of one kind, or no telling term, every score is the smoothed
-share of label 1.  Equal texts get equal scores, ties go to the smaller
+rows, labels of one kind, or no words, every score is the smoothed share of
+label 1.  The terms reported are the telling ones.  Equal texts get equal scores, ties go to the smaller
 example id; an empty table gives an empty one; other columns are left out.
 """
 
@@ -36,13 +38,14 @@ from pyspark.sql import functions as F
 from scorecraft.llm.bpe import LETTER, char_classes
 from scorecraft.llm.common import add_columns, fold, list_array, map_text
 from scorecraft.llm.examples import labelled_sample
-from scorecraft.llm.text import code_points, decode, mix, prefix_hash, span_hash
+from scorecraft.llm.text import code_points, decode, flat_ranges, mix, prefix_hash, span_hash
 
 PER_CLASS = 2000
-MAX_TERMS = 512
+LIGHT = 0.05
 LEAST_DOCS = 3
 NEIGHBOURS = 15
 BLOCK = 32
+FEW = 8
 NEAR = 1e-9
 #: Examples that agree in one of so many triples of MinHash values are one family.
 FAMILY_KEYS = 16
@@ -104,8 +107,8 @@ def families(texts: list[str]) -> np.ndarray:
     return np.array([root(i) for i in range(len(texts))])
 
 
-def telling_terms(texts: list[str], y: np.ndarray, family: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Hashes (sorted) and spellings of the terms whose presence depends on the label; a family counts once under each label."""
+def example_terms(texts: list[str], y: np.ndarray, family: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Hashes (sorted) of all terms, places and spellings of those whose presence depends on the label; a family counts once under each label."""
     h, row, lower, s, e = words(texts)
     joined = "".join(lower)
     unit, unit_of = np.unique(family * 2 + y, return_inverse=True)
@@ -126,11 +129,9 @@ def telling_terms(texts: list[str], y: np.ndarray, family: np.ndarray) -> tuple[
     rate = (k1 + k0) / (n1 + n0)
     g = 2 * (part(k1, n1, rate) + part(k0, n0, rate))
     bound = 2 * math.log(max(2, int(often.sum())) * 100) - 4
-    good = np.flatnonzero(often & (g >= bound))
-    good = good[np.argsort(-g[good], kind="stable")][:MAX_TERMS]
-    chosen = np.sort(terms[good])
+    telling = np.flatnonzero(often & (g >= bound))
     first = dict(zip(*(x.tolist() for x in np.unique(h, return_index=True)))) if len(h) else {}
-    return chosen, [joined[s[first[t]]:e[first[t]]] for t in chosen.tolist()]
+    return terms, telling, [joined[s[first[t]]:e[first[t]]] for t in terms[telling].tolist()]
 
 
 class Index:
@@ -147,35 +148,54 @@ class Index:
         weight = np.concatenate([vectors[i][1] for i in full]) if full else np.zeros(0)
         example = np.repeat(np.arange(len(full)), size)
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        cell = term[order] * self.blocks + self.example // BLOCK
-        self.at = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        term, self.example, self.weight = term[order], example[order], weight[order]
+        self.at = np.searchsorted(term, np.arange(n_terms + 1))
+        # largest weight of each term and block that meet
+        cell = term * self.blocks + self.example // BLOCK
+        new = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_at = np.searchsorted(term[new], np.arange(n_terms + 1))
+        self.cell_block = self.example[new] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        # the same entries block by block
+        by_block = np.argsort(self.example // BLOCK, kind="stable")
+        self.block_term, self.block_slot, self.block_weight = term[by_block], self.example[by_block] % BLOCK, self.weight[by_block]
+        self.block_at = np.searchsorted(self.example[by_block] // BLOCK, np.arange(self.blocks + 1))
+        self.asked = np.zeros(n_terms)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, not_key: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine over 0 (ties: smaller id), and their cosines."""
         if not len(terms) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[terms]
+
+        def met(at, values, into, size):
+            n = at[terms + 1] - at[terms]
+            flat = flat_ranges(at[terms], n)
+            return np.bincount(into[flat], weights=values[flat] * np.repeat(weights, n), minlength=size)
+
+        bound = met(self.cell_at, self.most, self.cell_block, self.blocks)
+        self.asked[terms] = weights
         best, score = np.zeros(0, np.int64), np.zeros(0)
         floor = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
+        for i, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
             if bound[b] <= 0 or len(best) >= k and bound[b] < floor - NEAR:
                 break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.at[t * self.blocks + b], self.at[t * self.blocks + b + 1]
-                if lo < hi:
-                    acc[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(acc > 0) if len(best) < k else np.flatnonzero(acc >= floor - NEAR)
-            hit = hit[self.keys[hit + b * BLOCK] != not_key]
+            whole = i == FEW
+            if whole:
+                first, acc = 0, met(self.at, self.weight, self.example, len(self.ids))
+                best, score = best[:0], score[:0]
+            else:
+                lo, hi = self.block_at[b], self.block_at[b + 1]
+                first, acc = b * BLOCK, np.bincount(self.block_slot[lo:hi], weights=self.asked[self.block_term[lo:hi]] * self.block_weight[lo:hi], minlength=BLOCK)
+            hit = np.flatnonzero((acc > 0) & (acc >= floor - NEAR))
+            hit = hit[self.keys[hit + first] != not_key]
             if len(hit):
-                best, score = np.concatenate([best, hit + b * BLOCK]), np.concatenate([score, acc[hit]])
+                best, score = np.concatenate([best, hit + first]), np.concatenate([score, acc[hit]])
                 keep = np.lexsort((self.ids[best], -np.round(score, 9)))[:k]
                 best, score = best[keep], score[keep]
                 floor = score[-1] if len(best) >= k else 0.0
+            if whole:
+                break
+        self.asked[terms] = 0
         return best, score
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
@@ -218,13 +238,16 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> dict:
     """The model: examples' vectors, terms, document frequencies, calibration.  Its size is bounded by the parameters."""
     pdf = labelled_sample(docs, labels, label, per_class).select("row_id", "label", "share", "text")
-    chosen = _in_one_task(pdf, _choose, "terms binary, spellings array<string>")
+    chosen = _in_one_task(pdf, _choose, "terms binary, telling array<long>, spellings array<string>")
     y = pdf.agg(F.sum(F.col("label") * F.col("share")).alias("ones"), F.sum("share").alias("n")).first()
     prior = ((y["ones"] or 0) + 1) / ((y["n"] or 0) + 2)
     terms = np.frombuffer(bytes(chosen["terms"]), np.uint64) if chosen else np.zeros(0, np.uint64)
     if not len(terms):
-        return {"prior": prior, "terms": terms, "spellings": []}
-    idf = _idf(docs, terms)
+        return {"prior": prior, "terms": terms, "spellings": {}}
+    telling = np.array(chosen["telling"], np.int64)
+    weight = np.full(len(terms), LIGHT)
+    weight[telling] = 1
+    idf = _idf(docs, terms) * weight
 
     def build(batches):
         t = _sorted(batches)
@@ -235,12 +258,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             pa.array(t["row_id"].tolist(), pa.int64()), pa.array(t["label"].tolist(), pa.int32()), pa.array(t["share"].tolist(), pa.float64()), pa.array(keys, pa.int64()), pa.array(families(texts), pa.int64()),
             pa.array([v[0].tolist() for v in vs], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in vs], pa.list_(pa.float64()))], names=["id", "y", "share", "key", "family", "t", "w"])
 
-    made = pdf.coalesce(1).mapInArrow(build, "id long, y int, share double, key long, family long, t array<long>, w array<double>").collect()  # at most 2 * per_class short rows
-    model = {"prior": prior, "terms": terms, "spellings": list(chosen["spellings"]), "idf": idf,
-             "vectors": [(np.array(r["t"], np.int64), np.array(r["w"])) for r in made],
-             "ids": np.array([r["id"] for r in made]), "y": np.array([r["y"] for r in made]), "keys": np.array([r["key"] for r in made])}
-    share = np.array([r["share"] for r in made])
-    family = np.array([r["family"] for r in made])
+    made = pdf.coalesce(1).mapInArrow(build, "id long, y int, share double, key long, family long, t array<long>, w array<double>").toArrow().to_pandas()  # at most 2 * per_class rows
+    model = {"prior": prior, "terms": terms, "spellings": dict(zip(telling.tolist(), chosen["spellings"])), "idf": idf,
+             "vectors": [(np.array(t, np.int64), np.array(w, float)) for t, w in zip(made["t"], made["w"])],
+             **{c + "s" if c != "y" else c: made[c].to_numpy() for c in ("id", "y", "key")}}
+    share, family = made["share"].to_numpy(), made["family"].to_numpy()
     index = Index(model["vectors"], model["ids"], model["y"], family, len(terms))
     votes = np.full(len(made), np.nan)
     for i, (t, w) in enumerate(model["vectors"]):
@@ -263,8 +285,8 @@ def _choose(batches):
     t = _sorted(batches)
     y = t["label"].to_numpy()
     texts = t["text"].fillna("").tolist()
-    terms, spellings = telling_terms(texts, y, families(texts)) if len(set(y.tolist())) == 2 else (np.zeros(0, np.uint64), [])
-    yield pa.RecordBatch.from_arrays([pa.array([terms.tobytes()], pa.binary()), pa.array([spellings], pa.list_(pa.string()))], names=["terms", "spellings"])
+    terms, telling, spellings = example_terms(texts, y, families(texts)) if len(set(y.tolist())) == 2 else (np.zeros(0, np.uint64), np.zeros(0, np.int64), [])
+    yield pa.RecordBatch.from_arrays([pa.array([terms.tobytes()], pa.binary()), pa.array([telling.tolist()], pa.list_(pa.int64())), pa.array([spellings], pa.list_(pa.string()))], names=["terms", "telling", "spellings"])
 
 
 def _in_one_task(df: DataFrame, fn, schema: str):
@@ -280,12 +302,13 @@ def _idf(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
         hit = terms[at] == h if len(h) else np.zeros(0, bool)
         cell = np.unique(row[hit] * len(terms) + at[hit])
         df_ = np.bincount(cell % len(terms), minlength=len(terms))
-        return {"term": np.append(np.arange(len(terms)), -1), "n": np.append(df_, len(offsets) - 1)}
+        some = np.flatnonzero(df_)
+        return {"term": np.append(some, -1), "n": np.append(df_[some], len(offsets) - 1)}
 
     counts = map_text(docs.select(F.col("text").cast("string").alias("text")), count, "term long, n long")
-    got = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most MAX_TERMS + 1 rows
-    n = got.get(-1, 0)
-    return np.array([math.log(1 + (n + 1) / (got.get(i, 0) + 1)) for i in range(len(terms))])
+    got = counts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each term of the examples, and one
+    n = dict(zip(got["term"].to_pylist(), got["n"].to_pylist()))
+    return np.array([math.log(1 + (n.get(-1, 0) + 1) / (n.get(i, 0) + 1)) for i in range(len(terms))])
 
 
 def index_of(model: dict) -> Index:
@@ -312,7 +335,7 @@ def add_scores(df: DataFrame, model: dict, prefix: str = "", text_col: str = "te
                 if not len(t):
                     continue
                 best, cos = index.search(t, w, text_key(texts[i]))
-                found[i] = [model["spellings"][x] for x in t.tolist()]
+                found[i] = [model["spellings"][x] for x in t.tolist() if x in model["spellings"]]
                 if len(best):
                     scores[i] = np.interp(index.vote(best, cos), centre, level)
                     neighbours[i], near[i] = index.ids[best].tolist(), cos[0]

@@ -95,3 +95,26 @@ def test_labels_are_no_inputs(spark):
         one, two = ({r["doc_id"]: r["score"] for r in module.classify(docs, x).collect()} for x in (labels, turned))
         assert one == two
         assert np.mean([(one[i] >= 0.5) == (i % 2 == 1) for i in range(200)]) > 0.95
+
+
+def test_rare_words_of_examples_count(spark):
+    """A toxic text whose insult stands in three examples only, and one that almost equals an example without any telling word."""
+    rng = random.Random(8)
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    for_one = lambda: [rng.choice(plain) for _ in range(12)]
+    rows, labels = [], []
+    for i in range(400):
+        rows.append((i, " ".join([*for_one(), *(["vile"] if i % 2 else [])])))
+        labels.append((i, i % 2))
+    near = [f"odd{chr(97 + k)}" for k in range(15)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 0][:2]
+    trained = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 != 0]
+    rows += [(i, " ".join([*for_one(), "wretch", "gutter"])) for i in trained[:3]] + [(trained[3], " ".join(near))]
+    labels += [(i, 1) for i in trained[:4]]
+    rows += [(held[0], " ".join([*for_one()[:4], "wretch", "gutter"])), (held[1], " ".join([*near[:-1], "changed"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[held[1]]["neighbours"][0] == trained[3] and got[held[1]]["similarity"] > 0.9 and got[held[1]]["predicted"] == 1
+    assert set(got[held[0]]["neighbours"][:3]) == set(trained[:3]) and got[held[0]]["predicted"] == 1
+    unlabelled = [r for i, r in got.items() if i < 400 and r["held_out"]]
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in unlabelled]) >= 0.95
