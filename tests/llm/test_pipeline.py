@@ -78,6 +78,17 @@ def test_later_copies_go(steps):
     assert steps[4].filter(F.col("n_chars") != F.char_length("text")).count() == 0
 
 
+def test_passages_of_51_short_words_go(spark, small_dir):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = " ".join(letters[k % 26] + letters[k // 26] + "xy"[:k % 3] for k in range(51))
+    assert len(passage.split()) == 51 and 200 <= len(passage.encode()) < 230
+    texts = [f"one {passage} two", f"three\t{passage}\tfour", "", "five"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: r for r in corpus_pipeline.without_repeats(spark, docs, small_dir).collect()}
+    assert [got[i]["text"] for i in range(4)] == [texts[0], "three\t\tfour", "", "five"]
+    assert got[1]["n_chars"] == len("three\t\tfour")
+
+
 def chars(b, gone):
     at = 0
     for c in b.decode():
