@@ -6,7 +6,7 @@ sub-signature i of the first with j of the second.  ``2 * halves * width``
 hashes so do the work of ``2 * width * halves ** 2``, about the square root.
 Two sets of likeness s share a key unless no sub-signature matches in one of
 the collections: missed with about ``2 * (1 - s ** width) ** halves`` (0.12 % at
-s = 0.85 with 4 and 10).
+s = 0.85 with 4 and 10; for every lower threshold at most 0.315 %).
 
 1. Documents with equal sets form a class; only classes go on.
 2. In each key's bucket all classes are paired with one pivot, first inside
@@ -29,6 +29,8 @@ has an id.  An empty table gives an empty one; other columns are left out.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,8 @@ SEED = 20240607
 PIVOTS = 8
 #: Most classes of one side in a block of the search across components.
 BLOCK = 2048
+#: Bound of 2 * (1 - s ** width) ** halves at the threshold s.
+MISSED = 0.00315
 
 
 def row_digest(id_col: str, text_col: str) -> Column:
@@ -53,8 +57,12 @@ def row_digest(id_col: str, text_col: str) -> Column:
 
 
 def tensor_shape(percent: int) -> tuple[int, int]:
-    """(width, halves) for a threshold in percent: misses stay near 0.1 to 0.3 % at the threshold itself."""
-    return (4, 10) if percent >= 85 else (3, 9)
+    """(width, halves) for a threshold in percent: a pair at the threshold itself is missed with a chance of at most ``MISSED``."""
+    if percent >= 85:
+        return 4, 10
+    width = 3 if percent >= 65 else 2 if percent >= 40 else 1
+    found = (max(percent, 1) / 100) ** width
+    return width, max(9, math.ceil(math.log(MISSED / 2) / math.log1p(-found)))
 
 
 def _node(h: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -57,6 +57,13 @@ def test_minhash_groups(docs, empty, texts, k, percent):
     assert minhash.near_duplicates(empty, k, percent).count() == 0
 
 
+def test_misses_at_any_threshold_stay_bounded():
+    assert minhash.tensor_shape(85) == (4, 10) and minhash.tensor_shape(80) == (3, 9)
+    for percent in range(1, 101):
+        width, halves = minhash.tensor_shape(percent)
+        assert 2 * (1 - (percent / 100) ** width) ** halves <= 0.0032, percent
+
+
 def test_minhash_chains(spark):
     """Links that only a chain makes, in one large bucket, survive."""
     words = [f"w{i}" for i in range(100)]
