@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.llm.common import documents, table
+from scorecraft.llm.sql import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -132,3 +132,29 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorecraft.llm import ann
 
     return ann.nearest(table(spark, sf_dir, "embeddings"), top=5, every=50)
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty highest-scoring documents of every benchmark item."""
+    from scorecraft.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    from scorecraft.llm import wrappers
+
+    found = wrappers.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and which rows a tampered text gives away."""
+    from scorecraft.llm import merkle
+
+    made = merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.lowered(F.col("text"))}, where=merkle.every_third(F.col("doc_id")))
+    return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")

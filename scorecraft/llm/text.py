@@ -14,8 +14,12 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Hashes are polynomials modulo the prime 2^61 - 1: modulo a power of two, words of regular build collide whatever the base.
+PRIME = (1 << 61) - 1
+_BASE = 0x1E3779B97F4A7C15 % PRIME
+_INV = pow(_BASE, -1, PRIME)
+_P, _M30, _M31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_1, _30, _31, _61 = (np.uint64(i) for i in (1, 30, 31, 61))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
 
@@ -31,29 +35,58 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base ** i`` for i < n, modulo 2**64 (kept for the next call)."""
-    have = _powers.get(int(base))
+def _folded(x: np.ndarray) -> np.ndarray:
+    """64-bit values congruent modulo ``PRIME``, under its size plus 8."""
+    return (x & _P) + (x >> _61)
+
+
+def modulo(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo ``PRIME``."""
+    x = _folded(x)
+    return np.minimum(x, x - _P)  # what is under the prime already wraps round and loses
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """``x * 2**31`` for values under 2**62, congruent and under 2**62."""
+    return (x >> _30) + ((x & _M30) << _31)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo ``PRIME`` of values under it, from halves of 31 bits."""
+    high, low, bh, bl = a >> _31, a & _M31, b >> _31, b & _M31
+    return modulo(((high * bh) << _1) + _shifted(high * bl + low * bh) + low * bl)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` for i < n, modulo ``PRIME`` (kept for the next call)."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[int(base)] = have
+        have = np.ones(1, np.uint64) if have is None else have
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), PRIME)))])
+        _powers[base] = have
     return have[:n]
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash: ``out[i]`` covers ``values[:i]``."""
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(values)), out=out[1:])
+    if not len(values):
+        return out
+    v, power = values.astype(np.uint64) + _1, powers(_BASE, len(values))
+    if int(values.max()) < (1 << 33) // len(values) - 1:  # sums of halves stay under 64 bits as they are
+        high, low = v * (power >> _31), v * (power & _M31)
+    else:
+        terms = times(modulo(v), power)
+        high, low = terms >> _31, terms & _M31
+    out[1:] = modulo(_shifted(_folded(np.cumsum(high, out=high))) + _folded(np.cumsum(low, out=low)))
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ``values[start:end]``, the same wherever the span stands."""
     inv = powers(_INV, len(prefix))
-    return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64) * _MIX1)
+    return mix(times(modulo(prefix[end] + (_P - prefix[start])), inv[start]) + (end - start).astype(np.uint64) * _MIX1)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
