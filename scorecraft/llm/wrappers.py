@@ -341,18 +341,15 @@ def load(x: list) -> Node:
 class Region:
     """Which parts of a host's pages are main text, as its wrapper tells."""
 
-    def __init__(self, w: Node, pages: int):
+    def __init__(self, w: Node, differ: bool):
+        """``differ``: is the wrapper of pages that aren't all the same?"""
         self.wrapper = w
         self.root = next((t for t in ("article", "main") if self._has(w, t)), None)
-        # texts equal on all pages are the host's, unless nothing differs
-        self.constant = pages > 1 and self.root is None and self._slots(w)
+        self.constant = differ and self.root is None  # texts equal on all pages are the host's
 
     def _has(self, w: Node, tag: str) -> bool:
         return not _apart(w, False) and (_is(w, tag) or any(self._has(c, tag) for c in w.children))
 
-    def _slots(self, w: Node) -> bool:
-        return not _apart(w, False) and (w.tag == TEXT and w.text is None or any(self._slots(c) for c in w.children))
-
     def text(self, page: Node) -> str:
         """The page's main text, block by block."""
         self.blocks: list[list[str]] = [[]]
@@ -424,47 +421,47 @@ def _apart(node: Node, article: bool) -> bool:
     return bool(node.mark) and node.tag not in ("html", "body", "#page", GROUP) and any(m != "main" for m in node.mark.split())
 
 
-def _merge(have: dict, host: str, pages: int, w: Node) -> None:
+def _merge(have: dict, host: str, pages: int, w: Node, page: str) -> None:
+    """``page``: digest of the only page among them, empty if they differ."""
     old = have.get(host)
-    have[host] = (pages, w) if old is None else (old[0] + pages, align(old[1], w))
+    have[host] = (pages, w, page) if old is None else (old[0] + pages, align(old[1], w), page if page == old[2] else "")
 
 
-PARTIAL = "host string, part long, pages long, wrapper string"
+PARTIAL = "host string, part long, pages long, page string, wrapper string"
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host, pages, wrapper (see ``dump``) of all pages with columns host and html."""
+    """host, pages, differ (aren't they all the same?), wrapper (see ``dump``) of all pages with columns host and html."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[str, tuple[int, Node]] = {}
+        have: dict[str, tuple[int, Node, str]] = {}
         held = 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([
-                pa.array(list(have), pa.string()), pa.array(range(len(have)), pa.int64()), pa.array([p for p, _ in have.values()], pa.int64()),
-                pa.array([json.dumps(dump(w)) for _, w in have.values()], pa.string())], names=["host", "part", "pages", "wrapper"])
-
         for batch in batches:
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                _merge(have, host, 1, wrapper(parse(html or "")))
+                _merge(have, host, 1, wrapper(parse(html or "")), told((html or "").ljust(SPELLED + 1)))
                 held += 1
             if held >= 20_000:  # wrappers of so many pages are told and begun anew
-                yield out()
+                yield out(have)
                 have, held = {}, 0
         if have:
-            yield out()
+            yield out(have)
+
+    def out(have: dict) -> pa.RecordBatch:
+        pages_, made, page = zip(*have.values())
+        return pa.RecordBatch.from_arrays([
+            pa.array(list(have), pa.string()), pa.array([0] * len(have), pa.int64()), pa.array(pages_, pa.int64()), pa.array(page, pa.string()),
+            pa.array([json.dumps(dump(w)) for w in made], pa.string())], names=["host", "part", "pages", "page", "wrapper"])
 
     def merge(t: pa.Table) -> pa.Table:
-        have: dict[str, tuple[int, Node]] = {}
-        for host, pages_, w in zip(t.column("host").to_pylist(), t.column("pages").to_pylist(), t.column("wrapper").to_pylist()):
-            _merge(have, host, pages_, load(json.loads(w)))
-        host, (n, w) = next(iter(have.items()))
-        return pa.table({"host": [host], "part": pa.array([0], pa.int64()), "pages": pa.array([n], pa.int64()), "wrapper": [json.dumps(dump(w))]})
+        have: dict[str, tuple[int, Node, str]] = {}
+        for r in t.to_pylist():
+            _merge(have, r["host"], r["pages"], load(json.loads(r["wrapper"])), r["page"])
+        return pa.Table.from_batches([out(have)])
 
     made = stored(pages.select("host", "html").mapInArrow(local, PARTIAL).withColumn("part", F.monotonically_increasing_id()), "wrappers")
     while True:
         most = made.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
-            return made.select("host", "pages", "wrapper")
+            return made.select("host", "pages", (F.col("page") == "").alias("differ"), "wrapper")
         # a host's partial wrappers meet in groups of about MERGED, then those groups' wrappers do
         groups = F.lit(max(-(-most // MERGED), 1))
         made = made.withColumn("part", F.pmod(F.xxhash64("host", "part"), groups))
@@ -481,14 +478,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         regions: dict[str, Region] = {}
         for batch in batches:
             texts = []
-            for host_, html, pages_, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "pages", "wrapper"))):
+            for host_, html, differ, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "differ", "wrapper"))):
                 if host_ not in regions:
                     if len(regions) >= 2000:
                         regions.clear()
-                    regions[host_] = Region(load(json.loads(w)), pages_)
+                    regions[host_] = Region(load(json.loads(w)), differ)
                 texts.append(regions[host_].text(parse(html or "")))
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__url"), pa.array(texts, pa.string())], names=["__id", "__url", "text"])
 
     schema = rows.select("__id", "__url", F.lit("").alias("text")).schema
-    read_ = rows.join(wrappers, "host").select("__id", "__url", "html", "host", "pages", "wrapper").mapInArrow(read, schema)
+    read_ = rows.join(wrappers, "host").select("__id", "__url", "html", "host", "differ", "wrapper").mapInArrow(read, schema)
     return read_.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), "text")

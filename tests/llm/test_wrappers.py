@@ -51,7 +51,7 @@ def test_merging_partial_wrappers_gives_one_that_holds_all():
 
 
 def text_of(*pages, of=0):
-    return Region(inferred(*pages), len(pages)).text(parse(pages[of]))
+    return Region(inferred(*pages), len(set(pages)) > 1).text(parse(pages[of]))
 
 
 FRAME = ("<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li>Home</ul></nav>"
@@ -103,6 +103,6 @@ def test_tables(spark, monkeypatch):
     assert sorted((tuple(r) for r in wrappers.extract(df).collect()), key=str) == want
     monkeypatch.setattr(wrappers, "MERGED", 2)
     assert sorted((tuple(r) for r in wrappers.extract(df).collect()), key=str) == want
-    got = {r["host"]: r["pages"] for r in infer(df.selectExpr("html", "coalesce(regexp_extract(url, '://([^/]*)', 1), '') AS host")).collect()}
-    assert got == {"a.example": 2, "HOT.example": 300, "": 3}
+    got = {r["host"]: (r["pages"], r["differ"]) for r in infer(df.selectExpr("html", "coalesce(regexp_extract(url, '://([^/]*)', 1), '') AS host")).collect()}
+    assert got == {"a.example": (2, False), "HOT.example": (300, True), "": (3, True)}
     assert wrappers.extract(df.limit(0)).count() == 0
