@@ -343,7 +343,7 @@ class Region:
 
     def __init__(self, w: Node, differ: bool):
         """``differ``: is the wrapper of pages that aren't all the same?"""
-        self.wrapper = w
+        self.wrapper = _told_optional(w, False)
         self.root = next((t for t in ("article", "main") if self._has(w, t)), None)
         self.constant = differ and self.root is None  # texts equal on all pages are the host's
 
@@ -398,7 +398,15 @@ class Region:
     def _fixed(text: Node, at: list[Node]) -> bool:
         """Does the wrapper have just this text here?"""
         plain = told(_plain(text.text))
-        return any(m.tag == TEXT and m.text == plain for w in at for m in _content(w))
+        return any(m.tag == TEXT and m.text == plain and not m.optional for w in at for m in _content(w))
+
+
+def _told_optional(w: Node, optional: bool) -> Node:
+    """``w`` with all that stands in optional parts told to be optional."""
+    made = Node(w.tag, w.mark, w.text)
+    made.optional, made.repeated = w.optional or optional, w.repeated
+    made.children = [_told_optional(c, made.optional) for c in w.children]
+    return made
 
 
 def _content(w: Node) -> Iterator[Node]:
