@@ -67,7 +67,7 @@ def test_parts_that_are_no_main_text():
 
 
 def test_host_without_article_tells_its_own_texts():
-    pages = [f"<html><body><div class=box>All our pages say this</div><div><p>Story {i}</p><p>Same end</p></div></body></html>" for i in range(3)]
+    pages = [f"<html><body><h3>All our pages say this</h3><div><p>Story {i}</p><p>Same end</p></div></body></html>" for i in range(3)]
     assert text_of(*pages) == "Story 0\nSame end"  # one of a group's repeats is no text of the host
     assert text_of(pages[0]) == "All our pages say this\nStory 0\nSame end"
     assert text_of(pages[0], pages[0]) == "All our pages say this\nStory 0\nSame end"  # nothing differs: no page's text is given up
