@@ -1,21 +1,87 @@
-"""Connected components of a link table, by minimum labels and pointer jumping."""
+"""Connected components of a link table: forests inside tasks, then minimum labels and pointer jumping on what is left."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.llm.common import stored
 
+#: Links that a task contracts at once, and nodes whose roots it holds at most (and one batch more).
+LINKS = 1_000_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of some links, and the smallest node that each is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while len(one):
+        low = np.minimum(root[one], root[two])
+        np.minimum.at(root, root[one], low)
+        np.minimum.at(root, root[two], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        apart = root[one] != root[two]
+        one, two = one[apart], two[apart]
+    return nodes, nodes[root]
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as node and root: whatever their number, one row for each node that a task holds."""
+    nodes = roots = np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def tell() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= LINKS:
+            nodes, roots = forest(np.concatenate([nodes, *(a for a, _ in held)]), np.concatenate([roots, *(b for _, b in held)]))
+            held, size = [], 0
+            if len(nodes) >= LINKS:
+                yield tell()
+                nodes = roots = np.zeros(0, np.int64)
+    if held:
+        nodes, roots = forest(np.concatenate([nodes, *(a for a, _ in held)]), np.concatenate([roots, *(b for _, b in held)]))
+    if len(nodes):
+        yield tell()
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``comp`` (the component's smallest node) of every node in ``links`` (a, b).
 
-    Each round a node takes the smallest label among itself and its
-    neighbours, then the label of its label; every round is written to the
-    shared folder, so a lost executor never repeats earlier rounds.  Sums are
-    combined before the shuffle: a node with very many links is no hot group.
+    Tasks contract about ``LINKS`` links each to a forest of stars: a node of any
+    number of links leaves a task as one row.  Roots that share a node are the only
+    links left; usually few, they are joined by rounds of labels.
     """
+    links = stored(links.select("a", "b"), "links")
+    tasks = links.count() // LINKS + 1
+    stars = links.coalesce(tasks).mapInArrow(_rooted, "node long, root long")
+    # a node has one root a task at most
+    nodes = stored(stars.groupBy("node").agg(F.min("root").alias("comp"), F.collect_set("root").alias("roots")), "rooted")
+    between = nodes.select(F.col("comp").alias("a"), F.explode("roots").alias("b")).filter("a != b").distinct()
+    between = stored(between, "root-links")
+    if tasks == 1 or not between.limit(1).count():
+        return nodes.select("node", "comp")
+    named = _labelled(between)
+    return nodes.join(named.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+
+
+def _labelled(links: DataFrame) -> DataFrame:
+    """Each round a node takes the smallest label among itself and its neighbours, then
+    the label of its label; every round is written to the shared folder, so a lost
+    executor never repeats earlier rounds."""
     both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "links")
     labels = stored(both.select("node").distinct().withColumn("comp", F.col("node")), "labels")

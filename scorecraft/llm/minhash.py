@@ -12,13 +12,15 @@ s = 0.85 with 4 and 10; for every lower threshold at most 0.315 %).
 2. In each key's bucket all classes are paired with one pivot, first inside
    each task, then the tasks' pivots among themselves: a bucket of any size
    gives one pair per class and no task receives more than one row per key
-   and sending task.
-3. Pairs are verified on their full sets; links give components.
-4. Components that a failed pair joins may hold further candidate links.  They
-   are gathered into clusters and searched in blocks of at most ``BLOCK``
-   classes on a side: an inverted list of shingles counts what two sets share,
-   and only links leave the task.  So no candidate link is lost and no pair
-   that isn't a link becomes a row.
+   and run of rows that a task combines.
+3. Pairs are verified on their full sets; links are contracted to components.
+4. Components that a failed pair joins may hold further candidate links.  Their
+   classes are searched by prefixes: shingles in order of rarity, two sets that
+   reach the threshold share one of each's first ``n - ceil(s * n) + 1``.  What a
+   class's first shared shingle leaves possible bounds the sizes of its partners;
+   classes that no size is left for go.  Classes that share a shingle are compared
+   by size and place only, in blocks of at most ``BLOCK``; the pairs left are
+   verified on full sets.  So no candidate link is lost.
 
 Sets are of 64-bit shingle hashes.  A text without words has an empty set and
 is linked with nothing.  Equal rows and repeated ids are fine (rows with one
@@ -45,8 +47,10 @@ from scorecraft.llm.text import flat_ranges, mix
 SEED = 20240607
 #: Orders of precedence among nodes, one of them for each bucket (a power of two).
 PIVOTS = 8
+#: Rows (16 bytes and more each) that a task sorts into stars at once.
+RUN = 500_000
 #: Most classes of one side in a block of the search across components.
-BLOCK = 2048
+BLOCK = 4096
 #: Bound of 2 * (1 - s ** width) ** halves at the threshold s.
 MISSED = 0.00315
 
@@ -108,10 +112,11 @@ def _tables(classes: DataFrame) -> DataFrame:
 
 
 def _stars(batches, final: bool):
-    """Of each key in this task keep one pivot and pair the key's other nodes with it.
+    """Of each key in a run of rows keep one pivot and pair the key's other nodes with it.
 
     Columns key, node, other: with ``other`` a finished pair, else a bucket row.
-    Rows are worked through in bounded runs, so memory is bounded too.
+    ``final``: rows come sorted by key, only pairs are told, and a key that goes on
+    in the next run takes its pivot along.
     """
     names = ["key", "node", "other"]
     held: list[pa.RecordBatch] = []
@@ -134,29 +139,28 @@ def _stars(batches, final: bool):
         pairs.append((node[rest], pivot[rest]))
         a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
         a, b = np.minimum(a, b), np.maximum(a, b)
-        if len(a):
-            both = np.unique(np.stack([a, b], axis=1), axis=0)
-            a, b = both[:, 0].copy(), both[:, 1].copy()
-        return key[first], node[first], a, b
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return key[first], node[first], a[new], b[new]
+
+    def row(k, n):
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.nulls(len(k), pa.int64())], names=names)
 
     def emit(k, n, a, b):
         if not final and len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.nulls(len(k), pa.int64())], names=names)
+            yield row(k, n)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(mix(a.view(np.uint64)).view(np.int64)), pa.array(a), pa.array(b)], names=names)
 
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
-        if size >= 4_000_000:
+        if size >= RUN:
             k, n, a, b = flush()
-            if final:  # pivots stay for the key's later rows
-                held = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.nulls(len(k), pa.int64())], names=names)]
-                size = len(k) if len(k) < 3_000_000 else 0
-                yield from emit(k, n, a, b)
-            else:
-                held, size = [], 0
-                yield from emit(k, n, a, b)
+            held, size = [row(k[-1:], n[-1:])] if final and len(k) else [], 0
+            yield from emit(k, n, a, b)
     if held:
         yield from emit(*flush())
 
@@ -166,7 +170,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     schema = "key long, node long, other long"
     rows = _tables(classes).withColumn("other", F.lit(None).cast("long"))
     local = rows.mapInArrow(lambda it: _stars(it, False), schema)
-    met = local.repartition("key").mapInArrow(lambda it: _stars(it, True), schema)
+    met = local.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _stars(it, True), schema)
     return met.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
@@ -216,10 +220,12 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, shape: tuple[i
     links = tested.filter("linked").select("a", "b")
     comps = components(links)
 
-    open_ = stored(_open_clusters(tested, comps), "open-clusters")
+    open_ = stored(_open_classes(tested, comps), "open-classes")
     if open_.limit(1).count():
         sets = stored(_sets(df, rows, open_.select("node"), k, id_col, text_col), "open-sets")
-        comps = components(links.unionByName(_across(open_, sets, percent)))
+        apart = stored(_across(open_, sets, percent), "pairs-across")
+        more = _verify(apart, sets, percent).filter("linked").select("a", "b")
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     named = classes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -244,50 +250,69 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _open_clusters(tested: DataFrame, comps: DataFrame) -> DataFrame:
-    """node, comp, cluster of the components that a failed pair connects with another one."""
+def _open_classes(tested: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, comp of the components that a failed pair connects with another one."""
     left, right = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     apart = tested.filter("not linked").join(left, "a", "left").join(right, "b", "left")
     apart = apart.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca != cb")
-    apart = stored(apart, "apart")
-    clusters = components(apart.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-    clusters = clusters.select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
-    alone = apart.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("node"), F.col("cb").alias("comp")))).alias("x"))
-    return comps.unionByName(alone.select("x.node", "x.comp")).distinct().join(clusters, "comp")
+    ends = stored(apart.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("node"), F.col("cb").alias("comp")))).alias("x"))
+                  .select("x.node", "x.comp").distinct(), "ends-apart")
+    return comps.join(ends.select("comp").distinct(), "comp", "left_semi").select("node", "comp").unionByName(ends).distinct()
+
+
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """token, node, comp, n, place: the shared shingles of each class's prefix, rare ones first; ``most``: the largest set that one place leaves possible."""
+    s = percent / 100
+    flat = members.join(sets, "node").select("node", "comp", "n", F.explode("shingles").alias("token"))
+    flat = stored(flat, "open-shingles")
+    shared = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # shingles of one class come first and match nothing: they only move the others on
+    order = flat.join(shared, "token").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    least = F.ceil(F.col("n") * percent / 100)  # a partner shares so many
+    own = F.col("n") - F.size("order")
+    room = (F.col("n") - least + 1 - own).cast("int")
+    order = order.select("node", "comp", "n", own.alias("own"), F.slice("order", 1, F.greatest(room, F.lit(0))).alias("order"))
+    rows = order.select("node", "comp", "n", "own", F.posexplode("order")).select("node", "comp", "n", (F.col("own") + F.col("pos")).alias("place"), "col.token")
+    # shared <= n - place, and shared >= s / (1 + s) * (n + partner's n)
+    most = F.floor((F.col("n") - F.col("place")) * ((1 + s) / s) - F.col("n") + 1e-6)
+    return rows.withColumn("most", most.cast("long")).filter(F.col("most") >= F.ceil(F.col("n") * percent / 100))
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between classes of one cluster that lie in different components."""
-
-    def search(t: pa.Table) -> pa.Table:
-        node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "side"))
-        lists = t.column("shingles").combine_chunks()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(n)])
-        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
-        order = np.argsort(token, kind="stable")
-        owner = np.repeat(np.arange(len(n)), n)[order]  # rows of each token, token by token
-        count = np.bincount(token, minlength=1)
-        at = np.cumsum(count) - count
-        kinds, size = np.unique(comp, return_counts=True)
-        two_sided = side.min() != side.max()
-        out_a, out_b = [], []
-        # the largest component needs no search of its own: what it links with is searched
-        for i in np.flatnonzero(comp != kinds[size.argmax()]).tolist():
-            own = token[upto[i]:upto[i + 1]]
-            own = own[count[own] > 1]
-            shared = np.bincount(owner[flat_ranges(at[own], count[own])], minlength=len(n))
-            hit = (100 * shared >= percent * (n[i] + n - shared)) & (comp != comp[i])
-            if two_sided:
-                hit &= side != side[i]
-            near = node[hit]
-            out_a.append(np.minimum(near, node[i]))
-            out_b.append(np.maximum(near, node[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([*out_a, empty])), "b": pa.array(np.concatenate([*out_b, empty]))})
-
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp", "side")
-    return placed.join(sets.select("node", "shingles"), "node").groupBy("cluster", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    """a, b: pairs of classes of different components that may be links, by prefixes, places and sizes."""
+    rows = stored(_prefixes(members, sets, percent), "prefixes")
+    kinds = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("small"), F.max("most").alias("large"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    kinds = kinds.filter("k > 1 and c != d").select("token", "small", "large", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    near = rows.join(kinds, "token").filter("most >= small and large >= n")
+    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    near = near.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = near.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp", "n", "most")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        node, comp, n, most, side = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "comp", "n", "most", "side"))
+        order = np.argsort(n, kind="stable")
+        node, comp, n, most, side = node[order], comp[order], n[order], most[order], side[order]
+        # partners that aren't smaller: later in this order, as large as one's own place allows
+        upto = np.searchsorted(n, np.minimum(most, 100 * n // percent), side="right")
+        count = np.maximum(upto - np.arange(len(n)) - 1, 0)
+        out = []
+        for begin, end in _spans(count, 1_000_000):
+            one = np.repeat(np.arange(begin, end), count[begin:end])
+            two = flat_ranges(np.arange(begin, end) + 1, count[begin:end])
+            fit = (most[two] >= n[one]) & (comp[one] != comp[two])
+            if side.min() != side.max():
+                fit &= side[one] != side[two]
+            out.append((node[one[fit]], node[two[fit]]))
+        a, b = (np.concatenate([x[i] for x in out] + [np.zeros(0, np.int64)]) for i in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return near.groupBy("token", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def _spans(count: np.ndarray, most: int):
+    """Row ranges of about ``most`` pairs."""
+    upto, begin = np.cumsum(count), 0
+    while begin < len(count):
+        end = max(int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + most, side="right")), begin + 1)
+        yield begin, end
+        begin = end

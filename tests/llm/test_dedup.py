@@ -241,3 +241,80 @@ def test_equal_texts_have_equal_fingerprints(spark, small_dir):
         nxt = docs[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
         edited = t[:len(t) - len(t) // 4] + nxt[:len(t) // 4]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+
+
+def thue_morse():
+    """Two words of 1,024 letters that a hash modulo a power of two can't tell apart."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_regular_build_stay_apart(spark):
+    one, two = thue_morse()
+    df = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_alike_but_unlinked_texts_make_no_pairs(spark):
+    """4,000 texts of one template, likeness about 0.6: no pair of them needs a look, and each stays alone."""
+    rng = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(4000):
+        words = list(base)
+        for at in rng.choice(120, 5, replace=False):
+            words[at] = f"x{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(words)))
+    rows += [(4000, rows[7][1].replace("x", "y", 1)), (4001, rows[9][1] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    signed = minhash.signatures(df, 3, 4, 10)
+    members = signed.selectExpr("node", "node AS comp")
+    sets = minhash._sets(df, signed.select("row_id", "uid", "n_shingles", "node"), members.select("node"), 3, "doc_id", "text")
+    assert minhash._across(members, sets, 85).count() <= 10
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()}
+    alone = {i: i for i in range(4000)}
+    assert got == {**alone, 4000: 7, 4001: 9}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_prefixes_lose_no_link(spark, percent):
+    """Random sets of all likenesses and sizes, every one in a component of its own: the pairs found hold all links."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(400, rng.integers(3, 60), replace=False)
+        for _ in range(8):
+            keep = base[rng.random(len(base)) < rng.choice([0.85, 0.95, 1])]
+            sets.append(frozenset(np.concatenate([keep, rng.choice(400, rng.integers(0, 4))]).tolist()) or frozenset([1]))
+    sets = sorted(set(sets), key=sorted)
+    df = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(sets)], "node long, n long, shingles array<long>")
+    found = {(r["a"], r["b"]) for r in minhash._across(df.selectExpr("node", "node AS comp"), df, percent).collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    assert links <= found and len(found) < len(sets) * (len(sets) - 1) / 2
+
+
+def test_forests_of_many_tasks_are_joined(spark, monkeypatch):
+    import scorecraft.llm.components as module
+
+    rng = np.random.default_rng(6)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (2500, 2))] + [(5, i) for i in range(5000, 7000)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in parent}
+    df = spark.createDataFrame(links, "a long, b long").repartition(16)
+    assert {r["node"]: r["comp"] for r in components(df).collect()} == want
+    monkeypatch.setattr(module, "LINKS", 400)
+    assert {r["node"]: r["comp"] for r in components(df).collect()} == want
+    nodes, roots = module.forest(*map(np.array, zip(*links)))
+    assert dict(zip(nodes.tolist(), roots.tolist())) == want

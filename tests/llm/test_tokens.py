@@ -190,3 +190,22 @@ def test_query_digests(spark, small_dir):
         ids = [*library_ids("word_bpe_49k.json", docs[r["doc_id"]]), 0][r["start"]:r["start"] + r["length"]]
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
     check_packing(rows, 2048)
+
+
+def test_words_of_regular_build_stay_apart(spark):
+    """Two words of 1,024 letters that a hash modulo a power of two can't tell apart, in one batch: ids, counts and round trip are the library's."""
+    import sentencepiece
+
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        ids, offs = codec(tokenizer_path(name)).encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [library_ids(name, t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert {r["doc_id"]: r["decoded"] for r in bpe_codec.decode(bpe_codec.encode(df, path), path).collect()} == dict(enumerate(texts))
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}
