@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scorecraft.llm.common import stored
 
 #: Links that a task contracts at once, and nodes whose roots it holds at most (and one batch more).
-LINKS = 1_000_000
+LINKS = 250_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +34,58 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which links make a spanning forest of the largest weights: every component takes its best link to another, until none is left."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[:len(a)], at[len(a):]
+    place = np.empty(len(a), np.int64)
+    place[np.argsort(-weight, kind="stable")] = np.arange(len(a))
+    link = np.argsort(place)
+    chosen = np.zeros(len(a), bool)
+    root, left = np.arange(len(nodes)), np.arange(len(a))
+    while True:
+        left = left[root[one[left]] != root[two[left]]]
+        if not len(left):
+            return chosen
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, root[one[left]], place[left])
+        np.minimum.at(best, root[two[left]], place[left])
+        took = link[np.unique(best[best < len(a)])]
+        chosen[took] = True
+        which, low = forest(root[one[took]], root[two[took]])
+        root[which] = low
+        root = root[root]
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, weight) thinned to spanning forests of runs of ``LINKS``."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def thin() -> list[np.ndarray]:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        keep = spanning(*cols)
+        return [c[keep] for c in cols]
+
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in range(3)])
+        size += batch.num_rows
+        if size >= LINKS:
+            held = [thin()]
+            size = len(held[0][0])
+            if size >= LINKS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0][:2]], names=["a", "b"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in thin()[:2]], names=["a", "b"])
+
+
+def thinned(links: DataFrame, name: str) -> DataFrame:
+    """Links (a, b, weight) without most that close a circle in a task: what they connect stays connected, by heavier links."""
+    links = stored(links.select("a", "b", "weight"), name)
+    return links.coalesce(links.count() // LINKS + 1).mapInArrow(_thinned, "a long, b long")
+
+
 def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) as node and root: whatever their number, one row for each node that a task holds."""
     nodes = roots = np.zeros(0, np.int64)

@@ -13,7 +13,9 @@ s = 0.85 with 4 and 10; for every lower threshold at most 0.315 %).
    each task, then the tasks' pivots among themselves: a bucket of any size
    gives one pair per class and no task receives more than one row per key
    and run of rows that a task combines.
-3. Pairs are verified on their full sets; links are contracted to components.
+3. Of the pairs a spanning forest of those in most buckets is verified on full
+   sets; links are contracted to components.  A pair left out joins classes that
+   the forest joins: in one component, or in components that a failed pair joins.
 4. Components that a failed pair joins may hold further candidate links.  Their
    classes are searched by prefixes: shingles in order of rarity, two sets that
    reach the threshold share one of each's first ``n - ceil(s * n) + 1``.  What a
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorecraft.llm.common import list_array, map_text, stored
-from scorecraft.llm.components import components
+from scorecraft.llm.components import components, thinned
 from scorecraft.llm.shingles import shingle_sets
 from scorecraft.llm.text import flat_ranges, mix
 
@@ -114,11 +116,11 @@ def _tables(classes: DataFrame) -> DataFrame:
 def _stars(batches, final: bool):
     """Of each key in a run of rows keep one pivot and pair the key's other nodes with it.
 
-    Columns key, node, other: with ``other`` a finished pair, else a bucket row.
+    Columns key, node, other, times: with ``other`` a finished pair and in how many buckets it was met, else a bucket row.
     ``final``: rows come sorted by key, only pairs are told, and a key that goes on
     in the next run takes its pivot along.
     """
-    names = ["key", "node", "other"]
+    names = ["key", "node", "other", "times"]
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -127,7 +129,7 @@ def _stars(batches, final: bool):
         ready = t.column("other").is_valid().to_numpy()
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
         other = t.column("other").fill_null(0).to_numpy()
-        pairs = [(node[ready], other[ready])]
+        pairs = [(node[ready], other[ready], t.column("times").to_numpy()[ready])]
         key, node = key[~ready], node[~ready]
         # the same few nodes are pivots in most of a group's buckets, so its pairs repeat and are told once
         order = np.lexsort((mix(node.view(np.uint64) + (key.view(np.uint64) & np.uint64(PIVOTS - 1))), key))
@@ -136,42 +138,44 @@ def _stars(batches, final: bool):
         first[1:] = key[1:] != key[:-1]
         pivot = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
         rest = ~first & (node != pivot)
-        pairs.append((node[rest], pivot[rest]))
-        a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+        pairs.append((node[rest], pivot[rest], np.ones(int(rest.sum()), np.int64)))
+        a, b, times = (np.concatenate(c) for c in zip(*pairs))
         a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        a, b, times = a[order], b[order], times[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return key[first], node[first], a[new], b[new]
+        new = np.flatnonzero(new)
+        return key[first], node[first], a[new], b[new], np.add.reduceat(times, new) if len(new) else times
 
     def row(k, n):
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.nulls(len(k), pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.nulls(len(k), pa.int64()), pa.array(np.ones(len(k), np.int64))], names=names)
 
-    def emit(k, n, a, b):
+    def emit(k, n, a, b, times):
         if not final and len(k):
             yield row(k, n)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(mix(a.view(np.uint64)).view(np.int64)), pa.array(a), pa.array(b)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(a.view(np.uint64)).view(np.int64)), pa.array(a), pa.array(b), pa.array(times)], names=names)
 
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
         if size >= RUN:
-            k, n, a, b = flush()
+            k, n, *pairs = flush()
             held, size = [row(k[-1:], n[-1:])] if final and len(k) else [], 0
-            yield from emit(k, n, a, b)
+            yield from emit(k, n, *pairs)
     if held:
         yield from emit(*flush())
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """a < b: star pairs of every bucket."""
-    schema = "key long, node long, other long"
-    rows = _tables(classes).withColumn("other", F.lit(None).cast("long"))
+    """a < b: a forest of the star pairs of all buckets."""
+    schema = "key long, node long, other long, times long"
+    rows = _tables(classes).select("*", F.lit(None).cast("long").alias("other"), F.lit(1).cast("long").alias("times"))
     local = rows.mapInArrow(lambda it: _stars(it, False), schema)
     met = local.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _stars(it, True), schema)
-    return met.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = met.filter("other is not null").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.sum("times").alias("weight"))
+    return thinned(pairs, "star-pairs")
 
 
 def _sets(df: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:

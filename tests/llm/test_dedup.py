@@ -318,3 +318,30 @@ def test_forests_of_many_tasks_are_joined(spark, monkeypatch):
     assert {r["node"]: r["comp"] for r in components(df).collect()} == want
     nodes, roots = module.forest(*map(np.array, zip(*links)))
     assert dict(zip(nodes.tolist(), roots.tolist())) == want
+
+
+def test_spanning_forest_keeps_the_heaviest_links():
+    from scorecraft.llm.components import forest, spanning
+
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 300, (2, 1500))
+    a, b = a[a != b], b[a != b]
+    weight = rng.integers(1, 50, len(a))
+    keep = spanning(a, b, weight)
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    total = 0
+    for i in np.argsort(-weight, kind="stable").tolist():  # one link after another, heaviest first
+        x, y = find(a[i]), find(b[i])
+        if x != y:
+            parent[x] = y
+            total += weight[i]
+    assert weight[keep].sum() == total
+    one, two = forest(a, b), forest(a[keep], b[keep])
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all() and keep.sum() == len(one[0]) - len(set(one[1].tolist()))
+    assert not spanning(*np.zeros((3, 0), np.int64)).any()
