@@ -21,8 +21,9 @@ s = 0.85 with 4 and 10; for every lower threshold at most 0.315 %).
    reach the threshold share one of each's first ``n - ceil(s * n) + 1``.  What a
    class's first shared shingle leaves possible bounds the sizes of its partners;
    classes that no size is left for go.  Classes that share a shingle are compared
-   by size and place only, in blocks of at most ``BLOCK``; the pairs left are
-   verified on full sets.  So no candidate link is lost.
+   in blocks of at most ``BLOCK`` by size, place and parity sketch (bits in which two
+   sketches differ are never more than the shingles that only one set has); the
+   pairs left are verified on full sets.  So no candidate link is lost.
 
 Sets are of 64-bit shingle hashes.  A text without words has an empty set and
 is linked with nothing.  Equal rows and repeated ids are fine (rows with one
@@ -53,6 +54,8 @@ PIVOTS = 8
 RUN = 500_000
 #: Most classes of one side in a block of the search across components.
 BLOCK = 4096
+#: Bits of a parity sketch.
+BITS = 1024
 #: Bound of 2 * (1 - s ** width) ** halves at the threshold s.
 MISSED = 0.00315
 
@@ -282,30 +285,51 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("most", most.cast("long")).filter(F.col("most") >= F.ceil(F.col("n") * percent / 100))
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """node, sketch: for each of ``BITS`` buckets, whether an odd number of a set's shingles falls into it."""
+    def sketch(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(n)])
+            at = (mix(lists.flatten().to_numpy().view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+            for i in range(0, len(n), 256):
+                j = min(i + 256, len(n))
+                cell = np.repeat(np.arange(j - i), n[i:j]) * BITS + at[upto[i]:upto[j]]
+                odd = np.bincount(cell, minlength=(j - i) * BITS).reshape(-1, BITS) & 1
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array([x.tobytes() for x in np.packbits(odd.astype(bool), axis=1)], pa.binary())], names=["node", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(sketch, "node long, sketch binary")
+
+
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of classes of different components that may be links, by prefixes, places and sizes."""
-    rows = stored(_prefixes(members, sets, percent), "prefixes")
+    """a, b: pairs of classes of different components that may be links, by prefixes, places, sizes and sketches."""
+    rows = stored(_prefixes(members, sets, percent).join(_sketches(sets), "node"), "prefixes")
     kinds = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("small"), F.max("most").alias("large"), F.min("comp").alias("c"), F.max("comp").alias("d"))
     kinds = kinds.filter("k > 1 and c != d").select("token", "small", "large", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     near = rows.join(kinds, "token").filter("most >= small and large >= n")
     side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     near = near.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = near.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp", "n", "most")
+    near = near.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp", "n", "most", "sketch")
 
     def pairs(t: pa.Table) -> pa.Table:
         node, comp, n, most, side = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "comp", "n", "most", "side"))
         order = np.argsort(n, kind="stable")
         node, comp, n, most, side = node[order], comp[order], n[order], most[order], side[order]
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)[order]
         # partners that aren't smaller: later in this order, as large as one's own place allows
         upto = np.searchsorted(n, np.minimum(most, 100 * n // percent), side="right")
         count = np.maximum(upto - np.arange(len(n)) - 1, 0)
         out = []
-        for begin, end in _spans(count, 1_000_000):
+        for begin, end in _spans(count, 200_000):
             one = np.repeat(np.arange(begin, end), count[begin:end])
             two = flat_ranges(np.arange(begin, end) + 1, count[begin:end])
             fit = (most[two] >= n[one]) & (comp[one] != comp[two])
             if side.min() != side.max():
                 fit &= side[one] != side[two]
+            one, two = one[fit], two[fit]
+            apart = np.bitwise_count(sketch[one] ^ sketch[two]).sum(axis=1, dtype=np.int64)
+            fit = (100 + percent) * apart <= (100 - percent) * (n[one] + n[two])
             out.append((node[one[fit]], node[two[fit]]))
         a, b = (np.concatenate([x[i] for x in out] + [np.zeros(0, np.int64)]) for i in (0, 1))
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
