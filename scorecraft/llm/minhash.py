@@ -23,7 +23,9 @@ s = 0.85 with 4 and 10; for every lower threshold at most 0.315 %).
    classes that no size is left for go.  Classes that share a shingle are compared
    in blocks of at most ``BLOCK`` by size, place and parity sketch (bits in which two
    sketches differ are never more than the shingles that only one set has); the
-   pairs left are verified on full sets.  So no candidate link is lost.
+   pairs left are verified on full sets.  First rounds take of each block a forest
+   of the nearest pairs between components, which then are few; the last one takes
+   all pairs left between components.  So no candidate link is lost.
 
 Sets are of 64-bit shingle hashes.  A text without words has an empty set and
 is linked with nothing.  Equal rows and repeated ids are fine (rows with one
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorecraft.llm.common import list_array, map_text, stored
-from scorecraft.llm.components import components, thinned
+from scorecraft.llm.components import components, spanning, thinned
 from scorecraft.llm.shingles import shingle_sets
 from scorecraft.llm.text import flat_ranges, mix
 
@@ -54,6 +56,8 @@ PIVOTS = 8
 RUN = 500_000
 #: Most classes of one side in a block of the search across components.
 BLOCK = 4096
+#: Rounds that look at the nearest pairs only, before the one that looks at all that are left.
+BEST_FIRST = 2
 #: Bits of a parity sketch.
 BITS = 1024
 #: Bound of 2 * (1 - s ** width) ** halves at the threshold s.
@@ -230,9 +234,12 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, shape: tuple[i
     open_ = stored(_open_classes(tested, comps), "open-classes")
     if open_.limit(1).count():
         sets = stored(_sets(df, rows, open_.select("node"), k, id_col, text_col), "open-sets")
-        apart = stored(_across(open_, sets, percent), "pairs-across")
-        more = _verify(apart, sets, percent).filter("linked").select("a", "b")
-        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+        rows = stored(_prefixes(sets, percent), "prefixes")
+        for best in [True] * BEST_FIRST + [False]:
+            apart = stored(_across(rows, open_, percent, best), "pairs-across")
+            more = stored(_verify(apart, sets, percent).filter("linked").select("a", "b"), "links-across")
+            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+            open_ = open_.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
     named = classes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -267,22 +274,22 @@ def _open_classes(tested: DataFrame, comps: DataFrame) -> DataFrame:
     return comps.join(ends.select("comp").distinct(), "comp", "left_semi").select("node", "comp").unionByName(ends).distinct()
 
 
-def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """token, node, comp, n, place: the shared shingles of each class's prefix, rare ones first; ``most``: the largest set that one place leaves possible."""
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """token, node, n, place: the shared shingles of each class's prefix, rare ones first; ``most``: the largest set that one place leaves possible; sketch."""
     s = percent / 100
-    flat = members.join(sets, "node").select("node", "comp", "n", F.explode("shingles").alias("token"))
-    flat = stored(flat, "open-shingles")
+    flat = stored(sets.select("node", "n", F.explode("shingles").alias("token")), "open-shingles")
     shared = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     # shingles of one class come first and match nothing: they only move the others on
-    order = flat.join(shared, "token").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    order = flat.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
     least = F.ceil(F.col("n") * percent / 100)  # a partner shares so many
     own = F.col("n") - F.size("order")
     room = (F.col("n") - least + 1 - own).cast("int")
-    order = order.select("node", "comp", "n", own.alias("own"), F.slice("order", 1, F.greatest(room, F.lit(0))).alias("order"))
-    rows = order.select("node", "comp", "n", "own", F.posexplode("order")).select("node", "comp", "n", (F.col("own") + F.col("pos")).alias("place"), "col.token")
+    order = order.select("node", "n", own.alias("own"), F.slice("order", 1, F.greatest(room, F.lit(0))).alias("order"))
+    rows = order.select("node", "n", "own", F.posexplode("order")).select("node", "n", (F.col("own") + F.col("pos")).alias("place"), "col.token")
     # shared <= n - place, and shared >= s / (1 + s) * (n + partner's n)
     most = F.floor((F.col("n") - F.col("place")) * ((1 + s) / s) - F.col("n") + 1e-6)
-    return rows.withColumn("most", most.cast("long")).filter(F.col("most") >= F.ceil(F.col("n") * percent / 100))
+    rows = rows.withColumn("most", most.cast("long")).filter(F.col("most") >= F.ceil(F.col("n") * percent / 100))
+    return rows.join(_sketches(sets), "node")
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
@@ -302,9 +309,9 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(sketch, "node long, sketch binary")
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of classes of different components that may be links, by prefixes, places, sizes and sketches."""
-    rows = stored(_prefixes(members, sets, percent).join(_sketches(sets), "node"), "prefixes")
+def _across(prefixes: DataFrame, members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """a, b: pairs of classes of different components that may be links, by prefixes, places, sizes and sketches; ``best``: of each block a forest of the nearest."""
+    rows = prefixes.join(members, "node")
     kinds = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("small"), F.max("most").alias("large"), F.min("comp").alias("c"), F.max("comp").alias("d"))
     kinds = kinds.filter("k > 1 and c != d").select("token", "small", "large", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     near = rows.join(kinds, "token").filter("most >= small and large >= n")
@@ -330,7 +337,11 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             one, two = one[fit], two[fit]
             apart = np.bitwise_count(sketch[one] ^ sketch[two]).sum(axis=1, dtype=np.int64)
             fit = (100 + percent) * apart <= (100 - percent) * (n[one] + n[two])
-            out.append((node[one[fit]], node[two[fit]]))
+            one, two, far = one[fit], two[fit], apart[fit] * 1000 // (n[one[fit]] + n[two[fit]])
+            if best:
+                keep = spanning(comp[one], comp[two], -far)
+                one, two = one[keep], two[keep]
+            out.append((node[one], node[two]))
         a, b = (np.concatenate([x[i] for x in out] + [np.zeros(0, np.int64)]) for i in (0, 1))
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 

@@ -273,7 +273,7 @@ def test_alike_but_unlinked_texts_make_no_pairs(spark):
     signed = minhash.signatures(df, 3, 4, 10)
     members = signed.selectExpr("node", "node AS comp")
     sets = minhash._sets(df, signed.select("row_id", "uid", "n_shingles", "node"), members.select("node"), 3, "doc_id", "text")
-    assert minhash._across(members, sets, 85).count() <= 10
+    assert minhash._across(minhash._prefixes(sets, 85), members, 85, False).count() <= 10
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()}
     alone = {i: i for i in range(4000)}
     assert got == {**alone, 4000: 7, 4001: 9}
@@ -291,7 +291,7 @@ def test_prefixes_lose_no_link(spark, percent):
             sets.append(frozenset(np.concatenate([keep, rng.choice(400, rng.integers(0, 4))]).tolist()) or frozenset([1]))
     sets = sorted(set(sets), key=sorted)
     df = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(sets)], "node long, n long, shingles array<long>")
-    found = {(r["a"], r["b"]) for r in minhash._across(df.selectExpr("node", "node AS comp"), df, percent).collect()}
+    found = {(r["a"], r["b"]) for r in minhash._across(minhash._prefixes(df, percent), df.selectExpr("node", "node AS comp"), percent, False).collect()}
     links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
     assert links <= found and len(found) < len(sets) * (len(sets) - 1) / 2
 
