@@ -234,9 +234,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, shape: tuple[i
     open_ = stored(_open_classes(tested, comps), "open-classes")
     if open_.limit(1).count():
         sets = stored(_sets(df, rows, open_.select("node"), k, id_col, text_col), "open-sets")
-        rows = stored(_prefixes(sets, percent), "prefixes")
+        prefixes = stored(_prefixes(sets, percent), "prefixes")
         for best in [True] * BEST_FIRST + [False]:
-            apart = stored(_across(rows, open_, percent, best), "pairs-across")
+            apart = stored(_across(prefixes, open_, percent, best), "pairs-across")
             more = stored(_verify(apart, sets, percent).filter("linked").select("a", "b"), "links-across")
             comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
             open_ = open_.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
