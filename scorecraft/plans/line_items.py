@@ -1,10 +1,19 @@
 """Line-item detail load (K24): a wide dimension built from operational tables.
 
 DB2 semantics (ANSI nulls) apply here, not the SAS missing-value rules.
-Code tables of fixed size are broadcast; every table keyed by line id is
-joined on the line id, so its rows meet lines that are already partitioned by
-it, and the final DISTINCT stays within a line.  The reference's shipping
-documents join selects no column and is dropped (the DISTINCT hid its fan-out).
+Code tables of fixed size are broadcast.  The line table and the large tables
+keyed by line are stored in buckets of the line id: the wide row grows by hash
+joins inside its bucket and is never exchanged; there must be enough buckets (the
+session's shuffle partitions) for a bucket of each table to fit a task's memory.  Quote and order are found by
+their own keys for a narrow row (line, quote, order), which alone goes back to
+the line's bucket.
+
+The reference takes DISTINCT over all 97 columns.  Here each table that may hold
+several rows for a line is made distinct in the columns that the result shows, a
+grouping by line id inside the bucket; line ids, quotes, orders and codes are keys
+of their tables.  So the rows of a line differ where they are several, and the
+97 columns are never hashed.  The shipping documents join of the reference
+selects no column and is dropped (the DISTINCT hid its fan-out).
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ from scorecraft.functions.semantics import exists_flag
 from scorecraft.operators.joins import bounded, keep_extreme
 from scorecraft.operators.windows import first_per_key
 from scorecraft.sources.roles import Warehouse
-from scorecraft.sources.tables import full_refresh
+from scorecraft.sources.tables import current, full_refresh
 
 SYSTEM_USER = 3
 
@@ -30,7 +39,7 @@ def latest_confirmation(t: Warehouse) -> DataFrame:
     """Confirmations at the line's latest timestamp (ties kept), with the confirmer's name."""
     c = keep_extreme(t.confirmations, ["line_item_id"], "created_timestamp", "max")
     org = t.organization.select(F.col("organization_id").alias("confirmed_by_id"), "user_name")
-    return c.join(org, "confirmed_by_id", "left").select("line_item_id", "user_name", "confirmation_notes")
+    return c.join(org, "confirmed_by_id", "left").select("line_item_id", "user_name", "confirmation_notes").distinct()
 
 
 def research_ids(t: Warehouse) -> DataFrame:
@@ -47,14 +56,18 @@ def _flag(col: str) -> Column:
     return exists_flag(F.col(col))
 
 
-def _marked(df: DataFrame, key: str, flag: str) -> DataFrame:
-    """The distinct lines of a table, with a marker column for an existence flag."""
-    return df.select(F.col(key).alias("id_no")).distinct().withColumn(flag, F.lit(1))
+def _flags(**marked: DataFrame) -> DataFrame:
+    """One row per line that any of some tables (column line_item_id) holds, with a 0/1 column for each table."""
+    rows = None
+    for name, df in marked.items():
+        one = df.select(F.col("line_item_id").alias("id_no"), *[F.lit(int(n == name)).alias(n) for n in marked])
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("id_no").agg(*[F.max(n).alias(n) for n in marked])
 
 
-def _by_line(df: DataFrame, **cols: str) -> DataFrame:
-    """A line-keyed table with the chosen columns under new names."""
-    return df.select(F.col("line_item_id").alias("id_no"), *[F.col(c).alias(n) for n, c in cols.items()])
+def _by_line(df: DataFrame, **cols: Column | str) -> DataFrame:
+    """The distinct rows of a line-keyed table in the chosen columns, under new names."""
+    return df.select(F.col("line_item_id").alias("id_no"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cols.items()]).distinct()
 
 
 def _packages(t: Warehouse, prefix: str) -> DataFrame:
@@ -72,12 +85,13 @@ def _chosen_quote(t: Warehouse) -> DataFrame:
         "add_bill_unit_e4", "contract_pro_id", "vrm_score", "lead_time_days", "is_formulary_outright_option", "is_formulary_exchange_option", "core_charge")
     item = t.items.select(F.col("item_number").alias("inv_item_cost_id"), F.col("item_number").cast("string").alias("catalogue_item"))
     warranty = bounded(t.warranty_codes).withColumnRenamed("description", "warranty_description")
-    return (quote.join(t.research_pricing, "vendor_research_id", "left").join(item, "inv_item_cost_id", "left")
+    pricing = t.research_pricing.repartition("vendor_research_id").distinct()
+    return (quote.join(pricing, "vendor_research_id", "left").join(item, "inv_item_cost_id", "left")
             .join(bounded(t.condition_codes), "condition_id", "left").join(warranty, "warranty_id", "left"))
 
 
 def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
-    """97 columns, one row per line (more where a joined table has several rows for it), DISTINCT as in the reference."""
+    """97 columns, one row per line (more where a joined table has several rows for it), no row twice."""
     lines = t.line_items.filter(F.col("created_timestamp") >= F.lit(since).cast("timestamp"))
     origin = bounded(t.line_origins)
     own_origin = origin.filter(~F.col("line_origin_id").isin(1, 2)).select(
@@ -89,31 +103,33 @@ def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
                 .select(F.col("line_item_id").alias("id_no"), "invoice_number").distinct())
     received = first_per_key(t.received_parts, ["line_item_id"], ["date_received", "received_by_contact_id"])
     estimate = t.ship_estimates.filter(F.col("active") == "Y")  # inside ON: lines without an active one stay (C6)
+    # a customer's own package shows on lines of origin 100 only
+    own_package = (lines.filter(F.col("line_origin_id") == 100).select("id_no").join(_by_line(t.customer_line_keys, k_subscription_id="subscription_id"), "id_no")
+                   .join(_packages(t, "k_"), "k_subscription_id").select("id_no", "k_package_name", "k_type_name").distinct())
+    narrow = lines.select("id_no", "order_id", "vendor_research_id").join(head, "order_id", "left").join(_chosen_quote(t), "vendor_research_id", "left")
     by_line = [
+        narrow.drop("order_id", "vendor_research_id"),
         research_ids(t).withColumnRenamed("line_item_id", "id_no"),
         latest_confirmation(t).withColumnRenamed("line_item_id", "id_no"),
-        _by_line(t.customer_line_keys, k_subscription_id="subscription_id"),
+        own_package,
         invoices,
+        _flags(has_conf=t.order_confirmations, has_backorder=t.line_status.filter(F.col("first_backordered_timestamp").isNotNull()),
+               has_request=t.customer_requests, has_smart_po=t.admin_actions.filter(F.col("action_type_id").isin(3, 4)), has_direct=t.direct_order_lines),
         _by_line(t.function_locations, functional_location="field_value"),
-        _marked(t.order_confirmations, "line_item_id", "has_conf"),
         _by_line(t.purchase_orders, purchase_id="purchase_id", payment_method="payment_code", manufacturer_fee="oem_shipping_handling_fee",
                  exchange_fee="exchange_fee", customer_ship_fee="processing_fee", minimum_order_fee="minimum_order_fee",
                  transit_coverage="transit_coverage", program_fee="program_fee"),
-        _marked(t.line_status.filter(F.col("first_backordered_timestamp").isNotNull()), "line_item_id", "has_backorder"),
-        _marked(t.customer_requests, "line_item_id", "has_request"),
-        _by_line(t.vendor_messages, vendor_850="vendor_850", vendor_855="vendor_855", vendor_856="vendor_856"),
-        _by_line(received, received_by_contact_id="received_by_contact_id", date_received="date_received"),
-        _by_line(t.customer_messages, edi855="edi855", edi856="edi856"),
-        _marked(t.admin_actions.filter(F.col("action_type_id").isin(3, 4)), "line_item_id", "has_smart_po"),
-        _marked(t.direct_order_lines, "line_item_id", "has_direct"),
+        _by_line(t.vendor_messages, **{f"vend_{n}": _flag(f"vendor_{n}") for n in (850, 855, 856)}),
+        received.select(F.col("line_item_id").alias("id_no"), "received_by_contact_id", "date_received"),
+        _by_line(t.customer_messages, **{f"cust_{n}": F.when(F.col(f"edi{n}") > 0, 1).otherwise(0) for n in (855, 856)}),
         _by_line(estimate, esd_description="description", estimated_shipping_date="esd", last_esd_updated_by="user_name"),
     ]
-    j = lines.join(_chosen_quote(t), "vendor_research_id", "left").join(head, "order_id", "left")
-    for side in by_line:
-        j = j.join(side, "id_no", "left")
+    j = lines
+    for side in by_line:  # hash joins inside a bucket: no table keyed by line is broadcast or sorted
+        j = j.join(side.hint("shuffle_hash"), "id_no", "left")
     j = (j.join(own_origin, F.col("line_origin_id") == F.col("o_id"), "left")
          .join(catalog, F.when(F.col("line_origin_id").isin(3, 4), 2).otherwise(F.col("line_origin_id")) == F.col("c_id"), "left")
-         .join(_packages(t, "o_"), "o_subscription_id", "left").join(_packages(t, "k_"), "k_subscription_id", "left")
+         .join(_packages(t, "o_"), "o_subscription_id", "left")
          .join(bounded(t.urgency_codes), "urgency_id", "left").join(relation, ["modality_id", "class_id"], "left"))
     flags = classify_sourcing(F.col("status_id"), F.col("research_type_id"), F.col("researchtypemin"),
                               F.col("researchtypemax"), F.col("system_flag") == 1)
@@ -125,6 +141,7 @@ def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
                       F.concat(maker, F.col("part_number_stripped"))))
     qty = to_int(F.col("quantity") + F.col("return_quantity"))
     one = lambda cond: F.when(cond, 1).otherwise(0)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(0))
     named = {
         "line_item_id": "id_no", "requested_part_number": "part_number", "requested_part_number_stripped": "part_number_stripped",
         "requested_condition_id": "condition_id", "line_item_description": "description", "confirmed_by_name": "user_name",
@@ -150,10 +167,10 @@ def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
         "subscription_name": F.when(F.col("o_id").isin(3, 4), F.col("o_status")).when(F.col("o_id") == 100, F.col("k_package_name"))
         .otherwise(F.col("o_package_name")),
         "subscription_type": F.when(F.col("o_id") == 100, F.col("k_type_name")).otherwise(F.col("o_type_name")),
-        "smart_order_po": _flag("has_smart_po"), "smart_order_conf": _flag("has_conf"), "ever_backordered": _flag("has_backorder"),
-        "cust_edi_request": _flag("has_request"), "vend_edi_request": _flag("vendor_850"), "vend_edi_conf": _flag("vendor_855"),
-        "vend_edi_ship": _flag("vendor_856"), "oemdirect_ind": _flag("has_direct"),
-        "cust_edi_conf": one(F.col("edi855") > 0), "cust_edi_ship": one(F.col("edi856") > 0),
+        "smart_order_po": flag("has_smart_po"), "smart_order_conf": flag("has_conf"), "ever_backordered": flag("has_backorder"),
+        "cust_edi_request": flag("has_request"), "vend_edi_request": flag("vend_850"), "vend_edi_conf": flag("vend_855"),
+        "vend_edi_ship": flag("vend_856"), "oemdirect_ind": flag("has_direct"),
+        "cust_edi_conf": flag("cust_855"), "cust_edi_ship": flag("cust_856"),
         "pim_item_number": first_present(F.col("rs_item_number"), F.col("catalogue_item"), fallback),
         "requested_quantity": qty, "catalog_part": F.when(F.col("inv_item_cost_id").isNotNull(), "Y").otherwise("N"),
         "repair_ind": one(repair), "service_ind": one((F.col("order_type_id") == 17) | (F.col("class_id") == 24)),
@@ -162,10 +179,10 @@ def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
         "exchange_fee_charged": one(F.col("exchange_fee") > 0),
         "estimated_add_bill": row_double(F.when(F.col("return_required") == "Y", F.col("add_bill_unit_e4") * qty).otherwise(F.lit(0)), 4),
     }
-    return j.select(*[F.col(c).alias(n) for n, c in named.items()], *plain, *[c.alias(n) for n, c in made.items()]).distinct()
+    return j.select(*[F.col(c).alias(n) for n, c in named.items()], *plain, *[c.alias(n) for n, c in made.items()])
 
 
 def load_line_item_details(t: Warehouse, since: dt.date, path: str) -> DataFrame:
     """A4: full refresh of the dimension at ``path``; returns the table read back."""
     full_refresh(line_item_details(t, since), path)
-    return t.spark.read.parquet(path)
+    return current(t.spark, path)

@@ -44,7 +44,7 @@ def a4_full_refresh(t: Warehouse) -> DataFrame:
     """A4: fill a table in the shared checkpoint folder anew (an own folder for each call), then read it back."""
     path = tables.own_path(t.spark, "vendor_compliance")
     tables.full_refresh(compliance.vendor_compliance(t, P.PERIOD_START, P.PERIOD_END), path)
-    return t.spark.read.parquet(path)
+    return tables.current(t.spark, path)
 
 
 def a5_report(t: Warehouse) -> DataFrame:
@@ -169,7 +169,7 @@ def b15_distinct(t: Warehouse) -> DataFrame:
 
 
 def b16_distinct_wide(t: Warehouse) -> DataFrame:
-    """DISTINCT over the wide joined row of the line-item load (97 columns)."""
+    """DISTINCT over the wide joined row of the line-item load (97 columns): no row twice, by distinct inputs (see line_items)."""
     return line_items.line_item_details(t, P.PERIOD_START)
 
 

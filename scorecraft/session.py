@@ -23,6 +23,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # wide reports (97 columns and their inputs) stay in generated code
+    "spark.sql.codegen.maxFields": "300",
     "spark.sql.parquet.aggregatePushdown": "true",
     # broadcast decisions stay size-checked (planner estimate, then AQE on
     # real shuffle sizes); 64 MB lets small dimensions skip a shuffle
@@ -78,7 +80,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             current = None
     if not current:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="scorecraft-ckpt-")
     if not sc.getCheckpointDir():

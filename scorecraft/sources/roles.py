@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from scorecraft.functions.money import scaled, to_decimal, total
 from scorecraft.sources.calendar import build_calendar
 from scorecraft.sources.load_roles import LOAD_ROLES, line_item_extras, research_extras
-from scorecraft.sources.tables import own_path
+from scorecraft.sources.tables import bucketed, own_path
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -105,8 +105,8 @@ class Warehouse:
             self._cache[name] = df
         return self._cache[name]
 
-    def _stored(self, name: str, df: DataFrame, cluster_by: tuple[str, ...] | None) -> DataFrame:
-        """Write a role once and read it back.
+    def _stored(self, name: str, df: DataFrame, how: tuple[str, ...] | str | None) -> DataFrame:
+        """Write a role once and read it back, clustered by columns or in buckets of a key.
 
         By default the table has a path of its own, removed when the session's
         JVM ends.  When the session names a shared warehouse folder
@@ -115,9 +115,12 @@ class Warehouse:
         and takes its name when it is complete, so a reader never meets half
         a table and two writers never touch each other's files.
         """
-        if cluster_by:
-            df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
         shared = self.spark.conf.get("scorecraft.warehouse.path", None)
+        if isinstance(how, str) and not shared:
+            return bucketed(df, name, how)
+        if how:
+            by = (how,) if isinstance(how, str) else how
+            df = df.repartitionByRange(*by).sortWithinPartitions(*by)
         if not shared:
             path = own_path(self.spark, name)
             df.write.parquet(path)
@@ -817,8 +820,9 @@ def _calendar(w: Warehouse) -> DataFrame:
 # role -> columns the stored table is range-clustered by (None: no clustering).
 # The fact is clustered by date then line id, so a date holding a third of the
 # rows still splits into many ranges (no single hot write task).
-STORED_ROLES = {"calendar": None, "line_rows": None, "txn": ("transaction_date", "line_item_id"), "line_detail": None,
-                "line_status": None, "tracking": None, "shipping_info": None, "research": None, "returns": None,
+#: Stored roles: None as they are, columns to cluster by, or the key of their buckets.
+STORED_ROLES = {"calendar": None, "line_rows": "line_item_id", "line_items": "id_no", "confirmations": "line_item_id", "txn": ("transaction_date", "line_item_id"), "line_detail": None,
+                "line_status": None, "tracking": None, "shipping_info": None, "research": "line_item_id", "returns": None,
                 "daily_actuals": None, "pim_models": None, "pim_searches": None,
                 "pim_images": None, "item_attributes": None, "vendor_mapping": None}
 

@@ -27,17 +27,88 @@ def query(spark: SparkSession, sql: str, jdbc: Mapping[str, str] | None = None)
     return spark.sql(sql)
 
 
-def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> str:
-    """A4: empty the target, then write the new content (atomic per job commit).
-
-    The write is a distributed job; a lost executor re-runs its tasks and
-    the output committer only publishes complete files.
+def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", keep: int = 2) -> str:
+    """A4: replace the whole content of the table at ``path``; returns the folder of the new version.
+
+    Every load writes a version beside the older ones (``path/v<number>-<id>``)
+    and then publishes it: a small file ``path/_versions/<number>`` that names the
+    folder, made by one rename.  A reader (``current``) follows the highest number,
+    so it meets the old rows or the new ones, never an empty or half-written
+    target; a load that fails publishes nothing and the old rows stay.  Two loads
+    at once both write their own folders; the rename gives each number to one of
+    them, the other takes the next.  Versions older than the last ``keep`` go after
+    publishing (one more load later than a reader needs them).
     """
-    w = df.write.mode("overwrite").format(fmt)
+    spark = df.sparkSession
+    folder = f"{path.rstrip('/')}/load-{uuid.uuid4().hex}"
+    w = df.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
-    return path
+    try:
+        w.save(folder)
+    except Exception:
+        _remove(spark, folder)
+        raise
+    number = _publish(spark, path, folder.rsplit("/", 1)[1])
+    for old in range(number - keep, -1, -1):
+        name = _published(spark, path, old)
+        if name is None:
+            break
+        _remove(spark, f"{path.rstrip('/')}/{name}")
+        _remove(spark, f"{path.rstrip('/')}/_versions/{old}")
+    return folder
+
+
+def current(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The rows that the last complete ``full_refresh`` of ``path`` left."""
+    numbers = _numbers(spark, path)
+    if not numbers:
+        raise FileNotFoundError(f"no load of {path} is complete")
+    return spark.read.format(fmt).load(f"{path.rstrip('/')}/{_published(spark, path, max(numbers))}")
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where, fs = _file(spark, path)
+    fs.delete(where, True)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    where, fs = _file(spark, f"{path.rstrip('/')}/_versions")
+    if not fs.exists(where):
+        return []
+    return [int(s.getPath().getName()) for s in fs.listStatus(where) if s.getPath().getName().isdigit()]
+
+
+def _published(spark: SparkSession, path: str, number: int) -> str | None:
+    """The folder that a version's file names."""
+    where, fs = _file(spark, f"{path.rstrip('/')}/_versions/{number}")
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, folder: str) -> int:
+    """Give ``folder`` the next free number; a rename onto a taken one fails and the next is tried."""
+    base = f"{path.rstrip('/')}/_versions"
+    note, fs = _file(spark, f"{base}/.{folder}")
+    stream = fs.create(note, True)
+    stream.writeUTF(folder)
+    stream.close()
+    number = max(_numbers(spark, path), default=-1) + 1
+    while True:
+        target, _ = _file(spark, f"{base}/{number}")
+        if not fs.exists(target) and fs.rename(note, target):
+            return number
+        number += 1
 
 
 def report(df: DataFrame, columns: Sequence[str], labels: Mapping[str, str] | None = None) -> DataFrame:
@@ -74,6 +145,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, path: str | None = None) -> DataFrame:
+    """``df`` written once in buckets of ``key``, sorted inside, and read back as a table of this session.
+
+    Joins and groupings on ``key`` between such tables need no exchange.  There are
+    as many buckets as the session has shuffle partitions, so that other tables meet
+    them after one exchange of their own.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"bucketed_{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+     .option("path", path or own_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
     """A3: an intermediate table (``create table ... as``) read by several later steps.
 
