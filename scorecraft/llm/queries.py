@@ -88,7 +88,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorecraft.llm import suffix_dedup
 
     cut = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400, keep_first=False)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")  # what is left of a character cut in two becomes U+FFFD
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 @query

@@ -10,10 +10,11 @@
 2. Document frequencies of these terms are counted over all documents.
 3. Examples become TF-IDF vectors in an inverted index whose posting lists are
    cut into blocks of ``BLOCK`` examples with the largest weight of each term
-   and block.  A search visits blocks by their upper bound and stops when no
-   block can still reach the list; after ``FEW`` blocks it reads the posting
-   lists whole.  Either way: the ``NEIGHBOURS`` nearest by exact cosine.
-4. Neighbours vote, each by the inverse of its distance (1 - cosine).  Votes
+   and block.  A search adds up its short lists, bounds what the long ones can
+   add to a block's examples by their block maxima, and scores in full only the
+   examples that can still be among the ``NEIGHBOURS`` nearest: those of largest
+   exact cosine of these vectors.
+4. Neighbours vote, each by 1 / (1.02 - cosine), its inverse distance.  Votes
    of the examples themselves, each without its family, give a monotone
    calibration from vote to probability.
 
@@ -21,7 +22,8 @@ An example never votes on a text equal to its own, so no label is an input of
 its own score.  A text without any term (null and empty ones too) has no
 neighbours and takes the calibrated share of such examples.  With no labelled
 rows, labels of one kind, or no words, every score is the smoothed share of
-label 1.  The terms reported are the telling ones.  Equal texts get equal scores, ties go to the smaller
+label 1.  The terms reported are the telling ones.  A text of any length is read
+whole and alone in its slice if it is longer than one.  Equal texts get equal scores, ties go to the smaller
 example id; an empty table gives an empty one; other columns are left out.
 """
 
@@ -45,7 +47,8 @@ LIGHT = 0.05
 LEAST_DOCS = 3
 NEIGHBOURS = 15
 BLOCK = 32
-FEW = 8
+#: Share of a search's entries that the short lists may hold.
+SHORT = 0.2
 NEAR = 1e-9
 #: Examples that agree in one of so many triples of MinHash values are one family.
 FAMILY_KEYS = 16
@@ -147,6 +150,7 @@ class Index:
         term = np.concatenate([vectors[i][0] for i in full]) if full else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in full]) if full else np.zeros(0)
         example = np.repeat(np.arange(len(full)), size)
+        self.own_at, self.own_term, self.own_weight = np.concatenate([[0], np.cumsum(size)]).astype(np.int64), term, weight
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order], weight[order]
         self.at = np.searchsorted(term, np.arange(n_terms + 1))
@@ -156,47 +160,57 @@ class Index:
         self.cell_at = np.searchsorted(term[new], np.arange(n_terms + 1))
         self.cell_block = self.example[new] // BLOCK
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        # the same entries block by block
-        by_block = np.argsort(self.example // BLOCK, kind="stable")
-        self.block_term, self.block_slot, self.block_weight = term[by_block], self.example[by_block] % BLOCK, self.weight[by_block]
-        self.block_at = np.searchsorted(self.example[by_block] // BLOCK, np.arange(self.blocks + 1))
         self.asked = np.zeros(n_terms)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, not_key: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine over 0 (ties: smaller id), and their cosines."""
+        """The k examples of largest cosine over 0 (ties: smaller id), and their cosines.
+
+        The short lists (rare terms, most of the weight) are added up for all
+        examples; the block maxima of the long ones bound what these can add to
+        the examples of a block.  Only examples whose bound reaches the worst of
+        the k best so far are scored in full, the most hopeful first.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-
-        def met(at, values, into, size):
-            n = at[terms + 1] - at[terms]
-            flat = flat_ranges(at[terms], n)
-            return np.bincount(into[flat], weights=values[flat] * np.repeat(weights, n), minlength=size)
-
-        bound = met(self.cell_at, self.most, self.cell_block, self.blocks)
-        self.asked[terms] = weights
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        floor = 0.0
-        for i, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < floor - NEAR:
-                break
-            whole = i == FEW
-            if whole:
-                first, acc = 0, met(self.at, self.weight, self.example, len(self.ids))
-                best, score = best[:0], score[:0]
-            else:
-                lo, hi = self.block_at[b], self.block_at[b + 1]
-                first, acc = b * BLOCK, np.bincount(self.block_slot[lo:hi], weights=self.asked[self.block_term[lo:hi]] * self.block_weight[lo:hi], minlength=BLOCK)
-            hit = np.flatnonzero((acc > 0) & (acc >= floor - NEAR))
-            hit = hit[self.keys[hit + first] != not_key]
-            if len(hit):
-                best, score = np.concatenate([best, hit + first]), np.concatenate([score, acc[hit]])
-                keep = np.lexsort((self.ids[best], -np.round(score, 9)))[:k]
-                best, score = best[keep], score[keep]
-                floor = score[-1] if len(best) >= k else 0.0
-            if whole:
-                break
-        self.asked[terms] = 0
-        return best, score
+            return none
+
+        def met(at, values, into, size, which):
+            n = at[terms[which] + 1] - at[terms[which]]
+            flat = flat_ranges(at[terms[which]], n)
+            return np.bincount(into[flat], weights=values[flat] * np.repeat(weights[which], n), minlength=size)
+
+        length = self.at[terms + 1] - self.at[terms]
+        by = np.argsort(length, kind="stable")
+        upto = np.cumsum(length[by])
+        split = int(np.searchsorted(upto, max(SHORT * upto[-1], len(self.ids)), side="right"))
+        short, long_ = by[:split], by[split:]
+        sure = met(self.at, self.weight, self.example, len(self.ids), short)
+        bound = sure + met(self.cell_at, self.most, self.cell_block, self.blocks, long_)[np.arange(len(self.ids)) // BLOCK]
+        likely = np.flatnonzero((bound > 0) & (self.keys != not_key))
+        if not len(likely):
+            return none
+        floor = np.partition(sure[likely], -k)[-k] if len(likely) > k else 0.0
+        likely = likely[bound[likely] >= floor - NEAR]
+        likely = likely[np.argsort(-bound[likely], kind="stable")]
+        entries = self.own_at[likely + 1] - self.own_at[likely]
+        score = np.empty(len(likely))
+        if entries.sum() > 2 * (upto[-1] - (upto[split - 1] if split else 0)):  # so many that the long lists are shorter
+            score = (sure + met(self.at, self.weight, self.example, len(self.ids), long_))[likely]
+        else:
+            self.asked[terms] = weights
+            begin, step = 0, 4 * k
+            while begin < len(likely) and bound[likely[begin]] >= floor - NEAR:
+                some = slice(begin, min(begin + step, len(likely)))
+                flat = flat_ranges(self.own_at[likely[some]], entries[some])
+                score[some] = np.add.reduceat(self.asked[self.own_term[flat]] * self.own_weight[flat], np.cumsum(entries[some]) - entries[some])
+                begin, step = some.stop, 2 * step
+                if begin >= k:
+                    floor = max(floor, np.partition(score[:begin], -k)[-k])
+            self.asked[terms] = 0
+            likely, score = likely[:begin], score[:begin]
+        likely, score = likely[score > 0], score[score > 0]
+        keep = np.lexsort((self.ids[likely], -np.round(score, 9)))[:k]
+        return likely[keep], score[keep]
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         w = 1 / (1.02 - np.minimum(score, 1.0))
@@ -254,21 +268,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         texts = t["text"].fillna("").tolist()
         vs = vectors(texts, terms, idf)
         keys = [text_key(x) for x in texts]
+        y, family = t["label"].to_numpy(), families(texts)
+        index = Index(vs, t["row_id"].to_numpy(), y, family, len(terms))
+        votes = []
+        for (term, w), own in zip(vs, family.tolist()):
+            best, score = index.search(term, w, own)
+            votes.append(index.vote(best, score) if len(best) else None)
         yield pa.RecordBatch.from_arrays([
-            pa.array(t["row_id"].tolist(), pa.int64()), pa.array(t["label"].tolist(), pa.int32()), pa.array(t["share"].tolist(), pa.float64()), pa.array(keys, pa.int64()), pa.array(families(texts), pa.int64()),
-            pa.array([v[0].tolist() for v in vs], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in vs], pa.list_(pa.float64()))], names=["id", "y", "share", "key", "family", "t", "w"])
+            pa.array(t["row_id"].tolist(), pa.int64()), pa.array(t["label"].tolist(), pa.int32()), pa.array(t["share"].tolist(), pa.float64()), pa.array(keys, pa.int64()), pa.array(votes, pa.float64()),
+            pa.array([v[0].tolist() for v in vs], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in vs], pa.list_(pa.float64()))], names=["id", "y", "share", "key", "vote", "t", "w"])
 
-    made = pdf.coalesce(1).mapInArrow(build, "id long, y int, share double, key long, family long, t array<long>, w array<double>").toArrow().to_pandas()  # at most 2 * per_class rows
+    made = pdf.coalesce(1).mapInArrow(build, "id long, y int, share double, key long, vote double, t array<long>, w array<double>").toArrow().to_pandas()  # at most 2 * per_class rows
     model = {"prior": prior, "terms": terms, "spellings": dict(zip(telling.tolist(), chosen["spellings"])), "idf": idf,
              "vectors": [(np.array(t, np.int64), np.array(w, float)) for t, w in zip(made["t"], made["w"])],
              **{c + "s" if c != "y" else c: made[c].to_numpy() for c in ("id", "y", "key")}}
-    share, family = made["share"].to_numpy(), made["family"].to_numpy()
-    index = Index(model["vectors"], model["ids"], model["y"], family, len(terms))
-    votes = np.full(len(made), np.nan)
-    for i, (t, w) in enumerate(model["vectors"]):
-        best, score = index.search(t, w, int(family[i]))
-        if len(best):
-            votes[i] = index.vote(best, score)
+    share, votes = made["share"].to_numpy(), made["vote"].to_numpy(float)
     some = ~np.isnan(votes)
     none = ~some
     model["alone"] = float(((model["y"] * share)[none].sum() + prior) / (share[none].sum() + 1))
@@ -331,9 +345,14 @@ def add_scores(df: DataFrame, model: dict, prefix: str = "", text_col: str = "te
                 shared.index = index_of(model)
             index, (centre, level) = shared.index, model["curve"]
             scores[:] = model["alone"]
+            same: dict[str, int] = {}  # equal texts of a slice are searched once
             for i, (t, w) in enumerate(vectors(texts, model["terms"], model["idf"])):
                 if not len(t):
                     continue
+                j = same.setdefault(texts[i], i)
+                if j < i:
+                    scores[i], near[i], neighbours[i], found[i] = scores[j], near[j], neighbours[j], found[j]
+                    continue
                 best, cos = index.search(t, w, text_key(texts[i]))
                 found[i] = [model["spellings"][x] for x in t.tolist() if x in model["spellings"]]
                 if len(best):

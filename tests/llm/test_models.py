@@ -118,3 +118,23 @@ def test_rare_words_of_examples_count(spark):
     assert set(got[held[0]]["neighbours"][:3]) == set(trained[:3]) and got[held[0]]["predicted"] == 1
     unlabelled = [r for i, r in got.items() if i < 400 and r["held_out"]]
     assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in unlabelled]) >= 0.95
+
+
+def test_search_equals_scoring_every_example():
+    """Random vectors with long light lists and short heavy ones: the nearest are those of a plain product, whatever is left out."""
+    rng = np.random.default_rng(12)
+    for size in (3, 40, 700):
+        vs = []
+        for _ in range(size):
+            t = np.unique(np.concatenate([rng.integers(0, 30, 20), rng.integers(30, 600, 5)]))
+            w = np.where(t < 30, 0.05, 1.0) * rng.random(len(t)) + 1e-3
+            vs.append((t, w / np.sqrt((w * w).sum())))
+        vs[-1] = (np.zeros(0, np.int64), np.zeros(0))
+        ids, keys = rng.permutation(size), rng.integers(0, 5, size)
+        index = toxicity.Index(vs, ids, rng.integers(0, 2, size), keys, 600)
+        for q in vs[:60]:
+            dense = np.zeros(600)
+            dense[q[0]] = q[1]
+            best, score = index.search(q[0], q[1], 2)
+            every = sorted(((-round(float((dense[t] * w).sum()), 9), int(i)) for (t, w), i, key in zip(vs, ids, keys) if key != 2 and len(t) and (dense[t] * w).sum() > 0))
+            assert [(-round(float(s), 9), int(i)) for s, i in zip(score, index.ids[best])] == every[:toxicity.NEIGHBOURS]
