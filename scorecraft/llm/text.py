@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+STEP = 1 << 14
 #: Hashes are polynomials modulo the prime 2^61 - 1: modulo a power of two, words of regular build collide whatever the base.
 PRIME = (1 << 61) - 1
 _BASE = 0x1E3779B97F4A7C15 % PRIME
@@ -71,22 +72,30 @@ def powers(base: int, n: int) -> np.ndarray:
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash: ``out[i]`` covers ``values[:i]``."""
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    if not len(values):
-        return out
-    v, power = values.astype(np.uint64) + _1, powers(_BASE, len(values))
-    if int(values.max()) < (1 << 33) // len(values) - 1:  # sums of halves stay under 64 bits as they are
-        high, low = v * (power >> _31), v * (power & _M31)
-    else:
-        terms = times(modulo(v), power)
-        high, low = terms >> _31, terms & _M31
-    out[1:] = modulo(_shifted(_folded(np.cumsum(high, out=high))) + _folded(np.cumsum(low, out=low)))
+    power = powers(_BASE, len(values))
+    for i in range(0, len(values), STEP):  # steps that stay in the processor's cache
+        part = values[i:i + STEP]
+        v, p = part.astype(np.uint64), power[i:i + STEP]
+        v += _1
+        if int(part.max()) < (1 << 33) // STEP - 1:  # sums of halves stay under 64 bits as they are
+            high, low = v * (p >> _31), v * (p & _M31)
+        else:
+            terms = times(modulo(v), p)
+            high, low = terms >> _31, terms & _M31
+        np.cumsum(high, out=high)
+        np.cumsum(low, out=low)
+        out[i + 1:i + 1 + len(part)] = modulo(_shifted(_folded(high)) + _folded(low) + out[i])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ``values[start:end]``, the same wherever the span stands."""
     inv = powers(_INV, len(prefix))
-    return mix(times(modulo(prefix[end] + (_P - prefix[start])), inv[start]) + (end - start).astype(np.uint64) * _MIX1)
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), STEP):
+        s, e = start[i:i + STEP], end[i:i + STEP]
+        out[i:i + STEP] = mix(times(modulo(prefix[e] + (_P - prefix[s])), inv[s]) + (e - s).astype(np.uint64) * _MIX1)
+    return out
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
