@@ -217,13 +217,19 @@ class Index:
         return float((w * self.y[best]).sum() / w.sum())
 
 
+def _numbers(terms: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hash in the sorted terms, and whether it is there."""
+    kinds, of = np.unique(h, return_inverse=True)  # sorted ones are looked up from near to near
+    at = np.minimum(np.searchsorted(terms, kinds), len(terms) - 1)
+    return at[of], (terms[at] == kinds)[of]
+
+
 def vectors(texts: list[str], terms: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """TF-IDF vector of length 1 of each text: term numbers and weights (1 + ln tf) * idf."""
     h, row, *_ = words(texts)
     if not len(terms) or not len(h):
         return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-    hit = terms[at] == h
+    at, hit = _numbers(terms, h)
     cell, tf = np.unique(row[hit] * len(terms) + at[hit], return_counts=True)
     doc, term = cell // len(terms), cell % len(terms)
     w = (1 + np.log(tf)) * idf[term]
@@ -312,8 +318,7 @@ def _idf(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
 
     def count(data, offsets, rows):
         h, row, *_ = words(decode(data, offsets))
-        at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        hit = terms[at] == h if len(h) else np.zeros(0, bool)
+        at, hit = _numbers(terms, h)
         cell = np.unique(row[hit] * len(terms) + at[hit])
         df_ = np.bincount(cell % len(terms), minlength=len(terms))
         some = np.flatnonzero(df_)
