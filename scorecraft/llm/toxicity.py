@@ -46,9 +46,9 @@ PER_CLASS = 2000
 LIGHT = 0.05
 LEAST_DOCS = 3
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 64
 #: Share of a search's entries that the short lists may hold.
-SHORT = 0.2
+SHORT = 0.7
 NEAR = 1e-9
 #: Examples that agree in one of so many triples of MinHash values are one family.
 FAMILY_KEYS = 16
