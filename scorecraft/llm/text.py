@@ -62,9 +62,14 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` for i < n, modulo ``PRIME`` (kept for the next call)."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.ones(1, np.uint64) if have is None else have
-        while len(have) < max(n, 1 << 16):
-            have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), PRIME)))])
+        size = -(-max(n, 1 << 16) // STEP) * STEP
+        have = np.ones(size, np.uint64)
+        done = 1
+        while done < STEP:  # one step by doubling, the others from it
+            have[done:2 * done] = times(have[:done], np.uint64(pow(base, done, PRIME)))
+            done *= 2
+        for i in range(STEP, size, STEP):
+            have[i:i + STEP] = times(have[:STEP], np.uint64(pow(base, i, PRIME)))
         _powers[base] = have
     return have[:n]
 

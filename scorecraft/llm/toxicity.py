@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from scorecraft.llm.bpe import LETTER, char_classes
 from scorecraft.llm.common import add_columns, fold, list_array, map_text
 from scorecraft.llm.examples import labelled_sample
-from scorecraft.llm.text import code_points, decode, flat_ranges, mix, prefix_hash, span_hash
+from scorecraft.llm.text import code_points, decode, flat_ranges, mix, prefix_hash, slices, span_hash
 
 PER_CLASS = 2000
 LIGHT = 0.05
@@ -58,18 +58,23 @@ SEED = 3
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
     """Hash and row of every letter run in lower case, the texts read, and the runs' places in them."""
     lower = [t.lower() for t in texts]
-    cp, offs = code_points(lower)
-    if not len(cp):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), lower, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letter = char_classes(cp) == LETTER
-    edge = np.zeros(len(cp) + 1, bool)
-    edge[offs] = True
-    start, stop = letter.copy(), letter.copy()
-    start[1:] &= ~letter[:-1] | edge[1:-1]
-    stop[:-1] &= ~letter[1:] | edge[1:-1]
-    s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(s, offs)))
-    return span_hash(prefix_hash(cp), s, e), row, lower, s, e
+    parts, base = [], 0
+    for i, j in slices(np.concatenate([[0], np.cumsum([len(t) for t in lower])]).astype(np.int64)):  # arrays of a slice's size only
+        cp, offs = code_points(lower[i:j])
+        if len(cp):
+            letter = char_classes(cp) == LETTER
+            edge = np.zeros(len(cp) + 1, bool)
+            edge[offs] = True
+            start, stop = letter.copy(), letter.copy()
+            start[1:] &= ~letter[:-1] | edge[1:-1]
+            stop[:-1] &= ~letter[1:] | edge[1:-1]
+            s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
+            row = np.repeat(np.arange(i, j), np.diff(np.searchsorted(s, offs)))
+            parts.append((span_hash(prefix_hash(cp), s, e), row, s + base, e + base))
+        base += len(cp)
+    none = np.zeros(0, np.int64)
+    h, row, s, e = (np.concatenate(x) for x in zip((none.astype(np.uint64), none, none, none), *parts))
+    return h, row, lower, s, e
 
 
 def text_key(text: str) -> int:
@@ -348,6 +353,7 @@ def add_scores(df: DataFrame, model: dict, prefix: str = "", text_col: str = "te
         if len(model["terms"]):
             if not hasattr(shared, "index"):
                 shared.index = index_of(model)
+                model["vectors"] = None  # this process's copy: the index holds them
             index, (centre, level) = shared.index, model["curve"]
             scores[:] = model["alone"]
             same: dict[str, int] = {}  # equal texts of a slice are searched once
