@@ -8,12 +8,11 @@ session's shuffle partitions) for a bucket of each table to fit a task's memory.
 their own keys for a narrow row (line, quote, order), which alone goes back to
 the line's bucket.
 
-The reference takes DISTINCT over all 97 columns.  Here each table that may hold
-several rows for a line is made distinct in the columns that the result shows, a
-grouping by line id inside the bucket; line ids, quotes, orders and codes are keys
-of their tables.  So the rows of a line differ where they are several, and the
-97 columns are never hashed.  The shipping documents join of the reference
-selects no column and is dropped (the DISTINCT hid its fan-out).
+The DISTINCT over all 97 columns is the reference's; it needs no exchange, as equal
+rows lie in one bucket.  Tables that may hold several rows for a line are made
+distinct in the columns that the result shows before they are joined, so that
+little is left for it (rows of a quote that is told twice).  The shipping documents
+join of the reference selects no column and is dropped (the DISTINCT hid its fan-out).
 """
 
 from __future__ import annotations
@@ -179,7 +178,7 @@ def line_item_details(t: Warehouse, since: dt.date) -> DataFrame:
         "exchange_fee_charged": one(F.col("exchange_fee") > 0),
         "estimated_add_bill": row_double(F.when(F.col("return_required") == "Y", F.col("add_bill_unit_e4") * qty).otherwise(F.lit(0)), 4),
     }
-    return j.select(*[F.col(c).alias(n) for n, c in named.items()], *plain, *[c.alias(n) for n, c in made.items()])
+    return j.select(*[F.col(c).alias(n) for n, c in named.items()], *plain, *[c.alias(n) for n, c in made.items()]).distinct()
 
 
 def load_line_item_details(t: Warehouse, since: dt.date, path: str) -> DataFrame:
