@@ -395,7 +395,7 @@ q("I3_spread_budget", """
 SELECT c.date_key, CAST(b.budget_revenue AS DOUBLE) / b.days * c.workday_ind AS budget_revenue_day
 FROM calendar c JOIN budget_supplement b ON b.month_end = c.month_end""")
 q("I4_spread_prior_year", "SELECT date_key, product_type, "
-  + ", ".join(f"{Q.stable(c)} AS {c}" for c in Q.K22_PY) + " FROM last_year", Q.K22_CTES)
+  + ", ".join(Q.K22_PY) + " FROM last_year", Q.K22_CTES)
 q("J1_fmt", """
 SELECT vendor_id, '$' || format('{:,.2f}', CAST(CAST(revenue AS DECIMAL(38,2)) AS DOUBLE)) AS revenue_text,
        format('{:,.0f}', CAST(CAST(orders AS DECIMAL(38,0)) AS DOUBLE)) AS orders_text,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions.money import to_double, total
 from scorecraft.functions.scalar import parent_code
-from scorecraft.operators.filters import by_filter, period_pred
+from scorecraft.operators.filters import by_filter
 from scorecraft.operators.joins import slots, with_parent
 from scorecraft.operators.windows import top_slots
 from scorecraft.sources.roles import Warehouse
@@ -28,11 +28,10 @@ FILTER_COLUMNS = {
 
 def parent_child(t: Warehouse, oem_id: int = 2) -> DataFrame:
     """A2: source-side query for one taxonomy (parent code from the child code)."""
-    t.oem_structure.createOrReplaceTempView("oem_structure")
-    return query(t.spark, f"""
+    return query(t.spark, """
         SELECT structure_id, name,
                concat(substring(structure_id, 1, locate('.', structure_id)), '0.0.0.0.0.0') AS parent_structure_id
-        FROM oem_structure WHERE oem_id = {int(oem_id)}""")
+        FROM {oem_structure} WHERE oem_id = {oem_id}""", oem_structure=t.oem_structure, oem_id=int(oem_id))
 
 
 def taxonomy(t: Warehouse, oem_id: int = 2) -> DataFrame:
@@ -83,7 +82,7 @@ def catalogue_sheet(t: Warehouse, kind: str, ids: Iterable, start, end) -> DataF
                                    "cust_notes", "quantity_on_hand", F.col("package_weight").alias("pim_weight"))
     photos = t.pim_images.groupBy(F.col("item_number").alias("oem_item_number")).agg(
         F.count(F.lit(1)).alias("photo_count"))
-    q = t.txn.filter(period_pred("transaction_date", start, end))
+    q = t.during("txn", start, end)
     lid = t.line_detail.filter(F.col("contract_pro_id").isNull() & F.col("pim_item_number").isNotNull()).select(
         "line_item_id", "pim_item_number", "condition_code")
     trx = (q.join(lid, "line_item_id", "inner")

@@ -61,7 +61,7 @@ def _vend_research(t: Warehouse, start, end) -> DataFrame:
 
 
 def _vend_orders(t: Warehouse, start, end) -> DataFrame:
-    q = t.txn.filter(period_pred("transaction_date", start, end) & ne_keep_missing(F.col("vendor_id"), 0))
+    q = t.during("txn", start, end).filter(ne_keep_missing(F.col("vendor_id"), 0))
     v = t.vendors.select(
         F.col("company_id").alias("vendor_id"), "company_name", "smart_order_enabled", "smart_label_enabled",
         "payment_term_code", "company_type_code", "tier_code", "epv_member", "choice_level",
@@ -201,8 +201,7 @@ def compliance_totals(t: Warehouse, start, end) -> DataFrame:
 
 def compliance_details(t: Warehouse, start, end) -> DataFrame:
     """Compliance at line level (ordered lines only)."""
-    q = t.txn.filter(period_pred("transaction_date", start, end)
-                     & ne_keep_missing(F.col("vendor_id"), 0) & (F.col("orders") == 1))
+    q = t.during("txn", start, end).filter(ne_keep_missing(F.col("vendor_id"), 0) & (F.col("orders") == 1))
     v = t.vendors.select(F.col("company_id").alias("vendor_id"), F.col("company_name").alias("vendor"),
                          "relationship_manager_id", "relationship_manager")
     lid = _non_contract(t).select("line_item_id", "line_item_description", "smart_order_conf",
@@ -285,7 +284,7 @@ def backorder_trends(t: Warehouse, start, end) -> DataFrame:
 
 def vendor_sales(t: Warehouse, vendor: int, start, end, house_vendor: int) -> DataFrame:
     """One vendor's sales with 29 grouping columns; rows with any non-zero sum."""
-    q = t.txn.filter(period_pred("transaction_date", start, end) & (F.col("vendor_id") == vendor))
+    q = t.during("txn", start, end).filter(F.col("vendor_id") == vendor)
     lid = _non_contract(t).select(
         "line_item_id", "line_item_po", "replacement_part_number_stripped", "requested_part_number_stripped",
         "replacement_part_number", "requested_part_number", "line_item_description", "model_number",

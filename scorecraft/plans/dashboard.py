@@ -19,7 +19,7 @@ from scorecraft.functions.scalar import period_start, trend_start
 from scorecraft.functions.semantics import in_list, ne_keep_missing, not_in_keep_missing, ratio, sas_le, stable
 from scorecraft.operators.aggregates import with_total
 from scorecraft.operators.joins import bounded, join_prior_year
-from scorecraft.sources.roles import Warehouse
+from scorecraft.sources.roles import Warehouse, budget_supplement
 
 def _d(x) -> Column:
     return F.lit(x).cast("date")
@@ -79,14 +79,14 @@ def daily_budget(t: Warehouse, asof: dt.date) -> DataFrame:
     a = _d(asof)
     sc = scalars(t, asof)
     ys = period_start(a, "year")
-    act = t.daily_actuals.filter(F.col("transaction_date").between(ys, a))
+    act = t.during("daily_actuals", ys, a)
     label, sort = segment_label(F.col("segment"), F.col("sub_segment"))
     p1 = act.groupBy(label.alias("segment"), sort.alias("segment_sort")).agg(
         *_period_sums(F.col("transaction_date"), asof, F.col("actual_revenue"), F.col("budget_revenue"), "revenue", sc),
         *_period_sums(F.col("transaction_date"), asof, F.col("actual_margin"), F.col("budget_margin"), "margin", sc))
     # Spread each month's supplement budget over that month's workdays
     cal = bounded(t.calendar.filter(F.year("date_key") == F.year(a)).select("month_end", "date_key", "workday_ind"))
-    sup = t.budget_supplement
+    sup = budget_supplement(t, t.during("txn", ys, F.last_day(a)))  # whole months, up to the as-of date's
     spread = cal.join(sup, "month_end", "left").select(
         "segment", F.col("sort").alias("segment_sort"), F.col("date_key").alias("transaction_date"),
         *[(_dbl(c) / F.col("days") * F.col("workday_ind")).alias(c)
@@ -126,7 +126,7 @@ def large_transactions(t: Warehouse, start: dt.date, end: dt.date, threshold: fl
     """
     r = t.returns.filter(F.col("active") == "Y")
     salv = r.groupBy("salvage_line_item_id").agg(F.min("created_timestamp").alias("salvaged_po_date"))
-    rv = t.txn.filter(F.col("transaction_date").between(_d(start), _d(end)))
+    rv = t.during("txn", start, end)
     cu = t.customers.select(F.col("company_id").alias("customer_id"), F.col("company_name").alias("customer_name"))
     li = t.line_detail.select("line_item_id", F.col("line_item_description"), F.col("line_item_po").alias("customer_po"))
     org = t.organization.select(F.col("organization_id").alias("sales_rep_id"), F.col("user_name").alias("salesrep_name"))
@@ -173,7 +173,7 @@ def budget_forecast_actual(t: Warehouse, asof: dt.date) -> DataFrame:
     a = _d(asof)
     ms, ys = period_start(a, "month"), period_start(a, "year")
     pa, pms, pys = F.add_months(a, -12), F.add_months(ms, -12), F.add_months(ys, -12)
-    da = t.daily_actuals.filter(F.col("accounting_date").between(pys, a))
+    da = t.during("daily_actuals", pys, a)
     d = F.col("accounting_date")
     periods = {"cy_mtd": d.between(ms, a), "cy_ytd": d.between(ys, a),
                "py_mtd": d.between(pms, pa), "py_ytd": d.between(pys, pa)}
@@ -281,7 +281,7 @@ def prior_year_spread(t: Warehouse, asof: dt.date, excluded_parents=(3,)) -> Dat
     daily = bounded(cal.select("date_key", "year", "month", wd.alias("wd"))
                     .join(factors, ["year", "month"], "left")
                     .select("date_key", "year", "month", (F.col("wd") * F.col("workday_factor")).alias("factor")))
-    q = t.txn.filter(F.year("transaction_date") == F.year(a) - 1)
+    q = t.during("txn", F.add_months(period_start(a, "year"), -12), F.date_sub(period_start(a, "year"), 1))
     c = t.customers.select(F.col("company_id").alias("customer_id"), "lvl1_company_id")
     ptype = F.when(F.col("product_category_id") == 2, "Biomed").otherwise("Imaging")
     prior = (q.join(c, "customer_id", "inner")
@@ -299,8 +299,7 @@ def daily_by_category(t: Warehouse, asof: dt.date, excluded_sub_segment: str = "
                       excluded_parents=(3,)) -> DataFrame:
     """Month-to-date days by product type (Biomed / Imaging) and their total, with ratios."""
     a = _d(asof)
-    bfa = t.daily_actuals.filter(F.col("accounting_date").between(period_start(a, "month"), a)
-                                 & ne_keep_missing(F.col("sub_segment"), excluded_sub_segment))
+    bfa = t.during("daily_actuals", period_start(a, "month"), a).filter(ne_keep_missing(F.col("sub_segment"), excluded_sub_segment))
     ptype = F.when(in_list(F.col("product_category_description"), ("Biomed", "Stryker")), "Biomed").otherwise("Imaging")
     unions = bfa.groupBy(F.col("accounting_date").alias("date_key"), ptype.alias("product_type")).agg(
         *[F.sum(x).alias(x) for x in K22_SUMS])
@@ -313,7 +312,7 @@ def daily_by_category(t: Warehouse, asof: dt.date, excluded_sub_segment: str = "
         "date_key", "product_type",
         *[F.col(x).cast("bigint").alias(x) for x in K22_SUMS if x.endswith(("requests", "orders"))],
         *[_dbl(x).alias(x) for x in K22_SUMS if x.endswith(("revenue", "margin"))],
-        *[stable(F.col(x)).alias(x) for x in PY],
+        *[F.col(x) for x in PY],
         (F.col("actual_requests") - F.col("budget_requests")).cast("bigint").alias("requests_variance"),
         (F.col("actual_orders") - F.col("budget_orders")).cast("bigint").alias("orders_variance"),
         F.nullif(_dbl("actual_revenue") - _dbl("budget_revenue"), F.lit(0.0)).alias("rev_variance"),
@@ -361,7 +360,7 @@ def monthly_trend_table(t: Warehouse, asof: dt.date, excluded_parents=(3,)) -> D
     """K23 before transposition: one row per month (daily sums, then month sums and best day)."""
     a = _d(asof)
     start = trend_start(a, 12)
-    q = t.txn.filter(F.col("transaction_date").between(start, a))
+    q = t.during("txn", start, a)
     cal = bounded(t.calendar.select("date_key", "year", "month", "month_end", "month_long", "workday_nbr_mtd"))
     cust = t.customers.select(F.col("company_id").alias("customer_id"), "lvl1_company_id")
     rows = (q.join(cal, q.transaction_date == cal.date_key, "inner").join(cust, "customer_id", "left")

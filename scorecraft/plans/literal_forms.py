@@ -18,15 +18,13 @@ from scorecraft.sources.roles import Warehouse
 
 def r3_correlated_workdays(t: Warehouse) -> DataFrame:
     b = scorecard.on_time_lines(t, P.PERIOD_START).select("line_item_id", "vendor_id", "ctime", "delivered")
-    b.createOrReplaceTempView("r3_lines")
-    t.calendar.select("date_key", "workday_ind").createOrReplaceTempView("r3_calendar")
     return t.spark.sql("""
         SELECT line_item_id, vendor_id, ctime, delivered,
                CASE WHEN delivered IS NULL THEN NULL
-                    ELSE (SELECT sum(c.workday_ind) FROM r3_calendar c
+                    ELSE (SELECT sum(c.workday_ind) FROM {calendar} c
                           WHERE c.date_key BETWEEN coalesce(l.ctime, DATE '0001-01-01') AND l.delivered) - 1
                END AS clo_del_days
-        FROM r3_lines l""")
+        FROM {lines} l""", lines=b, calendar=t.calendar.select("date_key", "workday_ind"))
 
 
 def r5_union_grid(t: Warehouse) -> DataFrame:

@@ -88,7 +88,7 @@ def b3_derive_star(t: Warehouse) -> DataFrame:
 
 def b4_in_period(t: Warehouse) -> DataFrame:
     """Inclusive date range, counted per vendor."""
-    return flt.in_period(t.txn, "transaction_date", P.PERIOD_START, P.PERIOD_END).groupBy("vendor_id").agg(
+    return t.during("txn", P.PERIOD_START, P.PERIOD_END).groupBy("vendor_id").agg(
         F.count(F.lit(1)).alias("rows_in_period"))
 
 
@@ -806,7 +806,7 @@ def i3_spread_budget(t: Warehouse) -> DataFrame:
 def i4_spread_prior_year(t: Warehouse) -> DataFrame:
     """I4: last year's month actuals spread over this year's workdays up to the as-of date."""
     py = dashboard.prior_year_spread(t, P.ASOF)
-    return py.select("date_key", "product_type", *[stable(F.col(c)).alias(c) for c in dashboard.PY])
+    return py.select("date_key", "product_type", *dashboard.PY)
 
 
 def j1_fmt(t: Warehouse) -> DataFrame:

@@ -57,7 +57,7 @@ def vendor_metrics(t: Warehouse, start, end, mode: str = "distinct") -> DataFram
     vendor and month in both modes.
     """
     _check(mode)
-    q = t.txn.filter(period_pred("transaction_date", start, end))
+    q = t.during("txn", start, end)
     lid = _non_contract(t).select(
         "line_item_id", "smart_price_selected", "smart_sourced", "photo_shown",
         "backorder_ship_date", "return_required", "smart_order_po")

@@ -102,9 +102,27 @@ class Warehouse:
             df = ROLE_BUILDERS[name](self)
             if self.store and name in STORED_ROLES:
                 df = self._stored(name, df, STORED_ROLES[name])
+                if name in MONTHLY:  # reports see the role's own columns; ``during`` reads the folders
+                    self._cache["monthly:" + name] = df
+                    df = df.drop(MONTH)
             self._cache[name] = df
         return self._cache[name]
 
+    def during(self, name: str, start, end) -> DataFrame:
+        """Rows of a role whose day lies in [start, end], the fact read from the folders of those months only.
+
+        ``start`` and ``end`` are dates or columns.  Bounds that fold to constants
+        prune the folders in the plan; bounds that are subqueries or come from a
+        join prune them at run time.  Without stored folders it is the plain filter.
+        """
+        df = self.role(name)
+        first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+        day = F.col(DAYS[name]).between(first, last)
+        stored = self._cache.get("monthly:" + name)
+        if stored is None:
+            return df.filter(day)
+        return stored.filter(F.col(MONTH).between(F.trunc(first, "month"), last) & day).drop(MONTH)
+
     def _stored(self, name: str, df: DataFrame, how: tuple[str, ...] | str | None) -> DataFrame:
         """Write a role once and read it back, clustered by columns or in buckets of a key.
 
@@ -118,18 +136,21 @@ class Warehouse:
         shared = self.spark.conf.get("scorecraft.warehouse.path", None)
         if isinstance(how, str) and not shared:
             return bucketed(df, name, how)
-        if how:
+        folders = [MONTH] if name in MONTHLY else []
+        if folders:
+            df = _by_month(df, DAYS[name], how or ())
+        elif how:
             by = (how,) if isinstance(how, str) else how
             df = df.repartitionByRange(*by).sortWithinPartitions(*by)
         if not shared:
             path = own_path(self.spark, name)
-            df.write.parquet(path)
+            df.write.partitionBy(*folders).parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
-        final = f"{shared.rstrip('/')}/{self._version}/{name}"
+        final = f"{shared.rstrip('/')}/{self._version}/{name}{'-by-month' if folders else ''}"
         done, fs = self._fs(f"{final}/_SUCCESS")
         if not fs.exists(done):
             mine = f"{final}-{uuid.uuid4().hex}"
-            df.write.parquet(mine)
+            df.write.partitionBy(*folders).parquet(mine)
             if not fs.rename(self._fs(mine)[0], self._fs(final)[0]) and not fs.exists(done):
                 final = mine
         return self.spark.read.schema(df.schema).parquet(final)
@@ -142,6 +163,18 @@ class Warehouse:
         raise AttributeError(name)
 
 
+def _by_month(df: DataFrame, day: str, then: tuple[str, ...]) -> DataFrame:
+    """``df`` with the first day of its month, laid out for a write into one folder a month.
+
+    One pass: rows are dealt by month and AQE rebalances the write by size (a month
+    that holds a third of the rows is split over many tasks, small months share one),
+    so the joins below run once; a range cut would run them again for its sample.
+    Files are sorted by day, so a day's filter skips row groups inside its month.
+    """
+    df = df.withColumn(MONTH, F.trunc(day, "month"))
+    return df.hint("rebalance", MONTH).sortWithinPartitions(MONTH, day, *[c for c in then if c != day])
+
+
 # ---------------------------------------------------------------------------
 # Fact and line roles
 # ---------------------------------------------------------------------------
@@ -800,8 +833,11 @@ def _daily_actuals(w: Warehouse) -> DataFrame:
 
 
 def _budget_supplement(w: Warehouse) -> DataFrame:
-    """BUDGET_IMPORT supplement: a 'Contingency' budget per month, spread over its workdays."""
-    q = w.role("txn")
+    return budget_supplement(w, w.role("txn"))
+
+
+def budget_supplement(w: Warehouse, q: DataFrame) -> DataFrame:
+    """BUDGET_IMPORT supplement: a 'Contingency' budget per month of the fact rows ``q``, spread over its workdays."""
     share = F.lit(SUPPLEMENT_SHARE).cast("decimal(3,2)")
     m = q.groupBy(F.last_day("transaction_date").alias("month_end")).agg(
         (to_decimal(total("revenue_e4"), 4, 28) * share).alias("budget_revenue"),
@@ -817,10 +853,13 @@ def _calendar(w: Warehouse) -> DataFrame:
     return build_calendar(w.base("orders"), w.base("lineitem"))
 
 
-# role -> columns the stored table is range-clustered by (None: no clustering).
-# The fact is clustered by date then line id, so a date holding a third of the
-# rows still splits into many ranges (no single hot write task).
-#: Stored roles: None as they are, columns to cluster by, or the key of their buckets.
+#: The day of the roles that ``during`` reads.  The fact is stored in one folder a month; the daily
+#: actuals, bounded by days and segments, are one small table whose filter is pushed into its scan.
+DAYS = {"txn": "transaction_date", "daily_actuals": "accounting_date"}
+MONTHLY = ("txn",)
+MONTH = "month_start"
+
+#: Stored roles: None as they are, columns to cluster by (inside a month for the monthly ones), or the key of their buckets.
 STORED_ROLES = {"calendar": None, "line_rows": "line_item_id", "line_items": "id_no", "confirmations": "line_item_id", "txn": ("transaction_date", "line_item_id"), "line_detail": None,
                 "line_status": None, "tracking": None, "shipping_info": None, "research": "line_item_id", "returns": None,
                 "daily_actuals": None, "pim_models": None, "pim_searches": None,

@@ -5,26 +5,34 @@ A1 (named-table scan) is ``Warehouse.base`` / ``Warehouse.role``.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of the intermediate tables of the open ``report_run``.
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
-def query(spark: SparkSession, sql: str, jdbc: Mapping[str, str] | None = None) -> DataFrame:
+
+def query(spark: SparkSession, sql: str, jdbc: Mapping[str, str] | None = None, **given) -> DataFrame:
     """A2: a whole SELECT run at the source, its result read as a table.
 
     With ``jdbc`` options the statement is pushed to the database
-    (``format("jdbc").option("query", sql)``); otherwise it runs on the
-    views registered in this session.
+    (``format("jdbc").option("query", sql)``); otherwise it runs in this
+    session.  There ``{name}`` in the text stands for ``given[name]``: a
+    DataFrame (no view that another query of the session could replace) or a
+    value, which becomes a literal.
     """
     if jdbc:
         reader = spark.read.format("jdbc").option("query", sql)
         for k, v in jdbc.items():
             reader = reader.option(k, v)
         return reader.load()
-    return spark.sql(sql)
+    return spark.sql(sql, **given)
 
 
 def full_refresh(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", keep: int = 2) -> str:
@@ -169,6 +177,27 @@ def stage(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
     the files that readers of the first still hold.  ``key`` names the
     parameters in the path, for people who look there.
     """
-    import hashlib
+    path = own_path(spark, f"{name}-{hashlib.sha1(key.encode()).hexdigest()[:12]}")
+    made = _staged.get()
+    if made is not None:
+        made.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def report_run(spark: SparkSession):
+    """A3's end: the intermediate tables that ``stage`` makes in this block are dropped when it ends, also by an error.
 
-    return stored(df, f"{name}-{hashlib.sha1(key.encode()).hexdigest()[:12]}")
+    Write or collect the report inside it; shared role tables stay.  A block in
+    a block drops its own tables only.  Outside of any, tables stay as long as
+    the driver's JVM, for results that are read later.
+    """
+    made: list[str] = []
+    token = _staged.set(made)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for path in made:
+            _remove(spark, path)

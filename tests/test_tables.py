@@ -68,3 +68,43 @@ def test_wide_load_exchanges_no_wide_row(spark, small_dir):
     assert text.count("ShuffledHashJoin") >= 8
     widest = max(len(line.split("[", 1)[1].split(",")) if "[" in line else 0 for line in text.splitlines() if "Exchange hashpartitioning(id_no" in line or "Exchange hashpartitioning(line_item_id" in line)
     assert widest < 40
+
+
+def test_intermediate_tables_go_at_the_end_of_a_report(spark, tmp_path):
+    """A3: dropped when the block ends, by an error too; a block inside another drops its own only."""
+    def there(df):
+        where, fs = tables._file(spark, df.inputFiles()[0])
+        return fs.exists(where)
+
+    with tables.report_run(spark):
+        outer = tables.stage(spark, spark.range(4), "outer", "a")
+        with pytest.raises(ValueError), tables.report_run(spark):
+            inner = tables.stage(spark, spark.range(3), "inner", "b")
+            assert inner.count() == 3
+            raise ValueError
+        assert not there(inner) and there(outer) and outer.count() == 4
+    assert not there(outer)
+    kept = tables.stage(spark, spark.range(2), "kept", "c")
+    assert there(kept)
+
+
+def test_a_report_in_a_run_leaves_nothing_but_its_roles(spark, small_dir):
+    from scorecraft.plans import compliance
+
+    t = Warehouse(spark, small_dir).prepare()
+    with tables.report_run(spark):
+        one = rows(compliance.backorder_trends(t, P.PERIOD_START, P.PERIOD_END))
+    assert rows(compliance.backorder_trends(t, P.PERIOD_START, P.PERIOD_END)) == one != []
+    assert t.role("txn").count() > 0
+
+
+def test_source_queries_name_no_view(spark, small_dir):
+    """Two source queries made before either runs keep their own tables, and the session has no view afterwards."""
+    ask = "SELECT max(id) AS most FROM {given} WHERE id < {below}"
+    one = tables.query(spark, ask, given=spark.range(10), below=8)
+    two = tables.query(spark, ask, given=spark.range(100, 200), below=150)
+    assert (one.first()["most"], two.first()["most"]) == (7, 149)
+    from scorecraft.plans import catalogue
+
+    catalogue.parent_child(Warehouse(spark, small_dir))
+    assert not [v for v in spark.catalog.listTables() if v.isTemporary and (v.name == "oem_structure" or v.name.startswith("_pyspark"))]
