@@ -9,7 +9,8 @@
 3. Partitions with a gap give up their bins that aren't full, certified ones
    their least filled bin; the freed pieces meet in new, fewer partitions and
    are packed again.  This repeats until the whole number of bins equals the
-   bound over all pieces, or a round gains nothing, or ``ROUNDS`` are over.
+   bound over all pieces, one partition holds all that is left, no piece is
+   freed, or ``ROUNDS`` are over.
 
 A partition holds a bounded number of rows whatever the data, and no row moves
 by its document, so copies and hot sources don't gather.  Null text counts as
@@ -151,7 +152,7 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, ro
         histogram[r["_size"]] = r["count"]
     target, n = lower_bound(histogram, capacity), int(histogram.sum())
     done: list[DataFrame] = []
-    total_kept, last = 0, None
+    total_kept = 0
     for k in range(rounds):
         parts = max(1, math.ceil(n / rows_per_part))
         dealt = todo.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))

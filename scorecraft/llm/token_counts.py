@@ -5,7 +5,9 @@ blank; nothing else changes) and the tokenizer has a digest of its file.  The
 cache is a Parquet folder of (tokenizer, content digest, tokens).  Contents not
 in it are encoded once each and appended; then every document takes its count
 by a join on the digest.  The same cache path serves later runs and other
-tables; another tokenizer file never meets the counts of this one.
+tables; another tokenizer file never meets the counts of this one.  Every run
+appends in a folder of its own and nothing is ever deleted, so runs at the same
+time don't disturb each other; at worst both encode a content and store the same count.
 
 Copies of a content are dropped inside each task first, so a content that a
 third of all rows hold sends one row per task to the task that encodes it.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,11 @@ from pyspark.sql import functions as F
 
 from scorecraft.llm.common import new_path
 from scorecraft.llm.text import SpanCache, code_points, decode, prefix_hash, slices, span_hash, utf8
+from scorecraft.session import ensure_checkpoint_dir
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
+#: Folder of the lasting cache; the number rises when the counting itself changes.
+LASTING = "llm/token-counts-1"
 
 
 class PieceCounter:
@@ -109,6 +115,11 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def lasting_cache(spark) -> str:
+    """The cache that all runs of a cluster share, under ``spark.checkpoint.dir``."""
+    return f"{ensure_checkpoint_dir(spark)}/{LASTING}"
+
+
 def token_counts(df: DataFrame, path: str, cache_path: str | None = None, limit: int = 4096,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every row.
@@ -128,7 +139,7 @@ def token_counts(df: DataFrame, path: str, cache_path: str | None = None, limit:
     if known is not None:
         contents = contents.join(known.select("content"), "content", "left_anti")
     (contents.repartition("content").mapInArrow(functools.partial(_encode, path), "content binary, n_tokens long")
-     .select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path))
+     .select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.parquet(f"{cache_path.rstrip('/')}/{uuid.uuid4().hex}"))
     counts = _cache(spark, cache_path, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.select("row_id", "n_bytes", "content").join(counts, "content", "left").select(
         F.col("row_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
@@ -139,7 +150,7 @@ def _cache(spark, cache_path: str, version: str) -> DataFrame | None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return None
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
+    return spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", "true").parquet(cache_path).filter(F.col("tokenizer") == version)
 
 
 def _distinct(batches):

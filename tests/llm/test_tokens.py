@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.llm import bpe_codec, packing, token_counts
 from scorecraft.llm.bpe import codec
-from scorecraft.llm.queries import tokenizer_path
+from scorecraft.llm.queries import queries, tokenizer_path
 
 ALPHABET = "ab'sterl \n\t<|>éΣ世1½\x1c\x85\xa0 .!́İ▁"
 
@@ -93,22 +93,47 @@ def test_piece_counts_on_random_texts():
     assert token_counts.counter(path).counts(cases).tolist() == [len(x) for x in sp.encode(cases)]
 
 
+def stored_counts(spark, cache):
+    return spark.read.option("recursiveFileLookup", "true").schema(token_counts.CACHE_SCHEMA).parquet(cache)
+
+
 def test_cache_encodes_only_misses(spark, docs, tmp_path):
     path, cache = tokenizer_path("piece_bpe_32k.model"), str(tmp_path / "cache")
     half = docs.filter("doc_id % 2 = 0")
     token_counts.token_counts(half, path, cache).count()
-    first = spark.read.parquet(cache)
+    first = stored_counts(spark, cache)
     held = {bytes(r["content"]): r["n_tokens"] for r in first.collect()}
     assert len(held) == first.count() == half.select(F.coalesce("text", F.lit(""))).distinct().count()
     token_counts.token_counts(docs, path, cache).count()
-    after = spark.read.parquet(cache)
+    after = stored_counts(spark, cache)
     assert after.count() == after.select("content").distinct().count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     # a stored count is used as it stands
     wrong = str(tmp_path / "wrong")
-    spark.read.parquet(cache).withColumn("n_tokens", F.lit(77).cast("long")).write.parquet(wrong)
+    stored_counts(spark, cache).withColumn("n_tokens", F.lit(77).cast("long")).write.parquet(wrong)
     assert {r["n_tokens"] for r in token_counts.token_counts(docs, path, wrong).collect()} == {77}
 
 
+def test_a_second_run_with_a_lasting_cache_encodes_nothing(spark, small_dir, tmp_path):
+    """The lasting cache holds each content once after two runs, whose rows equal the query's own, and nothing is encoded again."""
+    path, cache = tokenizer_path("piece_bpe_32k.model"), f"file://{tmp_path}/lasting"
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    assert token_counts.lasting_cache(spark).endswith(token_counts.LASTING)
+
+    def run():
+        return sorted(map(tuple, token_counts.token_counts(docs, path, cache).collect()))
+
+    one = run()
+    assert one == sorted(map(tuple, queries()["op7_token_counts"](spark, small_dir).collect()))
+    n = stored_counts(spark, cache).count()
+    two = run()
+    after = stored_counts(spark, cache)
+    assert one == two and after.count() == n == after.select("tokenizer", "content").distinct().count() > 0
+    # a half-written addition of another run is not met
+    (tmp_path / "lasting" / "other" / "_temporary" / "0").mkdir(parents=True)
+    (tmp_path / "lasting" / "other" / "_temporary" / "0" / "part-0.parquet").write_bytes(b"half")
+    assert run() == one
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
